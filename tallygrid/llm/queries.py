@@ -8,12 +8,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe_tree, decontaminate, line_dedup, quality, simhash_golay
+from tallygrid.llm import bpe_tree, chat, decontaminate, line_dedup, pii, quality, sharding, simhash_golay
 from tallygrid.llm.common import read
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: The conversation that op4 adds, which says the template's own control strings.
+CONTROL_TALK = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of equal row counts, equal texts together where the quotas let them."""
+    text = F.coalesce("text", F.lit(""))
+    docs = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("same"))
+    got = sharding.shard_rows(docs, F.col("same"))
+    return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and read back from the output."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_TALK, "conv_id long, turn long, role string, text string"))
+    got = chat.read_back(chat.format_trees(chat.chain(rows)))
+    return got.select(F.expr("try_cast(tree AS bigint)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by tree reduction."""
     return bpe_tree.encode_documents(read(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
@@ -35,6 +55,16 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(read(spark, sf_dir, "documents"))
 
 
+#: The key of op8's pseudonyms. A deployment passes its own, secret one to ``pii.pseudonymize``.
+PSEUDONYM_KEY = "tallygrid-example-key"
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by pseudonyms."""
+    got = pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return got.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its site's boilerplate lines."""
     got = line_dedup.drop_boilerplate(read(spark, sf_dir, "documents"))
@@ -48,10 +78,35 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+_OP4 = r"""
+WITH r AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    length(regexp_replace(coalesce(text, ''), '([<\[])(\\*)(/?s>|/?INST\]|TURN |/TURN\])', '\1\\\2\3', 'g')) AS n FROM r
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(CASE role WHEN 'user' THEN n + 15 WHEN 'assistant' THEN n + 5 ELSE n + 16 + length(replace(replace(role, '%', '%25'), ']', '%5D')) END))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_OP10 = r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+e AS (SELECT coalesce(source, '') AS host, unnest(list_distinct(list_filter(ls, lambda x: trim(x) <> ''))) AS l FROM d),
+t AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM d GROUP BY 1),
+b AS (SELECT host, list(l) AS cut FROM (SELECT e.host, l FROM e JOIN t USING (host) GROUP BY e.host, l, total HAVING count(*) >= 5 AND count(*) > 0.1::DOUBLE * total) GROUP BY host),
+k AS (SELECT doc_id, source, ls, text, list_filter(ls, lambda x: NOT list_contains(coalesce(cut, []::VARCHAR[]), x)) AS kept FROM d LEFT JOIN b ON coalesce(d.source, '') = b.host)
+SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped,
+  sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256, length(coalesce(array_to_string(kept, chr(10)), ''))::BIGINT AS chars_left FROM k
+"""
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op3_bpe_tree, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op10_line_dedup, pipeline)
+    own = (op1_sharding, op3_bpe_tree, op4_chat_trees, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op8_pii_pseudonyms, op10_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_trees": _OP4, "op10_line_dedup": _OP10}

@@ -114,3 +114,88 @@ def lines(rows, ratio=0.1, least_pages=5):
         left = [x for x in every if not x.strip(" ") or not (pages[h or "", x] >= least_pages and pages[h or "", x] > ratio * total[h or ""])]
         out.append((d, "\n".join(left) if t is not None else None, len(every), len(every) - len(left)))
     return out
+
+
+# pseudonyms
+
+
+def _mix(key, tweak, low, i, b):
+    return int(hashlib.sha256(f"{key}|{tweak}|{low}|{i}|{b}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(x, high, low, tweak, key, rounds=10):
+    a, b = divmod(x, low)
+    for i in range(rounds):
+        a, b = b, (a + _mix(key, tweak, low, i, b)) % (low if i % 2 else high)
+    return a * low + b
+
+
+def luhn(d):
+    t = 0
+    for k, c in enumerate(reversed(d)):
+        v = int(c)
+        t += v if k % 2 == 0 else v * 2 - (9 if v > 4 else 0)
+    return t % 10
+
+
+def pseudonymize(text, key, patterns):
+    """(text, counts by kind)"""
+    import datetime
+
+    import regex
+
+    one = {k: regex.compile(p) for k, p in patterns.items()}
+    counts = Counter()
+
+    def layout(m, digits):
+        it = iter(digits)
+        return "".join(next(it) if c in "0123456789" else c for c in m)
+
+    def sub(found):
+        m = found.group()
+        kind = next(k for k, p in one.items() if p.fullmatch(m))
+        d = re.sub(r"[^0-9]", "", m)
+        new = m
+        sha = lambda t: hashlib.sha256(f"{key}|{t}|{m}".encode()).hexdigest()
+        if kind == "email":
+            new = "u" + sha("email")[:16] + "@" + m.rpartition("@")[2]
+        elif kind == "secret":
+            new = (sha("secret1") + sha("secret2"))[: len(m)]
+        elif kind == "ip":
+            o = list(map(int, m.split(".")))
+            if max(o) > 255:
+                return m
+            x = feistel(int.from_bytes(bytes(o), "big"), 65536, 65536, "ip", key)
+            new = ".".join(map(str, x.to_bytes(4, "big")))
+        elif kind == "date":
+            y, mo, da = (m[:4], m[5:7], m[8:]) if m[4] == "-" else (m[6:], m[3:5], m[:2])
+            try:
+                x = (datetime.date(int(y), int(mo), int(da)) - datetime.date(1900, 1, 1)).days
+            except ValueError:
+                return m
+            if not 0 <= x < 73049:
+                return m
+            while (x := feistel(x, 271, 271, "date", key)) >= 73049:
+                pass
+            t = (datetime.date(1900, 1, 1) + datetime.timedelta(x)).strftime("%Y%m%d")
+            new = layout(m, t if m[4] == "-" else t[6:] + t[4:6] + t[:4])
+        elif kind == "ssn":
+            ok = lambda x: 1 <= x // 1000000 <= 899 and x // 1000000 != 666 and x // 10000 % 100 and x % 10000
+            if not ok(x := int(d)):
+                return m
+            while not ok(x := feistel(x, 10**4, 10**5, "ssn", key)):
+                pass
+            new = layout(m, f"{x:09d}")
+        elif kind == "phone":
+            new = layout(m, d[:-10] + f"{feistel(int(d[-10:]), 10**5, 10**5, 'phone', key):010d}")
+        else:
+            if luhn(d):
+                return m
+            n = len(d) - 1
+            e = f"{feistel(int(d[:-1]), 10 ** (n // 2), 10 ** (n - n // 2), 'card', key):0{n}d}"
+            new = layout(m, e + next(c for c in "0123456789" if luhn(e + c) == 0))
+        counts[kind] += 1
+        return new
+
+    out = regex.sub("|".join(patterns.values()), sub, text)
+    return out, counts
