@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,22 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for what is written in between; a session without one (a test) gets a folder of its own."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygrid-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, for what grows with the corpus."""
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write ``df`` to the folder that the cluster names and cut its lineage.
 
@@ -22,10 +39,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     The partitions of the result are fixed, so ``spark_partition_id`` and ``monotonically_increasing_id`` give the
     same values each time that they are computed, on whichever executor.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygrid-ckpt-"))
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe_tree, chat, decontaminate, line_dedup, pii, quality, sharding, simhash_golay
+from tallygrid.llm import bpe_tree, chat, decontaminate, line_dedup, maxent_lm, pii, quality, sharding, simhash_golay
 from tallygrid.llm.common import read
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,6 +34,15 @@ def op4_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.expr("try_cast(tree AS bigint)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the documents that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out_of = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10, F.lit(0)) == 0
+    trained = maxent_lm.train(docs.where(~out_of).select("text"))
+    got = maxent_lm.score(docs, trained)
+    return got.select("doc_id", out_of.alias("held_out"), "n_tokens", "n_known", F.lit(trained.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document by tree reduction."""
     return bpe_tree.encode_documents(read(spark, sf_dir, "documents"), MULTI_RANKS, public_tokenizers.PATTERN)
@@ -104,7 +113,7 @@ SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls)
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op3_bpe_tree, op4_chat_trees, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op8_pii_pseudonyms, op10_line_dedup, pipeline)
+    own = (op1_sharding, op2_maxent_lm, op3_bpe_tree, op4_chat_trees, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op8_pii_pseudonyms, op10_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
