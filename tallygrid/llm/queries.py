@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.llm import bpe_tree, chat, decontaminate, line_dedup, maxent_lm, pii, quality, sharding, simhash_golay
+from tallygrid.llm import bpe_tree, chat, decontaminate, line_dedup, maxent_lm, pii, quality, sharding, simhash_golay, token_files
 from tallygrid.llm.common import read
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -74,6 +74,12 @@ def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to files in order of doc_id and read back."""
+    files = token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read(files)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its site's boilerplate lines."""
     got = line_dedup.drop_boilerplate(read(spark, sf_dir, "documents"))
@@ -113,7 +119,7 @@ SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls)
 """
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_sharding, op2_maxent_lm, op3_bpe_tree, op4_chat_trees, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op8_pii_pseudonyms, op10_line_dedup, pipeline)
+    own = (op1_sharding, op2_maxent_lm, op3_bpe_tree, op4_chat_trees, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op8_pii_pseudonyms, op9_token_files, op10_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
