@@ -1 +1,538 @@
-"""Every registered query of the document engine."""
+"""Every registered query of the document engine, over the driver's tables, with DuckDB oracles.
+
+The tables hold none of the takeoff's words, so rules come as small generic rulesets; the domain's rules are tested on inline pages.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallygrid.functions import classify, fixed, similarity, text
+from tallygrid.operators import context, dedup, jobs, match, parsers, rules, segment, stats
+from tallygrid.plans import takeoff
+from tallygrid.plans.registry import query
+from tallygrid.session import table
+from tallygrid.sources import readers, sinks
+
+GENERIC = (("fan", ("fan", "heat")), ("air", ("air", "ac")), ("power", ("hp", "amp", "license")))
+RULES = [(0, "address", r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", 0), (1, "phone", r"[0-9]{3}-[0-9]{4}", 0), (2, "mail", r"([a-z]+)[.][0-9]+@", 1), (3, "secret", r"token = .([0-9a-f]{8})", 1)]
+
+
+def _docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents")
+
+
+def _rules(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(RULES, "ord int, name string, pattern string, grp int")
+
+
+_R = "(VALUES " + ", ".join(f"({o}, '{n}', '{p}', {g})" for o, n, p, g in RULES) + ") r(ord, name, pattern, grp)"
+_HITS = " UNION ALL ".join(f"SELECT doc_id, {o} AS ord, '{n}' AS name, unnest(regexp_extract_all(text, '{p}', {g})) AS hit FROM documents" for o, n, p, g in RULES)
+
+
+def _count_sql(t: str, words) -> str:
+    return "(" + " + ".join(f"(length({t}) - length(replace({t}, '{w}', ''))) // {len(w)}" for w in words) + ")"
+
+
+def _present_sql(t: str, words) -> str:
+    return "(" + " + ".join(f"contains({t}, '{w}')::INT" for w in words) + ")"
+
+
+def _best_sql(score) -> str:
+    """The first class of the greatest positive score."""
+    s = [(n, score("lower(text)", ws)) for n, ws in GENERIC]
+    top = "greatest(" + ", ".join(x for _, x in s) + ")"
+    return f"CASE WHEN {top} = 0 THEN 'Other' " + " ".join(f"WHEN {x} = {top} THEN '{n}'" for n, x in s) + " END"
+
+
+def _first_sql(t: str, table_, default: str) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'''contains({t}, '{w}')''' for w in ws)} THEN '{n}'" for n, ws in table_) + f" ELSE '{default}' END"
+
+
+# documents: flags, statistics, classes
+
+
+@query(
+    "document_summary",
+    f"""WITH d AS (SELECT *, {_best_sql(_count_sql)} AS trade, length(trim(text)) < 50 AS scanned FROM documents),
+    f AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY trade, lower(substr(text, 1, 80)) ORDER BY doc_id) = 1)
+    SELECT trade, scanned, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM f GROUP BY ALL""",
+)
+def document_summary(s, d):
+    docs = _docs(s, d).withColumn("trade", classify.by_count(F.col("text"), GENERIC)).withColumn("scanned", classify.is_scanned(F.col("text")))
+    first = dedup.by_prefix(docs, ["trade"], "text", ["doc_id"])
+    return first.groupBy("trade", "scanned").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("flag_scanned", "SELECT doc_id, length(trim(text)) < 50 AS scanned FROM documents")
+def flag_scanned(s, d):
+    return _docs(s, d).select("doc_id", classify.is_scanned(F.col("text")).alias("scanned"))
+
+
+@query(
+    "ocr_stats",
+    """SELECT lang, count(DISTINCT source) AS files, count(DISTINCT CASE WHEN n_chars < 400 THEN source END) AS files_with_ocr, count(*) AS pages,
+    count(*) FILTER (length(trim(text)) < 50) AS scanned_pages, count(*) FILTER (n_chars < 400) AS ocr_pages, round(count(*) FILTER (length(trim(text)) < 50) / count(*), 4) AS scanned_ratio,
+    round(count(*) FILTER (n_chars < 400) / count(*), 4) AS ocr_ratio, round(avg(n_chars / 4.0) FILTER (n_chars < 400), 2) AS avg_confidence,
+    round(min(n_chars / 4.0) FILTER (n_chars < 400), 2)::DOUBLE AS min_confidence, round(max(n_chars / 4.0) FILTER (n_chars < 400), 2)::DOUBLE AS max_confidence FROM documents GROUP BY lang""",
+)
+def ocr_stats(s, d):
+    pages = _docs(s, d).select("lang", F.col("source").alias("file_id"), classify.is_scanned(F.col("text")).alias("is_scanned"), (F.col("n_chars") < 400).alias("ocr_used"), (F.col("n_chars") / 4).alias("ocr_confidence"))
+    return stats.ocr_stats(pages, ["lang"])
+
+
+@query("page_counts", "SELECT source, count(*) AS total_pages, count(*) FILTER (length(trim(text)) < 50) AS scanned_pages, count(*) FILTER (length(trim(text)) >= 50) AS text_pages FROM documents GROUP BY source")
+def page_counts(s, d):
+    return stats.page_counts(_docs(s, d), ["source"])
+
+
+@query("trade_count", f"SELECT doc_id, {_best_sql(_count_sql)} AS trade FROM documents")
+def trade_count(s, d):
+    return _docs(s, d).select("doc_id", classify.by_count(F.col("text"), GENERIC).alias("trade"))
+
+
+@query("trade_presence", f"SELECT doc_id, {_best_sql(_present_sql)} AS trade FROM documents")
+def trade_presence(s, d):
+    return _docs(s, d).select("doc_id", classify.by_presence(F.col("text"), GENERIC).alias("trade"))
+
+
+@query("trade_first", f"SELECT doc_id, {_first_sql('lower(text)', GENERIC, 'Other')} AS trade FROM documents")
+def trade_first(s, d):
+    return _docs(s, d).select("doc_id", classify.first_hit(F.lower("text"), GENERIC, "Other").alias("trade"))
+
+
+@query("trade_domain", f"""SELECT doc_id, CASE WHEN {_present_sql('lower(text)', fixed.ELECTRICAL_BRANDS)} > 0 THEN 'Electrical' WHEN {_present_sql('lower(text)', fixed.HVAC_BRANDS)} > 0 THEN 'HVAC'
+    WHEN {_present_sql('lower(text)', fixed.LIGHTING_WORDS)} > 0 THEN 'Electrical' ELSE trade END AS trade FROM (SELECT doc_id, text, {_best_sql(_count_sql).replace("GENERIC", "")} AS _g,
+    (SELECT CASE WHEN max(n) > 0 THEN min_by(t, -n * 100 + o) ELSE 'Other' END FROM (VALUES {", ".join(f"({k}, '{n}', {_count_sql('lower(text)', ws)})" for k, (n, ws) in enumerate(fixed.TRADES_BY_COUNT))}) v(o, t, n)) AS trade FROM documents)""")
+def trade_domain(s, d):
+    return _docs(s, d).select("doc_id", classify.trade(F.col("text")).alias("trade"))
+
+
+@query(
+    "structure_classify",
+    "WITH s AS (SELECT doc_id, unnest(["
+    + ", ".join(
+        [f"{{'o': {k}, 'n': 'schedule:{n}', 's': {_present_sql('upper(text)', [w.upper() for w in ws])}::DOUBLE}}" for k, (n, ws) in enumerate(fixed.SCHEDULE_STRUCTURES)]
+        + [f"{{'o': {k + 20}, 'n': 'spec:{n}', 's': {_present_sql('upper(text)', [w.upper() for w in ws])} * 0.5::DOUBLE}}" for k, (n, ws) in enumerate(fixed.SPEC_STRUCTURES)]
+        + ["{'o': 40, 'n': 'drawing:plan', 's': (contains(upper(text), 'PLAN') OR contains(upper(text), 'REFLECTED CEILING'))::INT::DOUBLE}", "{'o': 41, 'n': 'notes:general', 's': (contains(upper(text), 'GENERAL NOTES') OR contains(upper(text), 'NOTES:'))::INT::DOUBLE}"]
+    )
+    + "], recursive := true) FROM documents) SELECT doc_id, coalesce(arg_min(n, o) FILTER (s = m AND s > 0), 'unknown') AS type, least(1.0, max(s))::DOUBLE AS confidence FROM (SELECT *, max(s) OVER (PARTITION BY doc_id) AS m FROM s) GROUP BY doc_id",
+)
+def structure_classify(s, d):
+    got = _docs(s, d).select("doc_id", classify.structure(F.col("text")).alias("x"))
+    return got.select("doc_id", "x.type", "x.confidence")
+
+
+@query("classify_url", f"SELECT page_id, {_first_sql('lower(url)', fixed.FILE_TYPES, 'other')} AS file_type, {_first_sql('lower(url)', fixed.FILE_TYPES_LISTING, 'other')} AS listing_type FROM pages")
+def classify_url(s, d):
+    return table(s, d, "pages").select("page_id", classify.file_type(F.col("url")).alias("file_type"), classify.file_type_listing(F.col("url")).alias("listing_type"))
+
+
+@query("file_filter", "SELECT page_id FROM pages WHERE " + " AND ".join(f"NOT contains(lower(url), '{w}')" for w in fixed.NON_PROJECT_NAMES))
+def file_filter(s, d):
+    return table(s, d, "pages").where(classify.is_project_file(F.col("url"))).select("page_id")
+
+
+@query("item_type", f"SELECT p_partkey, {_first_sql('lower(p_name)', fixed.ITEM_TYPES, 'other')} AS item_type FROM part")
+def item_type(s, d):
+    return table(s, d, "part").select("p_partkey", classify.item_type(F.col("p_name")).alias("item_type"))
+
+
+@query("keyword_pages", "SELECT k AS keyword, list_slice(list(doc_id ORDER BY doc_id), 1, 10) AS docs, count(*) AS n FROM documents, (VALUES ('license'), ('token'), ('amp')) v(k) WHERE contains(lower(text), k) GROUP BY k")
+def keyword_pages(s, d):
+    hits = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(w)), w) for w in ("license", "token", "amp"))))
+    each = _docs(s, d).select("doc_id", F.explode(hits).alias("keyword"))
+    ten = jobs.tail(each.withColumn("_o", -F.col("doc_id")), ["keyword"], ["_o"], 10).groupBy("keyword").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
+    return each.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).join(ten, "keyword").select("keyword", "docs", "n")
+
+
+# deduplication
+
+
+@query("exact_dedup", "SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
+def exact_dedup(s, d):
+    return dedup.by_digest(_docs(s, d), "text", ["doc_id"]).select("doc_id")
+
+
+@query("prefix_dedup", "SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang, lower(substr(text, 1, 80)) ORDER BY doc_id) = 1")
+def prefix_dedup(s, d):
+    return dedup.by_prefix(_docs(s, d), ["lang"], "text", ["doc_id"]).select("doc_id", "lang")
+
+
+@query(
+    "prefix_pref_dedup",
+    """SELECT id, kind FROM (SELECT item_id AS id, 'item' AS kind, text, 0 AS src FROM benchmark UNION ALL SELECT doc_id, 'doc', text, 1 FROM documents)
+    QUALIFY row_number() OVER (PARTITION BY trim(lower(substr(text, 1, 60))) ORDER BY src, id) = 1""",
+)
+def prefix_pref_dedup(s, d):
+    items = table(s, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("kind"), "text")
+    docs = _docs(s, d).select(F.col("doc_id").alias("id"), F.lit("doc").alias("kind"), "text")
+    return dedup.by_prefix_preferred(items, docs, [], "text", ["id"]).select("id", "kind")
+
+
+@query(
+    "longest_dedup",
+    """WITH d AS (SELECT *, lower(trim(string_split(text, '|')[-1])) AS base FROM documents WHERE text IS NOT NULL)
+    SELECT arg_min(doc_id, (-length(text), doc_id)) AS doc_id, min(doc_id) AS at, lang FROM d GROUP BY lang, base""",
+)
+def longest_dedup(s, d):
+    docs = _docs(s, d).select("doc_id", F.col("doc_id").alias("at"), "lang", "text")
+    return dedup.by_base_longest(docs, ["lang"], "text", "at").select("doc_id", "at", "lang")
+
+
+@query("tuple_dedup", "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
+def tuple_dedup(s, d):
+    return dedup.first_of(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query("contains_dedup", "SELECT n_nationkey FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE contains(lower(r_name), lower(n.n_name)))")
+def contains_dedup(s, d):
+    new = table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("text"))
+    return dedup.not_contained(new, table(s, d, "region").select(F.col("r_name").alias("text")), [], "text").select("n_nationkey")
+
+
+@query("smart_dedup")
+def smart_dedup(s, d):
+    items = table(s, d, "part").select(F.col("p_brand").alias("project_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("description"), F.col("p_type").alias("trade"), F.lit(0.5).alias("confidence"))
+    return dedup.smart(items, "project_id").select("project_id", "seq", "description", "trade")
+
+
+# lines and chunks
+
+
+@query("lines", "SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS pos, unnest(string_split(text, chr(10))) AS line FROM documents")
+def lines(s, d):
+    return segment.lines(_docs(s, d), ["doc_id"])
+
+
+_COMPACT = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g')), lambda x: x <> '')"
+
+
+@query("compact_lines", f"SELECT doc_id, unnest(range(len({_COMPACT})))::INT AS pos, unnest({_COMPACT}) AS line FROM documents")
+def compact_lines(s, d):
+    return segment.compact_lines(_docs(s, d), ["doc_id"])
+
+
+_LINES = "(SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
+
+
+@query("lookback_lines", f"SELECT * FROM (SELECT doc_id, pos, line, lag(line) OVER w AS back1, lag(line, 2) OVER w AS back2, lag(line, 3) OVER w AS back3 FROM {_LINES} WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) WHERE regexp_matches(line, '^[A-Z][a-z]{{0,5}}[.]$')")
+def lookback_lines(s, d):
+    return parsers.look_back(segment.lines(_docs(s, d), ["doc_id"]), ["doc_id"], "^[A-Z][a-z]{0,5}[.]$", 3)
+
+
+@query("frame_context", f"SELECT doc_id, pos, md5(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 4 FOLLOWING)) AS context FROM {_LINES}")
+def frame_context(s, d):
+    return parsers.frames(segment.lines(_docs(s, d), ["doc_id"]), ["doc_id"], 2, 4).select("doc_id", "pos", F.md5("context").alias("context"))
+
+
+@query("islands", "SELECT conv_id, turn, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM conversations")
+def islands(s, d):
+    return parsers.islands(table(s, d, "conversations"), ["conv_id"], F.col("role") == "user", "turn").select("conv_id", "turn", "island")
+
+
+@query("file_concat", "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest FROM conversations WHERE text <> '' GROUP BY conv_id")
+def file_concat(s, d):
+    return segment.joined(table(s, d, "conversations"), ["conv_id"], "turn", "text", "\n\n").select("conv_id", F.md5("text").alias("digest"))
+
+
+@query(
+    "chunk_pack",
+    """WITH RECURSIVE p AS (SELECT conv_id, turn, length(text)::INT AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE length(trim(text)) >= 100),
+    w AS (SELECT conv_id, turn, k, n AS size, 0 AS chunk FROM p WHERE k = 1
+      UNION ALL SELECT p.conv_id, p.turn, p.k, CASE WHEN w.size + p.n > 3000 THEN p.n ELSE w.size + p.n END, CASE WHEN w.size + p.n > 3000 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN p ON p.conv_id = w.conv_id AND p.k = w.k + 1)
+    SELECT conv_id, chunk::INT AS chunk, min(turn) AS first, max(turn) AS last FROM w GROUP BY conv_id, chunk""",
+)
+def chunk_pack(s, d):
+    return segment.chunk_pages(table(s, d, "conversations"), ["conv_id"], "turn", most=3000).select("conv_id", "chunk", "first", "last")
+
+
+@query("split_blocks")
+def split_blocks(s, d):
+    parts = segment.split_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n")), 1000)
+    return _docs(s, d).select("doc_id", F.posexplode(parts).alias("n", "part")).select("doc_id", "n", F.length("part").alias("chars"))
+
+
+@query("section_slice", "SELECT doc_id, CASE WHEN instr(text, 'License') > 0 THEN substr(text, instr(text, 'License'), least(coalesce(nullif(instr(substr(text, instr(text, 'License') + 1), chr(10)), 0), 300), 300, length(text))) END AS part FROM documents")
+def section_slice(s, d):
+    return _docs(s, d).select("doc_id", text.section(F.col("text"), "License", ("\n",), 300).alias("part"))
+
+
+@query("interval_merge")
+def interval_merge(s, d):
+    found = segment.spans(_docs(s, d), ["doc_id"], [(r"\d+[\d .:-]*\d", "number"), (r"\S+@\S+", "mail"), (r"\S{20,}", "long")])
+    merged = segment.keep_longer(F.collect_list(F.struct("start", "end", "name")))
+    return found.groupBy("doc_id").agg(merged.alias("m")).select("doc_id", F.explode("m").alias("m")).select("doc_id", "m.*")
+
+
+@query("schedule_sections")
+def schedule_sections(s, d):
+    return segment.schedules(_docs(s, d), ["doc_id"], [(r"licensed\s+under[^\n]*", "license"), (r"token\s*=", "secret")], r"\n\s*[A-Z][a-z]+\.\s*\n").drop("section")
+
+
+# rules
+
+
+@query("rule_flag", f"SELECT doc_id, ord, name FROM documents, {_R} WHERE regexp_matches(text, pattern)")
+def rule_flag(s, d):
+    return rules.apply_rules(_docs(s, d), _rules(s), "flag", ["doc_id"])
+
+
+@query("rule_each", _HITS)
+def rule_each(s, d):
+    return rules.apply_rules(_docs(s, d), _rules(s), "each", ["doc_id"])
+
+
+@query("rule_count", f"SELECT doc_id, ord, name, hit, count(*) AS n FROM ({_HITS}) GROUP BY ALL")
+def rule_count(s, d):
+    return rules.apply_rules(_docs(s, d), _rules(s), "count", ["doc_id"])
+
+
+@query("rule_pairs", f"WITH h AS (SELECT doc_id, ord, name FROM documents, {_R} WHERE regexp_matches(text, pattern)) SELECT a.doc_id, a.name AS first, b.name AS second FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.ord < b.ord")
+def rule_pairs(s, d):
+    return rules.apply_rules(_docs(s, d), _rules(s), "pairs", ["doc_id"])
+
+
+@query("rule_filter", "SELECT doc_id FROM documents WHERE NOT (" + " OR ".join(f"regexp_matches(text, '{p}')" for _, _, p, _ in RULES) + ")")
+def rule_filter(s, d):
+    return rules.drop_matching(_docs(s, d), [p for _, _, p, _ in RULES], "text").select("doc_id")
+
+
+@query("rule_filter_dynamic", "SELECT p_partkey FROM part WHERE NOT (regexp_matches(p_name, '^b') OR contains(lower(p_type), 'zz(') OR contains(lower(p_name), 'a('))")
+def rule_filter_dynamic(s, d):
+    got = rules.filter_by_rules(table(s, d, "part").withColumn("p_name", F.lower("p_name")), [{"pattern": "^b", "action": "remove"}, {"pattern": "a(", "action": "remove"}, {"pattern": ".", "action": "keep"}], fixed.DEFAULT_FILTERS, "p_name")
+    return got.select("p_partkey")
+
+
+@query("quantity_lines", f"SELECT doc_id, pos, unnest(regexp_extract_all(line, '([0-9]{{1,6}}) +[a-z]', 1))::DOUBLE AS quantity FROM {_LINES}")
+def quantity_lines(s, d):
+    found = segment.lines(_docs(s, d), ["doc_id"]).select("doc_id", "pos", F.explode(F.regexp_extract_all("line", F.lit("([0-9]{1,6}) +[a-z]"), F.lit(1))).alias("q"))
+    return found.select("doc_id", "pos", F.col("q").cast("double").alias("quantity"))
+
+
+@query("units")
+def units(s, d):
+    return _docs(s, d).select("doc_id", F.explode(text.quantities(F.col("text"))).alias("q")).select("doc_id", "q.*")
+
+
+@query("code_extract", "SELECT p_partkey, unnest(regexp_extract_all(p_brand, '[A-Z][a-z]+#([0-9]+)', 1)) AS code FROM part UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}-[0-9]{2,4}')) FROM documents")
+def code_extract(s, d):
+    one = table(s, d, "part").select("p_partkey", F.explode(F.regexp_extract_all("p_brand", F.lit("[A-Z][a-z]+#([0-9]+)"), F.lit(1))).alias("code"))
+    return one.union(_docs(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}-[0-9]{2,4}"), F.lit(0)))))
+
+
+@query("count_matches", "SELECT hit, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS hit FROM documents) GROUP BY hit")
+def count_matches(s, d):
+    return _docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+
+
+# joins and grouped counts
+
+
+@query("semi_used_codes", "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
+def semi_used_codes(s, d):
+    return table(s, d, "part").join(table(s, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
+
+
+@query("left_lookup", "SELECT o_orderkey, coalesce(c_name, 'none') AS c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
+def left_lookup(s, d):
+    c = table(s, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    return table(s, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("none")).alias("c_name"))
+
+
+@query("inner_lookup", "SELECT c_mktsegment, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def inner_lookup(s, d):
+    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
+    got = table(s, d, "orders").select("o_custkey", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    return got.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("anti_missing", "SELECT c_custkey, substr(c_name, 1, 100) AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_missing(s, d):
+    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", F.substring("c_name", 1, 100).alias("name"))
+
+
+@query("anti_extra", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def anti_extra(s, d):
+    r = table(s, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
+    return table(s, d, "orders").join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("fusion_lookup", "SELECT p_brand, p_size, count(*) AS n, max(s.s_name) AS name FROM part JOIN supplier s ON s_suppkey = p_size GROUP BY ALL")
+def fusion_lookup(s, d):
+    sup = table(s, d, "supplier").select("s_suppkey", "s_name")
+    return table(s, d, "part").join(sup, F.col("s_suppkey") == F.col("p_size")).groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.max("s_name").alias("name"))
+
+
+@query("group_code_height", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL")
+def group_code_height(s, d):
+    return table(s, d, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "qty_diff",
+    "SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN round((p - o_totalprice) / o_totalprice * 100, 2) END AS pct_diff FROM orders JOIN (SELECT l_orderkey, sum(l_quantity * 1000) AS p FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
+)
+def qty_diff(s, d):
+    p = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity") * 1000).alias("p"))
+    return table(s, d, "orders").join(p, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", text.percent_difference(F.col("p"), F.col("o_totalprice")).alias("pct_diff"))
+
+
+@query("trade_scope", "SELECT p_brand, string_agg(DISTINCT p_type, ' | ' ORDER BY p_type) AS trade_scope FROM part GROUP BY p_brand")
+def trade_scope(s, d):
+    return stats.trade_scope(table(s, d, "part"), ["p_brand"], "p_type")
+
+
+@query("confidence_hist", "SELECT l_returnflag, l_discount::VARCHAR AS bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def confidence_hist(s, d):
+    return stats.confidence_histogram(table(s, d, "lineitem"), ["l_returnflag"], "l_discount").select("l_returnflag", F.explode("bins").alias("bin", "n"))
+
+
+@query("summary_sink", "SELECT lang AS project_id, source AS trade, count(*) AS n FROM documents GROUP BY ALL")
+def summary_sink(s, d):
+    got = sinks.summary(_docs(s, d).select(F.col("lang").alias("project_id"), F.col("source").alias("trade")))
+    return got.select("project_id", F.explode("by_trade").alias("trade", "n"))
+
+
+_COST = "least(20.0, mb / 5 * 20) + least(40.0, sc / 20 * 40) + least(40.0, sec / 120 * 40)"
+_FILES = "(SELECT doc_id, n_chars / 1000.0::DOUBLE AS mb, (n_chars % 120)::DOUBLE AS sc, (n_chars % 120) * 3.0 * 1.6::DOUBLE AS sec, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 AS dup FROM documents)"
+
+
+def _files(s, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(F.md5("text")).orderBy("doc_id")
+    f = _docs(s, d).select("doc_id", (F.col("n_chars") / 1000).alias("size_mb"), (F.col("n_chars") % 120).cast("double").alias("scanned_pages"), (F.row_number().over(w) > 1).alias("duplicate"))
+    return stats.file_costs(f, load_ratio=1.6)
+
+
+@query("cost_score", f"SELECT doc_id, round(sec, 1)::DOUBLE AS seconds, round({_COST}, 1)::DOUBLE AS cost_score FROM {_FILES}")
+def cost_score(s, d):
+    return _files(s, d).select("doc_id", "seconds", "cost_score")
+
+
+@query(
+    "skip_reason",
+    f"""SELECT doc_id, CASE WHEN dup THEN 'duplicate' WHEN round({_COST}, 1) > 70 THEN 'moderate pressure' WHEN round(sec, 1) > 300 THEN 'too heavy' WHEN mb > 5 AND sc > 20 THEN 'very large scan' END AS skip_reason FROM {_FILES}""",
+)
+def skip_reason(s, d):
+    return _files(s, d).select("doc_id", "skip_reason")
+
+
+@query("file_inventory", "SELECT url AS path, round(strlen(html) / 1048576, 2)::DOUBLE AS size_mb, md5(html) AS md5 FROM pages QUALIFY row_number() OVER (PARTITION BY md5(html) ORDER BY url) = 1")
+def file_inventory(s, d):
+    found = table(s, d, "pages").select(F.col("url").alias("path"), F.octet_length("html").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    return readers.inventory(found).select("path", "size_mb", "md5")
+
+
+@query("terms_on_pages", "SELECT r_name AS term, page_id FROM region, pages WHERE instr(lower(html), lower(r_name)) > 0")
+def terms_on_pages(s, d):
+    terms = table(s, d, "region").select(F.col("r_name").alias("term"), F.lower("r_name").alias("low"))
+    got = context.terms_on_pages(terms.select("low", "term"), table(s, d, "pages").select("page_id", F.lower("html").alias("text")), [], "low")
+    return got.join(F.broadcast(terms), "low").select("term", "page_id")  # five regions
+
+
+# job views
+
+
+@query("topk_recent", "SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
+def topk_recent(s, d):
+    return jobs.newest(table(s, d, "events"), ["ts", "event_id"], 100).select("event_id", "user_id", "event_type")
+
+
+@query("tail_per_key", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def tail_per_key(s, d):
+    return jobs.tail(table(s, d, "events"), ["user_id"], ["ts", "event_id"], 20).select("event_id", "user_id")
+
+
+@query("stage_latest", "SELECT user_id::VARCHAR AS job_id, event_type AS stage, arg_max(CASE WHEN value > 50 THEN 'completed' ELSE 'running' END, (ts, (value > 50)::INT)) AS status, min(ts) FILTER (value <= 50) AS started, max(ts) FILTER (value > 50) AS ended FROM events GROUP BY ALL")
+def stage_latest(s, d):
+    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("job_id"), F.lit("stage").alias("kind"), F.col("event_type").alias("stage"), F.when(F.col("value") > 50, "completed").otherwise("running").alias("status"), "ts")
+    return jobs.stage_status(e)
+
+
+@query(
+    "locf_stage",
+    "SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stage_now FROM events",
+)
+def locf_stage(s, d):
+    e = table(s, d, "events").withColumn("told", F.when(F.col("event_type").isin("signup", "purchase"), F.col("event_type")))
+    return parsers.carried(e, ["user_id"], "told", ["ts", "event_id"], "stage_now").select("event_id", "stage_now")
+
+
+@query("json_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_props(s, d):
+    return table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("pending_pages", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
+def pending_pages(s, d):
+    return jobs.pending(table(s, d, "pages"), table(s, d, "labels").withColumnRenamed("doc_id", "page_id"), ["page_id"]).select("page_id")
+
+
+# matching
+
+
+@query("score_words", "SELECT item_id, unnest(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')))) AS word FROM benchmark")
+def score_words(s, d):
+    w = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))))
+    return table(s, d, "benchmark").select("item_id", F.explode(w).alias("word"))
+
+
+_W = "SELECT {k}, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{10,}}'))) AS w FROM {t}"
+
+
+@query("word_overlap_block", f"SELECT item_id, doc_id, count(*) AS n FROM ({_W.format(k='item_id', t='benchmark')}) JOIN ({_W.format(k='doc_id', t='documents')}) USING (w) GROUP BY ALL HAVING count(*) >= 2")
+def word_overlap_block(s, d):
+    w = lambda t, k: table(s, d, t).select(k, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0)))).alias("w"))
+    return w("benchmark", "item_id").join(w("documents", "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
+def _sides(s, d):
+    said = F.concat_ws(" ", "p_name", "p_type")
+    p = table(s, d, "part").select(F.concat_ws("-", "p_brand", (F.col("p_size") % 10).cast("string")).alias("project_id"), F.col("p_partkey").alias("seq"), said.alias("description"), F.col("p_retailprice").alias("quantity"), F.lit("EA").alias("unit"))
+    return p.where("seq % 2 = 0"), p.where("seq % 2 = 1")
+
+
+@query("fuzzy_scores")
+def fuzzy_scores(s, d):
+    return match.scored(*_sides(s, d))
+
+
+@query("greedy_match")
+def greedy_match(s, d):
+    return match.greedy(match.scored(*_sides(s, d)))
+
+
+@query("best_match")
+def best_match(s, d):
+    e, p = _sides(s, d)
+    pairs = e.select("project_id", F.col("seq").alias("e"), F.col("description").alias("a")).join(p.select("project_id", F.col("seq").alias("p"), F.col("description").alias("b")), "project_id")
+    return match.best(pairs.select("project_id", "e", "p", similarity.ratio_of("a", "b").alias("score")))
+
+
+@query("match_report")
+def match_report(s, d):
+    return match.report(*_sides(s, d))
+
+
+# pipelines
+
+
+def _pages(s, d):
+    """Documents as pages: a source is a project, a language a file."""
+    kind = F.when(F.col("doc_id") % 3 == 0, "drawing").when(F.col("doc_id") % 3 == 1, "spec").otherwise("sow")
+    file = F.concat_ws("-", "source", "lang", kind)
+    return _docs(s, d).select(F.col("source").alias("project_id"), file.alias("file_id"), file.alias("file_name"), kind.alias("file_type"), F.col("doc_id").cast("int").alias("page_number"), "text")
+
+
+def _pipeline(mode: str):
+    def run(s, d):
+        return takeoff.extract_project(_pages(s, d), mode)
+
+    return run
+
+
+for _mode in ("default", "rules", "context"):
+    query(f"takeoff_{_mode}")(_pipeline(_mode))
