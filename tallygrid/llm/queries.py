@@ -118,10 +118,36 @@ SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls)
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256, length(coalesce(array_to_string(kept, chr(10)), ''))::BIGINT AS chars_left FROM k
 """
 
+_OP6 = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(ws), 13) AS n, unnest(list_transform(range(greatest(len(ws) - 12, 1)), lambda i: array_to_string(list_slice(ws, i + 1, i + 13), ' '))) AS win FROM iw WHERE len(ws) > 0),
+gram AS (SELECT doc_id, n, unnest(range(len(ws) - n + 1)) AS i, unnest(list_transform(range(len(ws) - n + 1), lambda i: array_to_string(list_slice(ws, i + 1, i + n), ' '))) AS win FROM dw, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+hit AS (SELECT doc_id, i, n, item_id FROM gram JOIN win USING (n, win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS item FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+_OP7 = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(len(ws) - 2)) AS i, unnest(list_transform(range(len(ws) - 2), lambda i: array_to_string(list_slice(ws, i + 1, i + 3), ' '))) AS gram FROM w WHERE len(ws) > 2),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT p) AS rep FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM c WHERE n > 1) GROUP BY doc_id),
+m AS (SELECT doc_id, text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words, length(text) - length(regexp_replace(text, '\p{L}', '', 'g')) AS letters,
+  length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')) AS uppers, length(text) - length(replace(text, '!', '')) AS bangs FROM w LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 10 * n_symbols > word_chars OR 2 * letters < word_chars OR NOT word_chars BETWEEN 2 * n_words AND 20 * n_words
+    OR 4 * bangs > n_words OR 2 * uppers > word_chars OR 10 * n_dup_lines > 5 * n_lines) AS kept FROM m
+"""
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_sharding, op2_maxent_lm, op3_bpe_tree, op4_chat_trees, op5_simhash_golay, op6_decontaminate, op7_quality_cascade, op8_pii_pseudonyms, op9_token_files, op10_line_dedup, pipeline)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_trees": _OP4, "op10_line_dedup": _OP10}
+    return {"op4_chat_trees": _OP4, "op6_decontaminate": _OP6, "op7_quality_cascade": _OP7, "op10_line_dedup": _OP10}
