@@ -36,7 +36,7 @@ from tallygrid.llm.common import saved
 SINGLES, ENDINGS, ROWS, BLOCKS = 15, 16, 1 << 16, 32
 CLASSES = SINGLES + ENDINGS + 1
 #: Words whose counts are broadcast; training rounds; tokens of a minibatch; step size.
-FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 8192, 0.35
+FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 16_384, 0.35
 #: Smoothing of counts.
 ALPHA = 0.1
 #: Entries of a worker's cache of words; a full cache is emptied.
@@ -44,30 +44,29 @@ CACHE = 400_000
 #: Fixed value: the hash of the end token and of the places before a text.
 END = 1
 
-_FEATURES = 5
-
 
 @dataclass(frozen=True)
 class Classes:
-    """Which class a word is in: a pure function of the list of single words."""
+    """Which class a word is in: a pure function of the table of single words."""
 
-    singles: tuple[bytes, ...]
+    singles: dict[bytes, int]
 
     def of(self, word: bytes) -> int:
-        if word in self.singles:
-            return self.singles.index(word)
+        if (k := self.singles.get(word)) is not None:
+            return k
         stem = word.rstrip(b".,;:!?|#$%&*\"')") or word
-        return SINGLES + zlib.crc32(stem.decode(errors="ignore")[-2:].encode()) % ENDINGS
+        return SINGLES + zlib.crc32(stem[-2:]) % ENDINGS
 
 
 @dataclass(frozen=True)
 class Model:
-    """What workers need: classes, the table, the frequent words' log10(c + alpha), and the classes' log10 masses."""
+    """What workers need: classes, the table, the frequent words' numbers and log10(c + alpha), of the end at 0, and the classes' log10 masses."""
 
     classes: Classes
     table: np.ndarray
     bias: np.ndarray
-    known: dict[bytes, float]
+    number: dict[bytes, int]
+    known: np.ndarray
     mass: np.ndarray
 
 
@@ -75,52 +74,48 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Coder:
-    """Words to (hash, class), through a cache."""
+class Coder(dict):
+    """A cache of words as integers of (number among the frequent words, or 0; hash; class)."""
+
+    def __init__(self, classes: Classes, number: dict[bytes, int] | None = None):
+        super().__init__()
+        self.classes, self.number = classes, number or {}
 
-    def __init__(self, classes: Classes):
-        self.classes, self.cache = classes, {}
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE:
+            self.clear()
+        code = self[word] = self.number.get(word, 0) << 40 | (zlib.crc32(word) | 2) << 8 | self.classes.of(word)
+        return code
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        cache = self.cache
-        try:
-            return np.array([cache[w] for w in words], np.int64)
-        except KeyError:
-            if len(cache) > CACHE:
-                cache.clear()
-            for w in words:
-                if w not in cache:
-                    cache[w] = (zlib.crc32(w) | 2) << 8 | self.classes.of(w)
-            return np.array([cache[w] for w in words], np.int64)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table for every token of some texts, each text ended: (tokens, features), and the tokens' classes."""
+    """Rows of the table for every token of some texts, each text ended: (features, tokens), and the tokens' classes."""
     end = np.array([END << 8 | CLASSES - 1], np.int64)
     start = np.full(4, END << 8 | CLASSES - 1, np.int64)
     flat = np.concatenate([x for c in codes for x in (start, c, end)])
     own = np.concatenate([np.arange(at, at + n) for at, n in zip(np.cumsum([4, *(len(c) + 5 for c in codes[:-1])]), [len(c) + 1 for c in codes], strict=True)])
-    h, k = flat >> 8, flat & 255
+    h, k = flat >> 8 & 0xFFFFFFFF, flat & 255
     w1, w2 = h[own - 1], h[own - 2]
-    mixed = np.stack(
-        [
-            w1 * 0x9E3779B1 + 0x51,
-            w2 * 0x85EBCA6B + 0x1F3,
-            w1 * 0xC2B2AE35 + w2 * 0x27D4EB2F + 0x9D7,
-            (k[own - 3] << 8 | k[own - 4]) * 0x165667B1 + 0x3B1,
-            (k[own - 1] << 8 | k[own - 2]) * 0x2545F491 + 0x7C5,
-        ],
-        axis=1,
+    mixed = (
+        w1 * 0x9E3779B1 + 0x51,
+        w2 * 0x85EBCA6B + 0x1F3,
+        w1 * 0xC2B2AE35 + w2 * 0x27D4EB2F + 0x9D7,
+        (k[own - 3] << 8 | k[own - 4]) * 0x165667B1 + 0x3B1,
+        (k[own - 1] << 8 | k[own - 2]) * 0x2545F491 + 0x7C5,
     )
-    return ((mixed ^ mixed >> 17) & ROWS - 1).astype(np.int32), k[own].astype(np.int64)
+    return np.stack([((m ^ m >> 17) & ROWS - 1).astype(np.uint16) for m in mixed]), k[own]
 
 
 def log_probs(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the classes, (tokens, classes)."""
-    z = bias + table[rows[:, 0]]
-    for f in range(1, _FEATURES):
-        z += table[rows[:, f]]
-    z -= z.max(axis=1, keepdims=True)
+    z = table.take(rows[0], axis=0)
+    for r in rows[1:]:
+        z += table.take(r, axis=0)
+    z += bias
+    np.clip(z, -60, 60, out=z)  # so that no exponential overflows
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
@@ -129,15 +124,19 @@ def learn(table: np.ndarray, bias: np.ndarray, squares: np.ndarray, seen: np.nda
     """One gradient step on a minibatch, in place; ``squares`` scales the steps of each row, ``seen`` counts its tokens."""
     grad = np.exp(log_probs(table, bias, rows))
     grad[np.arange(len(classes)), classes] -= 1
-    for f in range(_FEATURES):
-        order = np.argsort(rows[:, f], kind="stable")
-        sorted_rows = rows[order, f]
-        starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        at = sorted_rows[starts]
-        g = np.add.reduceat(grad[order], starts, axis=0)
-        squares[at] += (g * g).mean(axis=1)
-        table[at] -= STEP * g / np.sqrt(squares[at] + 1e-3)[:, None]
-        seen[at] += np.diff(np.concatenate([starts, [len(order)]]))
+    for r in rows:
+        order = np.argsort(r, kind="stable")  # a radix sort for 16-bit integers
+        at = r.take(order)
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        at, n = at.take(starts), np.diff(starts, append=len(order))
+        g = grad.take(order.take(starts), axis=0)
+        many = n > 1  # only rows that several tokens pick need sums
+        if many.any():
+            k = n[many]
+            g[many] = np.add.reduceat(grad.take(order[np.repeat(many, n)], axis=0), np.cumsum(k) - k, axis=0)
+        squares[at] += np.einsum("ij,ij->i", g, g) / CLASSES
+        table[at] -= (STEP / np.sqrt(squares[at] + 1e-3))[:, None] * g
+        seen[at] += n
 
 
 def minibatches(texts: Iterator[str | None], coder: Coder) -> Iterator[list[np.ndarray]]:
@@ -178,6 +177,22 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """At most ``most`` rows (word, n), the most frequent first: all words from a count up, found by a histogram of counts in steps of two percent."""
+    step = F.floor(F.log2("n") * 32)
+    words = counts.where("word is not null")
+    steps = words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("step")).collect()
+    least, total = None, 0
+    for r in steps:
+        total += r["k"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return sorted(words.where(step >= least).collect(), key=lambda r: (-r["n"], r["word"]))
+
+
 def class_masses(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and distinct words of each class."""
 
@@ -196,7 +211,7 @@ def class_masses(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
 
 def train_round(texts: DataFrame, model: Model) -> np.ndarray:
     """The table after one round of local steps on ``texts`` (one column), averaged over the workers by tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(replace(model, known={}))
+    shared = texts.sparkSession.sparkContext.broadcast(replace(model, number={}))
     width = ROWS // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,13 +265,13 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, frequen
     """A model of the texts in ``docs``, each of which it reads once for counts and once for training."""
     counts = saved(count_words(docs, text_col))
     n, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    most = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(frequent).collect()
-    classes = Classes(tuple(r["word"].encode() for r in most[:SINGLES]))
+    most = most_frequent(counts, frequent)
+    classes = Classes({r["word"].encode(): k for k, r in enumerate(most[:SINGLES])})
     tokens, kinds = class_masses(counts, classes)
-    known = {r["word"].encode(): math.log10(r["n"] + ALPHA) for r in most}
-    ends = int(tokens[-1])
+    number = {r["word"].encode(): k for k, r in enumerate(most, 1)}
+    known = np.log10(np.array([float(tokens[-1]), *(float(r["n"]) for r in most)]) + ALPHA)
     bias = np.log((tokens + 1) / (tokens.sum() + CLASSES)).astype(np.float32)
-    model = Model(classes, np.zeros((ROWS, CLASSES), np.float32), bias, known | {b"": math.log10(ends + ALPHA)}, np.log10(tokens + ALPHA * (kinds + 1)))
+    model = Model(classes, np.zeros((ROWS, CLASSES), np.float32), bias, number, known, np.log10(tokens + ALPHA * (kinds + 1)))
     part = F.pmod(F.xxhash64(text_col), F.lit(rounds))
     for r in range(rounds if n else 0):
         model = replace(model, table=train_round(docs.where(part == r).select(text_col), model))
@@ -274,26 +289,31 @@ def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: s
         from pyspark import TaskContext
 
         m = shared.value
-        coder, known, end, row = Coder(m.classes), m.known, m.known[b""], TaskContext.get().partitionId() << 36
+        coder, row = Coder(m.classes, m.number), TaskContext.get().partitionId() << 36
+        kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
 
-        def scored(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+        def scored(ids: list, texts: list[list[bytes]], type_: pa.DataType) -> pa.RecordBatch:
             nonlocal row
-            rows, classes = features([coder(w) for w in texts])
-            got = log_probs(m.table, m.bias, rows)[np.arange(len(classes)), classes] / math.log(10) - m.mass[classes]
-            ends = np.cumsum([len(w) + 1 for w in texts])
-            context = np.add.reduceat(got.astype(np.float64), np.concatenate([[0], ends[:-1]]))
-            counted, n_known, rare = [], [], []
-            for w in texts:
-                values = [known.get(x) for x in w]
-                seen = [x for x in values if x is not None]
-                counted.append(math.fsum(seen) + end)
-                n_known.append(len(seen))
-                rare.append(list(Counter(x.decode() for x, y in zip(w, values, strict=True) if y is None).items()) if len(seen) < len(w) else [])
+            codes = [coder(w) for w in texts]
+            rows, classes = features(codes)
+            got = log_probs(m.table, m.bias, rows)[np.arange(len(classes)), classes].astype(np.float64) / math.log(10) - m.mass[classes]
+            sizes = np.array([len(w) + 1 for w in texts])
+            starts = np.cumsum(sizes) - sizes
+            zero = np.zeros(1, np.int64)
+            which = np.concatenate([x for c in codes for x in (c, zero)]) >> 40
+            ends = starts + sizes - 1
+            there = which > 0
+            there[ends] = True
+            counted = np.add.reduceat(np.where(there, m.known[which], 0.0), starts)
+            n_known = np.add.reduceat(there.astype(np.int64), starts) - 1
+            rare = []
+            for w, a, b in zip(texts, starts.tolist(), ends.tolist(), strict=True):
+                far = np.flatnonzero(~there[a:b]).tolist()
+                rare.append([{"word": x.decode(), "k": k} for x, k in Counter([w[i] for i in far]).items()] if far else [])
             number = np.arange(row, row + len(texts))
             row += len(texts)
-            kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
-            cols = [pa.array(number), pa.array(ids, batch.schema.field(0).type), pa.array([len(w) + 1 for w in texts], pa.int64()), pa.array(n_known, pa.int64()), pa.array(counted), pa.array(context)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([[{"word": a, "k": b} for a, b in r] for r in rare], kind)], names)
+            cols = [pa.array(number), pa.array(ids, type_), pa.array(sizes), pa.array(n_known), pa.array(counted), pa.array(np.add.reduceat(got, starts)), pa.array(rare, kind)]
+            return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
             ids, texts, n = [], [], 0
@@ -303,10 +323,10 @@ def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: s
                 texts.append(w)
                 n += len(w) + 1
                 if n >= BATCH:
-                    yield scored(ids, texts)
+                    yield scored(ids, texts, batch.schema.field(0).type)
                     ids, texts, n = [], [], 0
             if texts:
-                yield scored(ids, texts)
+                yield scored(ids, texts, batch.schema.field(0).type)
 
     names = ["row", "id", "n_tokens", "n_known", "counted", "context", "rare"]
     rows = saved(docs.select(id_col, text_col).mapInArrow(run, f"row long, id {dict(docs.dtypes)[id_col]}, n_tokens long, n_known long, counted double, context double, rare array<struct<word:string,k:bigint>>"))
