@@ -39,11 +39,11 @@ def significant_words(text: Column) -> Column:
 
 def quantities(text: Column, patterns=fixed.UNIT_PATTERNS) -> Column:
     """``array<struct<quantity, unit>>`` of the positive quantities with units in a text, unit by unit."""
-    each = []
-    for pattern, unit in patterns:
-        found = F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1))
-        each.append(F.transform(found, lambda x, u=unit: F.struct(x.alias("raw"), F.lit(u).alias("unit"))))
-    every = F.concat(*each)
+
+    def found(pattern: str, unit: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit("(?i)" + pattern), F.lit(1)), lambda x: F.struct(x.alias("raw"), F.lit(unit).alias("unit")))
+
+    every = F.concat(*(found(p, u) for p, u in patterns))
     parsed = F.transform(every, lambda x: F.struct(F.replace(F.replace(x["raw"], F.lit(","), F.lit("")), F.lit(" "), F.lit("")).try_cast("double").alias("quantity"), x["unit"].alias("unit")))
     return F.filter(parsed, lambda x: x["quantity"] > 0)
 

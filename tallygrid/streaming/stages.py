@@ -22,9 +22,9 @@ def read_events(spark: SparkSession, path: str, schema: str = EVENT, fmt: str =
 def track_stages(events: DataFrame) -> DataFrame:
     """``job_id``, stage, lines, changed: after each batch the stage a job is in, by its lines so far; state is two values a job.
 
-    Lines of a batch are taken in order of time; a job that is silent for an hour is forgotten.
+    Lines of a batch are taken in order of time; a job that is silent for an hour of event time is forgotten.
     """
-    told = events.select("job_id", "ts", classify.log_stage(F.col("message")).alias("told"))
+    told = events.withWatermark("ts", "10 minutes").select("job_id", "ts", classify.log_stage(F.col("message")).alias("told"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -35,10 +35,10 @@ def track_stages(events: DataFrame) -> DataFrame:
         new = rows["told"].dropna()
         now = new.iloc[-1] if len(new) else stage
         state.update((now, lines + len(rows)))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int(rows["ts"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
         yield pd.DataFrame({"job_id": [key[0]], "stage": [now], "lines": [lines + len(rows)], "changed": [now != stage]})
 
-    return told.groupBy("job_id").applyInPandasWithState(step, "job_id string, stage string, lines long, changed boolean", "stage string, lines long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return told.groupBy("job_id").applyInPandasWithState(step, "job_id string, stage string, lines long, changed boolean", "stage string, lines long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
