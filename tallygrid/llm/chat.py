@@ -88,11 +88,9 @@ def jumps(nodes: DataFrame) -> list[DataFrame]:
     out = [step]
     while 2 ** (len(out) - 1) < largest and step.where("up is not null").limit(1).count():
         higher = step.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("far").alias("far2"), F.col("sum").alias("sum2"))
-        step = checkpoint(
-            step.join(higher, ["tree", "up"], "left").select(
-                "tree", "node", F.col("top").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum")
-            )
-        )
+        # only messages that are not at their root yet take part
+        on = step.where("up is not null").join(higher, ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), (F.col("far") + F.col("far2")).alias("far"), (F.col("sum") + F.col("sum2")).alias("sum"))
+        step = checkpoint(step.where("up is null").unionByName(on))
         out.append(step)
     return out
 
