@@ -30,9 +30,9 @@ from tallygrid.llm.common import checkpoint, saved
 
 MAGIC = b"TGS1"
 #: Ids of a block; ids after which a segment is closed; slots of the order-1 and order-2 tables (powers of two).
-BLOCK, SEGMENT, SLOTS1, SLOTS2 = 1024, 1 << 21, 512, 1024
+BLOCK, SEGMENT, SLOTS1, SLOTS2 = 1024, 1 << 20, 256, 512
 #: Entries of a worker's cache of words; a full cache is emptied.
-CACHE = 500_000
+CACHE = 600_000
 #: Fixed value: ASCII punctuation that is cut off the end of a word (no apostrophe, with which contractions begin).
 TAIL = b'.,;:!?#$%&*|"()'
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
@@ -48,19 +48,19 @@ class _Lanes:
 
     def __init__(self, n: int):
         self.lane = np.arange(n)
-        self.table1, self.table2 = np.zeros(n * SLOTS1, np.int64), np.zeros(n * SLOTS2, np.int64)
-        self.lead, self.votes = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.table1, self.table2 = np.zeros(n * SLOTS1, np.int32), np.zeros(n * SLOTS2, np.int32)
+        self.lead, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
         self.by2, self.by1, self.by_last = (np.full(n * 4, 0x0001_0001_0001_0001, np.int64) for _ in range(3))
-        self.upper = np.repeat(np.arange(_NIBBLES + 1, dtype=np.int64)[:, None], n, axis=1)
-        self.last, self.before, self.kind = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 3)
-        self.above = np.arange(_NIBBLES + 1)[:, None]
+        self.upper = np.repeat(np.arange(_NIBBLES + 1, dtype=np.int16)[:, None], n, axis=1)
+        self.last, self.before, self.kind = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, 3)
+        self.above = np.arange(_NIBBLES + 1, dtype=np.int8)[:, None]
         self.base1, self.base2, self.base4 = self.lane * SLOTS1, self.lane * SLOTS2, self.lane * 4
         self.bounds = np.zeros((5, n), np.int64)
 
     def predict(self) -> None:
-        x = self.last * 40503
+        x = self.last * np.int32(40503)  # wraps around, in both directions alike
         self.at1 = self.base1 + (x >> 7 & SLOTS1 - 1)
-        self.at2 = self.base2 + ((x ^ self.before * 30011) >> 5 & SLOTS2 - 1)
+        self.at2 = self.base2 + ((x ^ self.before * np.int32(30011)) >> 5 & SLOTS2 - 1)
         self.slot1, self.slot2 = self.table1.take(self.at1), self.table2.take(self.at2)
         self.guess1, self.guess2 = self.slot1 >> 2, self.slot2 >> 2
         self.row2, self.row1, self.row0 = self.base4 + (self.slot2 & 3), self.base4 + (self.slot1 & 3), self.base4 + self.kind
@@ -69,7 +69,7 @@ class _Lanes:
         np.bitwise_and(odds, 0xFFFF, out=c[1])
         for k in (1, 2, 3):
             np.add(c[k], odds >> 16 * k & 0xFFFF, out=c[k + 1])
-        self.total = self.upper[_NIBBLES]
+        self.scale = self.upper[_NIBBLES].astype(np.int64) << 12
 
     def kind_of(self, ids: np.ndarray) -> np.ndarray:
         kind = np.full(len(ids), 3)
@@ -77,23 +77,25 @@ class _Lanes:
             kind[ids == guess] = k
         return kind
 
-    def span(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where a kind's interval starts, and its width, out of ``bounds[4]``."""
-        low = self.bounds[kind, self.lane]
-        return low, self.bounds[kind + 1, self.lane] - low
+    def interval(self, kind: np.ndarray, top: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where an id's interval starts, and its width, out of ``bounds[4] * scale``; the upper and lower bits count for unmet ids only."""
+        at = kind * len(kind) + self.lane
+        low = self.bounds.take(at)
+        width = self.bounds.take(at + len(kind)) - low
+        at = top * len(kind) + self.lane
+        first = self.upper.take(at).astype(np.int64)
+        each = self.upper.take(at + len(kind)) - first
+        miss = kind == 3
+        return low * self.scale + np.where(miss, width * ((first << 12) + each * bits), 0), width * np.where(miss, each, self.scale)
 
     def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
         more = np.left_shift(1, kind << 4)
         self.by2[self.row2] = self.odds2 + more
         self.by1[self.row1] = self.odds1 + more
         self.by_last[self.row0] = self.odds0 + more
-        self.upper += self.above > np.where(kind == 3, ids >> 12, _NIBBLES)
+        self.upper += self.above > np.where(kind == 3, ids >> 12, _NIBBLES).astype(np.int8)
         for table, at, slot, guess in ((self.table1, self.at1, self.slot1, self.guess1), (self.table2, self.at2, self.slot2, self.guess2)):
-            sure, new = slot & 3, ids << 2
-            held = guess == ids
-            keep = slot - 1 + (held << 1)
-            keep -= held & (sure == 3)
-            table[at] = np.where(held | (sure > 0), keep, new)
+            table[at] = np.where(guess == ids, np.minimum(slot + 1, slot | 3), ids << 2)
         same = self.lead == ids
         self.votes += (same << 1) - 1
         new = self.votes < 0
@@ -107,22 +109,13 @@ def encode_blocks(blocks: np.ndarray) -> list[bytes]:
     n, length = blocks.shape
     lanes, low, span = _Lanes(n), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     out, at = np.zeros((n, 3 * length + 16), np.uint16), np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(blocks.T.astype(np.int64))
+    columns = np.ascontiguousarray(blocks.T, np.int32)
     for t in range(length):
         ids = columns[t]
         lanes.predict()
         kind = lanes.kind_of(ids)
-        start, width = lanes.span(kind)
-        scale = lanes.total << 12
-        start, freq = start * scale, width * scale
-        miss = np.flatnonzero(kind == 3)
-        if len(miss):
-            top = ids[miss] >> 12
-            first = lanes.upper[top, miss]
-            each = lanes.upper[top + 1, miss] - first
-            start[miss] += width[miss] * ((first << 12) + each * (ids[miss] & 4095))
-            freq[miss] = width[miss] * each
-        span //= (lanes.bounds[4] * scale).view(np.uint64)
+        start, freq = lanes.interval(kind, ids >> 12, ids & 4095)
+        span //= (lanes.bounds[4] * lanes.scale).view(np.uint64)
         low += start.view(np.uint64) * span
         span *= freq.view(np.uint64)
         _shift(low, span, out, at)
@@ -162,24 +155,20 @@ def decode_blocks(codes: list[bytes], length: int) -> np.ndarray:
     out = np.zeros((length, n), np.int32)
     for t in range(length):
         lanes.predict()
-        scale = lanes.total << 12
+        scale = lanes.scale
         span //= (lanes.bounds[4] * scale).view(np.uint64)
         point = np.minimum(((value - low) // span).view(np.int64), lanes.bounds[4] * scale - 1)
+        c = lanes.bounds
         part = point // scale
-        kind = (part >= lanes.bounds[1:4]).sum(axis=0)
-        start, width = lanes.span(kind)
-        ids = np.where(kind == 0, lanes.guess2, np.where(kind == 1, lanes.guess1, lanes.lead))
-        start, freq = start * scale, width * scale
-        miss = np.flatnonzero(kind == 3)
-        if len(miss):
-            rest = (point[miss] - start[miss]) // width[miss]
-            top = (lanes.upper[1:_NIBBLES, miss] <= rest >> 12).sum(axis=0)
-            first = lanes.upper[top, miss]
-            each = lanes.upper[top + 1, miss] - first
-            bits = (rest - (first << 12)) // each
-            ids[miss] = top << 12 | bits
-            start[miss] += width[miss] * ((first << 12) + each * bits)
-            freq[miss] = width[miss] * each
+        kind = (part >= c[1]).astype(np.int64) + (part >= c[2]) + (part >= c[3])
+        # for ids that no prediction met; for others these are some bits within range that count for nothing
+        rest = (point - c[3] * scale).view(np.uint64) // (c[4] - c[3]).view(np.uint64)
+        rest = np.where(kind == 3, rest.view(np.int64), 0)
+        top = (lanes.upper[1:_NIBBLES] <= (rest >> 12).astype(np.int16)).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
+        first = lanes.upper.take(top * n + lanes.lane).astype(np.int64)
+        bits = (rest - (first << 12)) // (lanes.upper.take((top + 1) * n + lanes.lane) - first)
+        start, freq = lanes.interval(kind, top, bits)
+        ids = np.where(kind == 3, top << 12 | bits, np.where(kind == 0, lanes.guess2, np.where(kind == 1, lanes.guess1, lanes.lead))).astype(np.int32)
         low += start.view(np.uint64) * span
         span *= freq.view(np.uint64)
         todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
@@ -188,7 +177,7 @@ def decode_blocks(codes: list[bytes], length: int) -> np.ndarray:
             cut = (a ^ (a + s)) >= _TOP
             s = np.where(cut, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)), s)
             where = at[todo]
-            value[todo] = value[todo] << _U16 | words[todo, where]
+            value[todo] = value[todo] << _U16 | words[todo, np.minimum(where, words.shape[1] - 1)]  # a damaged block may ask for more
             at[todo] = where + 1
             a, s = a << _U16, s << _U16
             low[todo], span[todo] = a, s
@@ -263,12 +252,13 @@ class WordTokenizer:
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
         split = [(t or "").encode().lower().split() for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        if new := {w for ws in split for w in ws if w not in cache}:
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        known = [list(map(self.cache.get, ws)) for ws in split]
+        if new := {w for ws, ids in zip(split, known, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}:
             self._fill(list(new))
-        return [b"".join([cache[w] for w in ws]) for ws in split]
+            known = [list(map(self.cache.__getitem__, ws)) if None in ids else ids for ws, ids in zip(split, known, strict=True)]
+        return list(map(b"".join, known))
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
