@@ -3,8 +3,8 @@
     p(word | history) = p(class | history) * p(word | class)
 
 p(class | history) is a softmax over a few dozen classes. Its scores are sums of rows of one table that hashed features of
-the history pick: the last word, the word before it (a skip), both together (an n-gram), the classes three and four back (a
-skip-gram of classes), and the two last classes. The most frequent words are classes of their own; all other words are
+the history pick: the last word, the word before it (a skip), both together (an n-gram), and the classes three and four back (a
+skip-gram of classes). The most frequent words are classes of their own; all other words are
 classed by a hash of their ending, which tells languages and kinds of words apart, and the end of a text is a class too.
 p(word | class) is the word's smoothed share of its class, with one place in each class for words not seen in training.
 So the probabilities of all words, and of an unknown word in each class, add up to one.
@@ -104,7 +104,6 @@ def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         w2 * 0x85EBCA6B + 0x1F3,
         w1 * 0xC2B2AE35 + w2 * 0x27D4EB2F + 0x9D7,
         (k[own - 3] << 8 | k[own - 4]) * 0x165667B1 + 0x3B1,
-        (k[own - 1] << 8 | k[own - 2]) * 0x2545F491 + 0x7C5,
     )
     return np.stack([((m ^ m >> 17) & ROWS - 1).astype(np.uint16) for m in mixed]), k[own]
 
