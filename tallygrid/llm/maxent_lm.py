@@ -22,8 +22,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ CLASSES = SINGLES + ENDINGS + 1
 FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 16_384, 0.35
 #: Smoothing of counts.
 ALPHA = 0.1
-#: Entries of a worker's cache of words; a full cache is emptied.
-CACHE = 400_000
+#: Words that a worker holds the codes of; distinct words after which it hands on its counts.
+HOT, CACHE = 1 << 14, 400_000
+#: Fixed value: punctuation that is no part of a word's ending.
+TAIL = b".,;:!?|#$%&*\"')"
 #: Fixed value: the hash of the end token and of the places before a text.
 END = 1
 
@@ -54,8 +57,7 @@ class Classes:
     def of(self, word: bytes) -> int:
         if (k := self.singles.get(word)) is not None:
             return k
-        stem = word.rstrip(b".,;:!?|#$%&*\"')") or word
-        return SINGLES + zlib.crc32(stem[-2:]) % ENDINGS
+        return SINGLES + zlib.crc32((word.rstrip(TAIL) or word)[-2:]) % ENDINGS
 
 
 @dataclass(frozen=True)
@@ -74,21 +76,24 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-class Coder(dict):
-    """A cache of words as integers of (number among the frequent words, or 0; hash; class)."""
+def coder(classes: Classes, number: dict[bytes, int]) -> Callable[[list[bytes]], np.ndarray]:
+    """A function from words to integers of (number among the frequent words, or 0; hash; class).
 
-    def __init__(self, classes: Classes, number: dict[bytes, int] | None = None):
-        super().__init__()
-        self.classes, self.number = classes, number or {}
+    It holds the codes of the most frequent words only, so that they stay in a processor's cache; looking up a rare word in
+    a large table takes longer than making its code. All single words are among those held.
+    """
+    crc, get, singles = zlib.crc32, number.get, SINGLES
+    endings, tail = ENDINGS, TAIL
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        code = self[word] = self.number.get(word, 0) << 40 | (zlib.crc32(word) | 2) << 8 | self.classes.of(word)
-        return code
+    class Codes(dict):
+        def __missing__(self, word: bytes) -> int:
+            return get(word, 0) << 40 | (crc(word) | 2) << 8 | singles + crc((word.rstrip(tail) or word)[-2:]) % endings
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    codes = Codes({w: number[w] << 40 | (crc(w) | 2) << 8 | classes.of(w) for w in islice(number, HOT)})
+    if len(number) <= HOT:
+        get = {}.get  # all numbered words are held
+    look_up = codes.__getitem__
+    return lambda words: np.fromiter(map(look_up, words), np.int64, len(words))
 
 
 def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +143,11 @@ def learn(table: np.ndarray, bias: np.ndarray, squares: np.ndarray, seen: np.nda
         seen[at] += n
 
 
-def minibatches(texts: Iterator[str | None], coder: Coder) -> Iterator[list[np.ndarray]]:
+def minibatches(texts: Iterator[str | None], code: Callable[[list[bytes]], np.ndarray]) -> Iterator[list[np.ndarray]]:
     """Coded texts in groups of about BATCH tokens; a longer text is a group of its own."""
     group, n = [], 0
     for t in texts:
-        c = coder(words_of(t))
+        c = code(words_of(t))
         group.append(c)
         n += len(c) + 1
         if n >= BATCH:
@@ -210,13 +215,13 @@ def class_masses(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
 
 def train_round(texts: DataFrame, model: Model) -> np.ndarray:
     """The table after one round of local steps on ``texts`` (one column), averaged over the workers by tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(replace(model, number={}))
+    shared = texts.sparkSession.sparkContext.broadcast(replace(model, number=dict(islice(model.number.items(), HOT)), known=model.known[:1]))
     width = ROWS // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table, squares, seen = m.table.copy(), np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32)
-        for group in minibatches((t.as_py() for b in batches for t in b.column(0)), Coder(m.classes)):
+        for group in minibatches((t.as_py() for b in batches for t in b.column(0)), coder(m.classes, m.number)):
             learn(table, m.bias, squares, seen, *features(group))
         moved = (table - m.table) * seen[:, None]
         if not seen.any():
@@ -288,12 +293,12 @@ def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: s
         from pyspark import TaskContext
 
         m = shared.value
-        coder, row = Coder(m.classes, m.number), TaskContext.get().partitionId() << 36
+        code, row = coder(m.classes, m.number), TaskContext.get().partitionId() << 36
         kind = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())]))
 
         def scored(ids: list, texts: list[list[bytes]], type_: pa.DataType) -> pa.RecordBatch:
             nonlocal row
-            codes = [coder(w) for w in texts]
+            codes = [code(w) for w in texts]
             rows, classes = features(codes)
             got = log_probs(m.table, m.bias, rows)[np.arange(len(classes)), classes].astype(np.float64) / math.log(10) - m.mass[classes]
             sizes = np.array([len(w) + 1 for w in texts])
