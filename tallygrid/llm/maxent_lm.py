@@ -245,7 +245,7 @@ def train_round(texts: DataFrame, model: Model) -> np.ndarray:
     schema = "block long, branch long, moved binary"
     sums = texts.mapInArrow(run, schema)
     for _ in range(2):
-        sums = sums.repartition(BLOCKS, "block", "branch").mapInArrow(add, schema)
+        sums = sums.repartition("block", "branch").mapInArrow(add, schema)
     table = model.table.copy()
     total: dict[int, np.ndarray] = {}
     for r in sums.collect():

@@ -31,8 +31,10 @@ from tallygrid.llm.common import checkpoint, saved
 MAGIC = b"TGS1"
 #: Ids of a block; ids after which a segment is closed; slots of the order-1 and order-2 tables (powers of two).
 BLOCK, SEGMENT, SLOTS1, SLOTS2 = 1024, 1 << 20, 256, 512
+#: Segments whose places are broadcast; beyond, they are joined by shuffling.
+MOST_BROADCAST = 500_000
 #: Entries of a worker's cache of words; a full cache is emptied.
-CACHE = 600_000
+CACHE = 1_000_000
 #: Fixed value: ASCII punctuation that is cut off the end of a word (no apostrophe, with which contractions begin).
 TAIL = b'.,;:!?#$%&*|"()'
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
@@ -332,4 +334,5 @@ def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     first = files.sparkSession.createDataFrame(firsts, "part long, first long")
     inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
     base = checkpoint(sizes.select("part", "number", inner.alias("inner")).join(first, "part").select("part", "number", (F.col("first") + F.col("inner")).alias("base")))
-    return docs.join(base, ["part", "number"]).select(id_col, (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    small = base.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(base) if small else base, ["part", "number"]).select(id_col, (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
