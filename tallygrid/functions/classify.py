@@ -3,7 +3,7 @@ stay data and the plan stays inside code generation: no join, no shuffle, no use
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ from tallygrid.functions import fixed
 Rules = Sequence[tuple[str, Sequence[str]]]
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, however often ``f`` refers to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def any_of(text: Column, words: Sequence[str]) -> Column:
     """Whether a text contains one of ``words`` as a substring."""
     out = F.lit(False)
@@ -62,20 +67,19 @@ def best_score(scores: Sequence[tuple[str, Column]], default: str) -> Column:
 
 def by_count(text: Column, rules: Rules, default: str = "Other") -> Column:
     """The class whose keywords occur most often in sum."""
-    lower = F.lower(text)
-    sums = []
-    for name, words in rules:
-        total = F.lit(0.0)
+
+    def total(lower: Column, words: Sequence[str]) -> Column:
+        out = F.lit(0.0)
         for w in words:
-            total = total + occurrences(lower, w)
-        sums.append((name, total))
-    return best_score(sums, default)
+            out = out + occurrences(lower, w)
+        return out
+
+    return once(F.lower(text), lambda lower: best_score([(name, total(lower, words)) for name, words in rules], default))
 
 
 def by_presence(text: Column, rules: Rules, default: str = "Other") -> Column:
     """The class of which most keywords are present."""
-    lower = F.lower(text)
-    return best_score([(name, n_present(lower, words)) for name, words in rules], default)
+    return once(F.lower(text), lambda lower: best_score([(name, n_present(lower, words)) for name, words in rules], default))
 
 
 # the domain's classifiers
@@ -96,12 +100,12 @@ def is_project_file(name: Column) -> Column:
 
 def trade(text: Column) -> Column:
     """Brands first, then lighting words, then summed keyword counts."""
-    lower = F.lower(text)
-    return (
-        F.when(any_of(lower, fixed.ELECTRICAL_BRANDS), "Electrical")
+    return once(
+        F.lower(text),
+        lambda lower: F.when(any_of(lower, fixed.ELECTRICAL_BRANDS), "Electrical")
         .when(any_of(lower, fixed.HVAC_BRANDS), "HVAC")
         .when(any_of(lower, fixed.LIGHTING_WORDS), "Electrical")
-        .otherwise(by_count(text, fixed.TRADES_BY_COUNT))
+        .otherwise(by_count(lower, fixed.TRADES_BY_COUNT)),
     )
 
 
@@ -130,22 +134,28 @@ def equipment_trade(kind: Column) -> Column:
 
 def structure(text: Column) -> Column:
     """Struct of type, confidence and all positive scores of a text's structure; unknown and 0 if nothing fits."""
-    upper = F.upper(text)
-    scores = [(f"schedule:{n}", n_present(upper, [w.upper() for w in ws]).cast("double")) for n, ws in fixed.SCHEDULE_STRUCTURES]
-    scores += [(f"spec:{n}", n_present(upper, [w.upper() for w in ws]) * 0.5) for n, ws in fixed.SPEC_STRUCTURES]
-    scores += [("drawing:plan", any_of(upper, ["PLAN", "FLOOR PLAN", "REFLECTED CEILING"]).cast("double")), ("notes:general", any_of(upper, ["GENERAL NOTES", "NOTES:"]).cast("double"))]
-    every = F.filter(F.array(*(F.struct(F.lit(n).alias("key"), s.alias("value")) for n, s in scores)), lambda x: x["value"] > 0)
-    return F.struct(
-        best_score(scores, "unknown").alias("type"),
-        F.least(F.lit(1.0), F.coalesce(F.array_max(F.transform(every, lambda x: x["value"])), F.lit(0.0))).alias("confidence"),
-        F.map_from_entries(every).alias("all_scores"),
-    )
+
+    def scored(upper: Column) -> list[tuple[str, Column]]:
+        out = [(f"schedule:{n}", n_present(upper, [w.upper() for w in ws]).cast("double")) for n, ws in fixed.SCHEDULE_STRUCTURES]
+        out += [(f"spec:{n}", n_present(upper, [w.upper() for w in ws]) * 0.5) for n, ws in fixed.SPEC_STRUCTURES]
+        return [*out, ("drawing:plan", any_of(upper, ["PLAN", "FLOOR PLAN", "REFLECTED CEILING"]).cast("double")), ("notes:general", any_of(upper, ["GENERAL NOTES", "NOTES:"]).cast("double"))]
+
+    def told(every: Column) -> Column:
+        # of equal scores the earlier: entries are (score, -order, name)
+        best = F.array_max(every)
+        return F.struct(
+            F.when(best["score"] > 0, best["name"]).otherwise("unknown").alias("type"),
+            F.least(F.lit(1.0), best["score"]).alias("confidence"),
+            F.map_from_entries(F.transform(F.filter(F.array_sort(every, lambda a, b: b["order"] - a["order"]), lambda x: x["score"] > 0), lambda x: F.struct(x["name"].alias("key"), x["score"].alias("value")))).alias("all_scores"),
+        )
+
+    entries = lambda upper: F.array(*(F.struct(s.alias("score"), F.lit(-k).alias("order"), F.lit(n).alias("name")) for k, (n, s) in enumerate(scored(upper))))
+    return once(once(F.upper(text), entries), told)
 
 
 def page_types(text: Column) -> Column:
     """All types of a page, in order."""
-    upper = F.upper(text)
-    return F.array_compact(F.array(*(F.when(any_of(upper, ws), n) for n, ws in fixed.PAGE_TYPES)))
+    return once(F.upper(text), lambda upper: F.array_compact(F.array(*(F.when(any_of(upper, ws), n) for n, ws in fixed.PAGE_TYPES))))
 
 
 def page_gates(text: Column) -> Column:
