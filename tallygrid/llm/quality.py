@@ -162,7 +162,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [not base_failed(v := View(t.as_py())) and first_rejection(v, ordered) is None for t in batch.column(at)]
+            good = [first_rejection(View(t.as_py()), ordered) is None for t in batch.column(at)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.select([F.col(f"`{c}`") for c in docs.columns]).mapInArrow(run, docs.schema)
