@@ -25,7 +25,12 @@ PATTERNS = {
     "card": r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])",
 }
 KINDS = tuple(PATTERNS)
-PATTERN = "|".join(PATTERNS.values())
+_OTHERS = "|".join(p for k, p in PATTERNS.items() if k != "card")
+#: Groups of digits of any number, one or more of which may make a card number; it ends before a group that begins something else.
+RUN = r"(?<![\p{L}\p{N}])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![\p{L}\p{N}])(?:[ -](?!" + _OTHERS + r")[0-9]++(?![\p{L}\p{N}]))*+"
+PATTERN = _OTHERS + "|" + RUN
+#: Digits of a card number, the least and the most.
+CARD = (13, 19)
 #: Rounds of the network; steps of a walk back into a format (each leaves it one time in nine at most).
 ROUNDS, WALK = 10, 32
 #: Days from 1900-01-01 to 2099-12-31, and the side of a square just above.
@@ -72,7 +77,11 @@ def _digits(m: str) -> str:
 
 
 _TEN = "array(" + ", ".join(f"{10**k}L" for k in range(10)) + ")"
-_ISO = "CASE WHEN substr(m, 5, 1) = '-' THEN m ELSE concat(substr(m, 7, 4), '-', substr(m, 4, 2), '-', substr(m, 1, 2)) END"
+_DAY_FIRST = "concat(substr(m, 7, 4), '-', substr(m, 4, 2), '-', substr(m, 1, 2))"
+_MONTH_FIRST = "concat(substr(m, 7, 4), '-', substr(m, 1, 2), '-', substr(m, 4, 2))"
+#: Whether a date that is not ISO can only be read month first.
+_US = f"(substr(m, 5, 1) <> '-' AND try_cast({_DAY_FIRST} AS date) IS NULL)"
+_ISO = f"CASE WHEN substr(m, 5, 1) = '-' THEN m WHEN {_US} THEN {_MONTH_FIRST} ELSE {_DAY_FIRST} END"
 _DAY = f"date_diff(try_cast({_ISO} AS date), date'1900-01-01')"
 
 
@@ -81,15 +90,31 @@ def _ssn_ok(x: str) -> str:
     return f"({x} div 1000000 BETWEEN 1 AND 899 AND {x} div 1000000 <> 666 AND {x} div 10000 % 100 > 0 AND {x} % 10000 > 0)"
 
 
-def _kind() -> str:
-    """SQL: the kind of a valid match ``m``, or null."""
+def _cards() -> str:
+    """SQL: a run ``m`` of digit groups in parts ``(m, kind)``: from the left, the longest card numbers of whole groups and what is between."""
+    digit = lambda at: f"substr(m, {at}, 1) BETWEEN '0' AND '9'"
+    least, most = CARD
+    starts = f"filter(sequence(1, length(m)), i -> {digit('i')} AND (i = 1 OR NOT {digit('i - 1')}))"
+    valid = _let(_digits("substr(m, s, e - s + 1)"), "d", f"CASE WHEN length(d) BETWEEN {least} AND {most} THEN {_luhn('d', 1)} % 10 = 0 ELSE false END")
+    ends = f"filter(sequence(s + {least - 1}, least(s + {2 * most - 2}, length(m))), e -> CASE WHEN {digit('e')} AND NOT {digit('e + 1')} THEN {valid} ELSE false END)"
+    longest = f"CASE WHEN s >= r.at AND s + {least - 1} <= length(m) THEN array_max({ends}) END"
+    part = lambda text, kind: f"named_struct('m', {text}, 'kind', {kind})"
+    none = "cast(NULL AS string)"
+    two = f"array({part('substr(m, r.at, s - r.at)', none)}, {part('substr(m, s, z - s + 1)', _q('card'))})"
+    step = _let(longest, "z", f"CASE WHEN z IS NULL THEN r ELSE named_struct('at', z + 1, 'parts', concat(r.parts, {two})) END")
+    zero = "named_struct('at', 1, 'parts', cast(array() AS array<struct<m:string,kind:string>>))"
+    return f"aggregate({starts}, {zero}, (r, s) -> {step}, r -> concat(r.parts, array({part('substr(m, r.at)', none)})))"
+
+
+def _parts() -> str:
+    """SQL: a match ``m`` in parts ``(m, kind)``; the kind is null for what is not valid."""
     valid = {
         "ip": "forall(split(m, '[.]'), o -> cast(o AS int) <= 255)",
         "date": f"coalesce({_DAY} BETWEEN 0 AND {DAYS - 1}, false)",
         "ssn": _let(f"cast({_digits('m')} AS bigint)", "x", _ssn_ok("x")),
-        "card": _let(_digits("m"), "d", f"{_luhn('d', 1)} % 10 = 0"),
     }
-    return "CASE " + " ".join(f"WHEN m RLIKE {_q('^(?:' + p + ')$')} THEN CASE WHEN {valid.get(k, 'true')} THEN '{k}' END" for k, p in PATTERNS.items()) + " END"
+    one = lambda k: f"array(named_struct('m', m, 'kind', CASE WHEN {valid.get(k, 'true')} THEN '{k}' END))"
+    return "CASE " + " ".join(f"WHEN m RLIKE {_q('^(?:' + p + ')$')} THEN {one(k)}" for k, p in PATTERNS.items() if k != "card") + f" ELSE {_cards()} END"
 
 
 def _pseudonym(key: str) -> str:
@@ -103,7 +128,7 @@ def _pseudonym(key: str) -> str:
     date = _let(
         f"date_format(date_add(date'1900-01-01', cast({day} AS int)), 'yyyyMMdd')",
         "d",
-        _in_layout("m", "CASE WHEN substr(m, 5, 1) = '-' THEN d ELSE concat(substr(d, 7, 2), substr(d, 5, 2), substr(d, 1, 4)) END"),
+        _in_layout("m", f"CASE WHEN substr(m, 5, 1) = '-' THEN d WHEN {_US} THEN concat(substr(d, 5, 4), substr(d, 1, 4)) ELSE concat(substr(d, 7, 2), substr(d, 5, 2), substr(d, 1, 4)) END"),
     )
     ssn = _let(f"lpad({_walk(_digits('m'), _ssn_ok, '10000L', '100000L', 'ssn', key)}, 9, '0')", "d", _in_layout("m", "d"))
     last_ten = _feistel("right(d, 10)", "100000L", "100000L", "phone", key)
@@ -119,12 +144,14 @@ def _pseudonym(key: str) -> str:
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced, and one count for each kind, ``n_email`` ... ``n_card``.
 
-    Matches that are not valid (a number without the right check digit, a 13th month) stay as they are. A null text stays null, with zero
+    Matches that are not valid (a number without the right check digit, a 13th month) stay as they are. A card number is found among
+    other groups of digits: of those that begin at a group and end with one, the leftmost and then the longest valid one. A date with slashes or
+    dots is read day first, and month first where only that is a date, and written in the order in which it was read. A null text stays null, with zero
     counts. Rows are independent, so repeated rows give equal results; columns named like the counts are replaced.
     """
-    found = F.expr(f"transform(CASE WHEN `{text_col}` RLIKE '[0-9@]' THEN regexp_extract_all(`{text_col}`, {_q(PATTERN)}, 0) ELSE cast(array() AS array<string>) END, m -> named_struct('m', m, 'kind', {_kind()}))")
-    new = F.expr(f"transform(_found, f -> {_let('f.m', 'm', _let('f.kind', 'kind', _pseudonym(key)))})")
+    found = F.expr(f"transform(CASE WHEN `{text_col}` RLIKE '[0-9@]' THEN regexp_extract_all(`{text_col}`, {_q(PATTERN)}, 0) ELSE cast(array() AS array<string>) END, m -> {_parts()})")
+    new = F.expr(f"transform(_found, g -> array_join(transform(g, f -> {_let('f.m', 'm', _let('f.kind', 'kind', _pseudonym(key)))}), ''))")
     pieces = f"zip_with(split(`{text_col}`, {_q(PATTERN)}, -1), concat(_new, array('')), (a, b) -> concat(a, b))"
-    out = docs.withColumn("_found", F.coalesce(found, F.expr("cast(array() AS array<struct<m:string,kind:string>>)"))).withColumn("_new", new)
-    out = out.withColumns({f"n_{k}": F.expr(f"cast(size(filter(_found, f -> f.kind = '{k}')) AS bigint)") for k in KINDS})
+    out = docs.withColumn("_found", F.coalesce(found, F.expr("cast(array() AS array<array<struct<m:string,kind:string>>>)"))).withColumn("_new", new)
+    out = out.withColumns({f"n_{k}": F.expr(f"cast(size(filter(flatten(_found), f -> f.kind = '{k}')) AS bigint)") for k in KINDS})
     return out.withColumn(text_col, F.expr(f"CASE WHEN size(_found) = 0 THEN `{text_col}` ELSE array_join({pieces}, '') END")).drop("_found", "_new")
