@@ -3,8 +3,8 @@
     p(word | history) = p(class | history) * p(word | class)
 
 p(class | history) is a softmax over a few dozen classes. Its scores are sums of rows of one table that hashed features of
-the history pick: the last word, the word before it (a skip), both together (an n-gram), and the classes three and four back (a
-skip-gram of classes). The most frequent words are classes of their own; all other words are
+the history pick: the last word, the word before it (a skip), both together (an n-gram), the classes three and four back (a
+skip-gram of classes), and the two last classes. The most frequent words are classes of their own; all other words are
 classed by a hash of their ending, which tells languages and kinds of words apart, and the end of a text is a class too.
 p(word | class) is the word's smoothed share of its class, with one place in each class for words not seen in training.
 So the probabilities of all words, and of an unknown word in each class, add up to one.
@@ -37,7 +37,7 @@ from tallygrid.llm.common import saved
 SINGLES, ENDINGS, ROWS, BLOCKS = 15, 16, 1 << 16, 32
 CLASSES = SINGLES + ENDINGS + 1
 #: Words whose counts are broadcast; training rounds; tokens of a minibatch; step size.
-FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 16_384, 0.35
+FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 8192, 0.35
 #: Smoothing of counts.
 ALPHA = 0.1
 #: Words that a worker holds the codes of; distinct words after which it hands on its counts.
@@ -48,6 +48,12 @@ TAIL = b".,;:!?|#$%&*\"')"
 END = 1
 
 
+def ending(word: bytes) -> bytes:
+    """The last two characters of a word, punctuation after it aside."""
+    stem = word.rstrip(TAIL) or word
+    return stem[-2:] if stem.isascii() else stem.decode(errors="ignore")[-2:].encode()
+
+
 @dataclass(frozen=True)
 class Classes:
     """Which class a word is in: a pure function of the table of single words."""
@@ -57,7 +63,7 @@ class Classes:
     def of(self, word: bytes) -> int:
         if (k := self.singles.get(word)) is not None:
             return k
-        return SINGLES + zlib.crc32((word.rstrip(TAIL) or word)[-2:]) % ENDINGS
+        return SINGLES + zlib.crc32(ending(word)) % ENDINGS
 
 
 @dataclass(frozen=True)
@@ -83,11 +89,11 @@ def coder(classes: Classes, number: dict[bytes, int]) -> Callable[[list[bytes]],
     a large table takes longer than making its code. All single words are among those held.
     """
     crc, get, singles = zlib.crc32, number.get, SINGLES
-    endings, tail = ENDINGS, TAIL
+    endings = ENDINGS
 
     class Codes(dict):
         def __missing__(self, word: bytes) -> int:
-            return get(word, 0) << 40 | (crc(word) | 2) << 8 | singles + crc((word.rstrip(tail) or word)[-2:]) % endings
+            return get(word, 0) << 40 | (crc(word) | 2) << 8 | singles + crc(ending(word)) % endings
 
     codes = Codes({w: number[w] << 40 | (crc(w) | 2) << 8 | classes.of(w) for w in islice(number, HOT)})
     if len(number) <= HOT:
@@ -109,6 +115,7 @@ def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         w2 * 0x85EBCA6B + 0x1F3,
         w1 * 0xC2B2AE35 + w2 * 0x27D4EB2F + 0x9D7,
         (k[own - 3] << 8 | k[own - 4]) * 0x165667B1 + 0x3B1,
+        (k[own - 1] << 8 | k[own - 2]) * 0x2545F491 + 0x7C5,
     )
     return np.stack([((m ^ m >> 17) & ROWS - 1).astype(np.uint16) for m in mixed]), k[own]
 
