@@ -30,7 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Characters of a text, and bytes of a match, that are encoded without halving.
-LEAF_CHARS, LEAF_BYTES = 1 << 14, 24
+LEAF_CHARS, LEAF_BYTES = 1 << 11, 16
+#: Ids that are decoded without halving.
+LEAF_IDS = 256
 #: Entries of a worker's caches of matches and of pairs; a full cache is emptied.
 CACHE = 250_000
 #: Characters that the pattern may look at beyond the start of a match.
@@ -46,13 +48,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class TreeBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES, leaf_ids: int = LEAF_IDS):
         self.ranks = ranks
         self.token = [b""] * (max(ranks.values()) + 1)
         for b, r in ranks.items():
             self.token[r] = b
         self.find = regex.compile(pattern)
-        self.leaf_chars, self.leaf_bytes = max(leaf_chars, 2 * LOOK), max(leaf_bytes, 2)
+        self.leaf_chars, self.leaf_bytes, self.leaf_ids = max(leaf_chars, 2 * LOOK), max(leaf_bytes, 2), max(leaf_ids, 1)
         self.packed: dict[str, bytes] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
@@ -161,9 +163,12 @@ class TreeBPE:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> bytes:
-        """The bytes of ``ids``; concatenation is the monoid, so any bracketing gives the same."""
-        token = self.token
-        return b"".join([token[i] for i in ids])
+        """The bytes of ``ids``, concatenated up a tree: halves are decoded on their own until they are small, and then joined."""
+        if len(ids) <= self.leaf_ids:
+            token = self.token
+            return b"".join([token[i] for i in ids])
+        m = len(ids) // 2
+        return self.decode(ids[:m]) + self.decode(ids[m:])
 
 
 _loaded: dict[tuple, TreeBPE] = {}
@@ -180,7 +185,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """Encode and decode each whole text: ``id_col``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ``ids``.
 
     ``path`` is a rank file that every executor has, ``pattern`` the split before the merges. A null or empty text has
-    no tokens. Repeated rows give repeated results; other columns are left aside. Rows are independent: no shuffle.
+    no tokens. Repeated rows give repeated results; other columns are left aside; an empty table gives none. A very long text is
+    halved in its row, which must fit in memory. Rows are independent: no shuffle.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, {RESULT}" + (", ids array<int>" if with_ids else "")
