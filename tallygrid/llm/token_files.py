@@ -1,16 +1,17 @@
 """Token ids as compressed, checksummed binary blocks: an adaptive context-mixing range coder.
 
-A block of ids is coded on its own, with fresh statistics. Three predictions stand before each id: what followed the last two ids
-(order 2), what followed the last id (order 1), and the id in the lead so far (order 0). The coder first codes which of
-them is right, or that none is; the odds are mixed by adding the counts of three models, which look at how often the
-order-2 and the order-1 prediction has held and at how the last id was coded. An id that no prediction met is coded by its
-upper four bits, under adaptive order-0 odds, and its lower twelve. Both parts make one interval of a 64-bit carry-less range coder.
+A segment of ids is cut into blocks, each coded on its own with fresh statistics. Three predictions stand before each id: what
+followed the last two ids (order 2), what followed the last id (order 1), and the frequencies of all ids (order 0), which
+the segment's head gives and with which each block begins. The coder codes which of the first two is right, or that
+neither is. The odds mix two adaptive models, each with a few states: how well the order-2 prediction has held, and how well the
+order-1 prediction has. An id that neither met is coded by its order-0 frequency. Both parts make one interval of a 64-bit
+carry-less range coder. All totals are powers of two, so writing needs no division and reading one.
 
 The blocks of a segment are coded in lockstep, a lane a block, so each step is a few dozen array operations for a thousand ids. All
 arithmetic is in integers, so decoding retraces it exactly.
 
-A segment holds whole documents in order: ``TGS1``, counts, then for each block its size, the CRC-32 of its ids and its
-code. Segments are binary rows of a Parquet table in the shared folder, with the documents' ids and lengths beside
+A segment holds whole documents in order: ``TGS2``, counts, the order-0 frequencies with their CRC-32, then for each block its size, the CRC-32 of its
+ids and its code. Segments are binary rows of a Parquet table in the shared folder, with the documents' ids and lengths beside
 them, so Spark's own readers and committers reach them wherever that folder is.
 """
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,239 +30,295 @@ from pyspark.sql import functions as F
 
 from tallygrid.llm.common import checkpoint, saved
 
-MAGIC = b"TGS1"
-#: Ids of a block; ids after which a segment is closed; slots of the order-1 and order-2 tables (powers of two).
-BLOCK, SEGMENT, SLOTS1, SLOTS2 = 1024, 1 << 20, 256, 512
+MAGIC = b"TGS2"
+#: Most blocks of a segment, and least ids of a block; ids after which a segment is closed.
+LANES, LEAST, SEGMENT = 2048, 512, 1 << 21
 #: Segments whose places are broadcast; beyond, they are joined by shuffling.
 MOST_BROADCAST = 500_000
 #: Entries of a worker's cache of words; a full cache is emptied.
 CACHE = 1_000_000
 #: Fixed value: ASCII punctuation that is cut off the end of a word (no apostrophe, with which contractions begin).
 TAIL = b'.,;:!?#$%&*|"()'
+#: Slots of each lane's order-1 and of its order-2 table; bits of the odds and of the frequencies; a power of two is how far odds move.
+SLOTS, ODDS, WEIGHTS, RATE = 512, 17, 18, 5
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
-_U16, _U48 = np.uint64(16), np.uint64(48)
-_NIBBLES = 16
+_U16, _U48, _SCALE = np.uint64(16), np.uint64(48), np.uint64(ODDS + WEIGHTS)
+#: The two odds of a model, of 16 bits each, are fields of one integer. What a decay leaves of them, what the one that held gains, and how they begin.
+_DECAY = (0xFFFF >> RATE) * 0x1_0000_0001
+_GAIN = np.array([0, (65536 >> RATE) - 8 << 32, (65536 >> RATE) - 8, (65536 >> RATE) - 8])
+_BEGIN = 4096 * 0x1_0000_0001
 
 
 class _Lanes:
-    """Statistics of many blocks side by side, a lane a block.
-
-    The four counts of a model are the 16-bit fields of one integer, so a step gathers, adds and raises all of them at once.
-    """
-
-    def __init__(self, n: int):
-        self.lane = np.arange(n)
-        self.table1, self.table2 = np.zeros(n * SLOTS1, np.int32), np.zeros(n * SLOTS2, np.int32)
-        self.lead, self.votes = np.zeros(n, np.int32), np.zeros(n, np.int32)
-        self.by2, self.by1, self.by_last = (np.full(n * 4, 0x0001_0001_0001_0001, np.int64) for _ in range(3))
-        self.upper = np.repeat(np.arange(_NIBBLES + 1, dtype=np.int16)[:, None], n, axis=1)
-        self.last, self.before, self.kind = np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, 3)
-        self.above = np.arange(_NIBBLES + 1, dtype=np.int8)[:, None]
-        self.base1, self.base2, self.base4 = self.lane * SLOTS1, self.lane * SLOTS2, self.lane * 4
-        self.bounds = np.zeros((5, n), np.int64)
+    """Statistics of many blocks side by side, a lane a block; of two rows, the first is order 1 and the second order 2."""
+
+    def __init__(self, n: int, weights: np.ndarray):
+        lane = np.arange(n)
+        self.first = np.stack([lane * SLOTS, (n + lane) * SLOTS])
+        self.states = np.stack([lane * 4, (n + lane) * 4])
+        self.table, self.odds = np.zeros(2 * n * SLOTS, np.int32), np.full(2 * n * 4, _BEGIN, np.int64)
+        self.hash, self.mixed = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        self.bounds = np.zeros((4, n), np.int64)
+        self.bounds[3] = 1 << ODDS
+        # by which predictions hold (order 1 counts 1, order 2 counts 2): where the interval begins among the bounds
+        self.place, self.lane = np.array([2 * n, n, 0, 0]), lane
+        # beyond the ids' own, a place for what a prediction met: all of the frequencies
+        self.whole = len(weights)
+        self.least = np.append(np.cumsum(weights) - weights, 0).astype(np.int32)
+        self.weights = np.append(weights, 1 << WEIGHTS).astype(np.int32)
 
     def predict(self) -> None:
-        x = self.last * np.int32(40503)  # wraps around, in both directions alike
-        self.at1 = self.base1 + (x >> 7 & SLOTS1 - 1)
-        self.at2 = self.base2 + ((x ^ self.before * np.int32(30011)) >> 5 & SLOTS2 - 1)
-        self.slot1, self.slot2 = self.table1.take(self.at1), self.table2.take(self.at2)
-        self.guess1, self.guess2 = self.slot1 >> 2, self.slot2 >> 2
-        self.row2, self.row1, self.row0 = self.base4 + (self.slot2 & 3), self.base4 + (self.slot1 & 3), self.base4 + self.kind
-        self.odds2, self.odds1, self.odds0 = self.by2.take(self.row2), self.by1.take(self.row1), self.by_last.take(self.row0)
-        odds, c = self.odds2 + self.odds1 + self.odds0, self.bounds
-        np.bitwise_and(odds, 0xFFFF, out=c[1])
-        for k in (1, 2, 3):
-            np.add(c[k], odds >> 16 * k & 0xFFFF, out=c[k + 1])
-        self.scale = self.upper[_NIBBLES].astype(np.int64) << 12
-
-    def kind_of(self, ids: np.ndarray) -> np.ndarray:
-        kind = np.full(len(ids), 3)
-        for k, guess in ((2, self.lead), (1, self.guess1), (0, self.guess2)):
-            kind[ids == guess] = k
-        return kind
-
-    def interval(self, kind: np.ndarray, top: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where an id's interval starts, and its width, out of ``bounds[4] * scale``; the upper and lower bits count for unmet ids only."""
-        at = kind * len(kind) + self.lane
+        self.at = (self.hash >> 15 & SLOTS - 1) + self.first
+        self.slot = self.table.take(self.at)
+        self.guess = self.slot >> 2
+        self.row = (self.slot & 3) + self.states
+        self.now = self.odds.take(self.row)
+        both = self.now[0] + self.now[1]
+        np.bitwise_and(both, (1 << ODDS) - 1, out=self.bounds[1])
+        np.add(self.bounds[1], both >> 32, out=self.bounds[2])
+
+    def interval(self, ids: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids' intervals start, and their widths, out of 2 to the power of ODDS + WEIGHTS."""
+        at = self.place.take(held) + self.lane
         low = self.bounds.take(at)
-        width = self.bounds.take(at + len(kind)) - low
-        at = top * len(kind) + self.lane
-        first = self.upper.take(at).astype(np.int64)
-        each = self.upper.take(at + len(kind)) - first
-        miss = kind == 3
-        return low * self.scale + np.where(miss, width * ((first << 12) + each * bits), 0), width * np.where(miss, each, self.scale)
-
-    def update(self, ids: np.ndarray, kind: np.ndarray) -> None:
-        more = np.left_shift(1, kind << 4)
-        self.by2[self.row2] = self.odds2 + more
-        self.by1[self.row1] = self.odds1 + more
-        self.by_last[self.row0] = self.odds0 + more
-        self.upper += self.above > np.where(kind == 3, ids >> 12, _NIBBLES).astype(np.int8)
-        for table, at, slot, guess in ((self.table1, self.at1, self.slot1, self.guess1), (self.table2, self.at2, self.slot2, self.guess2)):
-            table[at] = np.where(guess == ids, np.minimum(slot + 1, slot | 3), ids << 2)
-        same = self.lead == ids
-        self.votes += (same << 1) - 1
-        new = self.votes < 0
-        self.lead = np.where(new, ids, self.lead)
-        np.abs(self.votes, out=self.votes)
-        self.before, self.last, self.kind = self.last, ids, kind
-
-
-def encode_blocks(blocks: np.ndarray) -> list[bytes]:
-    """The code of each row of ``blocks``, equally many ids (below 65,536) a row."""
-    n, length = blocks.shape
-    lanes, low, span = _Lanes(n), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    out, at = np.zeros((n, 3 * length + 16), np.uint16), np.zeros(n, np.int64)
-    columns = np.ascontiguousarray(blocks.T, np.int32)
-    for t in range(length):
-        ids = columns[t]
-        lanes.predict()
-        kind = lanes.kind_of(ids)
-        start, freq = lanes.interval(kind, ids >> 12, ids & 4095)
-        span //= (lanes.bounds[4] * lanes.scale).view(np.uint64)
-        low += start.view(np.uint64) * span
-        span *= freq.view(np.uint64)
-        _shift(low, span, out, at)
-        lanes.update(ids, kind)
-    for _ in range(4):
-        out[lanes.lane, at] = (low >> _U48).astype(np.uint16)
-        low <<= _U16
-        at += 1
-    return [out[i, :k].astype("<u2").tobytes() for i, k in enumerate(at.tolist())]
-
-
-def _shift(low: np.ndarray, span: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
-    """Write settled upper bits of each lane until its interval is wide enough."""
+        wide = self.bounds.take(at + len(ids)) - low
+        of = np.where(held > 0, self.whole, ids)
+        return (low << WEIGHTS) + wide * self.least.take(of), wide * self.weights.take(of)
+
+    def update(self, ids: np.ndarray, hit: np.ndarray, held: np.ndarray) -> None:
+        self.odds[self.row] = self.now - (self.now >> RATE & _DECAY) + _GAIN.take(held)
+        slot = self.slot
+        self.table[self.at] = np.where(hit, np.minimum(slot + 1, slot | 3), ids << 2)
+        h = self.hash
+        np.multiply(ids, 0x9E3779B1, out=h[0])
+        np.bitwise_xor(h[0], self.mixed, out=h[1])
+        self.mixed = h[0] >> 7
+
+
+def _settle(low: np.ndarray, span: np.ndarray, move) -> None:
+    """Shift settled upper bits out of each lane until its interval is wide enough; ``move`` writes or reads 16 bits of some lanes."""
     todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
     while len(todo):
-        a, s = low[todo], span[todo]
+        a, s = low.take(todo), span.take(todo)
         cut = (a ^ (a + s)) >= _TOP
-        s = np.where(cut, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)), s)
-        where = at[todo]
-        out[todo, where] = (a >> _U48).astype(np.uint16)
-        at[todo] = where + 1
-        a, s = a << _U16, s << _U16
+        if cut.any():
+            s = np.where(cut, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)), s)
+        move(todo, a)
+        a <<= _U16
+        s <<= _U16
         low[todo], span[todo] = a, s
         todo = todo[((a ^ (a + s)) < _TOP) | (s < _BOTTOM)]
 
 
-def decode_blocks(codes: list[bytes], length: int) -> np.ndarray:
+def encode_blocks(blocks: np.ndarray, weights: np.ndarray) -> list[bytes]:
+    """The code of each row of ``blocks``, equally many ids a row, by order-0 ``weights`` of all ids."""
+    n, length = blocks.shape
+    lanes, low, span = _Lanes(n, weights), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    width = 3 * length + 16
+    out, at = np.zeros(n * width, np.uint16), np.arange(n) * width
+    begin = at.copy()
+
+    def write(todo: np.ndarray, a: np.ndarray) -> None:
+        where = at.take(todo)
+        out[where] = (a >> _U48).astype(np.uint16)
+        at[todo] = where + 1
+
+    columns = np.ascontiguousarray(blocks.T, np.int64)
+    for ids in columns:
+        lanes.predict()
+        hit = lanes.guess == ids
+        held = hit[0] + (hit[1] << np.int64(1))
+        start, wide = lanes.interval(ids, held)
+        span >>= _SCALE
+        low += start.view(np.uint64) * span
+        span *= wide.view(np.uint64)
+        _settle(low, span, write)
+        lanes.update(ids, hit, held)
+    every = np.arange(n)
+    for _ in range(4):
+        write(every, low)
+        low <<= _U16
+    return [out[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), at.tolist(), strict=True)]
+
+
+def decode_blocks(codes: list[bytes], length: int, weights: np.ndarray) -> np.ndarray:
     """The ids of blocks that ``encode_blocks`` made, ``length`` a row."""
     n = len(codes)
-    lanes, low, span = _Lanes(n), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    words = np.zeros((n, max(map(len, codes), default=0) // 2 + 8), np.uint64)
+    lanes, low, span = _Lanes(n, weights), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    width = max(map(len, codes), default=0) // 2 + 8
+    words, at = np.zeros((n, width), np.uint64), np.arange(n) * width
     for i, c in enumerate(codes):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    value, at = np.zeros(n, np.uint64), np.full(n, 4)
-    for k in range(4):
-        value = value << _U16 | words[:, k]
-    out = np.zeros((length, n), np.int32)
-    for t in range(length):
+    words = words.reshape(-1)
+    value = np.zeros(n, np.uint64)
+
+    def read(todo: np.ndarray, a: np.ndarray) -> None:
+        where = at.take(todo)
+        value[todo] = value.take(todo) << _U16 | words.take(where, mode="clip")  # a damaged block may ask for more
+        at[todo] = where + 1
+
+    every = np.arange(n)
+    for _ in range(4):
+        read(every, low)
+    which = np.repeat(np.arange(len(weights), dtype=np.uint16), weights)
+    out = np.zeros((length, n), np.int64)
+    b = lanes.bounds
+    for ids in out:
         lanes.predict()
-        scale = lanes.scale
-        span //= (lanes.bounds[4] * scale).view(np.uint64)
-        point = np.minimum(((value - low) // span).view(np.int64), lanes.bounds[4] * scale - 1)
-        c = lanes.bounds
-        part = point // scale
-        kind = (part >= c[1]).astype(np.int64) + (part >= c[2]) + (part >= c[3])
-        # for ids that no prediction met; for others these are some bits within range that count for nothing
-        rest = (point - c[3] * scale).view(np.uint64) // (c[4] - c[3]).view(np.uint64)
-        rest = np.where(kind == 3, rest.view(np.int64), 0)
-        top = (lanes.upper[1:_NIBBLES] <= (rest >> 12).astype(np.int16)).view(np.int8).sum(axis=0, dtype=np.int8).astype(np.int64)
-        first = lanes.upper.take(top * n + lanes.lane).astype(np.int64)
-        bits = (rest - (first << 12)) // (lanes.upper.take((top + 1) * n + lanes.lane) - first)
-        start, freq = lanes.interval(kind, top, bits)
-        ids = np.where(kind == 3, top << 12 | bits, np.where(kind == 0, lanes.guess2, np.where(kind == 1, lanes.guess1, lanes.lead))).astype(np.int32)
+        span >>= _SCALE
+        point = np.minimum((value - low) // span, np.uint64((1 << ODDS + WEIGHTS) - 1)).view(np.int64)
+        part = point >> WEIGHTS
+        miss = part >= b[2]
+        # exact: the quotient of such small integers cannot round up to the next
+        rest = ((point - (b[2] << WEIGHTS)) / (b[3] - b[2])).astype(np.int64)
+        ids[:] = np.where(part < b[1], lanes.guess[1], lanes.guess[0])
+        np.copyto(ids, which.take(rest, mode="clip"), where=miss)
+        hit = lanes.guess == ids
+        held = hit[0] + (hit[1] << np.int64(1))
+        start, wide = lanes.interval(ids, held)
         low += start.view(np.uint64) * span
-        span *= freq.view(np.uint64)
-        todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-        while len(todo):
-            a, s = low[todo], span[todo]
-            cut = (a ^ (a + s)) >= _TOP
-            s = np.where(cut, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)), s)
-            where = at[todo]
-            value[todo] = value[todo] << _U16 | words[todo, np.minimum(where, words.shape[1] - 1)]  # a damaged block may ask for more
-            at[todo] = where + 1
-            a, s = a << _U16, s << _U16
-            low[todo], span[todo] = a, s
-            todo = todo[((a ^ (a + s)) < _TOP) | (s < _BOTTOM)]
-        out[t] = ids
-        lanes.update(ids, kind)
+        span *= wide.view(np.uint64)
+        _settle(low, span, read)
+        lanes.update(ids, hit, held)
     return np.ascontiguousarray(out.T)
 
 
-def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A segment of ids (below 65,536)."""
+def weights_of(ids: np.ndarray) -> np.ndarray:
+    """Integers for the ids from 0 to the greatest that add up to 2 to the power of WEIGHTS, about as the ids' counts do, and 1 at least for each id there is."""
+    count = np.bincount(ids)
+    there = count > 0
+    free = (1 << WEIGHTS) - int(there.sum())
+    out = there + count * free // len(ids)
+    out[int(count.argmax())] += (1 << WEIGHTS) - int(out.sum())
+    return out
+
+
+def pack(ids: np.ndarray, least: int = LEAST, lanes: int = LANES) -> bytes:
+    """A segment of ids (below 65,536), in blocks of ``least`` ids or more, and in at most ``lanes`` blocks."""
     if len(ids) and int(ids.max()) >= 1 << 16:
         raise ValueError("ids must be below 65,536")
-    n = -(-len(ids) // block)
-    width = block if n > 1 else len(ids)
-    rows = np.zeros(n * width, np.int32)
+    width = max(-(-len(ids) // lanes), min(least, len(ids)))
+    n = -(-len(ids) // width) if width else 0
+    if not n:
+        return MAGIC + struct.pack("<QIIII", 0, 0, 0, 0, 0)
+    weights = weights_of(ids)
+    rows = np.full(n * width, ids[-1], np.int32)
     rows[: len(ids)] = ids
-    codes = encode_blocks(rows.reshape(n, width)) if n else []
-    out = [MAGIC, struct.pack("<QII", len(ids), n, width)]
+    codes = encode_blocks(rows.reshape(n, width), weights)
+    head = zlib.compress(weights.astype("<u4").tobytes(), 1)
+    out = [MAGIC, struct.pack("<QIIII", len(ids), n, width, len(head), zlib.crc32(head)), head]
+    plain = ids.astype("<u4")
     for i, c in enumerate(codes):
-        out += [struct.pack("<II", len(c), zlib.crc32(ids[i * width : (i + 1) * width].astype("<u4").tobytes())), c]
+        out += [struct.pack("<II", len(c), zlib.crc32(plain[i * width : (i + 1) * width])), c]
     return b"".join(out)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    """The ids of a segment; raises ValueError if it is no segment or a block's checksum fails."""
-    if data[:4] != MAGIC:
+    """The ids of a segment; raises ValueError if it is no segment or a checksum fails."""
+    if data[:4] != MAGIC or len(data) < 28:
         raise ValueError("not a segment of token ids")
-    total, n, width = struct.unpack_from("<QII", data, 4)
-    at, codes, sums = 20, [], []
+    total, n, width, size, crc = struct.unpack_from("<QIIII", data, 4)
+    head, at, codes, sums = data[28 : 28 + size], 28 + size, [], []
+    if zlib.crc32(head) != crc:
+        raise ValueError("the head is damaged")
+    if not n:
+        return np.zeros(0, "<u4")
     for _ in range(n):
+        if at + 8 > len(data):
+            raise ValueError("a segment is cut short")
         size, crc = struct.unpack_from("<II", data, at)
         codes.append(data[at + 8 : at + 8 + size])
         sums.append(crc)
         at += 8 + size
-    ids = decode_blocks(codes, width).reshape(-1)[:total].astype("<u4") if n else np.zeros(0, "<u4")
+    weights = np.frombuffer(zlib.decompress(head), "<u4").astype(np.int64)
+    ids = decode_blocks(codes, width, weights).reshape(-1)[:total].astype("<u4")
     for i, crc in enumerate(sums):
-        if zlib.crc32(ids[i * width : (i + 1) * width].tobytes()) != crc:
+        if zlib.crc32(ids[i * width : (i + 1) * width]) != crc:
             raise ValueError(f"block {i} is damaged")
     return ids
 
 
 class WordTokenizer:
     """A tokenizer that drops white space and cuts between letters and punctuation, so that texts may be encoded word by
-    word, and words apart from the punctuation after them, through a cache."""
+    word, and words apart from the punctuation after them, through a cache.
+
+    The library's normalizer composes characters before it lower-cases, so A-Z are lower-cased beforehand only in texts that are composed and stay so.
+    New words of letters only are encoded together, as one text, and cut at the ends of words; those of a-z, which normalizing
+    leaves as they are, by the library's model without its normalizer. Unless ``special``, the strings of special tokens are ordinary
+    text, so that no text can make a control token.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        self.tokenizer, self.plain, self.cache = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = not special
+        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        self.special = special
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.last[i] = token.endswith("</w>")
+
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)(texts, add_special_tokens=False)]
+
+    def _together(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        """Encode words of letters as one text, which is cut at the ends of words; the words for which this failed."""
+        failed = []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self._ids(tokenizer, [b" ".join(part).decode()])[0], "<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, ends = ids.tobytes(), (2 * ends).tolist()
+                self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+            else:
+                failed += part
+        return failed
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-
-    def _fill(self, words: list[bytes]) -> None:
+    def _fill(self, new: set[bytes]) -> None:
         """Put the ids of new words into the cache."""
-        cache, cut, new = self.cache, {}, set()
-        for w in words:
+        cache, cut, other = self.cache, [], set()
+        letters = {w for w in new if w.isalpha() and w.islower()}  # a-z only
+        for w in new - letters:
             stem = w.rstrip(TAIL)
             if len(stem) < len(w) and stem[-1:].isalnum():  # an ASCII letter or digit
-                cut[w] = stem, w[len(stem) :]
-                new.update(cut[w])
+                tail = w[len(stem) :]
+                cut.append((w, stem, tail))
+                for x in (stem, tail):
+                    if x not in cache:
+                        (letters if x.isalpha() and x.islower() else other).add(x)
             else:
-                new.add(w)
-        some = [w for w in new if w not in cache]
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for k in range(0, len(some), 10_000):
-            part = some[k : k + 10_000]
-            for w, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u2").tobytes()
-        for w, (stem, tail) in cut.items():
+                other.add(w)
+        composed = [w for w in other if not w.isascii() and unicodedata.normalize("NFC", w.decode()).lower().isalpha()]
+        other.difference_update(composed)
+        other.update(self._together(self.plain, list(letters)), self._together(self.tokenizer, composed))
+        rest = list(other)
+        for w, ids in zip(rest, self._ids(self.tokenizer, [w.decode() for w in rest]), strict=True):
+            cache[w] = np.array(ids, "<u2").tobytes()
+        for w, stem, tail in cut:
             cache[w] = cache[stem] + cache[tail]
 
+    def _words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        if self.special:
+            return raw.split()
+        low = raw.lower()
+        stays = len(low) == len(text or "") or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode()))
+        return (low if stays else raw).split()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
-        split = [(t or "").encode().lower().split() for t in texts]
+        split = [self._words(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        known = [list(map(self.cache.get, ws)) for ws in split]
-        if new := {w for ws, ids in zip(split, known, strict=True) if None in ids for w, x in zip(ws, ids, strict=True) if x is None}:
-            self._fill(list(new))
-            known = [list(map(self.cache.__getitem__, ws)) if None in ids else ids for ws, ids in zip(split, known, strict=True)]
-        return list(map(b"".join, known))
+        if new := set().union(*split).difference(self.cache):
+            self._fill(new)
+        known = self.cache.__getitem__
+        return [b"".join(map(known, ws)) for ws in split]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -270,7 +328,8 @@ def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col
     """Encode and write ``docs`` in ascending order of id; returns the written ``(part, number, n_ids, ids, lengths, payload)``.
 
     Each document's ids are followed by ``end``. Null ids come first; rows of the same id are ordered by text. A null text is
-    empty. ``path`` is a tokenizer file that every executor has, of a kind that drops white space, with fewer than 65,536 ids.
+    empty, a very long one is in one segment, and an empty table has none. Other columns are left aside. ``path`` is a tokenizer
+    file that every executor has, of a kind that drops white space, with fewer than 65,536 ids.
     """
     kind = dict(docs.dtypes)[id_col]
     stop = np.array([end], "<u2").tobytes()
@@ -308,8 +367,12 @@ def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col
     return saved(ordered.mapInArrow(run, f"part long, number long, n_ids long, ids array<{kind}>, lengths array<long>, payload binary"))
 
 
-def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read segments back: ``id_col``, start, n_tokens, ids_crc32 for every document."""
+def read(files: DataFrame, id_col: str = "doc_id", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """Read segments back: ``id_col``, start, n_tokens, ids_crc32 for every document.
+
+    Null and empty texts have their end id alone; repeated rows each have their place; a very long text makes a long segment, which is
+    decoded as a whole; an empty table has no segments and gives no rows. Damage raises ValueError.
+    """
     kind = next(f.dataType.elementType.simpleString() for f in files.schema if f.name == "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,14 +388,15 @@ def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["part", "number", id_col, "within", "n_tokens", "ids_crc32"])
 
     docs = files.select("part", "number", "ids", "lengths", "payload").mapInArrow(run, f"part long, number long, `{id_col}` {kind}, within long, n_tokens long, ids_crc32 long")
-    sizes = files.select("part", "number", "n_ids")
-    totals = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one row a written file
+    # running sums in two steps: within each thousand written files, and over these thousands, of which the driver gets one row each
+    sizes = files.select(F.expr("part div 1024").alias("group"), "part", "number", "n_ids")
+    totals = sizes.groupBy("group").agg(F.sum("n_ids").alias("n")).orderBy("group").collect()
     at, firsts = 0, []
     for r in totals:
-        firsts.append((r["part"], at))
+        firsts.append((r["group"], at))
         at += r["n"]
-    first = files.sparkSession.createDataFrame(firsts, "part long, first long")
-    inner = F.sum("n_ids").over(Window.partitionBy("part").orderBy("number")) - F.col("n_ids")
-    base = checkpoint(sizes.select("part", "number", inner.alias("inner")).join(first, "part").select("part", "number", (F.col("first") + F.col("inner")).alias("base")))
-    small = base.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    first = files.sparkSession.createDataFrame(firsts, "group long, first long")
+    inner = F.sum("n_ids").over(Window.partitionBy("group").orderBy("part", "number")) - F.col("n_ids")
+    base = checkpoint(sizes.withColumn("inner", inner).join(first, "group").select("part", "number", (F.col("first") + F.col("inner")).alias("base")))
+    small = base.limit(most_broadcast + 1).count() <= most_broadcast
     return docs.join(F.broadcast(base) if small else base, ["part", "number"]).select(id_col, (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

@@ -19,7 +19,7 @@ TEXTS = st.text(st.one_of(st.sampled_from("ab the  \n\t'sre1!…é中😀  ")
 @pytest.fixture(scope="module")
 def small_leaves():
     """A coder that halves almost everything."""
-    return bpe_tree.TreeBPE(bpe_tree.load_ranks(RANKS), P.PATTERN, leaf_chars=6, leaf_bytes=2)
+    return bpe_tree.TreeBPE(bpe_tree.load_ranks(RANKS), P.PATTERN, leaf_chars=6, leaf_bytes=2, leaf_ids=3)
 
 
 @settings(max_examples=300, deadline=None)
@@ -128,18 +128,59 @@ def test_damage_is_noticed():
         token_files.pack(np.array([1 << 16]))
 
 
+def test_every_damaged_byte_is_noticed():
+    ids = np.random.default_rng(5).zipf(1.4, 3000).clip(0, 5000).astype(np.int32)
+    whole = token_files.pack(ids, least=100)
+    for at in range(4, len(whole), 13):
+        data = bytearray(whole)
+        data[at] ^= 16
+        try:
+            got = token_files.unpack(bytes(data))
+        except (ValueError, OverflowError, MemoryError):
+            continue
+        assert (got == ids).all()  # padding after the last id
+
+
+def test_a_segment_takes_about_the_entropy_of_its_ids():
+    """On ids without any context the predictions of orders 1 and 2 cost a little, and the head a twentieth."""
+    ids = np.random.default_rng(6).zipf(1.3, 300_000).clip(0, 40_000).astype(np.int32)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    assert len(token_files.pack(ids)) * 8 / len(ids) < 1.2 * entropy
+
+
 def test_repetition_is_compressed():
     x = np.tile(np.arange(50, dtype=np.int32), 400)
     assert len(token_files.pack(x)) < 2 * len(x) / 3
 
 
-@settings(max_examples=150, deadline=None)
-@given(TEXTS)
-def test_word_tokenizer_is_the_library(text):
-    path = P.path("word_bpe_49k.json")
-    t = token_files._tokenizers.setdefault(path, None) or token_files.WordTokenizer(path)
-    token_files._tokenizers[path] = t
-    assert np.frombuffer(t([text])[0], "<u2").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+@pytest.fixture(scope="module", params=[False, True])
+def word_tokenizer(request):
+    """The library with the strings of special tokens as ordinary text, and as tokens; and ours likewise."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    library.encode_special_tokens = not request.param
+    return library, token_files.WordTokenizer(P.path("word_bpe_49k.json"), special=request.param)
+
+
+WORDY = st.text(st.one_of(st.sampled_from("ab cD \n\t'sRE1!.,…éÉ中😀\u00a0 \u030c\u0331J\u0130Σσ\u212a\u1e9e"), st.characters(codec="utf-8")), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(WORDY)
+def test_word_tokenizer_is_the_library(word_tokenizer, text):
+    library, own = word_tokenizer
+    assert np.frombuffer(own([text])[0], "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_composed_and_special_words(word_tokenizer):
+    """Characters are composed before they are lower-cased, and special tokens are matched before both."""
+    library, own = word_tokenizer
+    said = ["<|ENDOFTEXT|>", "x <|StartOfText|> y", "<|endoftext|>", "a<|startoftext|>B.", "<|endoftext|>)", "J\u030c", "H\u0331 T\u0308 W\u030a Y\u030a", "J\u030c.", "\u0130stanbul", "ΟΔΟΣ", "\u212bngstrom", "don't DON'T", "a\u00a0b", "\u0301x"]
+    for t in [*said, " ".join(said)]:
+        assert np.frombuffer(own([t])[0], "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert (49407 in np.frombuffer(own(["a <|endoftext|>"])[0], "<u2")) == own.special
 
 
 def test_admission_keeps_quotas():
