@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII letters that lower-casing touches.
@@ -16,18 +18,59 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, each with as many underscores in front as keep it apart from the columns of ``df``, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by ``spark.checkpoint.dir``; only a local session without one (a test) gets a folder of its own."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tallygrid-")
+
+
 def _folder(spark: SparkSession) -> str:
-    """The shared folder for what is written in between; a session without one (a test) gets a folder of its own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallygrid-ckpt-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Tables that ``saved`` has written since the innermost ``scratch`` was entered.
+_written: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that ``saved`` wrote within it; what is needed of them must have been written elsewhere by then."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            delete(spark, path)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: smaller than a checkpoint, for what grows with the corpus."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.parquet(path)
 
@@ -43,6 +86,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_name(id_col: str, text_col: str) -> Column:
+    """What names a row up to repetition: its id, which may be null, and its text."""
+    return F.md5(F.concat_ws("|", F.col(id_col).isNull().cast("string"), F.col(id_col).cast("string"), F.md5(F.coalesce(text_col, F.lit("")))))
+
+
+def pick_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``docs``, whole, for each ``name`` of ``stay``; of several, which differ in other columns only, the one that has the least digest of these."""
+    (name,) = fresh(docs, "name_")
+    kept = docs.withColumn(name, row_name(id_col, text_col)).join(stay.select(F.col("name").alias(name)), name, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = F.md5(F.to_json(F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))))
+    return kept.groupBy(name).agg(F.min_by(F.struct(*columns), rest).alias("row")).select("row.*")
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, UPPER, LOWER)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.llm.common import fresh
+
 #: The patterns, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -48,8 +50,8 @@ def _let(value: str, name: str, body: str) -> str:
 
 
 def _feistel(x: str, high: str, low: str, tweak: str, key: str) -> str:
-    """SQL: a keyed permutation of 0 .. high * low - 1, halves of which are taken by ``low``."""
-    mix = f"cast(conv(substr(sha2(concat_ws('|', {_q(key)}, {_q(tweak)}, {low}, i, s.b), 256), 1, 15), 16, 10) AS bigint)"
+    """SQL: a keyed permutation of 0 .. high * low - 1, halves of which are taken by ``low``; ``key`` names the column that has the key."""
+    mix = f"cast(conv(substr(sha2(concat_ws('|', {key}, {_q(tweak)}, {low}, i, s.b), 256), 1, 15), 16, 10) AS bigint)"
     step = f"named_struct('a', s.b, 'b', pmod(s.a + {mix}, CASE WHEN i % 2 = 0 THEN {high} ELSE {low} END))"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('a', cast({x} AS bigint) div {low}, 'b', cast({x} AS bigint) % {low}), (s, j) -> {_let('j - 1', 'i', step)}, s -> s.a * {low} + s.b)"
 
@@ -119,7 +121,7 @@ def _parts() -> str:
 
 def _pseudonym(key: str) -> str:
     """SQL: what stands for the match ``m`` of the kind ``kind``."""
-    digest = lambda tweak: f"sha2(concat_ws('|', {_q(key)}, {_q(tweak)}, m), 256)"
+    digest = lambda tweak: f"sha2(concat_ws('|', {key}, {_q(tweak)}, m), 256)"
     email = f"concat('u', substr({digest('email')}, 1, 16), '@', substring_index(m, '@', -1))"
     secret = f"substr(concat({digest('secret1')}, {digest('secret2')}), 1, length(m))"
     number = "aggregate(split(m, '[.]'), 0L, (t, o) -> t * 256 + cast(o AS bigint))"
@@ -147,11 +149,18 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     Matches that are not valid (a number without the right check digit, a 13th month) stay as they are. A card number is found among
     other groups of digits: of those that begin at a group and end with one, the leftmost and then the longest valid one. A date with slashes or
     dots is read day first, and month first where only that is a date, and written in the order in which it was read. A null text stays null, with zero
-    counts. Rows are independent, so repeated rows give equal results; columns named like the counts are replaced.
+    counts, and so does an empty one. Very long texts are cut in their row. Rows are independent, so repeated rows give equal results; an empty
+    table gives none. Columns named like the counts are replaced; others, whatever their names, stay.
+
+    The key comes from a table of one row, by a scalar subquery, so that plans, event logs and the user interface do not show it.
     """
-    found = F.expr(f"transform(CASE WHEN `{text_col}` RLIKE '[0-9@]' THEN regexp_extract_all(`{text_col}`, {_q(PATTERN)}, 0) ELSE cast(array() AS array<string>) END, m -> {_parts()})")
-    new = F.expr(f"transform(_found, g -> array_join(transform(g, f -> {_let('f.m', 'm', _let('f.kind', 'kind', _pseudonym(key)))}), ''))")
-    pieces = f"zip_with(split(`{text_col}`, {_q(PATTERN)}, -1), concat(_new, array('')), (a, b) -> concat(a, b))"
-    out = docs.withColumn("_found", F.coalesce(found, F.expr("cast(array() AS array<array<struct<m:string,kind:string>>>)"))).withColumn("_new", new)
-    out = out.withColumns({f"n_{k}": F.expr(f"cast(size(filter(flatten(_found), f -> f.kind = '{k}')) AS bigint)") for k in KINDS})
-    return out.withColumn(text_col, F.expr(f"CASE WHEN size(_found) = 0 THEN `{text_col}` ELSE array_join({pieces}, '') END")).drop("_found", "_new")
+    key_, found_, new_ = fresh(docs, "key_", "found_", "new_")
+    secret = docs.sparkSession.createDataFrame([(key,)], "key string")
+    text = f"`{text_col}`"
+    found = F.expr(f"transform(CASE WHEN {text} RLIKE '[0-9@]' THEN regexp_extract_all({text}, {_q(PATTERN)}, 0) ELSE cast(array() AS array<string>) END, m -> {_parts()})")
+    none = F.expr("cast(array() AS array<array<struct<m:string,kind:string>>>)")
+    new = F.expr(f"transform({found_}, g -> array_join(transform(g, f -> {_let('f.m', 'm', _let('f.kind', 'kind', _pseudonym(key_)))}), ''))")
+    pieces = f"zip_with(split({text}, {_q(PATTERN)}, -1), concat({new_}, array('')), (a, b) -> concat(a, b))"
+    out = docs.withColumn(key_, secret.scalar()).withColumn(found_, F.coalesce(found, none)).withColumn(new_, new)
+    out = out.withColumns({f"n_{k}": F.expr(f"cast(size(filter(flatten({found_}), f -> f.kind = '{k}')) AS bigint)") for k in KINDS})
+    return out.withColumn(text_col, F.expr(f"CASE WHEN size({found_}) = 0 THEN {text} ELSE array_join({pieces}, '') END")).drop(key_, found_, new_)
