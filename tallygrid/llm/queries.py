@@ -110,9 +110,10 @@ FROM t GROUP BY conv_id
 
 _OP10 = r"""
 WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
-e AS (SELECT coalesce(source, '') AS host, unnest(list_distinct(list_filter(ls, lambda x: trim(x) <> ''))) AS l FROM d),
-t AS (SELECT coalesce(source, '') AS host, count(*) AS total FROM d GROUP BY 1),
-b AS (SELECT host, list(l) AS cut FROM (SELECT e.host, l FROM e JOIN t USING (host) GROUP BY e.host, l, total HAVING count(*) >= 5 AND count(*) > 0.1::DOUBLE * total) GROUP BY host),
+e AS (SELECT coalesce(source, '') AS host, md5(text) AS page, unnest(list_distinct(list_filter(ls, lambda x: trim(x) <> ''))) AS l FROM d),
+t AS (SELECT coalesce(source, '') AS host, count(DISTINCT md5(text)) AS total FROM d GROUP BY 1),
+n AS (SELECT host, l, count(DISTINCT page) AS pages, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) > 50 AS long FROM e GROUP BY host, l),
+b AS (SELECT host, list(l) AS cut FROM n JOIN t USING (host) WHERE CASE WHEN long THEN pages >= 2 AND pages > 0.0002::DOUBLE * total ELSE pages >= 3 AND pages > 0.01::DOUBLE * total END GROUP BY host),
 k AS (SELECT doc_id, source, ls, text, list_filter(ls, lambda x: NOT list_contains(coalesce(cut, []::VARCHAR[]), x)) AS kept FROM d LEFT JOIN b ON coalesce(d.source, '') = b.host)
 SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped,
   sha256(coalesce(array_to_string(kept, chr(10)), '')) AS text_sha256, length(coalesce(array_to_string(kept, chr(10)), ''))::BIGINT AS chars_left FROM k
