@@ -11,7 +11,7 @@ So the probabilities of all words, and of an unknown word in each class, add up
 
 Training reads every training text once. In each round all workers start from the same table, make gradient steps over
 minibatches of their part of the texts, and send back how far each row moved and on how many tokens; the moves are averaged
-by tokens, block of rows by block, in two steps of a tree. Scoring works through the texts in the same minibatches.
+by tokens, block of rows by block, up a tree that ends in one table. Scoring works through the texts in the same minibatches.
 
 Counts cover the whole training corpus. The most frequent words' counts are broadcast (a fixed number of them); words beyond
 are counted in their text and joined with the counts by shuffling.
@@ -38,6 +38,8 @@ SINGLES, ENDINGS, ROWS, BLOCKS = 15, 16, 1 << 16, 32
 CLASSES = SINGLES + ENDINGS + 1
 #: Words whose counts are broadcast; training rounds; tokens of a minibatch; step size.
 FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 8192, 0.35
+#: Branches that are added up at once on the way to one table.
+FAN = 32
 #: Smoothing of counts.
 ALPHA = 0.1
 #: Words that a worker holds the codes of; distinct words after which it hands on its counts.
@@ -238,28 +240,35 @@ def train_round(texts: DataFrame, model: Model) -> np.ndarray:
         part = TaskContext.get().partitionId()
         for b in range(BLOCKS):
             s = slice(b * width, (b + 1) * width)
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([part // 32]), pa.array([np.concatenate([moved[s], seen[s, None]], axis=1).astype(np.float32).tobytes()], pa.binary())], ["block", "branch", "moved"])
+            yield row(b, part, np.concatenate([moved[s], seen[s, None]], axis=1).astype(np.float32))
+
+    def row(block: int, at: int, moved: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at // FAN]), pa.array([at]), pa.array([moved.tobytes()], pa.binary())], ["block", "branch", "at", "moved"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        key, total = None, None
         for batch in batches:
-            for b, j, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, branch, x in zip(*(batch.column(c).to_pylist() for c in ("block", "branch", "moved")), strict=True):
+                if key is not None and key != (block, branch):
+                    yield row(*key, total)
+                    key = None
                 y = np.frombuffer(x, np.float32)
-                sums[b, j] = sums[b, j] + y if (b, j) in sums else y.copy()
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in sums]), pa.array([j // 32 for _, j in sums]), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "branch", "moved"])
+                key, total = (block, branch), y.copy() if key is None else total + y
+        if key is not None:
+            yield row(*key, total)
 
-    schema = "block long, branch long, moved binary"
+    # up a tree of FAN branches until one row a block is left; rows are added in the order of their tasks, so sums do not depend on who comes first
+    schema = "block long, branch long, at long, moved binary"
     sums = texts.mapInArrow(run, schema)
-    for _ in range(2):
-        sums = sums.repartition("block", "branch").mapInArrow(add, schema)
+    while True:
+        sums = saved(sums.repartition("block", "branch").sortWithinPartitions("block", "branch", "at").mapInArrow(add, schema))
+        if sums.count() <= BLOCKS:
+            break
     table = model.table.copy()
-    total: dict[int, np.ndarray] = {}
     for r in sums.collect():
         y = np.frombuffer(r["moved"], np.float32).reshape(width, CLASSES + 1)
-        total[r["block"]] = total.get(r["block"], 0) + y
-    for b, y in total.items():
-        table[b * width : (b + 1) * width] += y[:, :-1] / np.maximum(y[:, -1:], 1)
+        s = slice(r["block"] * width, (r["block"] + 1) * width)
+        table[s] += y[:, :-1] / np.maximum(y[:, -1:], 1)
     shared.unpersist()
     return table
 
@@ -292,7 +301,8 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, frequen
 def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id, n_tokens, n_known, base_score, score. Null and empty texts have the end token alone.
 
-    ``base_score`` is the unigram log10 probability, ``score`` the model's. Repeated rows and ids each get their own.
+    ``base_score`` is the unigram log10 probability, ``score`` the model's. Repeated rows and ids each get their own. A very long text is one
+    minibatch, held in memory; an empty table gives no rows, and an empty training table even odds; other columns are left aside.
     """
     shared = docs.sparkSession.sparkContext.broadcast(trained.model)
 
