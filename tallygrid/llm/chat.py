@@ -157,5 +157,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of formatted conversations, from ``formatted`` and ``loss_spans`` alone."""
-    return formatted.select("tree", "formatted", "loss_spans").mapInArrow(_digests, f"tree {dict(formatted.dtypes)['tree']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Digests of formatted conversations, from ``formatted`` and ``loss_spans`` alone.
+
+    A conversation, however long, is parsed as a whole; repeated ones each give a row; an empty table gives none. A null ``formatted`` is no
+    conversation, and what is not in the template raises ValueError. Other columns are left aside.
+    """
+    return formatted.where("formatted IS NOT NULL").select("tree", "formatted", "loss_spans").mapInArrow(_digests, f"tree {dict(formatted.dtypes)['tree']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrid.llm.common import LOWER, UPPER, checkpoint, lower_ascii
+from tallygrid.llm.common import LOWER, UPPER, checkpoint, fresh, lower_ascii
 
 #: Words of a window and of a shingle.
 WINDOW, SHINGLE = 13, 5
@@ -145,7 +145,13 @@ def contamination(
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, whole, whose text is not contaminated; equal texts share their verdict. Null texts stay."""
+    """The rows of ``docs``, whole, whose text is not contaminated; equal texts share their verdict.
+
+    Null and empty texts stay, repeated rows stay or go together, very long texts are judged whole, an empty table or an empty
+    benchmark changes nothing, and other columns, whatever their names, are as they were.
+    """
+    (name,) = fresh(docs, "digest")
     digest = F.md5(F.coalesce(text_col, F.lit("")))
-    bad = contamination(docs.select(digest.alias("_digest"), text_col), benchmark, "_digest", text_col, **options).where("contaminated").select("_digest").distinct()
-    return docs.withColumn("_digest", digest).join(bad, "_digest", "left_anti").select(*docs.columns)
+    texts = docs.select(digest.alias("digest"), F.col(text_col).alias("text"))
+    bad = contamination(texts, benchmark, "digest", "text", **options).where("contaminated").select(F.col("digest").alias(name)).distinct()
+    return docs.withColumn(name, digest).join(bad, name, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

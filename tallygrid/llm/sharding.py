@@ -19,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrid.llm.common import checkpoint
 
 #: Cells of a group for each shard, and the most rounds of moves.
 CELLS, ROUNDS = 8, 12
+#: Most shards: the driver holds and broadcasts a count for each two of them.
+MOST_SHARDS = 1000
 _COIN = 1_000_003
 
 
@@ -82,20 +85,25 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard_rows(docs: DataFrame, group: Column, shards: int = 40, rounds: int = ROUNDS, cells: int = CELLS) -> DataFrame:
     """``docs`` with ``shard`` and ``slot``: row counts differ by one at most, slots are gapless from 0.
 
-    ``group`` links the rows that have the same value; null links nothing. All rows get a place, repeated ones too. ``docs``
-    should be narrow: its columns are written to the checkpoint folder. Names that start with ``_s_`` are reserved.
+    ``group`` links the rows that have the same value; null links nothing. All rows get a place, repeated ones too; null and empty
+    texts are rows like any other, and an empty table gives none. ``docs`` should be narrow, without long texts: its columns are written to the
+    checkpoint folder. Columns named like the two new ones are replaced; others, whatever their names, stay.
     """
-    if shards < 1:
-        raise ValueError("at least one shard")
-    rows = checkpoint(docs.withColumn("_s_key", group)).withColumn("_s_cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells * shards)).cast("int"))
+    if not 1 <= shards <= MOST_SHARDS:
+        raise ValueError(f"from 1 to {MOST_SHARDS} shards")
+    # the caller's columns travel as one, by number, so that no name of theirs meets one of ours
+    columns = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    own = F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns))).alias("doc")
+    cell = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells * shards)).cast("int").alias("cell")
+    rows = checkpoint(docs.select(own, group.alias("key"))).select("doc", "key", cell)
     total = rows.count()
-    units = rows.where("_s_key is not null").groupBy(F.col("_s_key").alias("key"), F.col("_s_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    units = rows.where("key is not null").groupBy("key", "cell").agg(F.count(F.lit(1)).alias("n"))
     groups = units.groupBy("key").agg(F.sum("n").alias("total")).where("total > 1")
     linked = checkpoint(units.join(groups, "key").select("key", "cell", "n", "total", F.pmod("cell", F.lit(shards)).alias("label")))
     linked = propagate(linked, shards, -(-total // shards), rounds)
-    placed = rows.join(linked.select(F.col("key").alias("_s_key"), F.col("cell").alias("_s_cell"), "label"), ["_s_key", "_s_cell"], "left")
-    placed = placed.withColumn("linked", F.col("label").isNotNull()).withColumn("label", F.coalesce("label", F.pmod("_s_cell", F.lit(shards))))
-    placed = checkpoint(placed.select(*docs.columns, "label", "linked")).withColumn("part", F.spark_partition_id())
+    placed = rows.join(linked.select("key", "cell", "label"), ["key", "cell"], "left")
+    placed = placed.select("doc", F.coalesce("label", F.pmod("cell", F.lit(shards))).alias("label"), F.col("label").isNotNull().alias("linked"))
+    placed = checkpoint(placed).withColumn("part", F.spark_partition_id())
 
     counts = placed.groupBy("part", "label", "linked").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("label").orderBy(F.desc("linked"), "part")) - F.col("n")
@@ -110,7 +118,7 @@ def shard_rows(docs: DataFrame, group: Column, shards: int = 40, rounds: int = R
         if n < quota[s]:
             free.append((at, at + quota[s] - n, s, n))
             at += quota[s] - n
-    numbered = placed.mapInArrow(_numbered, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema) + ", number long")
+    numbered = placed.mapInArrow(_numbered, T.StructType([*placed.schema.fields, T.StructField("number", T.LongType())]))
     out = numbered.join(counts.drop("n"), ["part", "label", "linked"]).withColumn("place", F.col("before") + F.col("number"))
     # arrays of one entry a shard
     longs = lambda xs: F.array(*(F.lit(int(x)).cast("long") for x in xs))
@@ -119,8 +127,9 @@ def shard_rows(docs: DataFrame, group: Column, shards: int = 40, rounds: int = R
     places = F.array(*(F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"), F.lit(s).alias("s"), F.lit(n).cast("long").alias("n")) for a, b, s, n in free or [(0, 0, 0, 0)]))
     spot = F.get(F.filter(places, lambda x: (x["a"] <= F.col("rank")) & (F.col("rank") < x["b"])), F.lit(0))
     out = out.withColumn("rank", rank).withColumn("spot", F.when(F.col("beyond") >= 0, spot))
-    return out.select(
-        *docs.columns,
+    out = out.select(
+        "doc",
         F.coalesce(F.col("spot.s"), F.col("label")).cast("int").alias("shard"),
         F.when(F.col("beyond") >= 0, F.col("spot.n") + F.col("rank") - F.col("spot.a")).otherwise(F.col("place")).alias("slot"),
     )
+    return out.select(*(F.col(f"doc.c{i}").alias(c) for i, c in enumerate(columns)), "shard", "slot")

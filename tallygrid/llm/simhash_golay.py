@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallygrid.llm.common import checkpoint, components
+from tallygrid.llm.common import checkpoint, components, pick_rows, row_name
 
 #: The generator polynomial of the Golay code, the widths of the segments, and the shingles' hash seed.
 GOLAY, WIDTHS, SEED = 0b101011100011, (22, 21, 21), 42
@@ -170,13 +170,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that of the smallest id, null ids last.
 
-    Among rows with the same id, the one whose text has the smallest digest stays, once however often it is repeated. Only
-    ids and digests are gathered by component; texts are moved once, to be matched by id and digest.
+    Among rows with the same id, the one whose text has the smallest digest stays, and of rows that differ in other columns only, the
+    least by the digest of all their columns. Only ids and digests are gathered by component; texts are moved once, to be matched.
     """
-    marked = docs.select(id_col, text_col, F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"))
-    rows, of_fp = _grouped(marked, id_col, text_col, shingle, bits)
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("digest").alias("digest")))
-    stay = rows.join(of_fp, "fp").groupBy("label").agg(first.alias("s")).select(F.col("s.id").alias("_stay_id"), F.col("s.digest").alias("_stay_digest"))
-    own = docs.withColumn("_digest", F.md5(F.coalesce(text_col, F.lit(""))))
-    kept = own.join(stay, own[id_col].eqNullSafe(stay["_stay_id"]) & (own["_digest"] == stay["_stay_digest"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_digest"]).drop("_digest")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"), row_name(id_col, text_col).alias("name"))
+    rows, of_fp = _grouped(named, "id", "text", shingle, bits)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "name")).alias("s")
+    return pick_rows(docs, rows.join(of_fp, "fp").groupBy("label").agg(first).select("s.name"), id_col, text_col)

@@ -101,17 +101,22 @@ def quality(text):
     }
 
 
-def lines(rows, ratio=0.1, least_pages=5):
+def lines(rows, ratio=0.01, least_pages=3, long_words=50, long_ratio=0.0002, long_least_pages=2):
     """[(doc_id, text, n_lines, n_dropped)] for (doc_id, host, text) rows."""
     pages, total = Counter(), Counter()
-    for _, h, t in rows:
-        total[h or ""] += 1
-        for x in {x for x in (t or "").split("\n") if x.strip(" ")}:
-            pages[h or "", x] += 1
+    for h, t in {(h or "", t) for _, h, t in rows if t is not None}:
+        total[h] += 1
+        for x in {x for x in t.split("\n") if x.strip(" ")}:
+            pages[h, x] += 1
+
+    def cut(h, x):
+        long = len(re.findall(r"[^\x20\x09-\x0D]+", x)) > long_words
+        return pages[h, x] >= (long_least_pages if long else least_pages) and pages[h, x] > (long_ratio if long else ratio) * total[h]
+
     out = []
     for d, h, t in rows:
         every = t.split("\n") if t is not None else []
-        left = [x for x in every if not x.strip(" ") or not (pages[h or "", x] >= least_pages and pages[h or "", x] > ratio * total[h or ""])]
+        left = [x for x in every if not x.strip(" ") or not cut(h or "", x)]
         out.append((d, "\n".join(left) if t is not None else None, len(every), len(every) - len(left)))
     return out
 

@@ -104,9 +104,14 @@ def test_quality(spark, docs):
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_line_dedup(spark, most):
     many = [(i, "h" if i < 20 else None, f"own {i}\nmenu\n\nfoot{'er' if i % 2 else ''}\nmenu") for i in range(24)] + [(90, "h", None), (91, None, ""), (91, None, "")]
+    passage = " ".join(f"p{k}" for k in range(51))
+    many += [(100 + i, "s", "copy\nof a page") for i in range(9)] + [(120, "s", f"x\n{passage}"), (121, "s", f"y\n{passage}"), (122, "s", passage + " longer"), (123, "s", "x y"), (124, "s", "y\nx")]
     d = spark.createDataFrame(many, "doc_id long, source string, text string").withColumn("n_lines", F.lit("x"))
-    got = line_dedup.drop_boilerplate(d, ratio=0.6, most_broadcast=most)
-    assert rows(got, "doc_id", "text", "n_lines", "n_dropped") == sorted(brute.lines(many, 0.6), key=repr)
+    for ratio in (0.6, 0.01):
+        got = line_dedup.drop_boilerplate(d, ratio=ratio, most_broadcast=most)
+        assert rows(got, "doc_id", "text", "n_lines", "n_dropped") == sorted(brute.lines(many, ratio), key=repr)
+    by = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert (by[100], by[120], by[121], by[124]) == ("copy\nof a page", "x", "y", "y\nx")  # a copied page stays, a repeated passage goes
 
 
 def test_pii(spark):
@@ -125,6 +130,31 @@ def test_pii(spark):
     assert got[1]["text"].split("und ")[1][:16] in got[3]["text"] and "555-3824" not in got[1]["text"] and "300.1.1.1" in got[2]["text"]
 
 
+def test_op3_and_op8_are_whole(spark):
+    """The queries' rows for all documents: op3 by the library, op8 where a plain version reads alike."""
+    have = texts(spark, "doc_id", "text")
+    assert rows(queries.op3_bpe_tree(spark, SF), "*") == sorted(((d, *brute.bpe(t, queries.MULTI_RANKS, P.PATTERN)) for d, t in have), key=repr)
+    got = {r["doc_id"]: r for r in queries.op8_pii_pseudonyms(spark, SF).collect()}
+    assert len(got) == len(have)
+    for d, t in have:
+        new, counts = brute.pseudonymize(t, queries.PSEUDONYM_KEY, pii.PATTERNS)
+        assert (got[d]["text"], {k: got[d][f"n_{k}"] for k in pii.KINDS}) == (new, {k: counts.get(k, 0) for k in pii.KINDS}), t
+        assert got[d]["text_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+
+
+def test_the_key_is_not_in_the_plan(spark, docs):
+    got = pii.pseudonymize(docs, "a-key-to-be-hidden")
+    assert got.count() == len(ROWS)
+    assert "a-key-to-be-hidden" not in got._jdf.queryExecution().toString()
+    with pytest.raises(RuntimeError):
+        common.shared_folder(type("S", (), {"conf": type("C", (), {"get": staticmethod(lambda k, d: d)}), "sparkContext": type("X", (), {"master": "spark://x:7077"})})())
+
+
+def test_upper_case_is_the_category():
+    """Roman numerals and circled letters are no upper-case letters, as in the query's SQL."""
+    assert quality.View("AbÉ\u2167\u24b6ß").n_upper == 2
+
+
 def test_pseudonyms_are_one_to_one():
     assert len({brute.feistel(x, 271, 271, "date", "k") for x in range(271 * 271)}) == 271 * 271
 
@@ -154,6 +184,19 @@ def test_sharding_with_a_hot_group(spark):
 def test_op1_is_whole(spark):
     got = queries.op1_sharding(spark, SF).collect()
     have = dict(texts(spark, "doc_id", "text"))
+    by = {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        assert (r["law"], r["grown_shard"]) == ("rows", None)
+    sizes = [len(by.get(k, ())) for k in range(40)]
+    assert set(by) <= set(range(40)) and max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    # links cut: far fewer groups of equal texts are spread than if rows were dealt by a hash of their id
+    groups = {}
+    for r in got:
+        groups.setdefault(have[r["doc_id"]], []).append(r)
+    apart = sum(len({r["shard"] for r in g}) > 1 for g in groups.values())
+    dealt = sum(len({zlib.crc32(str(r["doc_id"]).encode()) % 40 for r in g}) > 1 for g in groups.values())
+    assert apart < dealt
     assert len(got) == len(have) and all(r["text_crc32"] == zlib.crc32(have[r["doc_id"]].encode()) and r["size"] == len(have[r["doc_id"]].encode()) + 16 for r in got)
 
 
@@ -210,9 +253,23 @@ def test_token_files(spark, docs):
         ids = [*k.encode(t or "", add_special_tokens=False).ids, 1]
         want.append((d, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         at += len(ids)
-    for segment in (1 << 21, 50):
-        got = rows(token_files.read(token_files.write(docs, P.path("word_bpe_49k.json"), 1, segment=segment)), "doc_id", "start", "n_tokens", "ids_crc32")
-        assert [x for x in got if x[0] not in (2,)] == sorted((x for x in want if x[0] != 2), key=repr) and sorted(x[1] for x in got) == [x[1] for x in want]
+    for segment, most in ((1 << 21, 500_000), (50, 0)):
+        got = token_files.read(token_files.write(docs, P.path("word_bpe_49k.json"), 1, segment=segment), most_broadcast=most)
+        assert rows(got, "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
+
+
+def test_op9_is_the_library(spark):
+    """The query's rows for all documents, from the library alone."""
+    from tokenizers import Tokenizer
+
+    k = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    k.encode_special_tokens = True
+    want, at = [], 0
+    for d, t in sorted(texts(spark, "doc_id", "text")):
+        ids = [*k.encode(t or "", add_special_tokens=False).ids, 1]
+        want.append((d, at, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
+        at += len(ids)
+    assert rows(queries.op9_token_files(spark, SF), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=repr)
 
 
 def test_reply_trees(spark):
@@ -251,17 +308,46 @@ def test_pipeline(spark):
     assert rows(corpus_pipeline.run(spark, SF), "*") == rows(d, "*")
 
 
+def plain_stages(have, bench):
+    """The rows (doc_id, text) that each stage leaves by the plain versions, from the rows (doc_id, text, source) it is given."""
+    from tests.llm.test_near_text import exact_firsts
+
+    good = [r for r in have if quality.first_rejection(quality.View(r[1]), list(quality.RULES)) is None]
+    assert not [r for r in good if brute.quality(r[1])["base_failed"]]
+    yield good
+    lined = [(d, t, h) for (d, t, _, _), (_, _, h) in zip(brute.lines([(d, h, t) for d, t, h in good]), good, strict=True)]
+    yield lined
+    numbers = exact_firsts(list(enumerate(t for _, t, _ in sorted(lined, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())))))
+    ordered = sorted(lined, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
+    near = [ordered[i] for i in numbers]
+    yield near
+    yield [r for r, c in zip(near, brute.contamination([r[:2] for r in near], bench), strict=True) if not c[5]]
+
+
 def test_pipeline_against_plain(spark):
-    """The first, third and fourth stages keep what the plain versions keep."""
+    """Each stage of the pipeline, on what the one before it left, keeps what the plain versions keep."""
     import corpus_pipeline
 
     d = sf(spark)
-    have = texts(spark, "doc_id", "text")
-    good = {i for i, t in have if not brute.quality(t)["base_failed"]}
-    kept = {r[0] for r in corpus_pipeline.quality_rules(spark, d, SF).select("doc_id").collect()}
-    assert kept <= good
-    near = {r[0] for r in corpus_pipeline.dedup_near(spark, d, SF).select("doc_id").collect()}
-    assert near == {c for _, _, c in brute.simhash(have)}
-    clean = {r[0] for r in corpus_pipeline.decontaminated(spark, d, SF).select("doc_id").collect()}
-    bench = texts(spark, "item_id", "text", table="benchmark")
-    assert clean == {r[0] for r in brute.contamination(have, bench) if not r[5]}
+    stages = plain_stages(texts(spark, "doc_id", "text", "source"), texts(spark, "item_id", "text", table="benchmark"))
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:4], stages, strict=True):
+        d = common.saved(stage(spark, d, SF))
+        assert rows(d, "doc_id", "text", "source") == sorted(want, key=repr), name
+        assert d.where("n_chars <> length(text)").count() == 0
+    last = corpus_pipeline.STAGES[4][1](spark, d, SF)
+    assert rows(last, "*") == sorted(((i, *brute.bpe(t, queries.MULTI_RANKS, P.PATTERN)) for i, t, _ in want), key=repr)
+
+
+@pytest.mark.parametrize("kind", ["edges", "empty"])
+def test_pipeline_on_edges(spark, tmp_path, kind):
+    """Nulls in any column, repeated rows, empty and very long texts; and no rows."""
+    import corpus_pipeline
+
+    clean = " ".join(f"clean{i} prose" for i in range(40))
+    long = " ".join(f"long{i}é" for i in range(30_000))
+    given = [(1, clean, "en", "a", len(clean)), (1, clean, "en", "a", len(clean)), (None, clean + " more", None, None, None), (2, None, None, None, None), (3, "", "en", "a", 0), (4, long, None, "b", len(long)), (4, long, None, "c", len(long)), (None, None, None, None, None)]
+    docs = spark.createDataFrame(given if kind == "edges" else [], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, None), (None, "w5é w6é w7é w8é w9é w10é w11é w12é w13é w14é w15é w16é w17é w18é")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = rows(corpus_pipeline.run(spark, str(tmp_path)), "*")
+    assert got == ([(1, *brute.bpe(clean, queries.MULTI_RANKS, P.PATTERN)), (4, *brute.bpe(long, queries.MULTI_RANKS, P.PATTERN))] if kind == "edges" else [])
