@@ -23,7 +23,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from tallygrid.plans import catalog  # noqa: F401  registers on import
+    from tallygrid.plans import catalog, domain  # noqa: F401  they register on import
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
