@@ -35,8 +35,8 @@ def n_present(text: Column, words: Sequence[str]) -> Column:
 
 
 def occurrences(text: Column, word: str) -> Column:
-    """How often ``word`` occurs in a text, without overlaps."""
-    return (F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)
+    """How often ``word`` occurs in a text, without overlaps; by bytes, whose number a string knows."""
+    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())
 
 
 def first_hit(text: Column, rules: Rules, default: str) -> Column:
@@ -178,8 +178,7 @@ def first_brand(text: Column, brands: Sequence[str]) -> Column:
 
 def tags(text: Column) -> Column:
     """The distinct equipment tags of a text, in capitals."""
-    pattern = r"\b((?:" + "|".join(fixed.MATCH_TAGS) + r")-[0-9]+)\b"
-    return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit(pattern), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(F.upper(text), F.lit("|".join(fixed.MATCH_TAGS)), F.lit(0)))
 
 
 def log_stage(line: Column) -> Column:
@@ -197,6 +196,12 @@ def pressure(load_ratio: Column, free_mb: Column) -> Column:
     )
 
 
+def load_flags(load: Column, processors: Column, free_mb: Column) -> Column:
+    """Struct of the load per processor and whether it is heavy (2.0), moderate (1.5), and memory low (2048 MB)."""
+    per = load / F.greatest(processors, F.lit(1))
+    return F.struct(per.alias("ratio"), (per > 2.0).alias("heavy"), (per > 1.5).alias("moderate"), (free_mb < 2048).alias("low_memory"))
+
+
 def is_scanned(text: Column, below: int = fixed.SCANNED_BELOW) -> Column:
     return F.length(F.trim(text)) < below
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tallygrid.functions import fixed
 
 _STOP = frozenset(fixed.STOP_WORDS)
-_TAGS = [re.compile(rf"\b({t}-\d+)\b") for t in fixed.MATCH_TAGS]
+_TAGS = [re.compile(p) for p in fixed.MATCH_TAGS]
 
 
 def lcs(a: str, b: str) -> int:

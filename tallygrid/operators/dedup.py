@@ -64,9 +64,15 @@ def not_contained(new: DataFrame, old: DataFrame, scope: Sequence[str], text: st
 SMART_TAGS = (r"(vfd\s*\d+[\s\-]*\d*)", r"(vfd\s*\d+)", r"(rtu[\s\-]*\d+)", r"(vav[\s\-]*\d+)", r"(s[\s\-]*\d+)", r"(light\s*[a-z])", r"(panel\s*[a-z])")
 
 
+# Spellings, replaced in turn before descriptions are compared.
+SMART_SPELLINGS = (("vfd ", "vfd"), ("vfd1-6", "vfd 1-6"), (" - ", "-"), (" / ", "/"))
+
+
 def smart_text(text: str) -> str:
     t = re.sub(r"\s+", " ", text.lower().strip())
-    return t.replace("vfd ", "vfd").replace("vfd1-6", "vfd 1-6").replace(" - ", "-").replace(" / ", "/")
+    for a, b in SMART_SPELLINGS:
+        t = t.replace(a, b)
+    return t
 
 
 def smart_survivors(rows: list[tuple[str, str, float]]) -> list[tuple[int, str, float]]:
@@ -96,12 +102,15 @@ def smart_survivors(rows: list[tuple[str, str, float]]) -> list[tuple[int, str,
 
 
 def smart(items: DataFrame, scope: str, order: str = "seq") -> DataFrame:
-    """The smart policy over ``items`` (scope, order, description, trade, confidence, ...), one scope (a project) at a time.
+    """The smart policy over ``items`` (scope, order, description, trade, confidence, ...), one trade of a scope (a project) at a time.
 
-    Equal texts are reduced first, by one window; what is left of a project is a few thousand rows at most, its distinct descriptions.
+    Equal texts are reduced first, by one window over the texts as the policy compares them. Rows of different trades are duplicates by equal
+    texts only, so after that the trades are independent, and what is left of one is its distinct descriptions.
     """
     named = items.withColumn("trade", classify.trade_name(F.col("trade")))
-    norm = F.regexp_replace(F.lower(F.trim("description")), r"\s+", " ")
+    norm = F.regexp_replace(F.regexp_replace(F.lower("description"), r"^\s+|\s+$", ""), r"\s+", " ")
+    for a, b in SMART_SPELLINGS:
+        norm = F.replace(norm, F.lit(a), F.lit(b))
     single = first_of(named, [scope, norm], [order])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,4 +120,4 @@ def smart(items: DataFrame, scope: str, order: str = "seq") -> DataFrame:
         out["description"], out["confidence"] = [k[1] for k in kept], [k[2] for k in kept]
         return out
 
-    return single.groupBy(scope).applyInPandas(run, single.schema)
+    return single.groupBy(scope, "trade").applyInPandas(run, single.schema)

@@ -12,15 +12,23 @@ from tallygrid.functions import fixed, similarity, text
 def candidates(expected: DataFrame, predicted: DataFrame, scope: str = "project_id", threshold: float = fixed.MATCH_THRESHOLD) -> DataFrame:
     """``scope``, e, p: the pairs of a project that may reach ``threshold``.
 
-    Pairs with fewer than two shared significant words score at most 30, unless one side has none. So above 30 an equi-join on words,
-    counted, and the rest of the items without words are all that is needed; at 30 or below all pairs of a project are.
+    Pairs with fewer than two shared significant words score at most 30, unless one side has none. So above 30 an equi-join on words and the
+    rest of the items without words are all that is needed; at 30 or below all pairs of a project are. Of two shared words the rarer is
+    not the most frequent of either item, so each item joins on all of its words but that one, which spares the words that a project is full of.
     """
     words = lambda d, k: d.select(scope, F.col("seq").alias(k), text.significant_words(text.spelled(F.coalesce("description", F.lit("")))).alias("w"))
     e, p = words(expected, "e"), words(predicted, "p")
     if threshold <= 30:
         return e.drop("w").join(p.drop("w"), scope)
-    shared = e.select(scope, "e", F.explode("w").alias("word")).join(p.select(scope, "p", F.explode("w").alias("word")), [scope, "word"])
-    enough = shared.groupBy(scope, "e", "p").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").drop("n")
+    one, two = (d.select(scope, F.col(k).alias("id"), F.lit(k).alias("side"), F.explode("w").alias("word")) for d, k in ((e, "e"), (p, "p")))
+    each = one.unionByName(two)
+    often = each.groupBy(scope, "word").agg(F.count(F.lit(1)).alias("often"))
+    ranked = each.join(often, [scope, "word"]).groupBy(scope, "side", "id").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("ranked"))
+    rarer = ranked.select(scope, "side", "id", F.explode(F.expr("slice(ranked, 1, size(ranked) - 1)")).alias("r")).select(scope, "side", "id", F.col("r.word").alias("word"))
+    side = lambda k: rarer.where(F.col("side") == k).select(scope, "word", F.col("id").alias(k))
+    met = side("e").join(side("p"), [scope, "word"]).select(scope, "e", "p").distinct()
+    both = met.join(e.withColumnRenamed("w", "w_e"), [scope, "e"]).join(p.withColumnRenamed("w", "w_p"), [scope, "p"])
+    enough = both.where(F.size(F.array_intersect("w_e", "w_p")) >= 2).select(scope, "e", "p")
     bare_e = e.where("size(w) = 0").drop("w").join(p.drop("w"), scope)
     bare_p = e.where("size(w) > 0").drop("w").join(p.where("size(w) = 0").drop("w"), scope)
     return enough.unionByName(bare_e).unionByName(bare_p)
@@ -58,6 +66,23 @@ def best(pairs: DataFrame, scope: str = "project_id", threshold: float = fixed.C
     return pairs.where(F.col("score") >= threshold).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def best_by_ratio(expected: DataFrame, predicted: DataFrame, scope: str = "project_id", threshold: float = fixed.COMPARE_THRESHOLD) -> DataFrame:
+    """``best`` by the plain ratio of descriptions, for a ``threshold`` above 0: scope, e, p, score.
+
+    Descriptions are compared once each, however many items say the same, and only where their lengths allow the threshold: a ratio of t
+    needs a shorter text of t / (200 - t) of the longer one.
+    """
+    said = lambda d, k: d.select(scope, F.col("seq").alias(k), F.coalesce("description", F.lit("")).alias(f"{k}_text"))
+    e = said(expected, "e").groupBy(scope, "e_text").agg(F.min("e").alias("e"))
+    p = said(predicted, "p")
+    texts = p.select(scope, "p_text").distinct()
+    share = threshold / (200 - threshold)
+    near = F.least(F.length("e_text"), F.length("p_text")) >= F.greatest(F.length("e_text"), F.length("p_text")) * share
+    pairs = texts.join(e, scope).where(near).withColumn("score", similarity.ratio_of("e_text", "p_text")).where(F.col("score") >= threshold)
+    top = pairs.groupBy(scope, "p_text").agg(F.max(F.struct("score", (-F.col("e")).alias("o"), "e")).alias("m"))
+    return p.join(top, [scope, "p_text"]).select(scope, F.col("m.e").alias("e"), "p", F.col("m.score").alias("score"))
+
+
 def unmatched(items: DataFrame, matches: DataFrame, side: str, scope: str = "project_id", cut: int = 100) -> DataFrame:
     """Items without a match on ``side`` ('e' missing, 'p' extra), their text cut."""
     used = matches.select(scope, F.col(side).alias("seq"))

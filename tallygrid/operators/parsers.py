@@ -133,10 +133,11 @@ def equipment(pages: DataFrame, keys: Sequence[str], text_col: str = "text") ->
 def equipment_rows(text: str) -> list[tuple[str, str, str, str]]:
     import re
 
-    upper, sections = text.upper(), []
+    sections = []
     for h in fixed.EQUIPMENT_HEADERS:
-        if (at := upper.find(h)) >= 0:
-            stop = re.search(fixed.NEXT_HEADING, upper[at + 100 : at + 5000], re.IGNORECASE)
+        if (found := re.search(re.escape(h), text, re.IGNORECASE)) is not None:
+            at = found.start()
+            stop = re.search(fixed.NEXT_HEADING, text[at + 100 : at + 5000], re.IGNORECASE)
             sections.append(text[at : at + 100 + stop.start() if stop else at + 5000])
     found = [(m[1], m[1].split("-")[0], m.start(), m.end(), s) for s in sections for m in re.finditer(r"\b([A-Z]{1,4}-\d+[A-Z]?)\b", s)]
     near = lambda x, a, b: x[4][max(0, x[2] - a) : x[3] + b]

@@ -72,3 +72,10 @@ def stored_versions(outputs: DataFrame) -> DataFrame:
 def without_job(jobs: DataFrame, job_id: str) -> tuple[DataFrame, bool]:
     """Jobs without one, and whether there was one."""
     return jobs.where(F.col("job_id") != job_id), jobs.where(F.col("job_id") == job_id).limit(1).count() > 0
+
+
+def search(projects: DataFrame, text: str = "", kind: str | None = None) -> DataFrame:
+    """Projects of a kind (all without one) whose id or name contains a text, in any case."""
+    low = F.lit(text.lower())
+    out = projects.where(F.contains(F.lower("project_id"), low) | F.contains(F.lower(F.coalesce("name", F.lit(""))), low))
+    return out.where(F.col("type") == kind) if kind and kind != "all" else out

@@ -1,6 +1,6 @@
 """Rules as data: one engine for flags, matches, counts and pairs, native or with context windows.
 
-The native form joins texts with a broadcast rule table of bounded size (``MOST_RULES``). The context form reads
+The native form makes literals of a short rule table; a longer one is joined in broadcast blocks of bounded size (``MOST_RULES``). The context form reads
 each text once in Arrow batches and gives the rule's template the text around its match.
 """
 
@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_RULES = 10_000
+#: Rules that become literals of the plan, and rules of a block that is broadcast beyond.
+MOST_LITERALS, MOST_RULES = 200, 10_000
 ITEM = "description string, trade string, quantity double, unit string, confidence double"
 
 
@@ -27,16 +28,21 @@ def apply_rules(docs: DataFrame, rules: DataFrame, mode: str, keys: Sequence[str
     count  keys, ord, name, hit, n: every distinct match and how often
     pairs  keys, first, second: two different rules found in one text, in rule order
     """
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; apply them in blocks")
-    met = docs.select(*keys, F.col(text_col).alias("_text")).join(F.broadcast(rules), F.expr("_text RLIKE pattern"))
+    few = rules.select("ord", "name", "pattern", "grp").limit(MOST_LITERALS + 1).collect()
+    text = docs.select(*keys, F.col(text_col).alias("_text"))
+    if len(few) <= MOST_LITERALS:
+        # literal patterns are compiled once, and a text meets all rules in one pass of the plan
+        one = [F.when(F.col("_text").rlike(r["pattern"]), F.struct(*(F.lit(r[c]).alias(c) for c in ("ord", "name", "pattern", "grp")), (F.regexp_extract_all("_text", F.lit(r["pattern"]), F.lit(r["grp"])) if mode in ("each", "count") else F.lit(None).cast("array<string>")).alias("hits"))) for r in few]
+        met = text.withColumn("_met", F.explode(F.array_compact(F.array(*one)))).select(*keys, "_met.*") if one else text.limit(0).selectExpr(*keys, "0 AS ord", "'' AS name", "'' AS pattern", "0 AS grp", "array('') AS hits")
+    else:
+        met = _by_blocks(text, rules).withColumn("hits", F.regexp_extract_all("_text", F.col("pattern"), F.col("grp")))
     if mode == "flag":
         return met.select(*keys, "ord", "name")
     if mode == "pairs":
         names = met.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("ord", "name"))).alias("r"))
         two = F.flatten(F.transform("r", lambda a, i: F.transform(F.slice("r", i + 2, F.size("r")), lambda b: F.struct(a["name"].alias("first"), b["name"].alias("second")))))
         return names.select(*keys, F.explode(two).alias("p")).select(*keys, "p.first", "p.second")
-    each = met.select(*keys, "ord", "name", F.explode(F.regexp_extract_all("_text", F.col("pattern"), F.col("grp"))).alias("hit"))
+    each = met.select(*keys, "ord", "name", F.explode("hits").alias("hit"))
     if mode == "each":
         return each
     if mode == "count":
@@ -44,6 +50,17 @@ def apply_rules(docs: DataFrame, rules: DataFrame, mode: str, keys: Sequence[str
     raise ValueError(f"no such mode: {mode}")
 
 
+def _by_blocks(text: DataFrame, rules: DataFrame, block: int = MOST_RULES) -> DataFrame:
+    """Texts with the rules they meet; each block of rules, by hash, is small enough to be broadcast, and there are as many blocks as are needed."""
+    n = rules.count() // (block // 2) + 1
+    dealt = rules.withColumn("_b", F.pmod(F.xxhash64("ord", "name", "pattern"), F.lit(n)))
+    out = None
+    for b in range(n):
+        part = text.join(F.broadcast(dealt.where(F.col("_b") == b).drop("_b")), F.expr("_text RLIKE pattern"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def found_any(text: Column, patterns: Sequence[str], ignore_case: bool = True) -> Column:
     """Whether any pattern is found, as one alternation that is compiled once."""
     return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
@@ -71,6 +88,21 @@ def filter_by_rules(items: DataFrame, rules: Sequence[dict], defaults: Sequence[
     return items.where(~F.coalesce(hit, F.lit(False)))
 
 
+def learn_rules(ask: Callable[[list[str], list[str]], list[dict]] | None, wrong: Sequence[str], right: Sequence[str], defaults: Sequence[tuple[str, str]], most: int = 40) -> list[dict]:
+    """Filter rules from examples: those that ``ask`` (a language model behind it, say) makes of at most ``most`` wrong and right descriptions.
+
+    Answers without a pattern are left out. Without ``ask``, without wrong examples, after a failed call and after an empty answer the defaults hold.
+    """
+    usual = [{"pattern": p, "action": "remove", "reason": why} for p, why in defaults]
+    if ask is None or not wrong:
+        return usual
+    try:
+        said = ask(list(wrong)[:most], list(right)[:most])
+    except Exception:  # a model that is out of reach must not end the job
+        return usual
+    return [r for r in said or () if isinstance(r, dict) and r.get("pattern")] or usual
+
+
 @dataclass(frozen=True)
 class Rule:
     """One rule of the context form.
@@ -117,15 +149,16 @@ def items_of(text: str, rules: Sequence[Rule]) -> list[tuple]:
     return [x for r in rules for x in r.items(text, upper)]
 
 
-def generate(docs: DataFrame, keys: Sequence[str], generate_items: Callable[[str], list[tuple]], text_col: str = "text") -> DataFrame:
-    """``keys``, seq and item columns: what ``generate_items`` gives for each text, numbered within the text."""
+def generate(docs: DataFrame, keys: Sequence[str], generate_items: Callable[..., list[tuple]], text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:
+    """``keys``, seq and item columns: what ``generate_items`` gives for each text (and the values of ``extra``), numbered within the text."""
     kinds = dict(docs.dtypes)
     names = ["description", "trade", "quantity", "unit", "confidence"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(*key, i, *item) for *key, text in pdf.itertuples(index=False) for i, item in enumerate(generate_items(text or ""))]
+            n = len(keys)
+            out = [(*row[:n], i, *item) for row in pdf.itertuples(index=False, name=None) for i, item in enumerate(generate_items(row[n] or "", *row[n + 1 :]))]
             got = pd.DataFrame(out, columns=[*keys, "seq", *names])
             yield got.astype({"quantity": "float64", "confidence": "float64"})
 
-    return docs.select(*keys, text_col).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", seq long, {ITEM}")
+    return docs.select(*keys, text_col, *extra).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", seq long, {ITEM}")

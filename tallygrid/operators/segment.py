@@ -18,6 +18,19 @@ def lines(df: DataFrame, keys: Sequence[str], text_col: str = "text", trim: bool
     return out.where(F.length("line") >= least) if least else out
 
 
+def keyword_lines(pages: DataFrame, keys: Sequence[str], page: str, keywords: Sequence[str], most: int = 30, text_col: str = "text") -> DataFrame:
+    """``keys``, n, line: the first ``most`` lines of each key, by page and place, that contain a keyword in any case, with their page in front."""
+    from pyspark.sql import Window
+
+    each = pages.select(*keys, page, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
+    hit = F.lit(False)
+    for w in keywords:
+        hit = hit | F.contains(F.lower("line"), F.lit(w.lower()))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(page, "pos", "line"))
+    found = each.where(hit).withColumn("n", n).where(F.col("n") <= most)
+    return found.select(*keys, "n", F.concat(F.lit("Page "), F.col(page).cast("string"), F.lit(": "), F.trim("line")).alias("line"))
+
+
 def compact(text: Column) -> Column:
     """The trimmed lines of a text without the empty ones."""
     return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")

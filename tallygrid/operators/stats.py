@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, text
@@ -73,3 +73,34 @@ def items_per_file(files: DataFrame, items: DataFrame) -> DataFrame:
 def dashboard(projects: DataFrame) -> DataFrame:
     """Projects in all, with output, with an evaluation, by type."""
     return projects.agg(F.count(F.lit(1)).alias("projects"), F.count_if("has_output").alias("with_output"), F.count_if("has_evaluation").alias("with_evaluation"), F.count_if(F.col("type") == "sample").alias("samples"), F.count_if(F.col("type") == "challenge").alias("challenges"))
+
+
+def keyword_pages(pages: DataFrame, page: str, keywords: Sequence[str], most: int = 10, text_col: str = "text") -> DataFrame:
+    """``keyword``, pages, n: how many pages contain each keyword, in any case, and the first ``most`` of them.
+
+    A page is counted once a keyword. Ranks are bounded before rows are shuffled, so a common keyword does not gather all of its pages.
+    """
+    hits = F.array_compact(F.array(*(F.when(F.contains(F.lower(text_col), F.lit(w.lower())), w) for w in keywords)))
+    each = pages.select(F.col(page).alias("page"), F.explode(hits).alias("keyword"))
+    first = each.withColumn("at", F.row_number().over(Window.partitionBy("keyword").orderBy("page"))).where(F.col("at") <= most)
+    listed = first.groupBy("keyword").agg(F.array_sort(F.collect_list("page")).alias("pages"))
+    return each.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).join(listed, "keyword").select("keyword", "pages", "n")
+
+
+def category_report(items: DataFrame, keys: Sequence[str], groups: Sequence[tuple[str, Sequence[str]]], order: Sequence[str], most: int = 5, text_col: str = "description") -> DataFrame:
+    """``keys``, category, n, first: for each named group of keywords, how many items contain one of them, and the first ``most`` of these in ``order``."""
+    hits = F.array_compact(F.array(*(F.when(classify.any_of(F.lower(text_col), [w.lower() for w in words]), name) for name, words in groups)))
+    each = items.select(*keys, *order, F.col(text_col).alias("said"), F.explode(hits).alias("category"))
+    first = each.withColumn("at", F.row_number().over(Window.partitionBy(*keys, "category").orderBy(*order))).where(F.col("at") <= most)
+    listed = first.groupBy(*keys, "category").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "said"))), lambda x: x["said"]).alias("first"))
+    return each.groupBy(*keys, "category").agg(F.count(F.lit(1)).alias("n")).join(listed, [*keys, "category"])
+
+
+def of_trade(items: DataFrame, trade: str | None = None) -> DataFrame:
+    """The items of one trade; all of them without one."""
+    return items.where(F.col("trade") == trade) if trade and trade != "all" else items
+
+
+def stamped(rows: DataFrame, name: str = "created_at") -> DataFrame:
+    """Rows with the time of the query."""
+    return rows.withColumn(name, F.current_timestamp())

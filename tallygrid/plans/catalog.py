@@ -141,10 +141,7 @@ def item_type(s, d):
 
 @query("keyword_pages", "SELECT k AS keyword, list_slice(list(doc_id ORDER BY doc_id), 1, 10) AS docs, count(*) AS n FROM documents, (VALUES ('license'), ('token'), ('amp')) v(k) WHERE contains(lower(text), k) GROUP BY k")
 def keyword_pages(s, d):
-    hits = F.array_compact(F.array(*(F.when(F.contains(F.lower("text"), F.lit(w)), w) for w in ("license", "token", "amp"))))
-    each = _docs(s, d).select("doc_id", F.explode(hits).alias("keyword"))
-    ten = jobs.tail(each.withColumn("_o", -F.col("doc_id")), ["keyword"], ["_o"], 10).groupBy("keyword").agg(F.array_sort(F.collect_list("doc_id")).alias("docs"))
-    return each.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).join(ten, "keyword").select("keyword", "docs", "n")
+    return stats.keyword_pages(_docs(s, d), "doc_id", ("license", "token", "amp")).withColumnRenamed("pages", "docs")
 
 
 # deduplication
@@ -186,10 +183,11 @@ def tuple_dedup(s, d):
     return dedup.first_of(table(s, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query("contains_dedup", "SELECT n_nationkey FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE contains(lower(r_name), lower(n.n_name)))")
+@query("contains_dedup", "SELECT p_partkey FROM part n WHERE p_size < 25 AND NOT EXISTS (SELECT 1 FROM part o WHERE o.p_brand = n.p_brand AND o.p_size >= 25 AND contains(lower(concat(o.p_name, ' ', o.p_type)), lower(n.p_name)))")
 def contains_dedup(s, d):
-    new = table(s, d, "nation").select("n_nationkey", F.col("n_name").alias("text"))
-    return dedup.not_contained(new, table(s, d, "region").select(F.col("r_name").alias("text")), [], "text").select("n_nationkey")
+    part = table(s, d, "part")
+    new = part.where("p_size < 25").select("p_partkey", "p_brand", F.col("p_name").alias("text"))
+    return dedup.not_contained(new, part.where("p_size >= 25").select("p_brand", F.concat_ws(" ", "p_name", "p_type").alias("text")), ["p_brand"], "text").select("p_partkey")
 
 
 @query("smart_dedup")
@@ -305,71 +303,14 @@ def rule_filter_dynamic(s, d):
     return got.select("p_partkey")
 
 
-@query("quantity_lines", f"SELECT doc_id, pos, unnest(regexp_extract_all(line, '([0-9]{{1,6}}) +[a-z]', 1))::DOUBLE AS quantity FROM {_LINES}")
-def quantity_lines(s, d):
-    found = segment.lines(_docs(s, d), ["doc_id"]).select("doc_id", "pos", F.explode(F.regexp_extract_all("line", F.lit("([0-9]{1,6}) +[a-z]"), F.lit(1))).alias("q"))
-    return found.select("doc_id", "pos", F.col("q").cast("double").alias("quantity"))
-
-
-@query("units")
-def units(s, d):
-    return _docs(s, d).select("doc_id", F.explode(text.quantities(F.col("text"))).alias("q")).select("doc_id", "q.*")
-
-
-@query("code_extract", "SELECT p_partkey, unnest(regexp_extract_all(p_brand, '[A-Z][a-z]+#([0-9]+)', 1)) AS code FROM part UNION ALL SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{3}-[0-9]{2,4}')) FROM documents")
-def code_extract(s, d):
-    one = table(s, d, "part").select("p_partkey", F.explode(F.regexp_extract_all("p_brand", F.lit("[A-Z][a-z]+#([0-9]+)"), F.lit(1))).alias("code"))
-    return one.union(_docs(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{3}-[0-9]{2,4}"), F.lit(0)))))
-
-
-@query("count_matches", "SELECT hit, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[0-9]+')) AS hit FROM documents) GROUP BY hit")
+@query("count_matches", "SELECT source, 0 AS ord, 'number' AS name, hit, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(text, '[0-9]+')) AS hit FROM documents) GROUP BY source, hit")
 def count_matches(s, d):
-    return _docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("hit")).groupBy("hit").agg(F.count(F.lit(1)).alias("n"))
+    return rules.apply_rules(_docs(s, d), s.createDataFrame([(0, "number", "[0-9]+", 0)], "ord int, name string, pattern string, grp int"), "count", ["source"])
 
 
 # joins and grouped counts
 
 
-@query("semi_used_codes", "SELECT p_partkey, p_brand FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey)")
-def semi_used_codes(s, d):
-    return table(s, d, "part").join(table(s, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
-
-
-@query("left_lookup", "SELECT o_orderkey, coalesce(c_name, 'none') AS c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0")
-def left_lookup(s, d):
-    c = table(s, d, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
-    return table(s, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.coalesce("c_name", F.lit("none")).alias("c_name"))
-
-
-@query("inner_lookup", "SELECT c_mktsegment, n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
-def inner_lookup(s, d):
-    c = table(s, d, "customer").join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name")
-    got = table(s, d, "orders").select("o_custkey", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return got.groupBy("c_mktsegment", "n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
-@query("anti_missing", "SELECT c_custkey, substr(c_name, 1, 100) AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def anti_missing(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", F.substring("c_name", 1, 100).alias("name"))
-
-
-@query("anti_extra", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
-def anti_extra(s, d):
-    r = table(s, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey")
-    return table(s, d, "orders").join(r, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
-
-
-@query("fusion_lookup", "SELECT p_brand, p_size, count(*) AS n, max(s.s_name) AS name FROM part JOIN supplier s ON s_suppkey = p_size GROUP BY ALL")
-def fusion_lookup(s, d):
-    sup = table(s, d, "supplier").select("s_suppkey", "s_name")
-    return table(s, d, "part").join(sup, F.col("s_suppkey") == F.col("p_size")).groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"), F.max("s_name").alias("name"))
-
-
-@query("group_code_height", "SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL")
-def group_code_height(s, d):
-    return table(s, d, "part").groupBy("p_brand", "p_size").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "qty_diff",
     "SELECT o_orderkey, CASE WHEN o_totalprice > 0 THEN round((p - o_totalprice) / o_totalprice * 100, 2) END AS pct_diff FROM orders JOIN (SELECT l_orderkey, sum(l_quantity * 1000) AS p FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey",
@@ -426,13 +367,6 @@ def file_inventory(s, d):
     return readers.inventory(found).select("path", "size_mb", "md5")
 
 
-@query("terms_on_pages", "SELECT r_name AS term, page_id FROM region, pages WHERE instr(lower(html), lower(r_name)) > 0")
-def terms_on_pages(s, d):
-    terms = table(s, d, "region").select(F.col("r_name").alias("term"), F.lower("r_name").alias("low"))
-    got = context.terms_on_pages(terms.select("low", "term"), table(s, d, "pages").select("page_id", F.lower("html").alias("text")), [], "low")
-    return got.join(F.broadcast(terms), "low").select("term", "page_id")  # five regions
-
-
 # job views
 
 
@@ -461,11 +395,6 @@ def locf_stage(s, d):
     return parsers.carried(e, ["user_id"], "told", ["ts", "event_id"], "stage_now").select("event_id", "stage_now")
 
 
-@query("json_props", "SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def json_props(s, d):
-    return table(s, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
 @query("pending_pages", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)")
 def pending_pages(s, d):
     return jobs.pending(table(s, d, "pages"), table(s, d, "labels").withColumnRenamed("doc_id", "page_id"), ["page_id"]).select("page_id")
@@ -474,19 +403,26 @@ def pending_pages(s, d):
 # matching
 
 
-@query("score_words", "SELECT item_id, unnest(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z]{8,}')))) AS word FROM benchmark")
-def score_words(s, d):
-    w = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))))
-    return table(s, d, "benchmark").select("item_id", F.explode(w).alias("word"))
+#: Distinct words of four letters or more, without stop words. A word ends where letters, digits and underscores of any alphabet end.
+_WORDS = (
+    "SELECT {k}, unnest(list_filter(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')), lambda w: regexp_matches(w, '^[a-z]{{4,}}$') AND NOT list_contains(["
+    + ", ".join(f"'{w}'" for w in fixed.STOP_WORDS)
+    + "], w))) AS word FROM {t}"
+)
 
 
-_W = "SELECT {k}, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{10,}}'))) AS w FROM {t}"
+@query("score_words", _WORDS.format(k="item_id", t="benchmark"))
+def score_words(s, d):
+    return table(s, d, "benchmark").select("item_id", F.explode(text.significant_words(F.col("text"))).alias("word"))
 
 
-@query("word_overlap_block", f"SELECT item_id, doc_id, count(*) AS n FROM ({_W.format(k='item_id', t='benchmark')}) JOIN ({_W.format(k='doc_id', t='documents')}) USING (w) GROUP BY ALL HAVING count(*) >= 2")
+@query(
+    "word_overlap_block",
+    f"SELECT item_id, doc_id, count(*) AS n FROM ({_WORDS.format(k='item_id', t='benchmark')}) JOIN ({_WORDS.format(k='doc_id', t='documents')}) USING (word) GROUP BY ALL HAVING count(*) >= 2",
+)
 def word_overlap_block(s, d):
-    w = lambda t, k: table(s, d, t).select(k, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{10,}"), F.lit(0)))).alias("w"))
-    return w("benchmark", "item_id").join(w("documents", "doc_id"), "w").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    words = lambda t, k: table(s, d, t).select(k, F.explode(text.significant_words(F.col("text"))).alias("word"))
+    return words("benchmark", "item_id").join(words("documents", "doc_id"), "word").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def _sides(s, d):
@@ -507,9 +443,7 @@ def greedy_match(s, d):
 
 @query("best_match")
 def best_match(s, d):
-    e, p = _sides(s, d)
-    pairs = e.select("project_id", F.col("seq").alias("e"), F.col("description").alias("a")).join(p.select("project_id", F.col("seq").alias("p"), F.col("description").alias("b")), "project_id")
-    return match.best(pairs.select("project_id", "e", "p", similarity.ratio_of("a", "b").alias("score")))
+    return match.best_by_ratio(*_sides(s, d))
 
 
 @query("match_report")
@@ -521,10 +455,17 @@ def match_report(s, d):
 
 
 def _pages(s, d):
-    """Documents as pages: a source is a project, a language a file."""
+    """Documents as pages: a source is a project, a language and a kind a file; each page ends with phrases of plans and specifications."""
+    from tallygrid.plans.phrasebook import BOOKS
+
+    said = [p for _, book in BOOKS.values() for p, _ in book]
     kind = F.when(F.col("doc_id") % 3 == 0, "drawing").when(F.col("doc_id") % 3 == 1, "spec").otherwise("sow")
     file = F.concat_ws("-", "source", "lang", kind)
-    return _docs(s, d).select(F.col("source").alias("project_id"), file.alias("file_id"), file.alias("file_name"), kind.alias("file_type"), F.col("doc_id").cast("int").alias("page_number"), "text")
+    phrase = F.element_at(F.array(*(F.lit(p) for p in said)), (F.col("doc_id") % len(said) + 1).cast("int"))
+    for k, n in (("{a}", 50), ("{b}", 90), ("{c}", 25)):
+        phrase = F.replace(phrase, F.lit(k), (F.col("doc_id") % n + 10).cast("string"))
+    text_ = F.concat_ws("\n", "text", phrase)
+    return _docs(s, d).select(F.col("source").alias("project_id"), file.alias("file_id"), file.alias("file_name"), kind.alias("file_type"), F.col("doc_id").cast("int").alias("page_number"), text_.alias("text"))
 
 
 def _pipeline(mode: str):

@@ -815,3 +815,190 @@ def contained_items(s, d):
     new = _made(s, d, {"p_partkey": "p_partkey", "p_brand": "p_brand", "text": "p_name"}, where="p_size >= 10")
     old = _made(s, d, {"p_brand": "p_brand", "text": "concat('Round ', p_name, ' duct')"}, where="p_size < 10")
     return dedup.not_contained(new, old, ["p_brand"], "text").select("p_partkey")
+
+
+# reports, filters, plugged-in models
+
+_GROUPS = (("blue", ("blue", "navy")), ("any red", ("RED",)), ("none", ("zzzz",)))
+
+
+@query(
+    "category_report",
+    "WITH h AS (SELECT p_brand, p_partkey, p_name, unnest(list_filter([CASE WHEN contains(lower(p_name), 'blue') OR contains(lower(p_name), 'navy') THEN 'blue' END, CASE WHEN contains(lower(p_name), 'red') THEN 'any red' END], lambda x: x IS NOT NULL)) AS category FROM part) "
+    "SELECT p_brand, category, count(*) AS n, array_to_string(list_slice(list(p_name ORDER BY p_partkey), 1, 5), '|') AS first FROM h GROUP BY 1, 2",
+)
+def category_report(s, d):
+    got = stats.category_report(table(s, d, "part"), ["p_brand"], _GROUPS, ["p_partkey"], text_col="p_name")
+    return got.withColumn("first", F.array_join("first", "|"))
+
+
+@query(
+    "line_filter_keywords",
+    """WITH l AS (SELECT source, doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)
+    SELECT source, n::INT AS n, concat('Page ', doc_id, ': ', trim(line)) AS line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos, line) AS n FROM l WHERE contains(lower(line), 'license') OR contains(lower(line), 'token')) WHERE n <= 30""",
+)
+def line_filter_keywords(s, d):
+    return segment.keyword_lines(table(s, d, "documents"), ["source"], "doc_id", ("License", "token"))
+
+
+@query("learned_rules", "SELECT p_partkey FROM part WHERE p_partkey % 8 NOT IN (0, 7)")
+def learned_rules(s, d):
+    said = F.element_at(F.array(*(F.lit(x) for x in _FALSE)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    learned = rules.learn_rules(lambda wrong, right: [{"pattern": f"^{w}$", "action": "remove"} for w in wrong] + [{"action": "remove"}], ["SECTION 09", "Vinyl"], ["Paint wall"], fixed.DEFAULT_FILTERS)
+    return rules.filter_by_rules(table(s, d, "part").select("p_partkey", said.alias("description")), learned, fixed.DEFAULT_FILTERS).select("p_partkey")
+
+
+@query("trade_filter", "SELECT p_partkey FROM part WHERE p_type = (SELECT min(p_type) FROM part)")
+def trade_filter(s, d):
+    part = table(s, d, "part").select("p_partkey", F.col("p_type").alias("trade"))
+    return stats.of_trade(part, part.agg(F.min("trade")).first()[0]).select("p_partkey")
+
+
+@query("project_search", "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND (contains(lower(concat('P', p_partkey)), 'p1') OR contains(lower(p_name), 'p1'))")
+def project_search(s, d):
+    p = table(s, d, "part").select("p_partkey", F.expr("concat('P', p_partkey)").alias("project_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") % 2 == 0, "sample").otherwise("challenge").alias("type"))
+    return projects.search(p, "P1", "sample").select("p_partkey")
+
+
+@query("load_ratio", "SELECT p_partkey, p_size / greatest(p_partkey % 9, 1) AS ratio, p_size / greatest(p_partkey % 9, 1) > 2.0 AS heavy, p_size / greatest(p_partkey % 9, 1) > 1.5 AS moderate, p_partkey % 4000 < 2048 AS low_memory FROM part")
+def load_ratio(s, d):
+    return table(s, d, "part").select("p_partkey", classify.load_flags(F.col("p_size").cast("double"), F.col("p_partkey") % 9, F.col("p_partkey") % 4000).alias("x")).select("p_partkey", "x.*")
+
+
+@query(
+    "llm_chunks",
+    "SELECT p_partkey, seq, CASE seq WHEN 0 THEN concat('RTU-', p_size) ELSE p_name END AS description, CASE seq WHEN 0 THEN 'HVAC' ELSE 'Other' END AS trade, CASE seq WHEN 0 THEN 2.0::DOUBLE END AS quantity FROM part, (VALUES (0::BIGINT), (1::BIGINT)) v(seq) WHERE p_size % 5 <> 0",
+)
+def llm_chunks(s, d):
+    def ask(prompt: str) -> str:
+        """A stand-in for a model; it fails on some chunks, always."""
+        import json
+
+        said, size = prompt.rsplit("\n", 1)[1].split("|")
+        if int(size) % 5 == 0:
+            raise ConnectionError
+        return f"Here: ```json\n{json.dumps({'items': [{'description': f'RTU-{size}', 'trade': 'HVAC', 'quantity': '2'}, {'description': said}]})}\n```"
+
+    chunks = _made(s, d, {"p_partkey": "p_partkey", "kind": "'rtu'", "section": "concat(p_name, '|', p_size)"})
+    return takeoff.chunk_items(chunks, ask, ["p_partkey"], attempts=2, wait=0.0).select("p_partkey", "seq", "description", "trade", "quantity")
+
+
+@query("unparsed_schedules", "SELECT p_partkey, 0::BIGINT AS n FROM part")
+def unparsed_schedules(s, d):
+    p = table(s, d, "part").select("p_partkey", F.col("p_name").alias("text"))
+    found = [rules.generate(p, ["p_partkey"], lambda t, kind=kind: generators.unparsed_schedule(t, kind)) for kind in generators.UNPARSED_SCHEDULES]
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return p.select("p_partkey").join(every.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")), "p_partkey", "left").fillna({"n": 0})
+
+
+def _numbers(content: bytes) -> list[int]:
+    return [int(x) for x in content.decode().split(",")]
+
+
+@query("page_images", "SELECT p_partkey, n::INT AS page_number, (p_size + n)::VARCHAR AS said FROM part, (VALUES (1), (3)) v(n) WHERE p_size % 7 <> 0")
+def page_images(s, d):
+    def render(content: bytes, wanted) -> list[tuple[int, bytes]]:
+        (size,) = _numbers(content)
+        if size % 7 == 0:
+            raise ValueError("damaged")
+        return [(n, str(size + n).encode()) for n in range(1, 5) if wanted is None or n in wanted]
+
+    found = table(s, d, "part").select("p_partkey", F.encode(F.col("p_size").cast("string"), "UTF-8").alias("content"))
+    got = readers.images(found, render, ["p_partkey"], page_numbers=(1, 3))
+    return got.select("p_partkey", "page_number", F.decode("image", "UTF-8").alias("said"))
+
+
+@query(
+    "page_regions",
+    """WITH b AS (SELECT p_partkey, unnest([10, 700, p_size * 10])::DOUBLE AS x1, unnest([10, 690, 300])::DOUBLE AS y1, unnest([10 + p_size * 3, 900, p_size * 10 + 100])::DOUBLE AS x2, unnest([40, 780, 320])::DOUBLE AS y2, unnest([0.5, 0.5, 0.01])::DOUBLE AS fill FROM part)
+    SELECT p_partkey, x1, y1, x2, y2, CASE WHEN (y1 + y2) / 2 > 680 AND (x1 + x2) / 2 > 600 THEN 'title_block' WHEN ((x1 + x2) / 2 > 600 AND y2 - y1 > 80) OR y2 - y1 > 240 THEN 'schedule' WHEN (y1 + y2) / 2 < 240 AND (x1 + x2) / 2 < 500 THEN 'notes' ELSE 'callout' END AS kind
+    FROM b WHERE fill BETWEEN 0.05 AND 0.9 AND x2 - x1 BETWEEN 40 AND 4000 AND y2 - y1 BETWEEN 15 AND 4000 AND (x2 - x1) / (y2 - y1) BETWEEN 0.3 AND 15""",
+)
+def page_regions(s, d):
+    def detect(image: bytes):
+        (size,) = _numbers(image)
+        return 1000, 800, [(10, 10, 10 + size * 3, 40, 0.5), (700, 690, 900, 780, 0.5), (size * 10, 300, size * 10 + 100, 320, 0.01)]
+
+    return readers.regions(table(s, d, "part").select("p_partkey", F.encode(F.col("p_size").cast("string"), "UTF-8").alias("image")), detect, ["p_partkey"])
+
+
+@query("vision_items", "SELECT p_brand, page_number, 0::BIGINT AS seq, concat('item ', p_size) AS description, 'Other' AS trade FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS page_number FROM part) WHERE page_number <= 3 AND p_size % 4 <> 0")
+def vision_items(s, d):
+    from pyspark.sql import Window
+
+    def look(image: bytes) -> list[dict]:
+        (size,) = _numbers(image)
+        if size % 4 == 0:
+            raise ValueError
+        return [{"description": f"item {size}"}, {"description": ""}]
+
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).cast("long")
+    return readers.seen_items(table(s, d, "part").select("p_brand", n.alias("page_number"), F.encode(F.col("p_size").cast("string"), "UTF-8").alias("image")), look, ["p_brand"], most_pages=3)
+
+
+@query("image_skew", "SELECT p_partkey, (p_partkey % 5 - 2)::DOUBLE AS turned, p_size > 0 AS level FROM part WHERE p_partkey <= 20")
+def image_skew(s, d):
+    """Pages of level lines, turned by a known angle, are found to be turned by it and level afterwards."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        from tallygrid.functions import image
+
+        page = np.full((120, 120), 255.0)
+        page[20:100:20, 10:110] = page[21:101:20, 10:110] = 0.0
+        for pdf in batches:
+            angles = [float(k % 5 - 2) for k in pdf["p_partkey"]]
+            found = [-image.skew(image.rotated(page, a)) for a in angles]
+            level = [image.row_variance(image.prepared(image.rotated(page, a))) > image.row_variance(image.rotated(page, 4)) for a in angles]
+            yield pd.DataFrame({"p_partkey": pdf["p_partkey"], "turned": [round(x, 6) + 0.0 for x in found], "level": level})
+
+    return table(s, d, "part").where("p_partkey <= 20").select("p_partkey").mapInPandas(run, "p_partkey long, turned double, level boolean")
+
+
+
+@query("workbook_sink", "SELECT p_brand AS project_id, count(*) AS items, md5(string_agg(p_name, '|' ORDER BY p_partkey)) AS said FROM part GROUP BY 1")
+def workbook_sink(s, d):
+    """The workbooks, read back: the number of lines and the descriptions of the sheet of line items."""
+    items = _made(s, d, _LINES)
+    other = items.where("seq % 5 = 0").select("project_id", "seq", "description")
+
+    def run(batches):
+        import hashlib
+        import io
+        import zipfile
+        from xml.etree import ElementTree
+
+        import pandas as pd
+
+        tag = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        for pdf in batches:
+            out = []
+            for project, book in pdf.itertuples(index=False):
+                with zipfile.ZipFile(io.BytesIO(bytes(book))) as z:
+                    names = [e.get("name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{tag}sheet")]
+                    at = names.index("Line Items") + 1
+                    rows = [["".join(c.itertext()) for c in r] for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{at}.xml")).iter(f"{tag}row")]
+                said = [r[rows[0].index("description")] for r in rows[1:]]
+                out.append((project, len(said), hashlib.md5("|".join(said).encode()).hexdigest()))
+            yield pd.DataFrame(out, columns=["project_id", "items", "said"])
+
+    return sinks.workbooks(items, other, other).mapInPandas(run, "project_id string, items long, said string")
+
+
+@query("inferred_items")
+def inferred_items(s, d):
+    """What projects imply; compared with the parser of whole projects in tests."""
+    from tallygrid.plans.catalog import _pages
+
+    return takeoff.inferred_items(_pages(s, d))
+
+
+@query("takeoff_combined")
+def takeoff_combined(s, d):
+    from tallygrid.plans.catalog import _pages
+
+    return takeoff.combined_items(_pages(s, d), lambda t: [{"description": f"{len(t)} characters"}])

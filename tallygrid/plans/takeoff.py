@@ -6,13 +6,14 @@ unit, confidence, source_reference). Per-file parsers run in parallel by file; t
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.functions import classify, false_positives, fixed
+from tallygrid.functions import classify, false_positives, fixed, salvage
 from tallygrid.operators import context, dedup, generators, parsers, rules, segment
 
 ITEM = ["description", "trade", "quantity", "unit", "confidence", "source_reference"]
@@ -92,13 +93,76 @@ def default_items(pages: DataFrame, llm_filter: Callable[[list[str]], list[bool]
         every = every.unionByName(s)
     items = rules.drop_matching(_named_trades(_sequenced(every)), false_positives.FALSE_POSITIVES)
     items = dedup.by_base_longest(items, ["project_id", "trade"], "description", "seq")
-    whole = segment.joined(pages, ["project_id"], "page_number", "text")
-    more = rules.generate(whole, ["project_id"], generators.inferred).withColumn("source_reference", F.lit("project_context"))
-    both = items.unionByName(more.select("project_id", (F.col("seq") + 1_000_000_000).alias("seq"), *ITEM))
+    at = lambda d: d.withColumn("at", F.format_string("%012d", "seq"))
+    both = _sequenced(_staged(at(items), 0, ["at"]).unionByName(_staged(at(inferred_items(pages)), 1, ["at"])))
     out = dedup.by_base_longest(both, ["project_id", "trade"], "description", "seq")
     return out if llm_filter is None else plugged_filter(out, llm_filter)
 
 
+#: Characters around a page, of at most so many pages before and after it, that a match in it may look at.
+MARGIN, NEIGHBOURS = 600, 8
+
+
+def with_margins(pages: DataFrame, margin: int = MARGIN) -> DataFrame:
+    """``project_id``, page, text, start, end: each page with the ends of its neighbours' texts, and where it begins and ends in that.
+
+    A margin goes on over short pages, ``NEIGHBOURS`` of them at most. Pages stand in the order of the joined project; empty ones are left out. Only the ends of pages meet in a window, not the texts.
+    """
+    kept = pages.where(F.length("text") > 0)
+    w = Window.partitionBy("project_id").orderBy("page_number", "text_hash", "file_id")
+    ends = kept.select("project_id", "file_id", "page_number", F.md5("text").alias("text_hash"), F.right("text", F.lit(margin)).alias("tail"), F.left("text", F.lit(margin)).alias("head"))
+    before, after = F.collect_list("tail").over(w.rowsBetween(-NEIGHBOURS, -1)), F.collect_list("head").over(w.rowsBetween(1, NEIGHBOURS))
+    cut = {"before": F.right(F.array_join(before, "\n"), F.lit(margin)), "after": F.left(F.array_join(after, "\n"), F.lit(margin))}
+    ends = ends.withColumns({**{k: F.nullif(v, F.lit("")) for k, v in cut.items()}, "page": F.row_number().over(w)}).drop("tail", "head")
+    # equal pages of a file have equal places
+    ends = ends.dropDuplicates(["project_id", "file_id", "page_number", "text_hash"])
+    met = kept.select("project_id", "file_id", "page_number", "text", F.md5("text").alias("text_hash")).dropDuplicates(["project_id", "file_id", "page_number", "text_hash"])
+    both = met.join(ends, ["project_id", "file_id", "page_number", "text_hash"])
+    before, after = (F.coalesce(x, F.lit("")) for x in (F.concat("before", F.lit("\n")), F.concat(F.lit("\n"), "after")))
+    return both.select("project_id", "page", F.concat(before, "text", after).alias("text"), F.length(before).alias("start"), (F.length(before) + F.length("text")).alias("end"))
+
+
+def inferred_items(pages: DataFrame) -> DataFrame:
+    """What the whole text of a project implies (floors, transitions, words that stand together anywhere in it), and the items that every project has.
+
+    No project is joined into one row: floors and transitions are found page by page, with the ends of the pages before and after; words
+    are flags of pages, combined by project; a mat that is named twice is counted over pages. Equal items are one.
+    """
+    def found(text: str, start: int, end: int) -> list[tuple]:
+        return generators.floors(text, start, end) + generators.transitions(text, start, end)
+
+    near = rules.generate(with_margins(pages), ["project_id", "page"], found, extra=["start", "end"])
+    near = near.select("project_id", F.lit(1).alias("kind"), F.col("page").cast("long").alias("a"), F.col("seq").alias("b"), *ITEM[:5])
+    upper = F.upper(F.coalesce("text", F.lit("")))
+    needs = {w for r in generators.INFERRED for w in r.needs}
+    names = {w: f"n{i}" for i, w in enumerate(sorted(needs))}
+    mats = [F.regexp_count("text", F.lit(f"(?i){p}")) for p, _ in generators.MATS]
+    counted = pages.groupBy("project_id").agg(
+        *(F.bool_or(classify.any_of(upper, w)).alias(n) for w, n in names.items()),
+        *(F.sum(F.coalesce(m, F.lit(0))).alias(f"m{i}") for i, m in enumerate(mats)),
+        *(F.sum((F.length(upper) - F.length(F.replace(upper, F.lit(name.upper()), F.lit("")))) / len(name)).alias(f"k{i}") for i, (_, name) in enumerate(generators.MATS)),
+    )
+    rows = [F.when((F.col(f"m{i}") > 0) & (F.col(f"k{i}") >= 2), _item(2, i, (name, "Flooring", None, "EA", 0.5))) for i, (_, name) in enumerate(generators.MATS)]
+    for i, r in enumerate(generators.INFERRED):
+        every = F.lit(True)
+        for w in r.needs:
+            every = every & F.col(names[w])
+        rows.append(F.when(every, _item(3, i, (r.describe, r.trade, None, r.unit, r.confidence))))
+    rows += [_item(4, i, (said, trade, 1.0, unit, 0.7)) for i, (said, trade, unit) in enumerate(fixed.CONSTANT_ITEMS)]
+    flags = counted.select("project_id", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("project_id", "x.*")
+    once = near.unionByName(flags).groupBy("project_id", *ITEM[:5]).agg(F.min(F.struct("kind", "a", "b")).alias("first"))
+    w = Window.partitionBy("project_id").orderBy("first")
+    return once.withColumn("seq", F.row_number().over(w).cast("long")).select("project_id", "seq", *ITEM[:5], F.lit("project_context").alias("source_reference"))
+
+
+def _item(kind: int, at: int, item: tuple) -> Column:
+    said, trade, quantity, unit, confidence = item
+    return F.struct(
+        F.lit(kind).alias("kind"), F.lit(at).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(said).alias("description"), F.lit(trade).alias("trade"),
+        F.lit(quantity).cast("double").alias("quantity"), F.lit(unit).cast("string").alias("unit"), F.lit(confidence).cast("double").alias("confidence"),
+    )
+
+
 def rule_items(pages: DataFrame) -> DataFrame:
     """The second rule pipeline: context, parsers by file type, mechanical and electrical parts of every drawing, filter, prefix dedup."""
     drawings = pages.where("file_type = 'drawing'")
@@ -139,12 +203,17 @@ def critical_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("kind", classify.first_hit(F.upper("text"), [(h, (h,)) for h in CRITICAL], "")).where("kind <> ''")
 
 
-def combined_items(pages: DataFrame, extract: Callable[[str], list[dict]] | None = None) -> DataFrame:
-    """Rule items with those of a plugged-in extractor over critical pages, which are preferred; without one, the rule items."""
+def combined_items(pages: DataFrame, extract: Callable[[str], list[dict]] | None = None, most_chars: int = 12_000) -> DataFrame:
+    """Rule items with those of a plugged-in extractor over critical pages, which are preferred; without one, the rule items.
+
+    A page is sent whole, in pieces of at most ``most_chars`` characters, a call a piece.
+    """
     by_rule = rule_items(pages)
     if extract is None:
         return by_rule
-    said = plugged_extractor(critical_pages(pages).select("project_id", "file_name", F.substring("text", 1, 12_000).alias("text")), extract)
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(most_chars))
+    pieces = F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(most_chars)))
+    said = plugged_extractor(critical_pages(pages).select("project_id", "file_name", F.explode(pieces).alias("text")), extract)
     return dedup.by_prefix_preferred(said, by_rule, ["project_id", "trade"], "description", ["seq"])
 
 
@@ -163,6 +232,46 @@ def plugged_extractor(texts: DataFrame, extract: Callable[[str], list[dict]]) ->
     return got.select("project_id", "seq", "description", "trade", "quantity", "unit", "confidence", F.col("file_name").alias("source_reference"))
 
 
+# What a model is asked for, by the kind of a chunk.
+CHUNK_ASKS = {
+    "diffuser": "diffusers, registers and grilles, with tag, size, flow, material and maker",
+    "vav": "terminal units, with tag, flow, maker and model",
+    "rtu": "rooftop units, with tag, flow, voltage, maker and model",
+    "lighting": "lighting fixtures, with tag, description, maker and model",
+    "panel": "panels and breakers, with tag, rating and voltage",
+    "equipment": "units of equipment, with tag, type, maker and model",
+    "door": "doors, with number, size, material and hardware",
+    "finish": "finishes, with code, material, maker, product and color",
+}
+
+
+def chunk_prompt(kind: str, text: str, file_name: str = "") -> str:
+    """A prompt for one chunk, by its kind."""
+    return f'List the {CHUNK_ASKS.get(kind, "construction items")} in this text as JSON {{"items": [...]}}.\nFILE: {file_name}\n\n{text}'
+
+
+def chunk_items(chunks: DataFrame, ask: Callable[[str], str], keys: list[str], attempts: int = 5, wait: float = 2.0) -> DataFrame:
+    """Items of ``chunks(keys, kind, section)`` by a plugged-in model: ``keys``, seq and item columns.
+
+    A call that raises is tried again, ``attempts`` times in all, after ``wait``, 2 * ``wait``, 4 * ``wait`` ... seconds; then, and for an answer that has no
+    items, the chunk gives none.
+    """
+
+    def parse(text: str, kind: str) -> list[tuple]:
+        for k in range(attempts):
+            try:
+                said = ask(chunk_prompt(kind, text))
+                break
+            except Exception:  # a model may fail in any way; the next attempt may not
+                if k + 1 < attempts:
+                    time.sleep(wait * 2**k)
+        else:
+            return []
+        return [(x["description"], x["trade"] or "Other", x["quantity"], x["unit"], x["confidence"]) for x in salvage.items(said)]
+
+    return rules.generate(chunks, keys, parse, text_col="section", extra=["kind"])
+
+
 def plugged_filter(items: DataFrame, keep: Callable[[list[str]], list[bool]], batch: int = 50, on_error: str = "keep") -> DataFrame:
     """Items that a function keeps, called with ``batch`` descriptions at a time; ``on_error`` 'keep' or 'drop' says what a failed call means."""
     if on_error not in ("keep", "drop"):

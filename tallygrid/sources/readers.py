@@ -147,3 +147,59 @@ def project_type(listing: DataFrame, projects: DataFrame, marker: str = "expecte
 def listed(listing: DataFrame) -> DataFrame:
     """A folder's entries, folders first, then by name in any case."""
     return listing.orderBy(F.desc("is_dir"), F.lower(F.element_at(F.split("path", "/"), -1)), "path")
+
+
+def images(found: DataFrame, render: Callable[[bytes, Sequence[int] | None], list[tuple[int, bytes]]], keys: Sequence[str] = ("path",), page_numbers: Sequence[int] | None = None) -> DataFrame:
+    """``keys``, page_number, image of files by a renderer from (bytes, page numbers or all) to numbered images; a file that cannot be rendered gives none."""
+    kinds = dict(found.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, content in pdf.itertuples(index=False):
+                try:
+                    out += [(*key, n, image) for n, image in render(bytes(content), page_numbers)]
+                except Exception:  # a renderer may raise anything on a damaged file
+                    continue
+            yield pd.DataFrame(out, columns=[*keys, "page_number", "image"]).astype({"page_number": "int32"})
+
+    return found.select(*keys, "content").mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", page_number int, image binary")
+
+
+def regions(page_images: DataFrame, detect: Callable[[bytes], tuple[int, int, list[tuple[int, int, int, int, float]]]], keys: Sequence[str]) -> DataFrame:
+    """``keys``, x1, y1, x2, y2, kind: the regions of page images that may hold text.
+
+    ``detect`` gives a page's width, height and boxes (x1, y1, x2, y2, fill); what is kept, and as what, is decided by ``classify``.
+    """
+    kinds = dict(page_images.dtypes)
+    names = ["page_w", "page_h", "x1", "y1", "x2", "y2", "fill"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(*key, w, h, *box) for *key, image in pdf.itertuples(index=False) for w, h, boxes in [detect(bytes(image))] for box in boxes]
+            yield pd.DataFrame(out, columns=[*keys, *names]).astype(dict.fromkeys(names, "float64"))
+
+    boxes = page_images.select(*keys, "image").mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + ", ".join(f"{n} double" for n in names))
+    c = {n: F.col(n) for n in names}
+    kept = boxes.where(classify.real_region(c["x2"] - c["x1"], c["y2"] - c["y1"], c["fill"]))
+    return kept.select(*keys, *names[2:6], classify.region(c["x1"], c["y1"], c["x2"], c["y2"], c["page_w"], c["page_h"]).alias("kind"))
+
+
+def seen_items(page_images: DataFrame, look: Callable[[bytes], list[dict]], keys: Sequence[str], page: str = "page_number", most_pages: int = 20) -> DataFrame:
+    """``keys``, page, seq, description, trade: items that a vision model, plugged in, finds on the first ``most_pages`` pages of each key; a failed call gives none."""
+    from pyspark.sql import Window
+
+    first = page_images.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(page))).where(F.col("_n") <= most_pages)
+    kinds, at = dict(page_images.dtypes), [*keys, page]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for *key, image in pdf.itertuples(index=False):
+                try:
+                    out += [(*key, i, x["description"], x.get("trade") or "Other") for i, x in enumerate(look(bytes(image))) if x.get("description")]
+                except Exception:  # one bad answer must not end a job over a whole corpus
+                    continue
+            yield pd.DataFrame(out, columns=[*at, "seq", "description", "trade"])
+
+    return first.select(*at, "image").mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in at) + ", seq long, description string, trade string")

@@ -57,3 +57,76 @@ def largest_file(found: DataFrame, keys: Sequence[str] = ("project_id",)) -> Dat
     best = F.max(F.struct("size_mb", F.struct(F.lit(0).alias("z")).alias("_")))["size_mb"]
     top = found.groupBy(*keys).agg(best.alias("size_mb"))
     return found.join(top, [*keys, "size_mb"]).groupBy(*keys, "size_mb").agg(F.min("path").alias("path"))
+
+
+def write_intermediate(items: DataFrame, path: str) -> None:
+    """Items by project and file while a run goes on; a file that is written again replaces what it had."""
+    out = items.withColumn("project", F.col("project_id")).withColumn("file", F.col("source_reference"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "file").json(path)
+
+
+_BOOK = {
+    "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+    '<Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{parts}</Types>',
+    "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" '
+    'Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+    "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>',
+}
+
+
+def workbook(tables: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
+    """A spreadsheet file of named tables (heads, rows): numbers as numbers, nulls as empty cells, anything else as text."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape, quoteattr
+
+    def cell(v) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v:
+            return f"<c><v>{v}</v></c>"
+        clean = "".join(c for c in str(v) if c >= " " or c in "\t\n")
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+    kind = "application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"
+    link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"
+    numbered = list(enumerate(tables, 1))
+    fill = {
+        "parts": "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}"/>' for i, _ in numbered),
+        "names": "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, n in numbered),
+        "links": "".join(f'<Relationship Id="rId{i}" Type="{link}" Target="worksheets/sheet{i}.xml"/>' for i, _ in numbered),
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in _BOOK.items():
+            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + body.format(**fill))
+        for i, name in numbered:
+            heads, rows = tables[name]
+            lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(heads), *rows])
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def workbooks(items: DataFrame, missing: DataFrame, extra: DataFrame) -> DataFrame:
+    """``project_id`` and ``workbook``: each project's export sheets as one spreadsheet file. A project's items are a sheet, so they fit in memory."""
+    tables, every = sheets(items, missing, extra), None
+    for at, (name, t) in enumerate(tables.items()):
+        heads = [c for c in t.columns if c != "project_id"]
+        flat = t.withColumn("by_trade", F.to_json("by_trade")) if "by_trade" in heads else t
+        order = F.col("#").cast("long") if "#" in heads else F.col("seq").cast("long") if "seq" in heads else F.lit(0).cast("long")
+        part = flat.select("project_id", F.lit(at).alias("at"), F.lit(name).alias("name"), order.alias("n"), F.to_json(F.array(*(F.struct(F.col(f"`{c}`").alias("v")).cast("struct<v:string>") for c in heads))).alias("cells"), F.lit("\n".join(heads)).alias("heads"))
+        every = part if every is None else every.unionByName(part)
+
+    def run(pdf):
+        import json
+
+        import pandas as pd
+
+        out: dict[str, tuple[list[str], list[tuple]]] = {}
+        for r in pdf.sort_values(["at", "n"], kind="stable").itertuples(index=False):
+            out.setdefault(r.name, (r.heads.split("\n"), []))[1].append(tuple(c.get("v") for c in json.loads(r.cells)))
+        return pd.DataFrame({"project_id": [pdf["project_id"].iloc[0]], "workbook": [workbook(out)]})
+
+    kind = dict(items.dtypes)["project_id"]
+    return every.groupBy("project_id").applyInPandas(run, f"project_id {kind}, workbook binary")

@@ -292,6 +292,81 @@ def test_pipelines(spark):
     assert takeoff.plugged_filter(got, broken).count() == got.count() and takeoff.plugged_filter(got, broken, on_error="drop").count() == 0
 
 
+def test_projects_imply_what_their_joined_text_does(spark):
+    """Page by page, with margins, as from all pages of a project in one text."""
+    from tallygrid.plans import phrasebook
+
+    said = [p.replace("{a}", "7").replace("{b}", "31").replace("{c}", "12") for _, book in phrasebook.BOOKS.values() for p, _ in book]
+    texts = [f"{p}\n{'filler words ' * (i % 40)}" for i, p in enumerate(said)]
+    texts += ["Logo mat", "logo mat of rubber", "PORCELAIN TILE", "TO CARPET TRANSITION", "Manufacturer: Shaw", "carpet here", "MILLWORK", "x", None, "", "Straße mit FITTING ROOM", 'VINYL TILE 12" x 12"', "ß" * 50 + " quarter round"]
+    p = spark.createDataFrame([("p" if i % 3 else "q", "f" + str(i % 4), i, t) for i, t in enumerate(texts)], PAGE)
+    for project in ("p", "q"):
+        whole = "\n".join(r["text"] for r in p.where(F.col("project_id") == project).orderBy("page_number").collect() if r["text"])
+        want = set(generators.inferred(whole))
+        got = takeoff.inferred_items(p).where(F.col("project_id") == project).select("description", "trade", "quantity", "unit", "confidence").collect()
+        assert len(got) == len(set(got)) and set(map(tuple, got)) == want, project
+    assert takeoff.inferred_items(p.limit(0)).count() == 0
+
+
+def test_blocking_spares_frequent_words(spark):
+    import itertools
+
+    words = ["metal", "round", "panel", "copper", "valve", "steel"]
+    said = [" ".join(["frequent", *c]) for k in (1, 2, 3) for c in itertools.combinations(words, k)] + ["frequent", "", "tap"]
+    d = spark.createDataFrame([("p", i, t) for i, t in enumerate(said)], "project_id string, seq long, description string")
+    got = {(r["e"], r["p"]) for r in match.candidates(d, d).collect()}
+    bare = [not similarity.significant(t) for t in said]
+    every = {(i, j) for i, a in enumerate(said) for j, b in enumerate(said) if bare[i] or bare[j] or len(similarity.significant(a) & similarity.significant(b)) >= 2}
+    assert got == every
+
+
+def test_best_by_ratio(spark):
+    e = spark.createDataFrame([("p", 1, "round duct"), ("p", 2, "round duct"), ("p", 3, "square duct"), ("q", 4, "round duct"), ("p", 5, None)], "project_id string, seq long, description string")
+    p = spark.createDataFrame([("p", 1, "round ducts"), ("p", 2, "round duct"), ("p", 3, "something else entirely"), ("q", 4, "square ducts"), ("p", 5, "")], e.schema)
+    pairs = [(s, i, j, similarity.ratio(a or "", b or "")) for s, i, a in map(tuple, e.collect()) for t, j, b in map(tuple, p.collect()) if s == t]
+    want = match.best(spark.createDataFrame(pairs, "project_id string, e long, p long, score double"))
+    assert rows(match.best_by_ratio(e, p), "project_id", "e", "p", "score") == rows(want, "project_id", "e", "p", "score")
+
+
+def test_rules_beyond_literals(spark):
+    docs = spark.createDataFrame([(1, "alpha 12 beta 34"), (2, "gamma"), (3, None)], "id long, text string")
+    many = spark.createDataFrame([(i, f"r{i}", p, 0) for i, p in enumerate(["[0-9]+", "alpha", *[f"none{k}x" for k in range(500)]])], "ord int, name string, pattern string, grp int")
+    for mode in ("flag", "each", "count", "pairs"):
+        assert rows(rules.apply_rules(docs, many, mode, ["id"])) == rows(rules.apply_rules(docs, many.limit(2), mode, ["id"])) != []
+
+
+def test_sheets_and_intermediate_files(spark, tmp_path):
+    d = items(spark, "a & b <c>", "two", None)
+    book = sinks.workbooks(d, d.limit(0).select("project_id", "seq", "description"), d.limit(0).select("project_id", "seq", "description")).first()["workbook"]
+    import io
+    import zipfile
+
+    with zipfile.ZipFile(io.BytesIO(bytes(book))) as z:
+        assert z.testzip() is None and b"a &amp; b &lt;c&gt;" in z.read("xl/worksheets/sheet2.xml") and b'name="Line Items"' in z.read("xl/workbook.xml")
+    for n in (1, 2):
+        sinks.write_intermediate(items(spark, *["x"] * n), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_model_calls_are_tried_again(spark):
+    chunks = spark.createDataFrame([(1, "rtu", "text")], "id int, kind string, section string")
+
+    def ask(prompt, calls=[]):  # noqa: B006  counts within one worker
+        calls.append(prompt)
+        if len(calls) % 3:
+            raise TimeoutError
+        return '{"items": [{"description": "x"}]}'
+
+    assert takeoff.chunk_items(chunks, ask, ["id"], attempts=3, wait=0.0).count() == 1 and takeoff.chunk_items(chunks, ask, ["id"], attempts=2, wait=0.0).count() == 0
+    assert rules.learn_rules(lambda w, r: 1 / 0, ["a"], [], fixed.DEFAULT_FILTERS) == rules.learn_rules(None, ["a"], [], fixed.DEFAULT_FILTERS)
+
+
+def test_offsets_are_those_of_the_text():
+    """A letter that grows in capitals does not move what is found after it."""
+    assert generators.vav_schedule("ß" * 40 + "Vav Terminal Unit Schedule\nVAV-1\nTITUS / DESV")[0][0].startswith("VAV-1:\n-Mfg/Model: TITUS")
+    assert parsers.equipment_rows("ß" * 90 + "Equipment Schedule\nQQ-1 MODEL AB1 CFM 900\n")[0][0] == "QQ-1"
+
+
 def test_streams(spark, tmp_path):
     import json
 
