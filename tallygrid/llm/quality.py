@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 SYMBOLS = "#*$%&|<>"
 #: Fixed value: the characters that count as upper case; not the numerals and circled letters that have a case but are no letters.
 UPPER = regex.compile(r"\p{Lu}+")
-#: Rows of the sample on which costs and selectivities are measured.
-SAMPLE_ROWS = 500
+#: Rows of the sample on which costs and selectivities are measured, and the most bytes of a text in it.
+SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
 
 
 class View:
@@ -132,23 +132,11 @@ def measure(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Me
 def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules, by falling rejections per second on at most ``sample_rows`` rows; rules that reject none of them by rising cost.
 
-    The sample is measured where it is read, by one task; the driver gets one row a rule and 256 texts, not the texts themselves.
+    Only the first partitions are read. Texts of more than ``SAMPLE_BYTES`` are left out of the sample, so the driver gets at most the product of both.
     """
-    by = {r.name: r for r in rules}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                got = measure(batch.slice(k, 256).column(0).to_pylist(), rules)
-                n = min(256, batch.num_rows - k)
-                yield pa.RecordBatch.from_arrays([pa.array([m.rule.name for m in got], pa.string()), pa.array([m.seconds * n for m in got], pa.float64()), pa.array([m.rejected * n for m in got], pa.float64()), pa.array([n] * len(got), pa.int64())], ["rule", "seconds", "rejected", "n"])
-
-    sums: dict[str, list[float]] = {r.name: [0.0, 0.0, 0] for r in rules}
-    for row in docs.select(text_col).limit(sample_rows).mapInArrow(run, "rule string, seconds double, rejected double, n long").collect():
-        for k, x in enumerate((row["seconds"], row["rejected"], row["n"])):
-            sums[row["rule"]][k] += x
-    measured = [Measured(by[name], t / max(n, 1), hit / max(n, 1)) for name, (t, hit, n) in sums.items()]
-    return [m.rule for m in sorted(measured, key=lambda m: (-m.worth, m.seconds))]
+    short = docs.select(F.col(text_col).alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES)
+    sample = [r[0] for r in short.limit(sample_rows).collect()]
+    return [m.rule for m in sorted(measure(sample, rules), key=lambda m: (-m.worth, m.seconds))]
 
 
 def first_rejection(v: View, ordered: list[Rule]) -> str | None:
