@@ -1,13 +1,15 @@
-"""A hashed maximum-entropy language model with class-factored softmax.
+"""A hashed maximum-entropy language model with class-factored softmax, in two levels of classes.
 
-    p(word | history) = p(class | history) * p(word | class)
+    p(word | history) = p(class | history) * p(part | class, history) * p(word | class, part)
 
 p(class | history) is a softmax over a few dozen classes. Its scores are sums of rows of one table that hashed features of
 the history pick: the last word, the word before it (a skip), both together (an n-gram), the classes three and four back (a
 skip-gram of classes), and the two last classes. The most frequent words are classes of their own; all other words are
 classed by a hash of their ending, which tells languages and kinds of words apart, and the end of a text is a class too.
-p(word | class) is the word's smoothed share of its class, with one place in each class for words not seen in training.
-So the probabilities of all words, and of an unknown word in each class, add up to one.
+The words of an ending fall into parts by a hash of the whole word. p(part | class, history) is a softmax over these, with rows of a second
+table that the last word with the class, and the last class with the class, pick. p(word | class, part) is the word's smoothed share of
+the part, with one place in each part for words not seen in training. So every word's probability depends on the history at both
+levels, and the probabilities of all words, and of an unknown word in each part, add up to one.
 
 Training reads every training text once. In each round all workers start from the same table, make gradient steps over
 minibatches of their part of the texts, and send back how far each row moved and on how many tokens; the moves are averaged
@@ -36,6 +38,8 @@ from tallygrid.llm.common import saved
 #: Classes: single frequent words, endings, and one for the end of a text. Rows of the table, and blocks in which it travels.
 SINGLES, ENDINGS, ROWS, BLOCKS = 15, 16, 1 << 16, 32
 CLASSES = SINGLES + ENDINGS + 1
+#: Parts of the class of an ending.
+PARTS = 16
 #: Words whose counts are broadcast; training rounds; tokens of a minibatch; step size.
 FREQUENT, ROUNDS, BATCH, STEP = 200_000, 2, 8192, 0.35
 #: Branches that are added up at once on the way to one table.
@@ -67,14 +71,21 @@ class Classes:
             return k
         return SINGLES + zlib.crc32(ending(word)) % ENDINGS
 
+    def cell(self, word: bytes) -> int:
+        """The class and the part in one number."""
+        k = self.of(word)
+        return k * PARTS + (zlib.crc32(word) >> 12) % PARTS * (k >= SINGLES)
+
 
 @dataclass(frozen=True)
 class Model:
-    """What workers need: classes, the table, the frequent words' numbers and log10(c + alpha), of the end at 0, and the classes' log10 masses."""
+    """What workers need: classes, the tables of classes and of parts, the frequent words' numbers and log10(c + alpha), of the end at 0, and the parts' log10 masses."""
 
     classes: Classes
     table: np.ndarray
+    fine: np.ndarray
     bias: np.ndarray
+    fine_bias: np.ndarray
     number: dict[bytes, int]
     known: np.ndarray
     mass: np.ndarray
@@ -104,26 +115,41 @@ def coder(classes: Classes, number: dict[bytes, int]) -> Callable[[list[bytes]],
     return lambda words: np.fromiter(map(look_up, words), np.int64, len(words))
 
 
-def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the table for every token of some texts, each text ended: (features, tokens), and the tokens' classes."""
+@dataclass(frozen=True)
+class Batch:
+    """Every token of some texts, each text ended: rows of the two tables (features, tokens), classes, which tokens have parts, and the parts of these."""
+
+    rows: np.ndarray
+    classes: np.ndarray
+    some: np.ndarray
+    fine: np.ndarray
+    parts: np.ndarray
+
+
+def features(codes: list[np.ndarray]) -> Batch:
     end = np.array([END << 8 | CLASSES - 1], np.int64)
     start = np.full(4, END << 8 | CLASSES - 1, np.int64)
     flat = np.concatenate([x for c in codes for x in (start, c, end)])
     own = np.concatenate([np.arange(at, at + n) for at, n in zip(np.cumsum([4, *(len(c) + 5 for c in codes[:-1])]), [len(c) + 1 for c in codes], strict=True)])
     h, k = flat >> 8 & 0xFFFFFFFF, flat & 255
-    w1, w2 = h[own - 1], h[own - 2]
+    w1, w2, k1 = h[own - 1], h[own - 2], k[own - 1]
     mixed = (
         w1 * 0x9E3779B1 + 0x51,
         w2 * 0x85EBCA6B + 0x1F3,
         w1 * 0xC2B2AE35 + w2 * 0x27D4EB2F + 0x9D7,
         (k[own - 3] << 8 | k[own - 4]) * 0x165667B1 + 0x3B1,
-        (k[own - 1] << 8 | k[own - 2]) * 0x2545F491 + 0x7C5,
+        (k1 << 8 | k[own - 2]) * 0x2545F491 + 0x7C5,
     )
-    return np.stack([((m ^ m >> 17) & ROWS - 1).astype(np.uint16) for m in mixed]), k[own]
+    classes = k[own]
+    some = np.flatnonzero((classes >= SINGLES) & (classes < CLASSES - 1))
+    now = classes.take(some)
+    finer = (w1.take(some) * 0x9E3779B1 + now * 0x85EBCA6B + 0x6D3, (k1.take(some) << 8 | now) * 0x27D4EB2F + 0x4C7)
+    cut = lambda every: np.stack([((m ^ m >> 17) & ROWS - 1).astype(np.uint16) for m in every])
+    return Batch(cut(mixed), classes, some, cut(finer), (h.take(own.take(some)) >> 12) % PARTS)
 
 
 def log_probs(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, (tokens, classes)."""
+    """Natural log probabilities of the classes or parts, (tokens, classes)."""
     z = table.take(rows[0], axis=0)
     for r in rows[1:]:
         z += table.take(r, axis=0)
@@ -133,10 +159,12 @@ def log_probs(table: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarr
     return z
 
 
-def learn(table: np.ndarray, bias: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> None:
+def step(table: np.ndarray, bias: np.ndarray, squares: np.ndarray, seen: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> None:
     """One gradient step on a minibatch, in place; ``squares`` scales the steps of each row, ``seen`` counts its tokens."""
+    if not len(targets):
+        return
     grad = np.exp(log_probs(table, bias, rows))
-    grad[np.arange(len(classes)), classes] -= 1
+    grad[np.arange(len(targets)), targets] -= 1
     for r in rows:
         order = np.argsort(r, kind="stable")  # a radix sort for 16-bit integers
         at = r.take(order)
@@ -147,11 +175,21 @@ def learn(table: np.ndarray, bias: np.ndarray, squares: np.ndarray, seen: np.nda
         if many.any():
             k = n[many]
             g[many] = np.add.reduceat(grad.take(order[np.repeat(many, n)], axis=0), np.cumsum(k) - k, axis=0)
-        squares[at] += np.einsum("ij,ij->i", g, g) / CLASSES
+        squares[at] += np.einsum("ij,ij->i", g, g) / table.shape[1]
         table[at] -= (STEP / np.sqrt(squares[at] + 1e-3))[:, None] * g
         seen[at] += n
 
 
+def log10_scores(m: Model, batch: Batch) -> np.ndarray:
+    """For each token: log10 of p(class) * p(part) over the part's mass, which the word's smoothed count makes its probability."""
+    got = log_probs(m.table, m.bias, batch.rows)[np.arange(len(batch.classes)), batch.classes].astype(np.float64)
+    parts = np.zeros(len(got), np.int64)
+    if len(batch.some):
+        parts[batch.some] = batch.parts
+        got[batch.some] += log_probs(m.fine, m.fine_bias.take(batch.classes.take(batch.some), axis=0), batch.fine)[np.arange(len(batch.parts)), batch.parts]
+    return got / math.log(10) - m.mass[batch.classes, parts]
+
+
 def minibatches(texts: Iterator[str | None], code: Callable[[list[bytes]], np.ndarray]) -> Iterator[list[np.ndarray]]:
     """Coded texts in groups of about BATCH tokens; a longer text is a group of its own."""
     group, n = [], 0
@@ -206,41 +244,46 @@ def most_frequent(counts: DataFrame, most: int) -> list:
     return sorted(words.where(step >= least).collect(), key=lambda r: (-r["n"], r["word"]))
 
 
-def class_masses(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
+def masses(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words of each (class, part)."""
+    n = CLASSES * PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        tokens, kinds = np.zeros(n, np.int64), np.zeros(n, np.int64)
         for batch in batches:
-            of = np.array([CLASSES - 1 if w is None else classes.of(w.encode()) for w in batch.column(0).to_pylist()], np.int64)
-            tokens += np.bincount(of, batch.column(1).to_numpy(), CLASSES).astype(np.int64)
-            kinds += np.bincount(of, minlength=CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(tokens), pa.array(kinds)], ["class", "tokens", "kinds"])
+            of = np.array([n - PARTS if w is None else classes.cell(w.encode()) for w in batch.column(0).to_pylist()], np.int64)
+            tokens += np.bincount(of, batch.column(1).to_numpy(), n).astype(np.int64)
+            kinds += np.bincount(of, minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(tokens), pa.array(kinds)], ["cell", "tokens", "kinds"])
 
-    rows = counts.mapInArrow(run, "class long, tokens long, kinds long").groupBy("class").agg(F.sum("tokens").alias("t"), F.sum("kinds").alias("k")).collect()
-    by = {r["class"]: r for r in rows}
-    return np.array([by[c]["t"] if c in by else 0 for c in range(CLASSES)]), np.array([by[c]["k"] if c in by else 0 for c in range(CLASSES)])
+    rows = counts.mapInArrow(run, "cell long, tokens long, kinds long").groupBy("cell").agg(F.sum("tokens").alias("t"), F.sum("kinds").alias("k")).collect()
+    by = {r["cell"]: (r["t"], r["k"]) for r in rows}
+    tokens, kinds = np.array([by.get(c, (0, 0)) for c in range(n)], np.int64).T
+    return tokens.reshape(CLASSES, PARTS), kinds.reshape(CLASSES, PARTS)
 
 
-def train_round(texts: DataFrame, model: Model) -> np.ndarray:
-    """The table after one round of local steps on ``texts`` (one column), averaged over the workers by tokens."""
+def train_round(texts: DataFrame, model: Model) -> Model:
+    """The model after one round of local steps on ``texts`` (one column), its tables averaged over the workers by tokens."""
     shared = texts.sparkSession.sparkContext.broadcast(replace(model, number=dict(islice(model.number.items(), HOT)), known=model.known[:1]))
     width = ROWS // BLOCKS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table, squares, seen = m.table.copy(), np.zeros(ROWS, np.float32), np.zeros(ROWS, np.float32)
+        (table, fine), zero = (m.table.copy(), m.fine.copy()), lambda: np.zeros(ROWS, np.float32)
+        squares, seen, fine_squares, fine_seen = zero(), zero(), zero(), zero()
         for group in minibatches((t.as_py() for b in batches for t in b.column(0)), coder(m.classes, m.number)):
-            learn(table, m.bias, squares, seen, *features(group))
-        moved = (table - m.table) * seen[:, None]
+            x = features(group)
+            step(table, m.bias, squares, seen, x.rows, x.classes)
+            step(fine, m.fine_bias.take(x.classes.take(x.some), axis=0), fine_squares, fine_seen, x.fine, x.parts)
         if not seen.any():
             return
+        moved = np.concatenate([(table - m.table) * seen[:, None], seen[:, None], (fine - m.fine) * fine_seen[:, None], fine_seen[:, None]], axis=1).astype(np.float32)
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         for b in range(BLOCKS):
             s = slice(b * width, (b + 1) * width)
-            yield row(b, part, np.concatenate([moved[s], seen[s, None]], axis=1).astype(np.float32))
+            yield row(b, part, moved[s])
 
     def row(block: int, at: int, moved: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([at // FAN]), pa.array([at]), pa.array([moved.tobytes()], pa.binary())], ["block", "branch", "at", "moved"])
@@ -264,13 +307,14 @@ def train_round(texts: DataFrame, model: Model) -> np.ndarray:
         sums = saved(sums.repartition("block", "branch").sortWithinPartitions("block", "branch", "at").mapInArrow(add, schema))
         if sums.count() <= BLOCKS:
             break
-    table = model.table.copy()
+    table, fine = model.table.copy(), model.fine.copy()
     for r in sums.collect():
-        y = np.frombuffer(r["moved"], np.float32).reshape(width, CLASSES + 1)
+        y = np.frombuffer(r["moved"], np.float32).reshape(width, CLASSES + PARTS + 2)
         s = slice(r["block"] * width, (r["block"] + 1) * width)
-        table[s] += y[:, :-1] / np.maximum(y[:, -1:], 1)
+        table[s] += y[:, :CLASSES] / np.maximum(y[:, CLASSES, None], 1)
+        fine[s] += y[:, CLASSES + 1 : -1] / np.maximum(y[:, -1:], 1)
     shared.unpersist()
-    return table
+    return replace(model, table=table, fine=fine)
 
 
 @dataclass(frozen=True)
@@ -287,14 +331,16 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, frequen
     n, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     most = most_frequent(counts, frequent)
     classes = Classes({r["word"].encode(): k for k, r in enumerate(most[:SINGLES])})
-    tokens, kinds = class_masses(counts, classes)
+    tokens, kinds = masses(counts, classes)
     number = {r["word"].encode(): k for k, r in enumerate(most, 1)}
-    known = np.log10(np.array([float(tokens[-1]), *(float(r["n"]) for r in most)]) + ALPHA)
-    bias = np.log((tokens + 1) / (tokens.sum() + CLASSES)).astype(np.float32)
-    model = Model(classes, np.zeros((ROWS, CLASSES), np.float32), bias, number, known, np.log10(tokens + ALPHA * (kinds + 1)))
+    known = np.log10(np.array([float(tokens[-1, 0]), *(float(r["n"]) for r in most)]) + ALPHA)
+    bias = np.log((tokens.sum(axis=1) + 1) / (tokens.sum() + CLASSES)).astype(np.float32)
+    fine_bias = np.log((tokens + 1) / (tokens.sum(axis=1, keepdims=True) + PARTS)).astype(np.float32)
+    zeros = lambda n: np.zeros((ROWS, n), np.float32)
+    model = Model(classes, zeros(CLASSES), zeros(PARTS), bias, fine_bias, number, known, np.log10(tokens + ALPHA * (kinds + 1)))
     part = F.pmod(F.xxhash64(text_col), F.lit(rounds))
     for r in range(rounds if n else 0):
-        model = replace(model, table=train_round(docs.where(part == r).select(text_col), model))
+        model = train_round(docs.where(part == r).select(text_col), model)
     return Trained(model, counts, int(n or 0), int(v or 0))
 
 
@@ -316,8 +362,7 @@ def score(docs: DataFrame, trained: Trained, id_col: str = "doc_id", text_col: s
         def scored(ids: list, texts: list[list[bytes]], type_: pa.DataType) -> pa.RecordBatch:
             nonlocal row
             codes = [code(w) for w in texts]
-            rows, classes = features(codes)
-            got = log_probs(m.table, m.bias, rows)[np.arange(len(classes)), classes].astype(np.float64) / math.log(10) - m.mass[classes]
+            got = log10_scores(m, features(codes))
             sizes = np.array([len(w) + 1 for w in texts])
             starts = np.cumsum(sizes) - sizes
             zero = np.zeros(1, np.int64)

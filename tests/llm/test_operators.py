@@ -236,10 +236,23 @@ def test_probabilities_add_up(spark):
     m = t.model
     counts = {r["word"]: r["n"] for r in t.counts.collect()}
     coder = maxent_lm.coder(m.classes, m.number)
-    rows_, _ = maxent_lm.features([coder(maxent_lm.words_of("the of and"))])
-    p = np.exp(maxent_lm.log_probs(m.table, m.bias, rows_).astype(float))[2]
-    total = sum(p[maxent_lm.CLASSES - 1 if w is None else m.classes.of(w.encode())] * (n + 0.1) / 10 ** m.mass[maxent_lm.CLASSES - 1 if w is None else m.classes.of(w.encode())] for w, n in counts.items())
-    total += sum(p[c] * 0.1 / 10 ** m.mass[c] for c in range(maxent_lm.CLASSES))
+    x = maxent_lm.features([coder(maxent_lm.words_of("the of and word"))])
+    coarse = np.exp(maxent_lm.log_probs(m.table, m.bias, x.rows).astype(float))[2]
+    w1, k1 = coder([b"of"])[0] >> 8 & 0xFFFFFFFF, coder([b"of"])[0] & 255
+
+    def finer(k):
+        """The probabilities of the parts of a class after "the of"."""
+        if not maxent_lm.SINGLES <= k < maxent_lm.CLASSES - 1:
+            return np.eye(maxent_lm.PARTS)[0]
+        mixed = np.array([w1 * 0x9E3779B1 + k * 0x85EBCA6B + 0x6D3, (k1 << 8 | k) * 0x27D4EB2F + 0x4C7], np.int64)
+        at = ((mixed ^ mixed >> 17) & maxent_lm.ROWS - 1)[:, None]
+        return np.exp(maxent_lm.log_probs(m.fine, m.fine_bias[k][None], at).astype(float))[0]
+
+    p = np.stack([coarse[k] * finer(k) for k in range(maxent_lm.CLASSES)])
+    last = (maxent_lm.CLASSES - 1, 0)
+    cells = {w: last if w is None else divmod(m.classes.cell(w.encode()), maxent_lm.PARTS) for w in counts}
+    total = sum(p[cells[w]] * (n + 0.1) / 10 ** m.mass[cells[w]] for w, n in counts.items())
+    total += sum(p[k, j] * 0.1 / 10 ** m.mass[k, j] for k in range(maxent_lm.CLASSES) for j in range(maxent_lm.PARTS))
     assert total == pytest.approx(1, abs=1e-4)
 
 
