@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,20 +46,26 @@ def scored(expected: DataFrame, predicted: DataFrame, scope: str = "project_id",
 def greedy(pairs: DataFrame, scope: str = "project_id") -> DataFrame:
     """One-to-one assignment over ``pairs(scope, e, p, score)``: each expected item in order takes its best free prediction, the earlier of equals.
 
-    Only pairs that reach the threshold come here, so a project is a few thousand rows; projects are independent.
+    Only pairs that reach the threshold come here. They are dealt by project and sorted, and then read once, in order: what is held of a project
+    is which of its predictions are taken, so a large project is no table in memory, and many small ones cost no more than their rows.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for e, group in pdf.sort_values(["e", "score", "p"], ascending=[True, False, True]).groupby("e", sort=False):
-            free = next((r for r in group.itertuples(index=False) if r.p not in taken), None)
-            if free is not None:
-                taken.add(free.p)
-                rows.append((pdf[scope].iloc[0], e, free.p, free.score))
-        return pd.DataFrame(rows, columns=[scope, "e", "p", "score"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, taken, done = object(), set(), object()
+        for batch in batches:
+            keep = []
+            for i, (s, e, p) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if s != now:
+                    now, taken, done = s, set(), object()
+                if e != done and p not in taken:
+                    taken.add(p)
+                    done = e
+                    keep.append(i)
+            yield batch.take(pa.array(keep, pa.int64()))
 
     kinds = dict(pairs.dtypes)
-    return pairs.groupBy(scope).applyInPandas(run, f"`{scope}` {kinds[scope]}, e {kinds['e']}, p {kinds['p']}, score double")
+    dealt = pairs.select(scope, "e", "p", F.col("score").cast("double").alias("score")).repartition(scope).sortWithinPartitions(scope, "e", F.desc("score"), "p")
+    return dealt.mapInArrow(run, f"`{scope}` {kinds[scope]}, e {kinds['e']}, p {kinds['p']}, score double")
 
 
 def best(pairs: DataFrame, scope: str = "project_id", threshold: float = fixed.COMPARE_THRESHOLD) -> DataFrame:

@@ -1002,3 +1002,112 @@ def takeoff_combined(s, d):
     from tallygrid.plans.catalog import _pages
 
     return takeoff.combined_items(_pages(s, d), lambda t: [{"description": f"{len(t)} characters"}])
+
+
+# matching and pipelines, on made cases whose outcome is known
+
+
+@query(
+    "greedy_pairs",
+    """WITH o AS (SELECT o_orderkey AS k, 60 + o_orderkey % 40 AS s00, 60 + o_orderkey * 7 % 40 AS s01, 60 + o_orderkey * 3 % 40 AS s10, 60 + o_orderkey * 11 % 40 AS s11 FROM orders)
+    SELECT k AS project_id, 0::BIGINT AS e, CASE WHEN s00 >= s01 THEN 0 ELSE 1 END::BIGINT AS p, greatest(s00, s01)::DOUBLE AS score FROM o
+    UNION ALL SELECT k, 1, CASE WHEN s00 >= s01 THEN 1 ELSE 0 END, CASE WHEN s00 >= s01 THEN s11 ELSE s10 END FROM o""",
+)
+def greedy_pairs(s, d):
+    score = {(0, 0): 1, (0, 1): 7, (1, 0): 3, (1, 1): 11}
+    pairs = F.array(*(F.struct(F.lit(e).cast("long").alias("e"), F.lit(p).cast("long").alias("p"), (60 + F.col("o_orderkey") * f % 40).cast("double").alias("score")) for (e, p), f in score.items()))
+    return match.greedy(table(s, d, "orders").select(F.col("o_orderkey").alias("project_id"), F.explode(pairs).alias("x")).select("project_id", "x.*"))
+
+
+_SAME, _ELSE = "porcelain tile flooring in lobby rooms", "something else entirely here"
+
+
+@query(
+    "match_reports",
+    f"""SELECT p_partkey AS project_id, (p_partkey % 2 = 0)::INT AS matched_items, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '{_SAME}' END AS missing, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '{_ELSE}' END AS extra,
+    CASE WHEN p_partkey % 2 = 0 THEN round(3 / p_size * 100, 2) END AS average_difference, CASE WHEN p_partkey % 2 = 0 THEN 100.0 ELSE 0.0 END::DOUBLE AS coverage FROM part""",
+)
+def match_reports(s, d):
+    expected = _made(s, d, {"project_id": "p_partkey", "seq": "CAST(0 AS BIGINT)", "description": f"'{_SAME}'", "quantity": "CAST(p_size AS DOUBLE)", "unit": "'SF'"})
+    predicted = _made(s, d, {"project_id": "p_partkey", "seq": "CAST(0 AS BIGINT)", "description": f"CASE WHEN p_partkey % 2 = 0 THEN '{_SAME}' ELSE '{_ELSE}' END", "quantity": "CAST(p_size + 3 AS DOUBLE)", "unit": "'SF'"})
+    got = match.report(expected, predicted)
+    return got.select("project_id", "matched_items", F.array_join("missing_items", "|").alias("missing"), F.array_join("extra_items", "|").alias("extra"), "average_difference", "coverage")
+
+
+_SMART = (("RTU-1", "hvac"), ("RTU-1 drive", "hvac"), ("pump", "hvac"), ("PUMP ", "hvac"), ("panel a left", "hvac"), ("Panel B", "hvac"), ("pump house", "plumbing"), ("vfd 1", "hvac"), ("VFD1", "plumbing"))
+
+
+@query(
+    "smart_survivors",
+    "SELECT p_partkey AS project_id, seq, description, trade FROM part, (VALUES (0::BIGINT, 'RTU-1 drive', 'HVAC'), (2, 'pump', 'HVAC'), (4, 'panel a left', 'HVAC'), (5, 'Panel B', 'HVAC'), (6, 'pump house', 'Plumbing'), (7, 'vfd 1', 'HVAC')) v(seq, description, trade)",
+)
+def smart_survivors(s, d):
+    rows = F.array(*(F.struct(F.lit(i).cast("long").alias("seq"), F.lit(said).alias("description"), F.lit(trade).alias("trade")) for i, (said, trade) in enumerate(_SMART)))
+    items = table(s, d, "part").select(F.col("p_partkey").alias("project_id"), F.explode(rows).alias("x")).select("project_id", "x.*", F.lit(0.5).alias("confidence"))
+    return dedup.smart(items, "project_id").select("project_id", "seq", "description", "trade")
+
+
+@query("packed_blocks", "SELECT p_partkey, n::INT AS n, CASE n WHEN 0 THEN concat(chr(10), chr(10), 'aa') WHEN 1 THEN 'bb' ELSE concat('size ', p_size) END AS part FROM part, (VALUES (0), (1), (2)) v(n)")
+def packed_blocks(s, d):
+    said = F.concat(F.lit("aa\n\nbb\n\nsize "), F.col("p_size").cast("string"))
+    return table(s, d, "part").select("p_partkey", F.posexplode(segment.split_blocks(said, 5)).alias("n", "part"))
+
+
+@query(
+    "all_spans",
+    """SELECT p_partkey, 0 AS ord, 'number' AS name, s::INT AS start, (s + w)::INT AS "end", p_size::VARCHAR AS match FROM (SELECT p_partkey, p_size, length(p_size::VARCHAR) AS w, unnest([1, 6 + length(p_size::VARCHAR)]) AS s FROM part)
+    UNION ALL SELECT p_partkey, 1, 'word', (1 + length(p_size::VARCHAR) + 1)::INT, (1 + length(p_size::VARCHAR) + 4)::INT, 'AND' FROM part""",
+)
+def all_spans(s, d):
+    texts = _made(s, d, {"p_partkey": "p_partkey", "text": "concat('x', p_size, ' AND ', p_size)"})
+    return segment.spans(texts, ["p_partkey"], [(r"\d+", "number"), (r"and", "word")]).drop("groups")
+
+
+def _project_pages(s, d, *pages: tuple[str, str, str]) -> DataFrame:
+    """A project a part, with the given (file, type, text) pages; ``{a}`` is the part's size."""
+    rows = F.array(*(F.struct(F.lit(f).alias("file_id"), F.lit(f"{f}.pdf").alias("file_name"), F.lit(t).alias("file_type"), F.lit(i).alias("page_number"), F.replace(F.lit(x), F.lit("{a}"), F.col("p_size").cast("string")).alias("text")) for i, (f, t, x) in enumerate(pages, 1)))
+    return table(s, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("project_id"), F.explode(rows).alias("x")).select("project_id", "x.*")
+
+
+_FINISHES = "INTERIOR FINISH LEGEND\nGrey\nFlat\nP1\nLine X\nAcme\nPaint\nPNT-09"
+_SHEET = "ROOM FINISH SCHEDULE\nNO\n101\nLobby\nstone\n-\nnone\n-\nPNT-09/WC-1\n-\nopen\nopen\n9'-0\n-\n-\n-"
+_FINE = "chr(10) || '-Mfg: Acme' || chr(10) || '-Color: Grey' || chr(10) || '-Type: Flat'"
+
+
+@query(
+    "pipeline_context",
+    f"""SELECT concat('P', p_partkey) AS project_id, seq, CASE seq WHEN 1 THEN 'PNT-09 (9''-0" High):' || {_FINE} ELSE concat('VAV-', p_size, ': Local Source  (VAV Unit)') END AS description, CASE seq WHEN 1 THEN 'Painting' ELSE 'Mechanical' END AS trade,
+    CASE seq WHEN 1 THEN 'SF' ELSE 'EA' END AS unit, CASE seq WHEN 1 THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence, CASE seq WHEN 1 THEN 'Finish Legend: PNT-09' ELSE 'm.pdf' END AS source_reference FROM part, (VALUES (1::BIGINT), (2::BIGINT)) v(seq)""",
+)
+def pipeline_context(s, d):
+    pages = _project_pages(s, d, ("plan", "drawing", _FINISHES), ("plan", "drawing", _SHEET), ("m", "drawing", "EQUIPMENT SCHEDULE\nVAV-{a} 450 CFM MODEL TBD"), ("spec", "spec", "EQUIPMENT SCHEDULE\nVAV-9 450 CFM"))
+    return takeoff.extract_project(pages, "context").drop("quantity")
+
+
+@query(
+    "pipeline_default",
+    """SELECT concat('P', p_partkey) AS project_id, description, trade, quantity, unit FROM part, (VALUES ('PNT-09: Acme Interior Paint, Color: Grey, Type: Flat', 'Painting', NULL::DOUBLE, NULL), ('Ductwork', 'HVAC', NULL, 'EA'),
+    ('Management & Supervision', 'General', 1.0, 'EA'), ('Documentation & Shop Drawings', 'General', 1.0, 'LS'),
+    (concat('PNT-09 (9''-0 High):', chr(10), '-Mfg: Acme', chr(10), '-Color: Grey', chr(10), '-Type: Flat'), 'Painting', 1.0, 'RM')) v(description, trade, quantity, unit)""",
+)
+def pipeline_default(s, d):
+    pages = _project_pages(s, d, ("plan", "drawing", _FINISHES), ("plan", "drawing", _SHEET), ("spec", "spec", "233113 - Metal Ducts"))
+    return takeoff.extract_project(pages).select("project_id", "description", "trade", "quantity", "unit")
+
+
+@query(
+    "pipeline_rules",
+    """SELECT concat('P', p_partkey) AS project_id, description, trade, quantity, unit FROM (SELECT p_partkey, unnest([concat('Furnish ', p_size, ' EA doors of oak'), concat('Install new carpet tile, ', p_size, ' SF of it')]) AS description, unnest(['Doors', 'Flooring']) AS trade, p_size::DOUBLE AS quantity, unnest(['EA', 'SF']) AS unit FROM part)""",
+)
+def pipeline_rules(s, d):
+    pages = _project_pages(s, d, ("scope", "sow", "Furnish {a} EA doors of oak\nInstall new carpet tile, {a} SF of it\nWords about nothing to be done"))
+    return takeoff.extract_project(pages, "rules").select("project_id", "description", "trade", "quantity", "unit")
+
+
+@query(
+    "pipeline_combined",
+    """SELECT concat('P', p_partkey) AS project_id, description, trade FROM (SELECT p_partkey, unnest([concat('Furnish ', p_size, ' EA doors of oak'), 'seen: lighting fixture schedule']) AS description, unnest(['Doors', 'Other']) AS trade FROM part)""",
+)
+def pipeline_combined(s, d):
+    pages = _project_pages(s, d, ("scope", "sow", "Furnish {a} EA doors of oak"), ("e", "other", "lighting fixture schedule"))
+    return takeoff.combined_items(pages, lambda t: [{"description": f"seen: {t}"}, {"description": "PLACEHOLDER"}]).select("project_id", "description", "trade")
