@@ -8,7 +8,7 @@ decides all its rules but equal text, so rows are first reduced by text and then
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -113,11 +113,32 @@ def smart(items: DataFrame, scope: str, order: str = "seq") -> DataFrame:
         norm = F.replace(norm, F.lit(a), F.lit(b))
     single = first_of(named, [scope, norm], [order])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        kept = smart_survivors(list(zip(pdf["trade"].fillna(""), pdf["description"].fillna(""), pdf["confidence"].fillna(0.0), strict=True)))
-        out = pdf.loc[[k[0] for k in kept]].copy()
+    def firsts(pdf: pd.DataFrame) -> list[int]:
+        """Where the groups of a sorted table begin."""
+        same = pd.Series(True, index=pdf.index)
+        for c in (scope, "trade"):
+            last = pdf[c].shift()
+            same &= pdf[c].eq(last) | (pdf[c].isna() & last.isna())
+        return [0, *(i for i, x in enumerate(same) if not x and i)]
+
+    def survivors(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(pdf["trade"].fillna(""), pdf["description"].fillna(""), pdf["confidence"].fillna(0.0), strict=True))
+        starts = firsts(pdf)
+        kept = [(a + i, said, sure) for a, b in zip(starts, [*starts[1:], len(rows)], strict=True) for i, said, sure in smart_survivors(rows[a:b])]
+        out = pdf.iloc[[k[0] for k in kept]].copy()
         out["description"], out["confidence"] = [k[1] for k in kept], [k[2] for k in kept]
         return out
 
-    return single.groupBy(scope, "trade").applyInPandas(run, single.schema)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # a group that may go on in the next batch
+        for pdf in batches:
+            both = (pdf if held is None else pd.concat([held, pdf])).reset_index(drop=True)
+            last = firsts(both)[-1] if len(both) else 0
+            if last:
+                yield survivors(both.iloc[:last].reset_index(drop=True))
+            held = both.iloc[last:]
+        if held is not None and len(held):
+            yield survivors(held.reset_index(drop=True))
+
+    # sorted and read in order, so that many small groups cost no more than their rows
+    return single.repartition(scope, "trade").sortWithinPartitions(scope, "trade", order).mapInPandas(run, single.schema)

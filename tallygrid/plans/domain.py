@@ -14,8 +14,9 @@ from tallygrid.functions import classify, enhance, fixed, prompts, salvage, spel
 from tallygrid.operators import context, dedup, generators, jobs, match, parsers, projects, rules, segment, stats
 from tallygrid.plans import phrasebook, takeoff
 from tallygrid.plans.registry import query
-from tallygrid.session import table
+from tallygrid.session import scratch, table
 from tallygrid.sources import readers, sinks
+from tallygrid.streaming import stages
 
 
 def _lit(s: str | None) -> str:
@@ -1111,3 +1112,72 @@ def pipeline_rules(s, d):
 def pipeline_combined(s, d):
     pages = _project_pages(s, d, ("scope", "sow", "Furnish {a} EA doors of oak"), ("e", "other", "lighting fixture schedule"))
     return takeoff.combined_items(pages, lambda t: [{"description": f"seen: {t}"}, {"description": "PLACEHOLDER"}]).select("project_id", "description", "trade")
+
+
+# files that are written and read again, and streams
+
+
+@query("prediction_files", f"SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY seq) - 1 AS seq, description, trade, quantity, unit FROM ({_cte(_LINES)})")
+def prediction_files(s, d):
+    path = scratch(s, "predictions")
+    sinks.write_predictions(_made(s, d, _LINES), path)
+    return readers.predictions(s, path).select("project_id", "seq", "description", "trade", "quantity", "unit")
+
+
+@query("registry_file", "SELECT concat('P', p_partkey) AS project_id, concat('/r/c/P', p_partkey, ' - site') AS path FROM part WHERE p_partkey % 2 = 0")
+def registry_file(s, d):
+    """Registries, a JSON array a file, of a bounded number of projects each."""
+    path, bucket = scratch(s, "registry"), F.pmod(F.xxhash64("project_id"), F.lit(16))
+    _registry(s, d).groupBy(bucket.alias("b")).agg(F.to_json(F.collect_list(F.struct("project_id", "path"))).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.registry(s, path, "project_id string, path string")
+
+
+@query("listed_entries", "SELECT concat('/r/c/P', p_partkey, ' - site', tail) AS path FROM part, (VALUES ('', 1), ('/Project Files', 1), ('/Project Files/a.PDF', 1), ('/Expected Manual Output', 3), ('/Expected Manual Output/b.xlsx', 3), ('/Expected Manual Output/c.pdf', 3)) v(tail, k) WHERE p_partkey % k = 0")
+def listed_entries(s, d):
+    return readers.listed(_listing(s, d)).select("path")
+
+
+@query("scanned_folder", "SELECT concat(p_size, '.pdf') AS name, count(*) AS n FROM (SELECT p_size FROM part WHERE p_size < 4) GROUP BY 1")
+def scanned_folder(s, d):
+    """Files found below a folder, by the number of rows that each was made of."""
+    path = scratch(s, "folder")
+    table(s, d, "part").where("p_size < 4").select(F.concat(F.col("p_size").cast("string"), F.lit(".pdf")).alias("name"), F.lit("x").alias("value")).repartition("name").write.partitionBy("name").text(path)
+    found = readers.files(s, path, "*.txt").select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "length")
+    return found.groupBy("name").agg((F.sum("length") / 2).cast("long").alias("n"))
+
+
+def _streamed(s: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
+    """What a stream gives until its source is read, all batches together."""
+    path = scratch(s, "stream")
+    q = stream.writeStream.outputMode(mode).foreachBatch(lambda rows, _: rows.write.mode("append").parquet(f"{path}/rows")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return s.read.parquet(f"{path}/rows")
+
+
+def _event_files(s, d) -> str:
+    """The events as the files of a job log, of which one batch takes all."""
+    path = scratch(s, "events")
+    _made(s, d, {"job_id": "CAST(user_id AS STRING)", "project_id": "CAST(event_id AS STRING)", "ts": "ts", "kind": "event_type", "message": _LOG}, "events").write.json(path)
+    return path
+
+
+@query("stream_log_tail", f"SELECT user_id::VARCHAR AS job_id, coalesce(arg_max({_STAGE}, (ts, event_id)) FILTER ({_STAGE} IS NOT NULL), '') AS stage, count(*) AS lines FROM events GROUP BY 1")
+def stream_log_tail(s, d):
+    got = _streamed(s, stages.track_stages(stages.read_events(s, _event_files(s, d), files_per_trigger=10_000)), "update")
+    return got.groupBy("job_id").agg(F.max_by("stage", "lines").alias("stage"), F.max("lines").alias("lines"))
+
+
+@query("stream_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def stream_windows(s, d):
+    got = _streamed(s, stages.event_counts(stages.read_events(s, _event_files(s, d), files_per_trigger=10_000)), "update")
+    return got.groupBy("start", "kind").agg(F.max("n").alias("n"))
+
+
+@query("resumed_work", f"SELECT event_id::VARCHAR AS event_id, upper({_LOG}) AS said FROM events")
+def resumed_work(s, d):
+    """Work that is begun anew, without its checkpoint, does nothing twice."""
+    source, path = _event_files(s, d), scratch(s, "work")
+    for k in range(2):
+        stream = stages.read_events(s, source).select(F.col("project_id").alias("event_id"), "message")
+        stages.resume(stream, lambda rows: rows.select("event_id", F.upper("message").alias("said")), f"{path}/rows", f"{path}/state-{k}", ["event_id"]).awaitTermination()
+    return s.read.parquet(f"{path}/rows")

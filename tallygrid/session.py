@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -26,3 +29,13 @@ def session(app: str = "tallygrid", master: str | None = None, **conf: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables; ``sf_dir`` may be any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, by ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tallygrid-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
