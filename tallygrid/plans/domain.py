@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrid.functions import classify, enhance, fixed, prompts, salvage, spelling, text
+from tallygrid.functions import classify, enhance, fixed, prompts, salvage, similarity, spelling, text
 from tallygrid.operators import context, dedup, generators, jobs, match, parsers, projects, rules, segment, stats
 from tallygrid.plans import phrasebook, takeoff
 from tallygrid.plans.registry import query
@@ -1020,6 +1020,29 @@ def greedy_pairs(s, d):
     return match.greedy(table(s, d, "orders").select(F.col("o_orderkey").alias("project_id"), F.explode(pairs).alias("x")).select("project_id", "x.*"))
 
 
+# Pairs of descriptions whose score is known without a ratio: one lies in the other, or a layer's bound decides.
+_SCORED = (
+    ("Junction Box", "Junction Box", 30.0),  # fewer than two shared words, even if equal
+    ("tank", "big tank", 30.0),
+    ("S-1 metal module face plate", "S-2 metal module face plate", 30.0),  # other tags
+    ("S-1 ceiling diffuser module aluminum", "S-1 ceiling module aluminum sink", 35.0),  # the tag of another type
+    ("S-1 ceiling diffuser module aluminum", "S-1 ceiling module aluminum", 40.0),  # the tag without the type's words
+    ("S-1 ceiling diffuser module aluminum", "S-1 ceiling diffuser module", 100.0),
+    ("ceiling mounted plate occupancy sensor", "ceiling mounted plate", 40.0),  # a critical word is missing
+    ("metal round ducting", "big round ducting of metal", 100.0),  # short: sets of words
+    ("porcelain tile flooring lobby", "lobby flooring porcelain tile grey", 100.0),
+    ("porcelain tile flooring in lobby and in corridors", "new porcelain tile flooring in lobby and in corridors", 100.0),  # long: parts
+    ("porcelain tile flooring in lobby and in corridors", "porcelain tile flooring in lobby and in corridors" + " with much else that was said" * 5, 70.0),
+)
+
+
+@query("score_layers", f"SELECT p_partkey, k, score FROM part, (VALUES {', '.join(f'({k}, {v}::DOUBLE)' for k, (_, _, v) in enumerate(_SCORED))}) v(k, score)")
+def score_layers(s, d):
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(e).alias("e"), F.lit(p).alias("p")) for k, (e, p, _) in enumerate(_SCORED)))
+    each = table(s, d, "part").select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
+    return each.select("p_partkey", "k", similarity.match_score_of(F.col("e"), F.col("p")).alias("score"))
+
+
 _SAME, _ELSE = "porcelain tile flooring in lobby rooms", "something else entirely here"
 
 
@@ -1124,6 +1147,13 @@ def prediction_files(s, d):
     return readers.predictions(s, path).select("project_id", "seq", "description", "trade", "quantity", "unit")
 
 
+@query("report_files", "SELECT p_partkey AS project_id, p_size % 10 AS matched_items, p_name AS overall_notes FROM part")
+def report_files(s, d):
+    path = scratch(s, "reports")
+    sinks.write_reports(_made(s, d, {"project_id": "p_partkey", "matched_items": "p_size % 10", "overall_notes": "p_name"}), path)
+    return s.read.schema("project_id long, matched_items int, overall_notes string").json(path)
+
+
 @query("registry_file", "SELECT concat('P', p_partkey) AS project_id, concat('/r/c/P', p_partkey, ' - site') AS path FROM part WHERE p_partkey % 2 = 0")
 def registry_file(s, d):
     """Registries, a JSON array a file, of a bounded number of projects each."""
