@@ -6,13 +6,17 @@ from tallygrid.plans import registry
 from tests.conftest import SF, same_rows
 
 
+#: Without rows in the smallest tables, which have no such descriptions and headings: these are run on the next larger ones.
+LARGER = {"best_match", "schedule_sections"}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, duck, name):
-    df = registry.queries()[name](spark, SF)
+    df = registry.queries()[name](spark, SF.replace("sf0.001", "sf0.01") if name in LARGER else SF)
     if sql := registry.oracle_sql().get(name):
         same_rows(df, duck.sql(sql))
     else:
-        assert df.count() > 0 and df.columns
+        assert df.columns and df.count() > 0
 
 
 def test_oracles_say_something(duck):
