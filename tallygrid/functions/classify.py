@@ -3,6 +3,7 @@ stay data and the plan stays inside code generation: no join, no shuffle, no use
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -39,6 +40,55 @@ def occurrences(text: Column, word: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))) / len(word.encode())
 
 
+def _quoted(text: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", text)
+
+
+def _trie(words: Sequence[str]) -> str:
+    """A pattern of the longest of ``words`` that begins where it is applied; words that begin alike share their beginning, so that a place is given up early."""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    parts = []
+    for head, tails in sorted(heads.items()):
+        while all(tails) and len({t[0] for t in tails}) == 1:
+            head, tails = head + tails[0][0], [t[1:] for t in tails]
+        rest = _trie(tails) if any(tails) else ""
+        parts.append(_quoted(head) + (f"(?:{rest})" + "?" * ("" in tails) if rest else ""))
+    return "|".join(parts)
+
+
+def spotted(text: Column, words: Sequence[str]) -> Column:
+    """The words that begin at the places of a text, in order, as an array: at each place the longest one. One pass over the text, however many words there are."""
+    words = sorted(set(words))
+    letters = ("".join(sorted({_quoted(w[k]) for w in words})) for k in range(min(2, *map(len, words))))
+    return F.regexp_extract_all(text, F.lit(f"(?={''.join(f'[{x}]' for x in letters)})(?=({_trie(words)}))"), F.lit(1))
+
+
+def _overlaps(word: str) -> bool:
+    """Whether two occurrences of a word can share letters."""
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
+def count_of(text: Column, spots: Column, words: Sequence[str], every: Sequence[str]) -> Column:
+    """How often ``words`` occur in a text, each without overlaps, by the ``spots`` of ``every`` word in it.
+
+    A spot is one occurrence of each word that it begins with. A word that can overlap itself, and is spotted more than once, is counted again on the text.
+    """
+    worth: dict[int, list[str]] = {}
+    for s in set(every):
+        if n := sum(s.startswith(w) for w in words):
+            worth.setdefault(n, []).append(s)
+    out = F.lit(0.0)
+    for n, some in sorted(worth.items()):
+        out = out + n * F.size(F.filter(spots, lambda x: x.isin(some)))
+    for w in filter(_overlaps, words):
+        met = F.size(F.filter(spots, lambda x: F.startswith(x, F.lit(w))))
+        out = out + F.when(met > 1, occurrences(text, w) - met).otherwise(0.0)
+    return out
+
+
 def first_hit(text: Column, rules: Rules, default: str) -> Column:
     """The first class of which a keyword is contained."""
     out = None
@@ -66,15 +116,13 @@ def best_score(scores: Sequence[tuple[str, Column]], default: str) -> Column:
 
 
 def by_count(text: Column, rules: Rules, default: str = "Other") -> Column:
-    """The class whose keywords occur most often in sum."""
+    """The class whose keywords occur most often in sum; the text is read once for all keywords."""
+    every = [w for _, words in rules for w in words]
 
-    def total(lower: Column, words: Sequence[str]) -> Column:
-        out = F.lit(0.0)
-        for w in words:
-            out = out + occurrences(lower, w)
-        return out
+    def best(lower: Column) -> Column:
+        return once(spotted(lower, every), lambda spots: best_score([(name, count_of(lower, spots, words, every)) for name, words in rules], default))
 
-    return once(F.lower(text), lambda lower: best_score([(name, total(lower, words)) for name, words in rules], default))
+    return once(F.lower(text), best)
 
 
 def by_presence(text: Column, rules: Rules, default: str = "Other") -> Column:
@@ -99,14 +147,19 @@ def is_project_file(name: Column) -> Column:
 
 
 def trade(text: Column) -> Column:
-    """Brands first, then lighting words, then summed keyword counts."""
-    return once(
-        F.lower(text),
-        lambda lower: F.when(any_of(lower, fixed.ELECTRICAL_BRANDS), "Electrical")
-        .when(any_of(lower, fixed.HVAC_BRANDS), "HVAC")
-        .when(any_of(lower, fixed.LIGHTING_WORDS), "Electrical")
-        .otherwise(by_count(lower, fixed.TRADES_BY_COUNT)),
-    )
+    """Brands first, then lighting words, then summed keyword counts; the text is read once for all of them."""
+    named = (("Electrical", fixed.ELECTRICAL_BRANDS), ("HVAC", fixed.HVAC_BRANDS), ("Electrical", fixed.LIGHTING_WORDS))
+    every = [w for _, words in (*named, *fixed.TRADES_BY_COUNT) for w in words]
+
+    def of(lower: Column, spots: Column) -> Column:
+        out = None
+        for name, words in named:
+            some = [s for s in every if any(s.startswith(w) for w in words)]
+            hit = F.exists(spots, lambda x: x.isin(some))
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out.otherwise(best_score([(n, count_of(lower, spots, words, every)) for n, words in fixed.TRADES_BY_COUNT], "Other"))
+
+    return once(F.lower(text), lambda lower: once(spotted(lower, every), lambda spots: of(lower, spots)))
 
 
 def trade_present(text: Column) -> Column:
@@ -158,6 +211,11 @@ def page_types(text: Column) -> Column:
     return once(F.upper(text), lambda upper: F.array_compact(F.array(*(F.when(any_of(upper, ws), n) for n, ws in fixed.PAGE_TYPES))))
 
 
+def unparsed_schedules(text: Column) -> Column:
+    """The kinds of schedules on a page that no parser reads, for a report of what a takeoff leaves out; none of them gives items."""
+    return F.array_intersect(page_types(text), F.array(*map(F.lit, fixed.UNPARSED_SCHEDULES)))
+
+
 def page_gates(text: Column) -> Column:
     """What the first extractor looks for on a page; exact case."""
     return F.array_compact(F.array(*(F.when(any_of(text, ws), n) for n, ws in fixed.PAGE_GATES)))

@@ -1,13 +1,12 @@
-"""Rules as data: one engine for flags, matches, counts and pairs, native or with context windows.
+"""Rules as data: one engine for flags, matches, counts and pairs over tables of rules, and one for rules that make items.
 
-The native form makes literals of a short rule table; a longer one is joined in broadcast blocks of bounded size (``MOST_RULES``). The context form reads
-each text once in Arrow batches and gives the rule's template the text around its match.
+A short rule table becomes literals; a longer one is joined in broadcast blocks of bounded size (``MOST_RULES``). Rules that make items become columns too, with
+the characters around a match where they look at these; ``generate`` is for parsers that no column can express.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.functions import classify, patterns
+
 #: Rules that become literals of the plan, and rules of a block that is broadcast beyond.
 MOST_LITERALS, MOST_RULES = 200, 10_000
 ITEM = "description string, trade string, quantity double, unit string, confidence double"
@@ -105,48 +106,85 @@ def learn_rules(ask: Callable[[list[str], list[str]], list[dict]] | None, wrong:
 
 @dataclass(frozen=True)
 class Rule:
-    """One rule of the context form.
+    """One rule that makes items of a text.
 
-    mode      each: an item a match; count: an item a distinct match, with its number as quantity; flag: one item if found;
-              first: one item, for the first match
-    describe  a format string of the match's groups ({0} the whole), or a function of (match, text); None or '' gives no item
+    mode      each: an item a match; count: an item a distinct match, with its number as quantity; flag or first: one item, for the first match
+    describe  a template of the match's groups ({0} the whole), or a function of the match that gives a column; null or '' gives no item
     needs     sets of words: of each set, one must be in the text (any case)
+    before, after   characters around a match that ``describe`` looks at
     """
 
     trade: str
     unit: str | None
     confidence: float
-    describe: str | Callable
+    describe: str | Callable[[patterns.Found], Column]
     pattern: str = ""
     mode: str = "each"
     needs: tuple[tuple[str, ...], ...] = ()
     flags: int = re.IGNORECASE
+    before: int = 0
+    after: int = 0
+
+    def items(self, text: Column, upper: Column) -> Column:
+        """The rule's items for a text, whose upper-cased form is ``upper``, as an array."""
+        return self._given(upper, self._all(text, upper))
+
+    def _given(self, upper: Column, items: Column) -> Column:
+        for words in self.needs:
+            items = F.when(classify.any_of(upper, words), items).otherwise(no_items())
+        return items
 
-    def items(self, text: str, upper: str) -> Iterator[tuple]:
-        if not all(any(w in upper for w in words) for words in self.needs):
-            return
+    def _item(self, said: Column, quantity: Column | None = None) -> Column:
+        return item(said, self.trade, quantity, self.unit, self.confidence)
+
+    def _all(self, text: Column, upper: Column) -> Column:
         if not self.pattern:
-            yield self.describe, self.trade, None, self.unit, self.confidence
-            return
-        found = (self.said(m, text) for m in re.finditer(self.pattern, text, self.flags))
-        said = [d for d in found if d]
+            return F.array(self._item(F.lit(self.describe)))
+        if self.mode in ("flag", "first") and isinstance(self.describe, str) and "{" not in self.describe:
+            hit = patterns.may_have(text, upper, self.pattern, self.flags) & patterns.has(text, self.pattern, self.flags)
+            return F.when(hit, F.array(self._item(F.lit(self.describe)))).otherwise(no_items())
+        every = F.transform(patterns.found(text, self.pattern, self.flags, self.before, self.after, upper), lambda m: self.said(patterns.Found(m)))
+        said = F.filter(every, lambda d: F.coalesce(d != "", F.lit(False)))
         if self.mode == "count":
-            for d, n in Counter(said).items():
-                yield d, self.trade, float(n), self.unit, self.confidence
-            return
-        for d in said[:1] if self.mode in ("flag", "first") else said:
-            yield d, self.trade, None, self.unit, self.confidence
-
-    def said(self, m: re.Match, text: str) -> str | None:
-        if callable(self.describe):
-            return self.describe(m, text)
-        return self.describe.format(m.group(), *(g or "" for g in m.groups())).strip()
-
-
-def items_of(text: str, rules: Sequence[Rule]) -> list[tuple]:
-    """All items that the rules give for a text, rule by rule."""
-    upper = text.upper()
-    return [x for r in rules for x in r.items(text, upper)]
+            return classify.once(said, lambda all_said: F.transform(F.array_distinct(all_said), lambda d: self._item(d, F.size(F.filter(all_said, lambda x: x == d)).cast("double"))))
+        said = said if self.mode == "each" else F.slice(said, 1, 1)
+        return F.transform(said, lambda d: self._item(d))
+
+    def said(self, m: patterns.Found) -> Column:
+        return self.describe(m) if callable(self.describe) else patterns.stripped(filled(self.describe, m))
+
+
+def filled(template: str, m: patterns.Found) -> Column:
+    """A template with the groups of a match in it."""
+    parts = re.split(r"\{(\d+)\}", template)
+    return F.concat(*(m[int(p)] if k % 2 else F.lit(p) for k, p in enumerate(parts) if k % 2 or p))
+
+
+def item(said: Column, trade: Column | str, quantity: Column | float | None, unit: Column | str | None, confidence: float) -> Column:
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        said.alias("description"), as_col(trade).cast("string").alias("trade"), as_col(quantity).cast("double").alias("quantity"),
+        as_col(unit).cast("string").alias("unit"), F.lit(confidence).cast("double").alias("confidence"),
+    )
+
+
+def no_items() -> Column:
+    return F.array().cast(f"array<struct<{ITEM.replace(' ', ':').replace(',:', ',')}>>")
+
+
+def items_of(text: Column, upper: Column, rules: Sequence[Rule]) -> Column:
+    """All items that the rules give for a text, rule by rule, as an array."""
+    return F.concat(no_items(), *(r.items(text, upper) for r in rules))
+
+
+def itemize(docs: DataFrame, keys: Sequence[str], items: Callable[[Column, Column], Column], text_col: str = "text") -> DataFrame:
+    """``keys``, seq and item columns: what ``items``, an array for the text and its upper-cased form, gives for each text, numbered within the text.
+
+    All of it is columns, so texts stay in the JVM; a null text is an empty one.
+    """
+    held = docs.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_upper", F.upper("_text"))
+    out = held.select(*keys, F.posexplode(items(F.col("_text"), F.col("_upper"))).alias("seq", "_item"))
+    return out.select(*keys, F.col("seq").cast("long").alias("seq"), "_item.*")
 
 
 def generate(docs: DataFrame, keys: Sequence[str], generate_items: Callable[..., list[tuple]], text_col: str = "text", extra: Sequence[str] = ()) -> DataFrame:

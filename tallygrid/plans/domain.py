@@ -68,7 +68,8 @@ def _book_query(name: str, parse, book: phrasebook.Book) -> None:
 
     @query(name, oracle)
     def run(s, d):
-        return rules.generate(_phrases(s, d, [p for p, _ in book]), ["p_partkey"], parse)
+        run = rules.generate if getattr(parse, "plain", False) else rules.itemize
+        return run(_phrases(s, d, [p for p, _ in book]), ["p_partkey"], parse)
 
 
 for _name, (_parse, _book) in phrasebook.BOOKS.items():
@@ -884,14 +885,17 @@ def llm_chunks(s, d):
     return takeoff.chunk_items(chunks, ask, ["p_partkey"], attempts=2, wait=0.0).select("p_partkey", "seq", "description", "trade", "quantity")
 
 
-@query("unparsed_schedules", "SELECT p_partkey, 0::BIGINT AS n FROM part")
+# Headings and the kinds that they name and no parser reads.
+_UNPARSED = (
+    ("Door Schedule", "door_schedule"), ("LUMINAIRE SCHEDULE", "lighting_schedule"), ("Panel schedule", "electrical_schedule"), ("Plumbing fixture schedule", "plumbing_schedule"),
+    ("SPRINKLER SCHEDULE", "fire_protection_schedule"), ("Equipment schedule", ""), ("Door hardware schedule, receptacle schedule", "door_schedule,electrical_schedule"), ("Schedule of finishes", ""),
+)
+
+
+@query("unparsed_schedules", f"SELECT p_partkey, kinds FROM part JOIN (VALUES {', '.join(f"({k}, '{kinds}')" for k, (_, kinds) in enumerate(_UNPARSED))}) v(k, kinds) ON p_size % {len(_UNPARSED)} = k")
 def unparsed_schedules(s, d):
-    p = table(s, d, "part").select("p_partkey", F.col("p_name").alias("text"))
-    found = [rules.generate(p, ["p_partkey"], lambda t, kind=kind: generators.unparsed_schedule(t, kind)) for kind in generators.UNPARSED_SCHEDULES]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return p.select("p_partkey").join(every.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n")), "p_partkey", "left").fillna({"n": 0})
+    heading = F.element_at(F.array(*(F.lit(h) for h, _ in _UNPARSED)), (F.col("p_size") % len(_UNPARSED) + 1).cast("int"))
+    return table(s, d, "part").select("p_partkey", F.array_join(classify.unparsed_schedules(F.concat_ws("\n", heading, "p_name", "p_type")), ",").alias("kinds"))
 
 
 def _numbers(content: bytes) -> list[int]:

@@ -8,35 +8,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallygrid.operators import generators, parsers
-from tallygrid.operators.rules import items_of
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from tallygrid.operators import generators, parsers, rules
 
 Item = tuple[str, str, "float | str | None", "str | None", float]
 Book = list[tuple[str, list[Item]]]
 
 
-def by_rules(rules) -> Callable[[str], list[tuple]]:
-    return lambda text: items_of(text, rules)
+Items = Callable[[Column, Column], Column]
+
+
+def by_rules(table) -> Items:
+    return lambda text, upper: rules.items_of(text, upper, table)
+
+
+def _plain(parse: Callable[[str], list[tuple]]) -> Callable[[str], list[tuple]]:
+    """Marks a parser that is a function of a plain text."""
+    parse.plain = True
+    return parse
 
 
-def _flat(text: str) -> list[tuple]:
-    return [(generators.row_description(r), "Row", None, "EA", 1.0) for r in generators.schedule_rows(text)]
+def _flat(text: Column, upper: Column) -> Column:
+    return F.transform(generators.schedule_rows(text), lambda d: rules.item(d, "Row", None, "EA", 1.0))
 
 
+@_plain
 def _two_pass(text: str) -> list[tuple]:
     return [("|".join(r), "Equipment", None, "EA", 1.0) for r in parsers.equipment_rows(text)]
 
 
+@_plain
 def _tags_v2(text: str) -> list[tuple]:
     return [("|".join(r), "Equipment", None, "EA", 1.0) for r in parsers.equipment_rows_v2(text)]
 
 
-def _tag(text: str) -> list[tuple]:
-    return [(tag, "Tag", None, None, 1.0)] if (tag := generators.tag_of(text)) else []
+def _tag(text: Column, upper: Column) -> Column:
+    tag = generators.tag_of(text)
+    return F.when(tag.isNotNull(), F.array(rules.item(tag, "Tag", None, None, 1.0))).otherwise(rules.no_items())
 
 
-def _valid(text: str) -> list[tuple]:
-    return [(text, str(generators.valid_tag(text)), None, None, 1.0)]
+def _valid(text: Column, upper: Column) -> Column:
+    return F.array(rules.item(text, F.when(generators.valid_tag(text), "True").otherwise("False"), None, None, 1.0))
 
 
 def _hvac(d: str, confidence: float, quantity: float | None = None, unit: str = "EA") -> Item:
@@ -53,7 +67,7 @@ def _floor(d: str, unit: str, confidence: float) -> Item:
 
 NOTHING = ("Plain remarks without work.", [])
 
-BOOKS: dict[str, tuple[Callable[[str], list[tuple]], Book]] = {
+BOOKS: dict[str, tuple[Items | Callable[[str], list[tuple]], Book]] = {
     "gen_ducts": (
         by_rules(generators.DUCTS),
         [
@@ -165,7 +179,7 @@ BOOKS: dict[str, tuple[Callable[[str], list[tuple]], Book]] = {
         ],
     ),
     "gen_flooring_types": (
-        generators.flooring,
+        _plain(generators.flooring),
         [
             ("Porcelain tile at entry {a}", [_floor("Porcelain Tile Flooring", "SF", 0.75)]),
             ("engineered hardwood", [_floor("Engineered Hardwood Flooring", "SF", 0.75)]),
@@ -175,7 +189,7 @@ BOOKS: dict[str, tuple[Callable[[str], list[tuple]], Book]] = {
         ],
     ),
     "gen_flooring_accessories": (
-        generators.flooring,
+        _plain(generators.flooring),
         [
             ("Rubber base, color: Black", [_floor("Rubber Base | Color: Black", "LF", 0.7)]),
             ("Schluter edge trim", [_floor("Schluter Edge Trim", "LF", 0.7)]),
@@ -184,9 +198,9 @@ BOOKS: dict[str, tuple[Callable[[str], list[tuple]], Book]] = {
             NOTHING,
         ],
     ),
-    "gen_mats": (generators.flooring, [("Walk-off mat, 2 EA", [_floor("Walk-Off Mat", "EA", 0.5)]), ("Logo mat", []), ("Logo mat {a} each", [_floor("Logo Mat", "EA", 0.5)])]),
+    "gen_mats": (_plain(generators.flooring), [("Walk-off mat, 2 EA", [_floor("Walk-Off Mat", "EA", 0.5)]), ("Logo mat", []), ("Logo mat {a} each", [_floor("Logo Mat", "EA", 0.5)])]),
     "gen_transitions": (
-        generators.transitions,
+        _plain(generators.transitions),
         [
             ("PORCELAIN TILE TO CARPET TRANSITION", [_floor("Porcelain Tile to Carpet Transition", "FT", 0.45)]),
             ("Quarry tile to vinyl transition", [_floor("Quarry Tile to Vinyl Transition", "FT", 0.45)]),
@@ -204,7 +218,7 @@ BOOKS: dict[str, tuple[Callable[[str], list[tuple]], Book]] = {
             NOTHING,
         ],
     ),
-    "gen_constants": (generators.inferred, [("Nothing else {a}", [("Management & Supervision", "General", 1.0, "EA", 0.7), ("Documentation & Shop Drawings", "General", 1.0, "LS", 0.7)])]),
+    "gen_constants": (generators.constants, [("Nothing else {a}", [("Management & Supervision", "General", 1.0, "EA", 0.7), ("Documentation & Shop Drawings", "General", 1.0, "LS", 0.7)])]),
     "gen_spec_sections": (
         by_rules(generators.SPEC_SECTIONS),
         [
@@ -273,7 +287,7 @@ BOOKS: dict[str, tuple[Callable[[str], list[tuple]], Book]] = {
     ),
     "rule2_generic": (generators.generic_lines, [("Quarry stone pavers, {a} SF at lobby", [("Quarry stone pavers, {a} SF at lobby", "Other", "a", "SF", 0.5)]), ("Quarry stone pavers at lobby", [])]),
     "rule2_drawings": (
-        lambda text: generators.lines_by_type(text, "drawing"),
+        generators.lines_by_type("drawing"),
         [
             ("Door 1{b}A hollow metal", [("Door 1{b}A hollow metal", "Doors", None, None, 0.6)]),
             ("Provide new access panel above ceiling", [("Provide new access panel above ceiling", "Ceilings", None, None, 0.55)]),

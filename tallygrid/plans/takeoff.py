@@ -37,27 +37,27 @@ def _sequenced(items: DataFrame) -> DataFrame:
     return items.withColumn("seq", F.row_number().over(w).cast("long")).select("project_id", "seq", *ITEM)
 
 
-def _from_files(files: DataFrame, parse: Callable[[str], list[tuple]], stage: int) -> DataFrame:
-    got = rules.generate(files, ["project_id", "file_id", "file_name"], parse)
-    got = got.withColumn("source_reference", F.col("file_name")).withColumn("_at", F.format_string("%010d", "seq"))
-    return _staged(got, stage, ["file_id", "_at"])
+_TEXT_KEYS = ["project_id", "file_id", "file_name"]
 
 
-def general_file(text: str) -> list[tuple]:
-    """A file's schedule rows, floors, and running text where it has no schedule; trades are set later, from the description."""
-    import re
+def _of_files(got: DataFrame, stage: int, part: int = 0) -> DataFrame:
+    """Items that are numbered within their file, as rows of a stage; the parts of a stage follow each other within a file."""
+    return _staged(got.withColumn("source_reference", F.col("file_name")).withColumn("_at", F.format_string(f"{part}%010d", "seq")), stage, ["file_id", "_at"])
 
-    border, found = re.compile(fixed.NEXT_SECTION, re.IGNORECASE), []
-    for pattern, kind in fixed.SCHEDULE_PATTERNS:
-        for m in re.finditer(pattern, text, re.IGNORECASE):
-            s = m.start()
-            stop = border.search(text[s + 50 : s + 5000])
-            e = min(s + 50 + stop.start() if stop else s + 3000, len(text))
-            if e - s > 100:
-                found.append((s, e, kind))
-    kept = segment.longer_of(found)
-    out = [(generators.row_description(r), f"?{kind}", 1.0, "EA", 0.75) for s, e, kind in kept for r in generators.schedule_rows(text[s:e])]
-    return out + generators.flooring(text) + ([] if kept else rules.items_of(text, generators.GENERAL_TEXT))
+
+def _from_files(files: DataFrame, items: Callable[[Column, Column], Column], stage: int) -> DataFrame:
+    return _of_files(rules.itemize(files, _TEXT_KEYS, items), stage)
+
+
+def general_items(files: DataFrame, stage: int) -> DataFrame:
+    """Files' schedule rows, floors, and running text where a file has no schedule; trades are set later, from the description."""
+    sections = segment.schedules(files, _TEXT_KEYS, fixed.SCHEDULE_PATTERNS, fixed.NEXT_SECTION)
+    row = sections.select(*_TEXT_KEYS, "kind", "start", F.posexplode(generators.schedule_rows(F.col("section"))).alias("i", "description"))
+    row = row.select(*_TEXT_KEYS, (F.col("start").cast("long") * 100_000 + F.col("i")).alias("seq"), "description", F.concat(F.lit("?"), "kind").alias("trade"), F.lit(1.0).alias("quantity"), F.lit("EA").alias("unit"), F.lit(0.75).alias("confidence"))
+    floors = rules.generate(files, _TEXT_KEYS, generators.flooring)
+    bare = files.join(sections.select(*_TEXT_KEYS).distinct(), _TEXT_KEYS, "left_anti")
+    told = rules.itemize(bare, _TEXT_KEYS, lambda text, upper: rules.items_of(text, upper, generators.GENERAL_TEXT))
+    return _of_files(row, stage, 0).unionByName(_of_files(floors, stage, 1)).unionByName(_of_files(told, stage, 2))
 
 
 def _named_trades(items: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def default_items(pages: DataFrame, llm_filter: Callable[[list[str]], list[bool]
         _staged(context.legend_items(legend, rooms, ["project_id"], at), 1, at),
         _staged(context.room_items(rooms, legend, ["project_id"], at), 2, ["trade", "description"]),
         _staged(context.equipment_items(tagged, ["project_id"], at), 3, at),
-        _from_files(files, general_file, 4),
-        _from_files(files.where("file_type in ('spec', 'addendum')"), lambda t: rules.items_of(t, generators.SPEC_SECTIONS), 5),
+        general_items(files, 4),
+        _from_files(files.where("file_type in ('spec', 'addendum')"), lambda text, upper: rules.items_of(text, upper, generators.SPEC_SECTIONS), 5),
         _from_files(plain.where(has_any("text", fixed.MECHANICAL_GATES)), generators.mechanical, 6),
         _from_files(plain.where(has_any("text", fixed.ELECTRICAL_GATES)), generators.electrical, 7),
     ]
@@ -148,7 +148,7 @@ def inferred_items(pages: DataFrame) -> DataFrame:
         for w in r.needs:
             every = every & F.col(names[w])
         rows.append(F.when(every, _item(3, i, (r.describe, r.trade, None, r.unit, r.confidence))))
-    rows += [_item(4, i, (said, trade, 1.0, unit, 0.7)) for i, (said, trade, unit) in enumerate(fixed.CONSTANT_ITEMS)]
+    rows += [_item(4, i, x) for i, x in enumerate(generators.CONSTANTS)]
     flags = counted.select("project_id", F.explode(F.array_compact(F.array(*rows))).alias("x")).select("project_id", "x.*")
     once = near.unionByName(flags).groupBy("project_id", *ITEM[:5]).agg(F.min(F.struct("kind", "a", "b")).alias("first"))
     w = Window.partitionBy("project_id").orderBy("first")
@@ -174,7 +174,7 @@ def rule_items(pages: DataFrame) -> DataFrame:
     every = every.unionByName(_staged(context.room_items(rooms, legend, ["project_id"], at).where("trade <> 'Ceilings' or description like '%CL-03%'"), 2, ["trade", "description"]))
     every = every.unionByName(_staged(context.equipment_items(tagged, ["project_id"], at), 3, at))
     for k, kind in enumerate(("spec", "drawing", "sow", "addendum")):
-        every = every.unionByName(_from_files(files.where(F.col("file_type") == kind), lambda t, kind=kind: generators.lines_by_type(t, kind), 10 + k))
+        every = every.unionByName(_from_files(files.where(F.col("file_type") == kind), generators.lines_by_type(kind), 10 + k))
     every = every.unionByName(_from_files(files.where("file_type not in ('spec', 'drawing', 'sow', 'addendum')"), generators.generic_lines, 14))
     every = every.unionByName(_from_files(drawn, generators.mechanical, 20)).unionByName(_from_files(drawn, generators.electrical, 21))
     items = rules.drop_matching(_sequenced(every), false_positives.FALSE_POSITIVES_V2)
@@ -189,8 +189,8 @@ def context_items(pages: DataFrame) -> DataFrame:
     fused = context.fusion_items(rooms, legend, ["project_id"], ["file_id", "page_number", "pos"])
     every = _staged(fused, 1, ["part", "code", "height"])
     units = lambda t: [(f"{x[0]}: {x[2]} {x[3]} ({x[1]})", "Mechanical", None, "EA", 0.9) for x in parsers.equipment_rows_v2(t)]
-    every = every.unionByName(_from_files(of("equipment_schedule").select(*FILE_KEYS, "text"), units, 2))
-    every = every.unionByName(_from_files(drawings.select(*FILE_KEYS, "text"), generators.callouts_v2, 3))
+    every = every.unionByName(_of_files(rules.generate(of("equipment_schedule"), _TEXT_KEYS, units), 2))
+    every = every.unionByName(_from_files(drawings, generators.callouts_v2, 3))
     return dedup.first_of(_sequenced(every), ["project_id", "trade", F.lower("description")], ["seq"])
 
 

@@ -1,6 +1,7 @@
 """Hand-derived cases of the takeoff domain."""
 
 import datetime
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, fixed, salvage, similarity, text
 from tallygrid.operators import context, dedup, generators, jobs, match, parsers, rules, segment, stats
-from tallygrid.plans import takeoff
+from tallygrid.plans import phrasebook, takeoff
 from tallygrid.sources import readers, sinks
+from tests import plain_items
 
 PAGE = "project_id string, file_id string, page_number int, text string"
 KEYS = ["project_id", "file_id", "page_number"]
@@ -71,10 +73,10 @@ def test_heights(spark):
     assert [r[0] for r in d.collect()] == ["9'-0\"", "10'-6\"", "8'\"", ""]
 
 
-def test_schedule_rows_need_two_specs():
-    assert generators.schedule_rows("RTU-1 480V\nRTU-2 480V 900 CFM") == [{"tag": "RTU-2", "CFM": "900", "Voltage": "480V"}]
-    assert generators.row_description({"tag": "RTU-2", "CFM": "900", "Voltage": "480V"}) == "RTU-2 | CFM: 900 | Voltage: 480V"
-    assert generators.valid_tag("RTU-1") and not generators.valid_tag("A-101") and not generators.valid_tag("12")
+def test_schedule_rows_need_two_specs(spark):
+    d = spark.createDataFrame([("RTU-1 480V\nRTU-2 480V 900 CFM",), ("RTU-1",), ("A-101",), ("12",)], "t string")
+    assert [r[0] for r in d.select(generators.schedule_rows(F.col("t"))).collect()][0] == ["RTU-2 | CFM: 900 | Voltage: 480V"]
+    assert [r[0] for r in d.select(generators.valid_tag(F.col("t"))).collect()][1:] == [True, False, False]
 
 
 def test_equipment_learns_prefixes():
@@ -98,7 +100,6 @@ def test_boxes_merge(spark):
 def test_quantities(spark):
     d = spark.createDataFrame([("Install 1,200 SF tile and 3 EA frames",), (None,)], "t string").select(text.quantities(F.col("t")))
     assert [[tuple(x) for x in r[0] or []] for r in d.collect()] == [[(1200.0, "SF"), (3.0, "EA")], []]
-    assert generators.quantities("Install 1,200 SF tile and 3 EA frames") == [(1200.0, "SF"), (3.0, "EA")]
 
 
 def items(spark, *descriptions, trade="T"):
@@ -255,22 +256,68 @@ def test_discovery(spark):
     assert rows(readers.project_type(ls, ls.where("path in ('/r/c/three')"))) == [("/r/c/three", True, "sample")]
 
 
-def test_generators():
+def said(spark, items, *texts):
+    """The items of each text, as tuples, by a generator of columns."""
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    out = [[] for _ in texts]
+    for r in rules.itemize(d, ["i"], items).orderBy("i", "seq").collect():
+        out[r["i"]].append(tuple(r)[2:])
+    return out
+
+
+def test_generators(spark):
     plan = 'Supply 24"x12 duct, 24"x12 duct. 3/4" REFRIGERANT. REMOVE EXISTING DUCT. 6" Flexible Duct to Diffuser'
-    said = {x[0]: x[2] for x in generators.mechanical(plan)}
-    assert said['24""x12" Duct'] == 2.0 and said['3/4" Dia Refrigerant Lines'] == 1.0 and '6" Flexible Duct to Diffuser' in said
+    got = {x[0]: x[2] for x in said(spark, generators.mechanical, plan)[0]}
+    assert got['24""x12" Duct'] == 2.0 and got['3/4" Dia Refrigerant Lines'] == 1.0 and '6" Flexible Duct to Diffuser' in got
     panel = "NEMA 5-20R DUPLEX RECEPTACLE GFCI\n45 KVA TRANSFORMER 480 V / 277 V\n20A-1P CIRCUIT BREAKER\nOCCUPANCY SENSOR"
-    said = [x[0] for x in generators.electrical(panel)]
-    assert {"NEMA 5-20R GFCI Receptacle", "45kVA XFMR 277V-480V", "20A-1P Circuit Breaker", "Occupancy Sensor"} <= set(said)
+    got = [x[0] for x in said(spark, generators.electrical, panel)[0]]
+    assert {"NEMA 5-20R GFCI Receptacle", "45kVA XFMR 277V-480V", "20A-1P Circuit Breaker", "Occupancy Sensor"} <= set(got)
     assert ('12" X 12" X 1/8" | Vinyl Composition Tile Flooring', "Flooring", None, "SF", 0.75) in generators.flooring('12" X 12" X 1/8" VINYL COMPOSITION TILE')
-    rowsd = generators.diffuser_rows("DIFFUSER SCHEDULE\nS-1\n24 x 24\n95 - 210\nSTEEL\nR-1\nnothing")
+    rowsd = said(spark, generators.diffuser_rows, "DIFFUSER SCHEDULE\nS-1\n24 x 24\n95 - 210\nSTEEL\nR-1\nnothing")[0]
     assert rowsd[0][0] == 'S-1:\n-Nominal Module Size: 24"x24"\n-CFM: 95-210\n-Material: Steel' and len(rowsd) == 1
-    lit = generators.lighting_rows("LIGHTING FIXTURE SCHEDULE\nA\nLED troffer\nACME LIGHTING\nTX9000\nemergency backup\nB\nab")
+    lit = said(spark, generators.lighting_rows, "LIGHTING FIXTURE SCHEDULE\nA\nLED troffer\nACME LIGHTING\nTX9000\nemergency backup\nB\nab")[0]
     assert [x[0].split("\n")[0] for x in lit] == ["Light A: LED troffer", "Light A with Integrated Emergency Battery Backup: LED troffer"]
-    assert {x[0] for x in generators.inferred("")} == {d for d, _, _ in fixed.CONSTANT_ITEMS}
+    assert {x[0] for x in said(spark, generators.constants, "")[0]} == {d for d, _, _ in fixed.CONSTANT_ITEMS}
     assert ("Quarry Tile to Vinyl Transition", "Flooring", None, "FT", 0.45) in generators.transitions("QUARRY TILE TO VINYL TRANSITION")
-    assert len({x[0].lower() for x in generators.callouts_v2('6"x8" duct, 6"x8" duct, dimmer switch. Remove existing tile. remove existing TILE.')}) == 3
-    assert [x[1] for x in generators.lines_by_type("1. Provide and install new carpet tile 12 EA", "sow")] == ["Flooring"]
+    three = said(spark, generators.callouts_v2, '6"x8" duct, 6"x8" duct, dimmer switch. Remove existing tile. remove existing TILE.')[0]
+    assert len({x[0].lower() for x in three}) == len(three) == 3
+    gone = said(spark, generators.callouts_v2, "Remove existing tile. Remove existing door, remove existing sink; site supervision, project management")[0]
+    assert [x[0] for x in gone] == ["Remove existing tile.", "Remove existing door,", "remove existing sink;", "Project Management", "Site Supervision"]
+    assert [x[1] for x in said(spark, generators.lines_by_type("sow"), "1. Provide and install new carpet tile 12 EA")[0]] == ["Flooring"]
+
+
+PLAIN = {
+    "mechanical": (generators.mechanical, plain_items.mechanical),
+    "electrical": (generators.electrical, plain_items.electrical),
+    "callouts": (generators.callouts_v2, plain_items.callouts_v2),
+    **{k: (generators.lines_by_type(k), lambda t, k=k: plain_items.lines_by_type(t, k)) for k in ("spec", "drawing", "scope", "other")},
+    "plain_lines": (generators.plain_lines, plain_items.plain_lines),
+    **{k: (lambda t, u, k=k: rules.items_of(t, u, getattr(generators, k)), lambda t, k=k: plain_items.items_of(t, getattr(plain_items, k))) for k in ("GENERAL_TEXT", "SPEC_SECTIONS", "INFERRED", "PANELS", "EQUIPMENT_ROWS")},
+    "schedule_rows": (lambda t, u: F.transform(generators.schedule_rows(t), lambda d: rules.item(d, "Row", None, "EA", 1.0)), lambda t: [(plain_items.row_description(r), "Row", None, "EA", 1.0) for r in plain_items.schedule_rows(t)]),
+    "tags": (
+        lambda t, u: F.array(rules.item(F.coalesce(generators.tag_of(t), F.lit("-")), generators.valid_tag(t).cast("string"), None, None, 1.0)),
+        lambda t: [(plain_items.tag_of(t) or "-", str(plain_items.valid_tag(t)).lower(), None, None, 1.0)],
+    ),
+}
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    """Texts that mix the phrases of all generators, with fillers, other alphabets and odd white space between them."""
+    r = random.Random(11)
+    phrases = [p.replace("{a}", "7").replace("{b}", "31").replace("{c}", "12") for _, book in phrasebook.BOOKS.values() for p, _ in book]
+    fill = [" ", "\n", ", ", "\n\n", " é ", "\u00a0", "ß" * 30, " 480V/277V ", " x " * 90, "\r\n", " Supplied by Client ", "PANEL VP1", "Size: 3'-0\"x7'-0\"", " EXHAUST ", "\U0001f600", "REFRIGERANT GAS", '"', " ELBOW"]
+    texts = ["".join(r.choice(phrases) + r.choice(fill) for _ in range(r.randint(1, 9))) for _ in range(160)]
+    return [*texts, *(t.upper() for t in texts[:30]), *(t.lower() for t in texts[:30]), "", "\n", "x" * 30_000]
+
+
+@pytest.mark.parametrize("name", PLAIN)
+def test_columns_are_as_plain_functions(spark, mixed, name):
+    columns, plain = PLAIN[name]
+    got = said(spark, columns, *mixed)
+    for text, have in zip(mixed, got, strict=True):
+        assert have == plain(text), text
+    assert any(got) and said(spark, columns, None) == [plain("")]
 
 
 def test_pipelines(spark):
@@ -294,15 +341,13 @@ def test_pipelines(spark):
 
 def test_projects_imply_what_their_joined_text_does(spark):
     """Page by page, with margins, as from all pages of a project in one text."""
-    from tallygrid.plans import phrasebook
-
-    said = [p.replace("{a}", "7").replace("{b}", "31").replace("{c}", "12") for _, book in phrasebook.BOOKS.values() for p, _ in book]
-    texts = [f"{p}\n{'filler words ' * (i % 40)}" for i, p in enumerate(said)]
+    phrases = [p.replace("{a}", "7").replace("{b}", "31").replace("{c}", "12") for _, book in phrasebook.BOOKS.values() for p, _ in book]
+    texts = [f"{p}\n{'filler words ' * (i % 40)}" for i, p in enumerate(phrases)]
     texts += ["Logo mat", "logo mat of rubber", "PORCELAIN TILE", "TO CARPET TRANSITION", "Manufacturer: Shaw", "carpet here", "MILLWORK", "x", None, "", "Straße mit FITTING ROOM", 'VINYL TILE 12" x 12"', "ß" * 50 + " quarter round"]
     p = spark.createDataFrame([("p" if i % 3 else "q", "f" + str(i % 4), i, t) for i, t in enumerate(texts)], PAGE)
     for project in ("p", "q"):
         whole = "\n".join(r["text"] for r in p.where(F.col("project_id") == project).orderBy("page_number").collect() if r["text"])
-        want = set(generators.inferred(whole))
+        want = set(plain_items.inferred(whole))
         got = takeoff.inferred_items(p).where(F.col("project_id") == project).select("description", "trade", "quantity", "unit", "confidence").collect()
         assert len(got) == len(set(got)) and set(map(tuple, got)) == want, project
     assert takeoff.inferred_items(p.limit(0)).count() == 0
@@ -361,9 +406,9 @@ def test_model_calls_are_tried_again(spark):
     assert rules.learn_rules(lambda w, r: 1 / 0, ["a"], [], fixed.DEFAULT_FILTERS) == rules.learn_rules(None, ["a"], [], fixed.DEFAULT_FILTERS)
 
 
-def test_offsets_are_those_of_the_text():
+def test_offsets_are_those_of_the_text(spark):
     """A letter that grows in capitals does not move what is found after it."""
-    assert generators.vav_schedule("ß" * 40 + "Vav Terminal Unit Schedule\nVAV-1\nTITUS / DESV")[0][0].startswith("VAV-1:\n-Mfg/Model: TITUS")
+    assert said(spark, generators.vav_schedule, "ß" * 40 + "Vav Terminal Unit Schedule\nVAV-1\nTITUS / DESV")[0][0][0].startswith("VAV-1:\n-Mfg/Model: TITUS")
     assert parsers.equipment_rows("ß" * 90 + "Equipment Schedule\nQQ-1 MODEL AB1 CFM 900\n")[0][0] == "QQ-1"
 
 
