@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tallygrid.llm.common import checkpoint, saved
 
 #: Documents of a language that a kept term is in at least, ranks of terms, blocks of a language at most, counts in a chunk about, distinct counts that a task holds.
-LEAST, TOP, BLOCKS, CHUNK, HELD = 10, 10, 8, 400_000, 400_000
+LEAST, TOP, BLOCKS, CHUNK, HELD = 10, 10, 8, 50_000, 400_000
 #: Fixed value: a share of all terms.
 ONE = 1_000_000_000
 
@@ -225,7 +225,7 @@ def audit(
     groups = checkpoint(slots.join(sized, "lang").withColumn("whole", F.col("n") + 2 * F.col("v")).withColumn("block", F.pmod("slot", F.col("n_blocks")).cast("int")))
 
     names = kept.where(term & F.col("first")).join(sized.select("lang", "chunks"), "lang").select("lang", "term", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int").alias("chunk"))
-    ids = names.withColumn("id", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
+    ids = names.repartition("lang", "chunk").withColumn("id", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1)
     of_group = groups.select("lang", "source", "slot", "block")
     held = kept.where(term).join(ids, ["lang", "term"]).join(of_group, ["lang", "source"]).select("lang", "chunk", "block", "slot", "id", "tf", "total", "term")
     heads = groups.select("lang", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", "slot", F.lit(-1).alias("id"), F.col("whole").alias("tf"), F.lit(0).cast("long").alias("total"), F.lit("").alias("term"))
