@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, text
+from tallygrid.operators import substrings
 
 CODE_COLUMNS = ("floor", "base", "walls_primary", "walls_accent", "ceiling_finish")
 
@@ -110,8 +111,9 @@ def equipment_items(rows: DataFrame, keys: Sequence[str], order: Sequence[str])
 
 
 def terms_on_pages(terms: DataFrame, pages: DataFrame, keys: Sequence[str], term: str = "term", page_text: str = "text") -> DataFrame:
-    """Terms with the pages of the same project that contain them."""
-    return terms.join(pages, [*(terms[k] == pages[k] for k in keys), F.instr(pages[page_text], terms[term]) > 0]).select(*(terms[k] for k in keys), terms[term], *(pages[c] for c in pages.columns if c not in (*keys, page_text)))
+    """Terms with the pages of the same project that contain them, by an index of pieces; rows without a key or a term meet nothing."""
+    found = substrings.containing(terms, pages, keys, term, page_text).toDF(*keys, term, page_text)
+    return terms.select(*keys, term).join(found, [*keys, term]).join(pages, [*keys, page_text]).select(*keys, term, *(c for c in pages.columns if c not in (*keys, page_text)))
 
 
 def better_source(pages: DataFrame, other: DataFrame, keys: Sequence[str], chars: str = "char_count", confidence: str = "confidence") -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions import classify
+from tallygrid.operators import substrings
 
 
 def first_of(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
@@ -55,9 +56,10 @@ def by_base_longest(df: DataFrame, scope: Sequence[str], text: str, order: str)
 
 
 def not_contained(new: DataFrame, old: DataFrame, scope: Sequence[str], text: str) -> DataFrame:
-    """New rows whose lower-cased text no old text of the scope contains. Compares within a scope only."""
-    other = old.select(*scope, F.lower(text).alias("_old")).distinct()
-    return new.join(other, [*(new[c].eqNullSafe(other[c]) for c in scope), F.contains(other["_old"], F.lower(new[text]))], "left_anti")
+    """New rows whose lower-cased text no old text of the scope contains, by an index of pieces; a null text is contained in none."""
+    low = lambda d: d.select(*scope, F.lower(text).alias("_low"))
+    found = substrings.containing(low(new), low(old), scope, "_low", "_low").select(*scope, "needle").distinct()
+    return new.join(found, [*(new[c].eqNullSafe(found[c]) for c in scope), F.lower(new[text]) == found["needle"]], "left_anti")
 
 
 # Tags that show two descriptions to be of one thing.

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, fixed, salvage, similarity, text
-from tallygrid.operators import context, dedup, generators, jobs, match, parsers, rules, segment, stats
+from tallygrid.operators import context, dedup, generators, jobs, match, parsers, rules, segment, stats, substrings
 from tallygrid.plans import phrasebook, takeoff
 from tallygrid.sources import readers, sinks
 from tests import plain_items
@@ -428,3 +428,26 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         stages.resume(stages.read_events(spark, str(src)).select("job_id", "message"), lambda d: d, out, str(tmp_path / f"c{_}"), ["job_id", "message"]).awaitTermination(100)
     assert spark.read.parquet(out).count() == 4
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_substring_join(spark, most):
+    """Against all pairs; short, empty, null, repeated and supplementary needles, null scopes, columns that clash; and no nested loop in a plan."""
+    r = random.Random(5)
+    some = lambda n: "".join(r.choice("abé\n\U0001f600 ") for _ in range(n))
+    hay = [(r.choice(["p", "q", None]), some(r.randint(0, 30))) for _ in range(60)] + [("p", None), ("p", "x" * 5000 + "needle in it"), ("p", "")]
+    find = [(r.choice(["p", "q", None, "z"]), some(r.randint(0, 7))) for _ in range(120)] + [("p", "needle"), ("p", "needle"), ("p", "needles"), ("q", None), ("p", ""), (None, "a")]
+    texts, needles = spark.createDataFrame(hay, "k string, s0 string"), spark.createDataFrame(find, "k string, name string")
+    got = substrings.containing(needles, texts, ["k"], "name", "s0", most)
+    want = {(k, n, t) for k, n in find for q, t in hay if n is not None and t is not None and k == q and n in t}
+    have = [tuple(x) for x in got.collect()]
+    assert set(have) == want and len(have) == len(want)
+    assert substrings.containing(needles.limit(0), texts, ["k"], "name", "s0").count() == substrings.containing(needles, texts.limit(0), ["k"], "name", "s0").count() == 0
+    new = spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(find)], "i int, k string, text string")
+    left = dedup.not_contained(new, texts.toDF("k", "text"), ["k"], "text")
+    assert {x["i"] for x in left.collect()} == {i for i, (k, n) in enumerate(find) if n is None or not any(k == q and t is not None and n.lower() in t.lower() for q, t in hay)}
+    on = context.terms_on_pages(needles.toDF("k", "term"), spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(hay)], "k string, text string, page int"), ["k"])
+    assert rows(on, "k", "term", "page") == sorted(((k, n, i) for k, n in find for i, (q, t) in enumerate(hay) if None not in (k, n, t) and k == q and n in t), key=repr)
+    for d in (got, left, on):
+        plan = d._jdf.queryExecution().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
