@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrid.functions import fixed, similarity, text
+from tallygrid.session import kept
 
 
 def candidates(expected: DataFrame, predicted: DataFrame, scope: str = "project_id", threshold: float = fixed.MATCH_THRESHOLD) -> DataFrame:
@@ -43,31 +44,74 @@ def scored(expected: DataFrame, predicted: DataFrame, scope: str = "project_id",
     return pairs.select(scope, "e", "p", similarity.match_score_of(F.coalesce("_e", F.lit("")), F.coalesce("_p", F.lit(""))).alias("score")).where(F.col("score") >= threshold)
 
 
-def greedy(pairs: DataFrame, scope: str = "project_id") -> DataFrame:
-    """One-to-one assignment over ``pairs(scope, e, p, score)``: each expected item in order takes its best free prediction, the earlier of equals.
+#: Pairs of a project that are read one after the other at most, and rounds over larger ones.
+ONE_TASK, ROUNDS = 200_000, 30
 
-    Only pairs that reach the threshold come here. They are dealt by project and sorted, and then read once, in order: what is held of a project
-    is which of its predictions are taken, so a large project is no table in memory, and many small ones cost no more than their rows.
-    """
+
+def _read_in_order(pairs: DataFrame, scope: str, by: list[str]) -> DataFrame:
+    """The assignment by reading pairs once, sorted, each group of ``by`` in one task; what is held of a group is which of its predictions are taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, taken, done = object(), set(), object()
         for batch in batches:
             keep = []
-            for i, (s, e, p) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+            groups = list(zip(*(batch.column(4 + k).to_pylist() for k in range(len(by))), strict=True))
+            for i, (s, e, p) in enumerate(zip(groups, *(batch.column(k).to_pylist() for k in (1, 2)), strict=True)):
                 if s != now:
                     now, taken, done = s, set(), object()
                 if e != done and p not in taken:
                     taken.add(p)
                     done = e
                     keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
+            yield batch.select(range(4)).take(pa.array(keep, pa.int64()))
 
     kinds = dict(pairs.dtypes)
-    dealt = pairs.select(scope, "e", "p", F.col("score").cast("double").alias("score")).repartition(scope).sortWithinPartitions(scope, "e", F.desc("score"), "p")
+    groups = [F.col(c).alias(f"_by{k}") for k, c in enumerate(by)]
+    dealt = pairs.repartition(*by).sortWithinPartitions(*by, "e", F.desc("score"), "p").select(scope, "e", "p", "score", *groups)
     return dealt.mapInArrow(run, f"`{scope}` {kinds[scope]}, e {kinds['e']}, p {kinds['p']}, score double")
 
 
+def _linked(pairs: DataFrame, scope: str) -> DataFrame:
+    """``scope``, e, group: the expected items of a project that are linked over shared predictions have one group, the smallest of them."""
+    labels = kept(pairs.select(scope, "e", F.col("e").alias("group")).distinct())
+    while True:
+        of_p = pairs.join(labels, [scope, "e"]).groupBy(scope, "p").agg(F.min("group").alias("group"))
+        near = pairs.join(of_p, [scope, "p"]).groupBy(scope, "e").agg(F.min("group").alias("near"))
+        up = labels.select(scope, F.col("e").alias("near"), F.col("group").alias("up"))
+        new = kept(labels.join(near, [scope, "e"]).join(up, [scope, "near"]).select(scope, "e", F.col("group").alias("was"), F.least("near", "up").alias("group")))
+        labels = new.select(scope, "e", "group")
+        if new.where("group <> was").isEmpty():
+            return labels
+
+
+def greedy(pairs: DataFrame, scope: str = "project_id", one_task: int = ONE_TASK, rounds: int = ROUNDS) -> DataFrame:
+    """One-to-one assignment over ``pairs(scope, e, p, score)``: each expected item in order takes its best free prediction, the earlier of equals.
+
+    Only pairs that reach the threshold come here. Projects of up to ``one_task`` pairs are dealt by project and read in order. Of a larger one, an expected
+    item is settled in a round if its best prediction is no choice of any earlier one; it and its prediction go, and the next round begins. What a
+    number of rounds leaves is read in order by groups of linked items, not by project. The result is the same in each way.
+    """
+    held = kept(pairs.select(scope, "e", "p", F.col("score").cast("double").alias("score")))
+    large = kept(held.groupBy(scope).count().where(F.col("count") > one_task).select(scope))
+    if large.isEmpty():
+        return _read_in_order(held, scope, [scope])
+    out = [_read_in_order(held.join(large, scope, "left_anti"), scope, [scope])]
+    live = held.join(large, scope, "left_semi")
+    for _ in range(rounds):
+        best = live.groupBy(scope, "e").agg(F.min(F.struct((-F.col("score")).alias("s"), "p")).alias("b")).select(scope, "e", F.col("b.p").alias("p"), (-F.col("b.s")).alias("score"))
+        final = kept(best.join(live.groupBy(scope, "p").agg(F.min("e").alias("e")), [scope, "e", "p"]).select(scope, "e", "p", "score"))
+        out.append(final)
+        live = kept(live.join(final.select(scope, "e"), [scope, "e"], "left_anti").join(final.select(scope, "p"), [scope, "p"], "left_anti"))
+        if live.isEmpty():
+            break
+    else:
+        out.append(_read_in_order(live.join(_linked(live, scope), [scope, "e"]), scope, [scope, "group"]))
+    every = out[0]
+    for o in out[1:]:
+        every = every.unionByName(o)
+    return every
+
+
 def best(pairs: DataFrame, scope: str = "project_id", threshold: float = fixed.COMPARE_THRESHOLD) -> DataFrame:
     """Many to one: each prediction with its best expected item from ``threshold`` up, the earlier of equals."""
     w = Window.partitionBy(scope, "p").orderBy(F.desc("score"), "e")

@@ -39,3 +39,11 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallygrid-")
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df):
+    """``df`` computed once and written to the folder that driver and executors share, its lineage cut, as a checkpoint."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoints"))
+    return df.checkpoint()

@@ -48,7 +48,7 @@ def event_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 mi
 
 
 def resume(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, keys: list[str]):
-    """Process a stream batch by batch into a table; rows whose key the table has are not done again.
+    """Process a stream batch by batch into a table; rows whose key the table has are not done again, and of those of one key in a batch one is.
 
     The query's checkpoint remembers what was read; the anti join makes a batch that was cut short and comes again harmless.
     """
@@ -60,6 +60,7 @@ def resume(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str,
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
+        rows = rows.dropDuplicates(keys)
         work(rows).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -451,3 +451,54 @@ def test_substring_join(spark, most):
     for d in (got, left, on):
         plan = d._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def in_order(pairs):
+    """The assignment, read plainly."""
+    out, taken, done = [], set(), set()
+    for s, e, p, score in sorted(pairs, key=lambda x: (x[0], x[1], -x[3], x[2])):
+        if (s, e) not in done and (s, p) not in taken:
+            out.append((s, e, p, score))
+            done.add((s, e))
+            taken.add((s, p))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("one_task, rounds", [(10**6, 30), (0, 30), (0, 0), (0, 2), (150, 1)])
+def test_assignment_in_rounds(spark, one_task, rounds):
+    """By rounds, by groups of linked items and read in order alike: ties, dense and sparse projects, chains."""
+    r = random.Random(9)
+    pairs = {(s, r.randrange(n), r.randrange(n)): float(r.choice([60, 70, 70.5, 90])) for s, n, m in (("dense", 9, 70), ("sparse", 60, 90), ("wide", 200, 160), ("one", 1, 1)) for _ in range(m)}
+    pairs |= {("chain", i, i + k): 90.0 - k for i in range(40) for k in (0, 1)} | {("turned", i, 40 - i - k): 90.0 - k for i in range(40) for k in (0, 1)}
+    rows_ = [(*k, v) for k, v in pairs.items()]
+    d = spark.createDataFrame(rows_, "project_id string, e long, p long, score double").repartition(5)
+    got = match.greedy(d, one_task=one_task, rounds=rounds)
+    assert rows(got, "project_id", "e", "p", "score") == sorted(in_order(rows_), key=repr)
+    assert match.greedy(d.limit(0), one_task=one_task, rounds=rounds).count() == 0
+
+
+def test_reports_are_as_plain_functions(spark):
+    """Scores, assignment and report over varied descriptions, ratios that decide included, against the plain functions on all pairs."""
+    r = random.Random(21)
+    words = ["supply", "diffuser", "metal", "frame", "paint", "rubber", "base", "panel", "switch", "dimmer", "occupancy", "sensor", "RTU-1", "RTU-2", "EF-3", "12x12", "hollow", "exhaust", "é", "and"]
+    some = lambda: " ".join(r.choice(words) for _ in range(r.randint(0, 9)))
+    sides = [[(q, i, some(), r.choice([None, 1.0, 4.0])) for q in ("p", "q") for i in range(25)] for _ in range(2)]
+    sides[1] += [("p", 50 + i, x[2] + r.choice(["", " and", "s", " metal"]), 2.0) for i, x in enumerate(sides[0][:15])]
+    e, p = (spark.createDataFrame(x, "project_id string, seq long, description string, quantity double") for x in sides)
+    want = [(a[0], a[1], b[1], float(s)) for a in sides[0] for b in sides[1] if a[0] == b[0] and (s := similarity.match_score(a[2], b[2])) >= fixed.MATCH_THRESHOLD]
+    assert len({x[3] for x in want}) > 20 and rows(match.scored(e, p), "project_id", "e", "p", "score") == sorted(want, key=repr)
+    taken = in_order(want)
+    assert rows(match.greedy(match.scored(e, p)), "project_id", "e", "p", "score") == sorted(taken, key=repr)
+    for row in match.report(e, p).collect():
+        q = row["project_id"]
+        own = [x for x in taken if x[0] == q]
+        assert row["matched_items"] == len(own) and row["coverage"] == round(len(own) / 25 * 100, 1)
+        assert row["missing_items"] == [x[2][:100] for x in sides[0] if x[0] == q and x[1] not in {m[1] for m in own}]
+        assert row["extra_items"] == [x[2][:100] for x in sorted(sides[1]) if x[0] == q and x[1] not in {m[2] for m in own}]
+    best = {}
+    for a in sides[0]:
+        for b in sides[1]:
+            if a[0] == b[0] and (s := similarity.ratio(a[2], b[2])) >= fixed.COMPARE_THRESHOLD:
+                best[b[0], b[1]] = max(best.get((b[0], b[1]), (0, 0)), (s, -a[1]))
+    got = rows(match.best_by_ratio(e, p), "project_id", "p", "e", "score")
+    assert got == sorted(((q, i, -k, s) for (q, i), (s, k) in best.items()), key=repr)
