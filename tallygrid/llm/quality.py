@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule is a predicate on a text that rejects it. The time a rule takes and the share it rejects are measured on a
-bounded sample, each rule on its own, and the rules are put in order of rejections per second. A text then passes the rules
+sample of all partitions, texts of any length, where they lie, each rule on its own; and the rules are put in order of rejections per second. A text then passes the rules
 in that order and stops at the first that rejects it. The order changes the work, never the verdict.
 """
 
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 SYMBOLS = "#*$%&|<>"
 #: Fixed value: the characters that count as upper case; not the numerals and circled letters that have a case but are no letters.
 UPPER = regex.compile(r"\p{Lu}+")
-#: Rows of the sample on which costs and selectivities are measured, and the most bytes of a text in it.
-SAMPLE_ROWS, SAMPLE_BYTES = 500, 1 << 16
+#: Rows, about, of the sample on which costs and selectivities are measured.
+SAMPLE_ROWS = 500
 
 
 class View:
@@ -119,7 +119,7 @@ class Measured:
 
 
 def measure(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Measured]:
-    """Each rule's seconds a text and share of rejections, on its own; the first to use a measure pays for it."""
+    """Each rule's seconds a text and share of rejections, on its own, so that each pays for the measures that it asks for."""
     out = []
     for r in rules:
         views = [View(t) for t in texts]
@@ -130,13 +130,25 @@ def measure(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[Me
 
 
 def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules, by falling rejections per second on at most ``sample_rows`` rows; rules that reject none of them by rising cost.
+    """The rules, by falling rejections per second on about ``sample_rows`` rows; rules that reject none of them by rising cost.
 
-    Only the first partitions are read. Texts of more than ``SAMPLE_BYTES`` are left out of the sample, so the driver gets at most the product of both.
+    The rows are drawn from all partitions, whatever their length, and measured in their tasks; the driver gets a row for each task and rule, summed. A
+    long text weighs by the time that it takes. An empty table leaves the rules as they are.
     """
-    short = docs.select(F.col(text_col).alias("t")).where(F.coalesce(F.octet_length("t"), F.lit(0)) <= SAMPLE_BYTES)
-    sample = [r[0] for r in short.limit(sample_rows).collect()]
-    return [m.rule for m in sorted(measure(sample, rules), key=lambda m: (-m.worth, m.seconds))]
+    total = docs.select(F.lit(1)).count()
+    if not total or not rules:
+        return list(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            got = measure(batch.column(0).to_pylist(), rules)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array([m.seconds * n for m in got]), pa.array([m.rejected * n for m in got])], ["rule", "seconds", "rejected"])
+
+    drawn = docs.select(F.col(f"`{text_col}`").alias("t")).sample(min(1.0, sample_rows / total), 42)
+    summed = drawn.mapInArrow(run, "rule int, seconds double, rejected double").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
+    found = {r["rule"]: Measured(rules[r["rule"]], r["seconds"], r["rejected"]) for r in summed}
+    return [m.rule for m in sorted((found.get(k, Measured(r, 0.0, 0.0)) for k, r in enumerate(rules)), key=lambda m: (-m.worth, m.seconds))]
 
 
 def first_rejection(v: View, ordered: list[Rule]) -> str | None:
