@@ -75,17 +75,21 @@ class Found:
     def after(self) -> Column:
         return self.row["after"]
 
+    @property
+    def at(self) -> Column:
+        return self.row["at"]
+
     def near(self, before: int, after: int) -> Column:
         """The match with so many characters before and after it, within those asked for."""
         return F.concat(F.right(self.row["before"], F.lit(before)), self[0], F.left(self.row["after"], F.lit(after)))
 
 
-def found(text: Column, pattern: str, flags: int = re.IGNORECASE, before: int = 0, after: int = 0, upper: Column | None = None) -> Column:
+def found(text: Column, pattern: str, flags: int = re.IGNORECASE, before: int = 0, after: int = 0, upper: Column | None = None, placed: bool = False) -> Column:
     """All matches of a pattern in a text, in order, as an array of structs for ``Found``; a group that takes no part is empty. ``upper`` is the text in capitals, if it is there.
 
     The text is read once, and again for each side that is asked for, if it has matches. Groups are those of the match read alone, which is matched in the same way.
     What stands around a match is captured without being consumed: after it by looking ahead, before it by looking behind from the match's start over
-    exactly ``before`` characters, or fewer where the text begins.
+    exactly ``before`` characters, or fewer where the text begins. ``placed`` adds where a match begins, counted from 0 by what stands between matches.
     """
     groups = re.compile(pattern).groups
     # a look-behind counts in halves of characters, so the last choice, which never holds, makes room for twice as many
@@ -98,11 +102,12 @@ def found(text: Column, pattern: str, flags: int = re.IGNORECASE, before: int =
         return F.struct(match.alias("g0"), *(F.regexp_extract(match, alone, k).alias(f"g{k}") for k in range(1, groups + 1)), *(x.alias(name) for name, x in around.items()))
 
     def of(matches: Column) -> Column:
-        if not sides:
+        if not sides and not placed:
             return F.transform(matches, lambda m: read(m, {}))
-        each = {name: F.regexp_extract_all(text, F.lit(java(p, flags)), F.lit(k)) for name, (p, k) in sides.items()}
+        each = {"at": _places(text, java(pattern, flags), matches)} if placed else {}
+        each |= {name: F.regexp_extract_all(text, F.lit(java(p, flags)), F.lit(k)) for name, (p, k) in sides.items()}
         zipped = F.arrays_zip(matches.alias("match"), *(x.alias(name) for name, x in each.items()))
-        rows = F.transform(zipped, lambda x: read(x["match"], {name: x[name] for name in sides}))
+        rows = F.transform(zipped, lambda x: read(x["match"], {name: x[name] for name in each}))
         return F.when(F.size(matches) > 0, rows).otherwise(F.slice(rows, 1, 0))
 
     matches = all_of(text, pattern, flags)
@@ -111,6 +116,17 @@ def found(text: Column, pattern: str, flags: int = re.IGNORECASE, before: int =
     return once(matches, of)
 
 
+def _places(text: Column, pattern: str, matches: Column) -> Column:
+    """Where the matches of a text begin, from the lengths of them and of what stands between."""
+    summed = lambda lengths: F.aggregate(lengths, F.lit(0), lambda a, x: a + x)
+
+    def of(between: Column) -> Column:
+        own = F.transform(matches, F.length)
+        return F.transform(matches, lambda m, i: summed(F.slice(between, 1, i + 1)) + summed(F.slice(own, 1, i)))
+
+    return once(F.transform(F.split(text, pattern, -1), F.length), of)
+
+
 def all_of(text: Column, pattern: str, flags: int = re.IGNORECASE, group: int = 0) -> Column:
     """One group of all matches, as an array of strings."""
     return F.regexp_extract_all(text, F.lit(java(pattern, flags)), F.lit(group))

@@ -54,7 +54,7 @@ def general_items(files: DataFrame, stage: int) -> DataFrame:
     sections = segment.schedules(files, _TEXT_KEYS, fixed.SCHEDULE_PATTERNS, fixed.NEXT_SECTION)
     row = sections.select(*_TEXT_KEYS, "kind", "start", F.posexplode(generators.schedule_rows(F.col("section"))).alias("i", "description"))
     row = row.select(*_TEXT_KEYS, (F.col("start").cast("long") * 100_000 + F.col("i")).alias("seq"), "description", F.concat(F.lit("?"), "kind").alias("trade"), F.lit(1.0).alias("quantity"), F.lit("EA").alias("unit"), F.lit(0.75).alias("confidence"))
-    floors = rules.generate(files, _TEXT_KEYS, generators.flooring)
+    floors = rules.itemize(files, _TEXT_KEYS, generators.flooring)
     bare = files.join(sections.select(*_TEXT_KEYS).distinct(), _TEXT_KEYS, "left_anti")
     told = rules.itemize(bare, _TEXT_KEYS, lambda text, upper: rules.items_of(text, upper, generators.GENERAL_TEXT))
     return _of_files(row, stage, 0).unionByName(_of_files(floors, stage, 1)).unionByName(_of_files(told, stage, 2))
@@ -128,10 +128,9 @@ def inferred_items(pages: DataFrame) -> DataFrame:
     No project is joined into one row: floors and transitions are found page by page, with the ends of the pages before and after; words
     are flags of pages, combined by project; a mat that is named twice is counted over pages. Equal items are one.
     """
-    def found(text: str, start: int, end: int) -> list[tuple]:
-        return generators.floors(text, start, end) + generators.transitions(text, start, end)
-
-    near = rules.generate(with_margins(pages), ["project_id", "page"], found, extra=["start", "end"])
+    at = (F.col("text"), F.col("upper"), F.col("start"), F.col("end"))
+    both = with_margins(pages).withColumn("upper", F.upper("text"))
+    near = both.select("project_id", "page", F.posexplode(F.concat(generators.floors(*at), generators.transitions(*at))).alias("seq", "x")).select("project_id", "page", F.col("seq").cast("long").alias("seq"), "x.*")
     near = near.select("project_id", F.lit(1).alias("kind"), F.col("page").cast("long").alias("a"), F.col("seq").alias("b"), *ITEM[:5])
     upper = F.upper(F.coalesce("text", F.lit("")))
     needs = {w for r in generators.INFERRED for w in r.needs}

@@ -272,13 +272,13 @@ def test_generators(spark):
     panel = "NEMA 5-20R DUPLEX RECEPTACLE GFCI\n45 KVA TRANSFORMER 480 V / 277 V\n20A-1P CIRCUIT BREAKER\nOCCUPANCY SENSOR"
     got = [x[0] for x in said(spark, generators.electrical, panel)[0]]
     assert {"NEMA 5-20R GFCI Receptacle", "45kVA XFMR 277V-480V", "20A-1P Circuit Breaker", "Occupancy Sensor"} <= set(got)
-    assert ('12" X 12" X 1/8" | Vinyl Composition Tile Flooring', "Flooring", None, "SF", 0.75) in generators.flooring('12" X 12" X 1/8" VINYL COMPOSITION TILE')
+    assert ('12" X 12" X 1/8" | Vinyl Composition Tile Flooring', "Flooring", None, "SF", 0.75) in said(spark, generators.flooring, '12" X 12" X 1/8" VINYL COMPOSITION TILE')[0]
     rowsd = said(spark, generators.diffuser_rows, "DIFFUSER SCHEDULE\nS-1\n24 x 24\n95 - 210\nSTEEL\nR-1\nnothing")[0]
     assert rowsd[0][0] == 'S-1:\n-Nominal Module Size: 24"x24"\n-CFM: 95-210\n-Material: Steel' and len(rowsd) == 1
     lit = said(spark, generators.lighting_rows, "LIGHTING FIXTURE SCHEDULE\nA\nLED troffer\nACME LIGHTING\nTX9000\nemergency backup\nB\nab")[0]
     assert [x[0].split("\n")[0] for x in lit] == ["Light A: LED troffer", "Light A with Integrated Emergency Battery Backup: LED troffer"]
     assert {x[0] for x in said(spark, generators.constants, "")[0]} == {d for d, _, _ in fixed.CONSTANT_ITEMS}
-    assert ("Quarry Tile to Vinyl Transition", "Flooring", None, "FT", 0.45) in generators.transitions("QUARRY TILE TO VINYL TRANSITION")
+    assert ("Quarry Tile to Vinyl Transition", "Flooring", None, "FT", 0.45) in said(spark, generators.transitions, "QUARRY TILE TO VINYL TRANSITION")[0]
     three = said(spark, generators.callouts_v2, '6"x8" duct, 6"x8" duct, dimmer switch. Remove existing tile. remove existing TILE.')[0]
     assert len({x[0].lower() for x in three}) == len(three) == 3
     gone = said(spark, generators.callouts_v2, "Remove existing tile. Remove existing door, remove existing sink; site supervision, project management")[0]
@@ -289,6 +289,9 @@ def test_generators(spark):
 PLAIN = {
     "mechanical": (generators.mechanical, plain_items.mechanical),
     "electrical": (generators.electrical, plain_items.electrical),
+    "flooring": (generators.flooring, plain_items.flooring),
+    "transitions": (generators.transitions, plain_items.transitions),
+    "part": (lambda t, u: F.concat(generators.floors(t, u, F.lit(40), F.lit(160)), generators.transitions(t, u, F.lit(40), F.lit(160))), lambda t: plain_items.floors(t, 40, 160) + plain_items.transitions(t, 40, 160)),
     "callouts": (generators.callouts_v2, plain_items.callouts_v2),
     **{k: (generators.lines_by_type(k), lambda t, k=k: plain_items.lines_by_type(t, k)) for k in ("spec", "drawing", "scope", "other")},
     "plain_lines": (generators.plain_lines, plain_items.plain_lines),
