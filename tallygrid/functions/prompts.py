@@ -37,7 +37,3 @@ def context_prompt(legend: Column, rooms: Column, equipment: Column, chunk: Colu
 
 def legend_line() -> Column:
     return F.format_string("%s: %s %s, Color: %s, Type: %s", "code", "manufacturer", "product", "color", "type_size")
-
-
-def room_line() -> Column:
-    return F.format_string("%s %s: Floor=%s, Base=%s, Walls=%s/%s, Ceiling=%s/%s, Height=%s", "room_number", "room_name", "floor", "base", "walls_primary", "walls_accent", "ceiling_material", "ceiling_finish", "ceiling_height")

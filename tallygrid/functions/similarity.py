@@ -140,11 +140,3 @@ def match_score_of(expected, predicted):
 
 def ratio_of(a, b):
     return _batched(ratio)(a, b)
-
-
-def partial_ratio_of(a, b):
-    return _batched(partial_ratio)(a, b)
-
-
-def token_set_ratio_of(a, b):
-    return _batched(token_set_ratio)(a, b)

@@ -31,12 +31,6 @@ def stage_status(events: DataFrame) -> DataFrame:
     )
 
 
-def job_status(events: DataFrame) -> DataFrame:
-    """``job_id``, status, progress, updated: the latest of each job."""
-    latest = F.max(F.struct("ts", "progress", "status"))
-    return events.where("kind = 'job'").groupBy("job_id").agg(latest["status"].alias("status"), latest["progress"].alias("progress"), F.max("ts").alias("updated"))
-
-
 def stages_from_log(events: DataFrame, keys: Sequence[str] = ("job_id",), order: Sequence[str] = ("ts",), message: str = "message") -> DataFrame:
     """Log lines with the stage that they are in: the last that a line has told."""
     return carried(events.withColumn("_told", classify.log_stage(F.col(message))), keys, "_told", order, "stage_now").drop("_told")

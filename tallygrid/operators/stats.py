@@ -37,10 +37,6 @@ def trade_scope(items: DataFrame, keys: Sequence[str], trade: str = "trade") ->
     return items.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col(trade) != "", F.col(trade)))), " | ").alias("trade_scope"))
 
 
-def trade_summary(items: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return items.groupBy(*keys, "trade").agg(F.count(F.lit(1)).alias("n"))
-
-
 def confidence_histogram(items: DataFrame, keys: Sequence[str], confidence: str = "confidence") -> DataFrame:
     """``keys``, bins: how many items have each confidence."""
     return items.groupBy(*keys, F.col(confidence).cast("string").alias("_c")).agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_c", "n")))).alias("bins"))

@@ -505,3 +505,10 @@ def test_reports_are_as_plain_functions(spark):
                 best[b[0], b[1]] = max(best.get((b[0], b[1]), (0, 0)), (s, -a[1]))
     got = rows(match.best_by_ratio(e, p), "project_id", "p", "e", "score")
     assert got == sorted(((q, i, -k, s) for (q, i), (s, k) in best.items()), key=repr)
+
+
+def test_rows_are_stamped_with_the_time_of_the_query(spark):
+    before = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+    got = stats.stamped(spark.range(2)).select("id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).collect()
+    assert {r["id"] for r in got} == {0, 1} and len({r["at"] for r in got}) == 1
+    assert abs(datetime.datetime.fromisoformat(got[0]["at"]) - before).total_seconds() < 120
