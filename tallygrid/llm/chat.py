@@ -123,7 +123,8 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``messages(tree, node, parent, score, role, text)`` -> ``(tree, rank, formatted, loss_spans)``.
 
-    Null texts and roles are empty. See ``best_paths`` for which paths; an empty table gives none. A conversation is one row, so one must fit in memory.
+    Null texts and roles are empty. See ``best_paths`` for which paths; an empty table gives none. A conversation is one row, so one must fit in memory. Rows with a null
+    tree or node belong to no conversation and are left out; ``chain`` gives rows of a null conversation a tree of their own.
     """
     paths = best_paths(messages, branches)
     texts = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -103,7 +103,8 @@ def contamination(
 
     A word is hit if it lies in an occurrence of a window; a row is contaminated if ``share * n_hit >= n_words`` and
     n_hit > 0. Null and empty texts have no words and no hits; items without words have no windows; ids that are null count as
-    an item with an empty name. Repeated rows each get a result. Items that share a window all count.
+    an item with an empty name. Repeated rows each get a result. Items that share a window all count. Very long texts are judged whole, in their row; an
+    empty table gives none, and against an empty benchmark nothing is hit; other columns are not read.
     """
     wins = checkpoint(windows_of(benchmark, item_col, item_text_col, window))
     shingles = checkpoint(shingles_of(wins, shingle))

@@ -205,7 +205,7 @@ def minibatches(texts: Iterator[str | None], code: Callable[[list[bytes]], np.nd
 
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """``(word, n)`` over all texts; the end of a text is the word null."""
+    """``(word, n)`` over all texts; the end of a text is the word null. Repeated rows count each time, null and empty texts with their end alone; an empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -326,7 +326,10 @@ class Trained:
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, frequent: int = FREQUENT) -> Trained:
-    """A model of the texts in ``docs``, each of which it reads once for counts and once for training."""
+    """A model of the texts in ``docs``, each of which it reads once for counts and once for training.
+
+    Null texts are empty ones; repeated rows are learned each time; very long texts are read whole, in minibatches; an empty table gives a model of nothing, which knows no word.
+    """
     counts = saved(count_words(docs, text_col))
     n, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     most = most_frequent(counts, frequent)

@@ -53,7 +53,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Every row of ``docs`` with its text replaced by ``fp``, the fingerprint as a signed long."""
+    """Every row of ``docs`` with its text replaced by ``fp``, the fingerprint as a signed long.
+
+    Null and empty texts have the fingerprint zero; repeated rows each have one; a very long text is read whole, in its row; an empty table gives none.
+    """
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +164,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``label`` names the component (its smallest fingerprint as a signed long); ``component_id`` is the smallest id in it,
     null ids aside, or null if it has no other. Null and empty texts have the fingerprint zero, and are linked like any
-    other. Repeated rows and repeated ids each keep their row.
+    other. Repeated rows and repeated ids each keep their row. Very long texts are read whole, in their row; an empty table gives none; other columns are not read.
     """
     rows, of_fp = _grouped(docs.select(id_col, text_col), id_col, text_col, shingle, bits)
     return rows.join(of_fp, "fp").select(id_col, "fp", "label", "component_id")
