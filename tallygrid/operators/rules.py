@@ -67,9 +67,9 @@ def found_any(text: Column, patterns: Sequence[str], ignore_case: bool = True) -
     return text.rlike(("(?i)" if ignore_case else "") + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
-def drop_matching(items: DataFrame, patterns: Sequence[str], text_col: str = "description") -> DataFrame:
-    """Items in whose description no pattern is found; a null description stays."""
-    return items.where(~F.coalesce(found_any(F.col(text_col), patterns), F.lit(False)))
+def drop_matching(items: DataFrame, patterns: Sequence[str], text_col: str = "description", ignore_case: bool = True) -> DataFrame:
+    """Items in whose description no pattern is found, in any case unless told otherwise; a null description stays."""
+    return items.where(~F.coalesce(found_any(F.col(text_col), patterns, ignore_case), F.lit(False)))
 
 
 def filter_by_rules(items: DataFrame, rules: Sequence[dict], defaults: Sequence[tuple[str, str]], text_col: str = "description") -> DataFrame:
