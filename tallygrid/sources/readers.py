@@ -140,8 +140,10 @@ def discover(listing: DataFrame, registered: DataFrame, hidden: DataFrame, searc
 def project_type(listing: DataFrame, projects: DataFrame, marker: str = "expected") -> DataFrame:
     """Projects with their type: sample if an expected folder stands in or beside them, else challenge."""
     beside = listing.where(F.col("is_dir") & F.contains(F.lower("path"), F.lit(marker))).select(F.regexp_replace("path", "/[^/]+$", "").alias("_at")).distinct()
-    both = projects.join(beside, (projects["path"] == beside["_at"]) | (F.regexp_replace(projects["path"], "/[^/]+$", "") == beside["_at"]), "left_semi").select("path").withColumn("_s", F.lit(True))
-    return projects.join(both.distinct(), "path", "left").withColumn("type", F.when(F.col("_s"), "sample").otherwise("challenge")).drop("_s")
+    # a path and its parent are two rows, so that both are one equi-join
+    places = projects.select("path", F.explode(F.array("path", F.regexp_replace("path", "/[^/]+$", ""))).alias("_at"))
+    both = places.join(beside, "_at", "left_semi").select("path").distinct().withColumn("_s", F.lit(True))
+    return projects.join(both, "path", "left").withColumn("type", F.when(F.col("_s"), "sample").otherwise("challenge")).drop("_s")
 
 
 def listed(listing: DataFrame) -> DataFrame:
