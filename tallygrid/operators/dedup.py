@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import classify
 from tallygrid.operators import substrings
+from tallygrid.session import spread
 
 
 def first_of(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
@@ -113,7 +114,8 @@ def smart(items: DataFrame, scope: str, order: str = "seq") -> DataFrame:
     norm = F.regexp_replace(F.regexp_replace(F.lower("description"), r"^\s+|\s+$", ""), r"\s+", " ")
     for a, b in SMART_SPELLINGS:
         norm = F.replace(norm, F.lit(a), F.lit(b))
-    single = first_of(named, [scope, norm], [order])
+    rows = items.count()
+    single = first_of(spread(named.withColumn("_norm", norm), scope, "_norm", rows=rows), [scope, "_norm"], [order]).drop("_norm")
 
     def firsts(pdf: pd.DataFrame) -> list[int]:
         """Where the groups of a sorted table begin."""
@@ -143,4 +145,4 @@ def smart(items: DataFrame, scope: str, order: str = "seq") -> DataFrame:
             yield survivors(held.reset_index(drop=True))
 
     # sorted and read in order, so that many small groups cost no more than their rows
-    return single.repartition(scope, "trade").sortWithinPartitions(scope, "trade", order).mapInPandas(run, single.schema)
+    return spread(single, scope, "trade", rows=rows).sortWithinPartitions(scope, "trade", order).mapInPandas(run, single.schema)

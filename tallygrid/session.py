@@ -31,6 +31,25 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task, at most, where rows are sorted or gathered, if keys allow.
+TASK_ROWS = 250_000
+
+
+def tasks(spark: SparkSession, rows: int = 0) -> int:
+    """Into how many tasks to deal ``rows`` rows: some for each core, and more if they are many.
+
+    A number that is given holds. Without one, adaptive execution makes a task of some tens of MB as they are compressed: texts that take
+    minutes to read, or millions of rows that are alike.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cores, -(-rows // TASK_ROWS))
+
+
+def spread(df, *keys, rows: int = 0):
+    """``df`` dealt by ``keys`` into ``tasks``, whatever its size in bytes."""
+    return df.repartition(tasks(df.sparkSession, rows), *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, by ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
