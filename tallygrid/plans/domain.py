@@ -986,9 +986,20 @@ def workbook_sink(s, d):
                 with zipfile.ZipFile(io.BytesIO(bytes(book))) as z:
                     names = [e.get("name") for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{tag}sheet")]
                     at = names.index("Line Items") + 1
-                    rows = [["".join(c.itertext()) for c in r] for r in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{at}.xml")).iter(f"{tag}row")]
-                said = [r[rows[0].index("description")] for r in rows[1:]]
-                out.append((project, len(said), hashlib.md5("|".join(said).encode()).hexdigest()))
+                    column, n, digest = None, 0, hashlib.md5()
+                    with z.open(f"xl/worksheets/sheet{at}.xml") as sheet:
+                        # a row at a time; what was read is let go
+                        for _, r in ElementTree.iterparse(sheet):
+                            if r.tag != f"{tag}row":
+                                continue
+                            cells = ["".join(c.itertext()) for c in r]
+                            r.clear()
+                            if column is None:
+                                column = cells.index("description")
+                                continue
+                            digest.update(f"{'|' if n else ''}{cells[column]}".encode())
+                            n += 1
+                out.append((project, n, digest.hexdigest()))
             yield pd.DataFrame(out, columns=["project_id", "items", "said"])
 
     return sinks.workbooks(items, other, other).mapInPandas(run, "project_id string, items long, said string")

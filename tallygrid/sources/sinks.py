@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallygrid.session import spread
+
 ITEM_COLUMNS = ("description", "trade", "quantity", "unit", "confidence", "source_reference")
 
 
@@ -75,41 +80,49 @@ _BOOK = {
 }
 
 
-def workbook(tables: dict[str, tuple[list[str], list[tuple]]]) -> bytes:
-    """A spreadsheet file of named tables (heads, rows): numbers as numbers, nulls as empty cells, anything else as text."""
+def _cell(v) -> str:
+    from xml.sax.saxutils import escape
+
+    if v is None:
+        return "<c/>"
+    if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v:
+        return f"<c><v>{v}</v></c>"
+    clean = "".join(c for c in str(v) if c >= " " or c in "\t\n")
+    return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+
+
+def workbook(tables: Iterable[tuple[str, Iterable[Sequence]]]) -> bytes:
+    """A spreadsheet file of named tables, each its rows from its heads on: numbers as numbers, nulls as empty cells, anything else as text.
+
+    Rows are written as they come, so what is held is the file, compressed.
+    """
     import io
     import zipfile
-    from xml.sax.saxutils import escape, quoteattr
-
-    def cell(v) -> str:
-        if v is None:
-            return "<c/>"
-        if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v:
-            return f"<c><v>{v}</v></c>"
-        clean = "".join(c for c in str(v) if c >= " " or c in "\t\n")
-        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(clean)}</t></is></c>'
+    from xml.sax.saxutils import quoteattr
 
     kind = "application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"
     link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"
-    numbered = list(enumerate(tables, 1))
-    fill = {
-        "parts": "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}"/>' for i, _ in numbered),
-        "names": "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, n in numbered),
-        "links": "".join(f'<Relationship Id="rId{i}" Type="{link}" Target="worksheets/sheet{i}.xml"/>' for i, _ in numbered),
-    }
-    out = io.BytesIO()
+    head, out, names = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>', io.BytesIO(), []
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, rows in tables:
+            names.append(name)
+            with z.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as sheet:
+                sheet.write(f'{head}<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'.encode())
+                for r in rows:
+                    sheet.write(f"<row>{''.join(map(_cell, r))}</row>".encode())
+                sheet.write(b"</sheetData></worksheet>")
+        fill = {
+            "parts": "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}"/>' for i, _ in enumerate(names, 1)),
+            "names": "".join(f'<sheet name={quoteattr(n[:31])} sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(names, 1)),
+            "links": "".join(f'<Relationship Id="rId{i}" Type="{link}" Target="worksheets/sheet{i}.xml"/>' for i, _ in enumerate(names, 1)),
+        }
         for name, body in _BOOK.items():
-            z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + body.format(**fill))
-        for i, name in numbered:
-            heads, rows = tables[name]
-            lines = "".join(f"<row>{''.join(map(cell, r))}</row>" for r in [tuple(heads), *rows])
-            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{lines}</sheetData></worksheet>')
+            z.writestr(name, head + body.format(**fill))
     return out.getvalue()
 
 
 def workbooks(items: DataFrame, missing: DataFrame, extra: DataFrame) -> DataFrame:
-    """``project_id`` and ``workbook``: each project's export sheets as one spreadsheet file. A project's items are a sheet, so they fit in memory."""
+    """``project_id`` and ``workbook``: each project's export sheets as one spreadsheet file. Rows come sorted and are written in turn; a file fits in memory, compressed."""
     tables, every = sheets(items, missing, extra), None
     for at, (name, t) in enumerate(tables.items()):
         heads = [c for c in t.columns if c != "project_id"]
@@ -118,15 +131,20 @@ def workbooks(items: DataFrame, missing: DataFrame, extra: DataFrame) -> DataFra
         part = flat.select("project_id", F.lit(at).alias("at"), F.lit(name).alias("name"), order.alias("n"), F.to_json(F.array(*(F.struct(F.col(f"`{c}`").alias("v")).cast("struct<v:string>") for c in heads))).alias("cells"), F.lit("\n".join(heads)).alias("heads"))
         every = part if every is None else every.unionByName(part)
 
-    def run(pdf):
-        import json
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
-        import pandas as pd
+        def written(of_sheet: Iterator[tuple]) -> Iterator[Sequence]:
+            for k, (_, _, _, cells, heads) in enumerate(of_sheet):
+                if k == 0:
+                    yield heads.split("\n")
+                yield [c.get("v") for c in json.loads(cells)]
 
-        out: dict[str, tuple[list[str], list[tuple]]] = {}
-        for r in pdf.sort_values(["at", "n"], kind="stable").itertuples(index=False):
-            out.setdefault(r.name, (r.heads.split("\n"), []))[1].append(tuple(c.get("v") for c in json.loads(r.cells)))
-        return pd.DataFrame({"project_id": [pdf["project_id"].iloc[0]], "workbook": [workbook(out)]})
+        for project, of_project in groupby(rows, key=lambda r: r[0]):
+            book = workbook((name, written(of_sheet)) for (_, name), of_sheet in groupby(of_project, key=lambda r: r[1:3]))
+            yield pa.RecordBatch.from_pydict({"project_id": [project], "workbook": [book]}, schema=pa.schema([("project_id", kinds[0]), ("workbook", pa.binary())]))
 
     kind = dict(items.dtypes)["project_id"]
-    return every.groupBy("project_id").applyInPandas(run, f"project_id {kind}, workbook binary")
+    kinds = [pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()]
+    dealt = spread(every, "project_id").sortWithinPartitions("project_id", "at", "n").select("project_id", "at", "name", "cells", "heads")
+    return dealt.mapInArrow(run, f"project_id {kind}, workbook binary")
