@@ -1,8 +1,8 @@
 """Near-duplicate texts by the similarity of their word shingles, for the pipeline.
 
-Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that similarity a SimHash
-of 64 bits differs in ten bits or so, too many for keys of exact bits, so candidates come from MinHash: 120 minima in 24 bands of five.
-A pair at 0.8 shares a band with probability 0.9999, a more similar one with more. Every candidate is verified on its whole sets.
+Two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates come first from SimHash: sets have
+fingerprints of 64 bits, and Golay keys find all that differ in three bits or fewer. At 0.8 fingerprints differ in ten bits or so, beyond those keys, so the
+candidates of MinHash are added: 120 minima in 24 bands of five. A pair at 0.8 shares a band with probability 0.9999, a more similar one with more. Every candidate is verified on its whole sets.
 
 Texts with equal sets are one row before any pair is made. In a bucket of at most ``SMALL`` sets all pairs are candidates. A
 larger one is a group of copies, whose members are closest to the text that they were made of; each set is compared with the bucket's most central
@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrid.llm import simhash_golay
 from tallygrid.llm.common import checkpoint, components, pick_rows, row_name, saved
 
 #: Words of a shingle, the similarity of linked texts, bands and minima of a band, and sets of a bucket of which all pairs are made.
@@ -63,6 +64,12 @@ def buckets(hashes: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[b * width : (b + 1) * width], b) for b in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles as a signed long: a bit is set that is in over half of the hashes; zero without any."""
+    ones = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big", signed=True)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; two empty ones are equal."""
     if not len(a) and not len(b):
@@ -72,17 +79,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, digest, name, key, buckets)`` of every row; ``key`` names the set of shingles."""
+    """``(id, digest, name, key, fp, buckets)`` of every row; ``key`` names the set of shingles, ``fp`` is its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py()) for t in batch.column(3)]
             keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            cols = [*batch.columns[:3], pa.array(keys), pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "name", "key", "buckets"])
+            cols = [*batch.columns[:3], pa.array(keys), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([buckets(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "name", "key", "fp", "buckets"])
 
     marked = docs.select(F.col(id_col).alias("id"), F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"), row_name(id_col, text_col).alias("name"), text_col)
-    return marked.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, digest string, name string, key long, buckets array<long>")
+    return marked.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, digest string, name string, key long, fp long, buckets array<long>")
 
 
 def hashed(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,6 +103,15 @@ def hashed(docs: DataFrame, of: DataFrame, id_col: str, text_col: str) -> DataFr
     return texts.join(of, "name").dropDuplicates(["name"]).select("key", "text").mapInArrow(run, "key long, hashes binary")
 
 
+def near_fingerprints(sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of keys in ``sets(key, fp)`` by their fingerprints: each key with the least of its fingerprint, and the least of fingerprints that differ in three bits or fewer."""
+    least = checkpoint(sets.groupBy("fp").agg(F.min("key").alias("least")))
+    same = sets.join(least, "fp").select("key", F.col("least").alias("other"))
+    of = lambda end: least.select(F.col("fp").alias(end), F.col("least").alias(f"key_{end}"))
+    near = simhash_golay.links(least).join(of("a"), "a").join(of("b"), "b").select(F.col("key_a").alias("key"), F.col("key_b").alias("other"))
+    return same.unionByName(near).where("key <> other").select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b"))
+
+
 def candidates(sets: DataFrame, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ``(a, b)``, a < b, of keys in ``sets(key, buckets)``, and ``(key, centre)`` of the sets in large buckets: see the module for which."""
     each = sets.select("key", F.explode("buckets").alias("bucket"))
@@ -228,9 +244,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     move twice: those of candidates to be verified, and all to be matched with the rows that stay.
     """
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "digest", "name")).alias("s")
-    of_key = saved(signed(docs, id_col, text_col).groupBy("key").agg(first, F.first("buckets").alias("buckets")))
+    of_key = saved(signed(docs, id_col, text_col).groupBy("key").agg(first, F.first("fp").alias("fp"), F.first("buckets").alias("buckets")))
     pairs, around = candidates(of_key.select("key", "buckets"), small)
-    pairs = checkpoint(pairs)
+    pairs = checkpoint(near_fingerprints(of_key.select("key", "fp")).union(pairs).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = saved(hashed(docs, of_key.select("key", "s.name").join(asked, "key", "left_semi"), id_col, text_col))
     found = components(links(pairs, sets)).toDF("key", "label")
