@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, false_positives, fixed, salvage
 from tallygrid.operators import context, dedup, generators, parsers, rules, segment
+from tallygrid.session import spread
 
 ITEM = ["description", "trade", "quantity", "unit", "confidence", "source_reference"]
 PAGE_KEYS = ["project_id", "file_id", "page_number"]
@@ -23,7 +24,7 @@ FILE_KEYS = ["project_id", "file_id", "file_name", "file_type"]
 
 def file_texts(pages: DataFrame, separator: str = "\n") -> DataFrame:
     """Each file's pages, in order, as one text."""
-    return segment.joined(pages, FILE_KEYS, "page_number", "text", separator)
+    return segment.joined(spread(pages, *FILE_KEYS), FILE_KEYS, "page_number", "text", separator)
 
 
 def _staged(items: DataFrame, stage: int, order: list[str]) -> DataFrame:
@@ -31,10 +32,10 @@ def _staged(items: DataFrame, stage: int, order: list[str]) -> DataFrame:
     return items.select("project_id", F.lit(stage).alias("_stage"), F.array(*(F.col(c).cast("string") for c in order)).alias("_order"), *ITEM)
 
 
-def _sequenced(items: DataFrame) -> DataFrame:
-    """``seq`` from the stage and the order within it."""
+def _sequenced(items: DataFrame, rows: int = 0) -> DataFrame:
+    """``seq`` from the stage and the order within it; of about ``rows`` rows."""
     w = Window.partitionBy("project_id").orderBy("_stage", "_order", "description")
-    return items.withColumn("seq", F.row_number().over(w).cast("long")).select("project_id", "seq", *ITEM)
+    return spread(items, "project_id", rows=rows).withColumn("seq", F.row_number().over(w).cast("long")).select("project_id", "seq", *ITEM)
 
 
 _TEXT_KEYS = ["project_id", "file_id", "file_name"]
@@ -72,6 +73,8 @@ def has_any(text: str, words: tuple[str, ...]) -> Column:
 
 def default_items(pages: DataFrame, llm_filter: Callable[[list[str]], list[bool]] | None = None) -> DataFrame:
     """The default pipeline: context of drawings, files, filter, dedup, inference, dedup, and a plugged-in filter if one is given."""
+    rows = pages.count()
+    pages = spread(pages, *PAGE_KEYS, rows=rows)
     drawings = pages.where(F.contains(F.lower("file_type"), F.lit("drawing")))
     legend = parsers.finish_legend(drawings, PAGE_KEYS)
     rooms = parsers.room_schedule(drawings, PAGE_KEYS)
@@ -91,10 +94,10 @@ def default_items(pages: DataFrame, llm_filter: Callable[[list[str]], list[bool]
     every = stages[0]
     for s in stages[1:]:
         every = every.unionByName(s)
-    items = rules.drop_matching(_named_trades(_sequenced(every)), false_positives.FALSE_POSITIVES)
+    items = rules.drop_matching(_named_trades(_sequenced(every, rows)), false_positives.FALSE_POSITIVES)
     items = dedup.by_base_longest(items, ["project_id", "trade"], "description", "seq")
     at = lambda d: d.withColumn("at", F.format_string("%012d", "seq"))
-    both = _sequenced(_staged(at(items), 0, ["at"]).unionByName(_staged(at(inferred_items(pages)), 1, ["at"])))
+    both = _sequenced(_staged(at(items), 0, ["at"]).unionByName(_staged(at(inferred_items(pages)), 1, ["at"])), rows)
     out = dedup.by_base_longest(both, ["project_id", "trade"], "description", "seq")
     return out if llm_filter is None else plugged_filter(out, llm_filter)
 
@@ -129,7 +132,8 @@ def inferred_items(pages: DataFrame) -> DataFrame:
     are flags of pages, combined by project; a mat that is named twice is counted over pages. Equal items are one.
     """
     at = (F.col("text"), F.col("upper"), F.col("start"), F.col("end"))
-    both = with_margins(pages).withColumn("upper", F.upper("text"))
+    pages = spread(pages, *PAGE_KEYS)
+    both = spread(with_margins(pages), "project_id", "page").withColumn("upper", F.upper("text"))
     near = both.select("project_id", "page", F.posexplode(F.concat(generators.floors(*at), generators.transitions(*at))).alias("seq", "x")).select("project_id", "page", F.col("seq").cast("long").alias("seq"), "x.*")
     near = near.select("project_id", F.lit(1).alias("kind"), F.col("page").cast("long").alias("a"), F.col("seq").alias("b"), *ITEM[:5])
     upper = F.upper(F.coalesce("text", F.lit("")))
@@ -164,6 +168,8 @@ def _item(kind: int, at: int, item: tuple) -> Column:
 
 def rule_items(pages: DataFrame) -> DataFrame:
     """The second rule pipeline: context, parsers by file type, mechanical and electrical parts of every drawing, filter, prefix dedup."""
+    rows = pages.count()
+    pages = spread(pages, *PAGE_KEYS, rows=rows)
     drawings = pages.where("file_type = 'drawing'")
     legend, rooms, tagged = parsers.finish_legend(drawings, PAGE_KEYS), parsers.room_schedule(drawings, PAGE_KEYS), parsers.equipment(drawings, PAGE_KEYS)
     at, files = ["file_id", "page_number", "pos"], file_texts(pages)
@@ -176,12 +182,14 @@ def rule_items(pages: DataFrame) -> DataFrame:
         every = every.unionByName(_from_files(files.where(F.col("file_type") == kind), generators.lines_by_type(kind), 10 + k))
     every = every.unionByName(_from_files(files.where("file_type not in ('spec', 'drawing', 'sow', 'addendum')"), generators.generic_lines, 14))
     every = every.unionByName(_from_files(drawn, generators.mechanical, 20)).unionByName(_from_files(drawn, generators.electrical, 21))
-    items = rules.drop_matching(_sequenced(every), false_positives.FALSE_POSITIVES_V2)
+    items = rules.drop_matching(_sequenced(every, rows), false_positives.FALSE_POSITIVES_V2)
     return dedup.by_prefix(items, ["project_id", "trade"], "description", ["seq"])
 
 
 def context_items(pages: DataFrame) -> DataFrame:
     """Context only: legends, rooms, equipment and callouts of drawings, fused by code and height."""
+    rows = pages.count()
+    pages = spread(pages, *PAGE_KEYS, rows=rows)
     drawings = pages.where("file_type = 'drawing'").withColumn("types", classify.page_types(F.col("text")))
     of = lambda kind: drawings.where(F.array_contains("types", kind)).drop("types")
     legend, rooms = parsers.finish_legend(of("finish_legend"), PAGE_KEYS, v2=True), parsers.room_schedule(of("room_schedule"), PAGE_KEYS, v2=True)
@@ -190,7 +198,7 @@ def context_items(pages: DataFrame) -> DataFrame:
     units = lambda t: [(f"{x[0]}: {x[2]} {x[3]} ({x[1]})", "Mechanical", None, "EA", 0.9) for x in parsers.equipment_rows_v2(t)]
     every = every.unionByName(_of_files(rules.generate(of("equipment_schedule"), _TEXT_KEYS, units), 2))
     every = every.unionByName(_from_files(drawings, generators.callouts_v2, 3))
-    return dedup.first_of(_sequenced(every), ["project_id", "trade", F.lower("description")], ["seq"])
+    return dedup.first_of(_sequenced(every, rows), ["project_id", "trade", F.lower("description")], ["seq"])
 
 
 # Headings of pages that a language model would read too; the first of them wins.
