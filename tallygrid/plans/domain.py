@@ -14,7 +14,7 @@ from tallygrid.functions import classify, enhance, fixed, prompts, salvage, simi
 from tallygrid.operators import context, dedup, generators, jobs, match, parsers, projects, rules, segment, stats
 from tallygrid.plans import phrasebook, takeoff
 from tallygrid.plans.registry import query
-from tallygrid.session import scratch, table
+from tallygrid.session import scratch, spread, table
 from tallygrid.sources import readers, sinks
 from tallygrid.streaming import stages
 
@@ -1054,7 +1054,8 @@ _SCORED = (
 @query("score_layers", f"SELECT p_partkey, k, score FROM part, (VALUES {', '.join(f'({k}, {v}::DOUBLE)' for k, (_, _, v) in enumerate(_SCORED))}) v(k, score)")
 def score_layers(s, d):
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(e).alias("e"), F.lit(p).alias("p")) for k, (e, p, _) in enumerate(_SCORED)))
-    each = table(s, d, "part").select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
+    parts = table(s, d, "part").select("p_partkey")
+    each = spread(parts, "p_partkey", rows=len(_SCORED) * parts.count()).select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
     return each.select("p_partkey", "k", similarity.match_score_of(F.col("e"), F.col("p")).alias("score"))
 
 
