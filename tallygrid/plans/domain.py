@@ -1056,7 +1056,7 @@ def score_layers(s, d):
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(e).alias("e"), F.lit(p).alias("p")) for k, (e, p, _) in enumerate(_SCORED)))
     parts = table(s, d, "part").select("p_partkey")
     each = spread(parts, "p_partkey", rows=len(_SCORED) * parts.count()).select("p_partkey", F.explode(pairs).alias("x")).select("p_partkey", "x.*")
-    return each.select("p_partkey", "k", similarity.match_score_of(F.col("e"), F.col("p")).alias("score"))
+    return match.score_each(each, "e", "p").select("p_partkey", "k", "score")
 
 
 _SAME, _ELSE = "porcelain tile flooring in lobby rooms", "something else entirely here"
