@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is written as Parquet and read again as the
 next stage's ``docs``. All but the last return the columns of ``documents``, and columns that ``docs`` has besides, whatever
-their names. An empty table gives an empty table in every stage.
+their names. An empty table gives an empty table in every stage. Stages that run Python limit, for the rest of the session, the bytes of a batch of rows.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrid.llm import bpe_tree, decontaminate, line_dedup, near_text, quality
-from tallygrid.llm.common import delete, scratch, shared_folder
+from tallygrid.llm.common import delete, scratch, shared_folder, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts have no words and go; very long texts are judged whole; repeated rows stay or go together.
     """
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -41,6 +42,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     That of the smallest id stays, null ids last. Null and empty texts are copies of each other; of repeated rows one stays; the shingles of a
     very long text are held in memory.
     """
+    small_batches(spark)
     return near_text.one_of_each(docs)
 
 
@@ -58,6 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have none; repeated rows give repeated results; a very long text is encoded in its row.
     """
+    small_batches(spark)
     return bpe_tree.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

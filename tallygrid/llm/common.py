@@ -38,6 +38,22 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tallygrid-")
 
 
+#: Bytes that Spark hands to a Python worker at once; a single longer row still goes whole.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on, and in all of the session, Spark hands texts to Python in batches of about ``BATCH_BYTES``, unless the session has a lower limit.
+
+    With batches of ten thousand texts, both ends of the pipe hold a partition's texts in buffers of tens of MB, outside of the heap; what the
+    allocators of either process keep of these counts against the executor's memory until it ends. A stage's plan is run by who gets it, so the limit stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
