@@ -35,8 +35,8 @@ MAGIC = b"TGS2"
 LANES, LEAST, SEGMENT = 2048, 512, 1 << 21
 #: Segments whose places are broadcast; beyond, they are joined by shuffling.
 MOST_BROADCAST = 500_000
-#: Entries of a worker's cache of words; a full cache is emptied.
-CACHE = 1_000_000
+#: Places for a worker's words, a power of two, of 32 bytes; a table that is three fifths full is emptied. Longer words that it keeps besides, at most.
+PLACES, CACHE = 1 << 22, 100_000
 #: Fixed value: ASCII punctuation that is cut off the end of a word (no apostrophe, with which contractions begin).
 TAIL = b'.,;:!?#$%&*|"()'
 #: Slots of each lane's order-1 and of its order-2 table; bits of the odds and of the frequencies; a power of two is how far odds move.
@@ -238,22 +238,75 @@ def unpack(data: bytes) -> np.ndarray:
     return ids
 
 
+class Words:
+    """A hash table of words of up to 16 bytes, none of them zero, with up to seven ids below 65,536 each.
+
+    A row is 32 bytes: the word's own bytes, which are its key, so no two words can be taken for each other; its ids; how many they are.
+    """
+
+    LONGEST, MOST_IDS = 16, 7
+
+    def __init__(self, places: int = PLACES):
+        self.rows, self.used, self.shift = np.zeros((places, 4), np.uint64), 0, np.uint64(65 - places.bit_length())
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        h = keys[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ keys[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, or zeros."""
+        at, last = self._place(keys), len(self.rows) - 1
+        out = self.rows.take(at, axis=0)
+        todo = np.flatnonzero((out[:, 0] != keys[:, 0]) | (out[:, 1] != keys[:, 1]))
+        while len(todo := todo[out[todo, 0] != 0]):
+            at[todo] = at[todo] + 1 & last
+            out[todo] = self.rows.take(at[todo], axis=0)
+            todo = todo[(out[todo, 0] != keys[todo, 0]) | (out[todo, 1] != keys[todo, 1])]
+        return out
+
+    def add(self, rows: np.ndarray) -> None:
+        """Keep the rows of words that are not there, each once."""
+        most, last = len(self.rows) * 3 // 5, len(self.rows) - 1
+        if self.used + len(rows) > most:
+            self.rows[:], self.used, rows = 0, 0, rows[:most]
+        self.used += len(rows)
+        at, todo = self._place(rows), np.arange(len(rows))
+        while len(todo):
+            free = todo[self.rows[at[todo], 0] == 0]
+            self.rows[at[free]] = rows[free]  # of several that ask for a place, one gets it
+            todo = todo[(self.rows[at[todo], :2] != rows[todo, :2]).any(axis=1)]
+            at[todo] = at[todo] + 1 & last
+
+
+#: The bytes of a word that count, in each half of its key, by the word's length.
+_HALF = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)
+_KEYS = np.stack([_HALF, np.append(np.zeros(8, np.uint64), _HALF[:9])])
+#: Which bytes are ASCII white space, letters or digits, and punctuation that is cut off.
+_SPACE, _ALNUM, _TAIL = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", TAIL))
+
+
+#: Fixed value: the second bytes of the letters U+00C0 to U+00FF.
+_SECOND = np.isin(np.arange(256), sorted({*range(0x80, 0xC0)} - {0x97, 0xB7}))
+#: The model knows a byte of a letter beyond ASCII by the character of that number, and these by others.
+_BYTES = (("\x9f", "\u0141"), ("\xa0", "\u0142"), ("\xad", "\u0143"))
+
+
 class WordTokenizer:
     """A tokenizer that drops white space and cuts between letters and punctuation, so that texts may be encoded word by
-    word, and words apart from the punctuation after them, through a cache.
+    word, and words apart from the punctuation after them, each word once for as long as a table holds it.
 
     The library's normalizer composes characters before it lower-cases, so A-Z are lower-cased beforehand only in texts that are composed and stay so.
-    New words of letters only are encoded together, as one text, and cut at the ends of words; those of a-z, which normalizing
-    leaves as they are, by the library's model without its normalizer. Unless ``special``, the strings of special tokens are ordinary
+    New words of letters only are encoded together, as one text, and cut at the ends of words; those of a-z and of U+00DF to U+00FF, which
+    normalizing leaves as they are, by the library's model without its normalizer. Unless ``special``, the strings of special tokens are ordinary
     text, so that no text can make a control token.
     """
 
-    def __init__(self, path: str, special: bool = False):
+    def __init__(self, path: str, special: bool = False, places: int = PLACES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
-        self.tokenizer, self.plain, self.cache = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.tokenizer, self.plain, self.words, self.cache = Tokenizer.from_file(path), Tokenizer.from_file(path), Words(places), {}
         self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = not special
         self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
         self.special = special
@@ -265,60 +318,134 @@ class WordTokenizer:
     def _ids(tokenizer, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)(texts, add_special_tokens=False)]
 
-    def _together(self, tokenizer, words: list[bytes]) -> list[bytes]:
-        """Encode words of letters as one text, which is cut at the ends of words; the words for which this failed."""
-        failed = []
+    def _together(self, tokenizer, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words of letters, encoded as one text, which is cut at the ends of words; those for which this failed are left out."""
+        out = {}
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
             ids = np.array(self._ids(tokenizer, [b" ".join(part).decode()])[0], "<u2")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
                 raw, ends = ids.tobytes(), (2 * ends).tolist()
-                self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-            else:
-                failed += part
-        return failed
-
-    def _fill(self, new: set[bytes]) -> None:
-        """Put the ids of new words into the cache."""
-        cache, cut, other = self.cache, [], set()
-        letters = {w for w in new if w.isalpha() and w.islower()}  # a-z only
-        for w in new - letters:
+                out.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        return out
+
+    def _encoded(self, new: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words, whatever they hold."""
+        cut, letters, other = [], set(), set()
+        for w in new:
             stem = w.rstrip(TAIL)
-            if len(stem) < len(w) and stem[-1:].isalnum():  # an ASCII letter or digit
-                tail = w[len(stem) :]
-                cut.append((w, stem, tail))
-                for x in (stem, tail):
-                    if x not in cache:
-                        (letters if x.isalpha() and x.islower() else other).add(x)
-            else:
-                other.add(w)
+            parts = [stem, w[len(stem) :]] if len(stem) < len(w) and stem[-1:].isalnum() else [w]  # an ASCII letter or digit
+            if len(parts) > 1:
+                cut.append((w, *parts))
+            for x in parts:
+                (letters if x.isalpha() and x.islower() else other).add(x)  # a-z only
         composed = [w for w in other if not w.isascii() and unicodedata.normalize("NFC", w.decode()).lower().isalpha()]
-        other.difference_update(composed)
-        other.update(self._together(self.plain, list(letters)), self._together(self.tokenizer, composed))
-        rest = list(other)
-        for w, ids in zip(rest, self._ids(self.tokenizer, [w.decode() for w in rest]), strict=True):
-            cache[w] = np.array(ids, "<u2").tobytes()
+        out = self._together(self.plain, list(letters)) | self._together(self.tokenizer, composed)
+        rest = [w for w in (*letters, *other) if w not in out]
+        out.update(zip(rest, [np.array(ids, "<u2").tobytes() for ids in self._ids(self.tokenizer, [w.decode() for w in rest])], strict=True))
         for w, stem, tail in cut:
-            cache[w] = cache[stem] + cache[tail]
+            out[w] = out[stem] + out[tail]
+        return out
+
+    def _rows(self, keys: np.ndarray) -> np.ndarray:
+        """Rows for the table of new words, each once. A row ends with the number of ids and one more: zero is no word, and two beyond the most is a word of too many."""
+        rows = np.zeros((len(keys), 4), np.uint64)
+        rows[:, :2] = keys
+        letters, fields = rows.view(np.uint8)[:, :16], rows.view("<u2")[:, 8:]
+        spaced = np.concatenate([letters, np.full((len(rows), 1), 32, np.uint8)], axis=1)
+        lead, second = letters == 0xC3, (letters >= 0x9F) & (letters <= 0xBF) & (letters != 0xB7)
+        plain = np.flatnonzero(((letters - np.uint8(97) < 26) | (letters == 0) | lead | second).all(axis=1) & (lead[:, :-1] == second[:, 1:]).all(axis=1) & ~second[:, 0] & ~lead[:, -1])
+        for k in range(0, len(plain), 2000):
+            some = plain[k : k + 2000]
+            said = spaced[some]
+            raw = said[said != 0].tobytes().decode("latin-1")
+            for byte, letter in _BYTES:
+                raw = raw.replace(byte, letter)
+            ids = np.array(self._ids(self.plain, [raw])[0], "<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._put(fields, some, ids, np.diff(ends, prepend=0))
+        if len(rest := np.flatnonzero(fields[:, 7] == 0)):
+            words = np.ascontiguousarray(letters[rest]).view("S16").reshape(-1).tolist()
+            of = self._encoded(set(words))
+            ids = [of[w] for w in words]
+            self._put(fields, rest, np.frombuffer(b"".join(ids), "<u2"), np.array([len(x) // 2 for x in ids]))
+        return rows
 
-    def _words(self, text: str | None) -> list[bytes]:
+    @staticmethod
+    def _put(fields: np.ndarray, some: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        fits = counts <= Words.MOST_IDS
+        mine = np.zeros((len(some), 8), "<u2")
+        mine[:, :7][np.arange(7) < np.where(fits, counts, 0)[:, None]] = ids[np.repeat(fits, counts)]
+        mine[:, 7] = np.where(fits, counts + 1, Words.MOST_IDS + 2)
+        fields[some] = mine
+
+    def _lowered(self, text: str | None) -> bytes:
         raw = (text or "").encode()
         if self.special:
-            return raw.split()
+            return raw
         low = raw.lower()
         stays = len(low) == len(text or "") or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low.decode()))
-        return (low if stays else raw).split()
+        return low if stays else raw
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 16-bit integers."""
-        split = [self._words(t) for t in texts]
+    def _each(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that the table cannot hold."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        if new := set().union(*split).difference(self.cache):
-            self._fill(new)
-        known = self.cache.__getitem__
-        return [b"".join(map(known, ws)) for ws in split]
+        if new := set(words).difference(self.cache):
+            self.cache.update(self._encoded(new))
+        return [self.cache[w] for w in words]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 16-bit integers."""
+        raw = [self._lowered(t) for t in texts]
+        joined = b"\n" + b"\n".join(raw) + b"\n" + bytes(Words.LONGEST)
+        firsts = np.cumsum([1, *(len(r) + 1 for r in raw)])
+        data = np.frombuffer(joined, np.uint8)[: firsts[-1]]
+        space = _SPACE.take(data)
+        edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+        begin, end = edges[::2], edges[1::2]
+        # one mark of punctuation after a letter or digit is a word of its own
+        before = data.take(end - 2)
+        cut = _TAIL.take(data.take(end - 1)) & (_ALNUM.take(before) | _SECOND.take(before) & (data.take(end - 3) == 0xC3))
+        at = np.repeat(np.arange(len(begin)), 1 + cut)
+        tail = np.zeros(len(at), bool)
+        tail[1:] = at[1:] == at[:-1]
+        begin = np.where(tail, end.take(at) - 1, begin.take(at))
+        end = end.take(at) - np.append(tail[1:], False)
+        size = end - begin
+        held = size <= Words.LONGEST
+        if joined.find(b"\0", 0, firsts[-1]) >= 0:
+            zeros = np.cumsum(data == 0)
+            held &= zeros.take(end - 1) == zeros.take(begin - 1)
+        eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+        size, keys = np.minimum(size, Words.LONGEST), np.empty((len(begin), 2), np.uint64)
+        for k in (0, 1):
+            keys[:, k] = eight[begin + 8 * k if k else begin] & _KEYS[k].take(size)
+        rows = self.words.find(keys)
+        if len(new := np.flatnonzero((rows[:, 0] == 0) & held)):
+            order = new[np.lexsort((keys[new, 0], keys[new, 1]))]
+            asked = keys[order]
+            differs = np.append(True, (asked[1:] != asked[:-1]).any(axis=1))
+            made = self._rows(asked[differs])
+            rows[order] = made[np.cumsum(differs) - 1]
+            self.words.add(made)
+        fields = rows.view("<u2")[:, 8:]
+        counts = fields[:, 7].astype(np.int64) - 1
+        held &= counts <= Words.MOST_IDS
+        counts[~held] = 0
+        ids = fields[:, :7][np.arange(7) < counts[:, None]]
+        if len(other := np.flatnonzero(~held)):
+            said = self._each([joined[a:b] for a, b in zip(begin[other].tolist(), end[other].tolist(), strict=True)])
+            counts[other] = [len(x) // 2 for x in said]
+            whole = np.empty(counts.sum(), "<u2")
+            mine = np.repeat(held, counts)
+            whole[mine], whole[~mine] = ids, np.frombuffer(b"".join(said), "<u2")
+            ids = whole
+        ends = np.append(0, np.cumsum(counts)).take(np.searchsorted(begin, firsts)) * 2
+        out = ids.astype("<u2").tobytes()
+        return [out[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
