@@ -47,98 +47,135 @@ _U16, _U48, _SCALE = np.uint64(16), np.uint64(48), np.uint64(ODDS + WEIGHTS)
 _DECAY = (0xFFFF >> RATE) * 0x1_0000_0001
 _GAIN = np.array([0, (65536 >> RATE) - 8 << 32, (65536 >> RATE) - 8, (65536 >> RATE) - 8])
 _BEGIN = 4096 * 0x1_0000_0001
+_MIX = np.uint32(0x9E3779B1)
 
 
 class _Lanes:
-    """Statistics of many blocks side by side, a lane a block; of two rows, the first is order 1 and the second order 2."""
+    """Statistics of many blocks side by side, a lane a block; of two rows, the first is order 1 and the second order 2.
+
+    Contexts, slots and predictions are 32-bit integers and what serves as an index is made wide once, as arithmetic of mixed widths is several times as slow.
+    """
 
     def __init__(self, n: int, weights: np.ndarray):
         lane = np.arange(n)
-        self.first = np.stack([lane * SLOTS, (n + lane) * SLOTS])
-        self.states = np.stack([lane * 4, (n + lane) * 4])
-        self.table, self.odds = np.zeros(2 * n * SLOTS, np.int32), np.full(2 * n * 4, _BEGIN, np.int64)
-        self.hash, self.mixed = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        self.first = np.stack([lane * SLOTS, (n + lane) * SLOTS]).astype(np.uint32)
+        self.states = np.stack([lane * 4, (n + lane) * 4]).astype(np.uint32)
+        self.table, self.odds = np.zeros(2 * n * SLOTS, np.uint32), np.full(2 * n * 4, _BEGIN, np.int64)
+        self.hash, self.mixed = np.zeros((2, n), np.uint32), np.zeros(n, np.uint32)
         self.bounds = np.zeros((4, n), np.int64)
         self.bounds[3] = 1 << ODDS
         # by which predictions hold (order 1 counts 1, order 2 counts 2): where the interval begins among the bounds
         self.place, self.lane = np.array([2 * n, n, 0, 0]), lane
         # beyond the ids' own, a place for what a prediction met: all of the frequencies
         self.whole = len(weights)
-        self.least = np.append(np.cumsum(weights) - weights, 0).astype(np.int32)
-        self.weights = np.append(weights, 1 << WEIGHTS).astype(np.int32)
+        self.least = np.append(np.cumsum(weights) - weights, 0).astype(np.int64)
+        self.weights = np.append(weights, 1 << WEIGHTS).astype(np.int64)
 
     def predict(self) -> None:
-        self.at = (self.hash >> 15 & SLOTS - 1) + self.first
+        at = self.hash >> 15
+        at &= SLOTS - 1
+        at += self.first
+        self.at = at.astype(np.int64)
         self.slot = self.table.take(self.at)
         self.guess = self.slot >> 2
-        self.row = (self.slot & 3) + self.states
+        row = self.slot & 3
+        row += self.states
+        self.row = row.astype(np.int64)
         self.now = self.odds.take(self.row)
         both = self.now[0] + self.now[1]
         np.bitwise_and(both, (1 << ODDS) - 1, out=self.bounds[1])
-        np.add(self.bounds[1], both >> 32, out=self.bounds[2])
+        both >>= 32
+        np.add(self.bounds[1], both, out=self.bounds[2])
+
+    def met(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which predictions are the ids, and the same as a number for each lane."""
+        hit = self.guess == ids
+        flags = hit.view(np.uint8)
+        return hit, (flags[0] | flags[1] << 1).astype(np.int64)
 
     def interval(self, ids: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids' intervals start, and their widths, out of 2 to the power of ODDS + WEIGHTS."""
-        at = self.place.take(held) + self.lane
+        at = self.place.take(held)
+        at += self.lane
         low = self.bounds.take(at)
-        wide = self.bounds.take(at + len(ids)) - low
-        of = np.where(held > 0, self.whole, ids)
-        return (low << WEIGHTS) + wide * self.least.take(of), wide * self.weights.take(of)
+        at += len(ids)
+        wide = self.bounds.take(at)
+        wide -= low
+        of = ids.astype(np.int64)
+        np.putmask(of, held, self.whole)
+        low <<= WEIGHTS
+        low += wide * self.least.take(of)
+        wide *= self.weights.take(of)
+        return low.view(np.uint64), wide.view(np.uint64)
 
     def update(self, ids: np.ndarray, hit: np.ndarray, held: np.ndarray) -> None:
-        self.odds[self.row] = self.now - (self.now >> RATE & _DECAY) + _GAIN.take(held)
-        slot = self.slot
-        self.table[self.at] = np.where(hit, np.minimum(slot + 1, slot | 3), ids << 2)
+        odds = self.now >> RATE
+        odds &= _DECAY
+        np.subtract(self.now, odds, out=odds)
+        odds += _GAIN.take(held)
+        self.odds[self.row] = odds
+        slot, missed = self.slot, ids << 2
+        new = np.minimum(slot + 1, slot | 3)
+        # the one or the other without a branch: a choice by a random mask is slow
+        new ^= missed
+        new *= hit.astype(np.uint32)
+        new ^= missed
+        self.table[self.at] = new
         h = self.hash
-        np.multiply(ids, 0x9E3779B1, out=h[0])
+        np.multiply(ids, _MIX, out=h[0])
         np.bitwise_xor(h[0], self.mixed, out=h[1])
-        self.mixed = h[0] >> 7
+        np.right_shift(h[0], 7, out=self.mixed)
 
 
 def _settle(low: np.ndarray, span: np.ndarray, move) -> None:
     """Shift settled upper bits out of each lane until its interval is wide enough; ``move`` writes or reads 16 bits of some lanes."""
-    todo = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
+    end = low + span
+    end ^= low
+    todo = ((end < _TOP) | (span < _BOTTOM)).nonzero()[0]
     while len(todo):
         a, s = low.take(todo), span.take(todo)
-        cut = (a ^ (a + s)) >= _TOP
-        if cut.any():
-            s = np.where(cut, (~a + np.uint64(1)) & (_BOTTOM - np.uint64(1)), s)
+        end = a + s
+        end ^= a
+        if len(cut := (end >= _TOP).nonzero()[0]):
+            s[cut] = (~a.take(cut) + np.uint64(1)) & (_BOTTOM - np.uint64(1))
         move(todo, a)
         a <<= _U16
         s <<= _U16
         low[todo], span[todo] = a, s
-        todo = todo[((a ^ (a + s)) < _TOP) | (s < _BOTTOM)]
+        end = a + s
+        end ^= a
+        todo = todo.take(((end < _TOP) | (s < _BOTTOM)).nonzero()[0])
 
 
 def encode_blocks(blocks: np.ndarray, weights: np.ndarray) -> list[bytes]:
     """The code of each row of ``blocks``, equally many ids a row, by order-0 ``weights`` of all ids."""
-    n, length = blocks.shape
+    n = len(blocks)
     lanes, low, span = _Lanes(n, weights), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    width = 3 * length + 16
-    out, at = np.zeros(n * width, np.uint16), np.arange(n) * width
-    begin = at.copy()
+    of, said, kind = [], [], np.uint16 if n <= 1 << 16 else np.uint32
 
     def write(todo: np.ndarray, a: np.ndarray) -> None:
-        where = at.take(todo)
-        out[where] = (a >> _U48).astype(np.uint16)
-        at[todo] = where + 1
+        of.append(todo.astype(kind))
+        said.append((a >> _U48).astype("<u2"))
 
-    columns = np.ascontiguousarray(blocks.T, np.int64)
-    for ids in columns:
+    for ids in np.ascontiguousarray(blocks.T, np.uint32):
         lanes.predict()
-        hit = lanes.guess == ids
-        held = hit[0] + (hit[1] << np.int64(1))
+        hit, held = lanes.met(ids)
         start, wide = lanes.interval(ids, held)
         span >>= _SCALE
-        low += start.view(np.uint64) * span
-        span *= wide.view(np.uint64)
+        start *= span
+        low += start
+        span *= wide
         _settle(low, span, write)
         lanes.update(ids, hit, held)
     every = np.arange(n)
     for _ in range(4):
         write(every, low)
         low <<= _U16
-    return [out[a:b].astype("<u2").tobytes() for a, b in zip(begin.tolist(), at.tolist(), strict=True)]
+    # what lanes wrote in turn is put in order of lanes
+    lane = np.concatenate(of)
+    code = np.concatenate(said)[np.argsort(lane, kind="stable")].tobytes()
+    ends = (2 * np.cumsum(np.bincount(lane, minlength=n))).tolist()
+    return [code[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def decode_blocks(codes: list[bytes], length: int, weights: np.ndarray) -> np.ndarray:
@@ -146,7 +183,7 @@ def decode_blocks(codes: list[bytes], length: int, weights: np.ndarray) -> np.nd
     n = len(codes)
     lanes, low, span = _Lanes(n, weights), np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
     width = max(map(len, codes), default=0) // 2 + 8
-    words, at = np.zeros((n, width), np.uint64), np.arange(n) * width
+    words, at = np.zeros((n, width), "<u2"), np.arange(n) * width
     for i, c in enumerate(codes):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
     words = words.reshape(-1)
@@ -154,30 +191,37 @@ def decode_blocks(codes: list[bytes], length: int, weights: np.ndarray) -> np.nd
 
     def read(todo: np.ndarray, a: np.ndarray) -> None:
         where = at.take(todo)
-        value[todo] = value.take(todo) << _U16 | words.take(where, mode="clip")  # a damaged block may ask for more
-        at[todo] = where + 1
+        v = value.take(todo)
+        v <<= _U16
+        v |= words.take(where, mode="clip").astype(np.uint64)  # a damaged block may ask for more
+        value[todo] = v
+        where += 1
+        at[todo] = where
 
     every = np.arange(n)
     for _ in range(4):
         read(every, low)
     which = np.repeat(np.arange(len(weights), dtype=np.uint16), weights)
-    out = np.zeros((length, n), np.int64)
+    out, most = np.zeros((length, n), np.uint32), np.uint64((1 << ODDS + WEIGHTS) - 1)
     b = lanes.bounds
-    for ids in out:
+    for k in range(length):
         lanes.predict()
         span >>= _SCALE
-        point = np.minimum((value - low) // span, np.uint64((1 << ODDS + WEIGHTS) - 1)).view(np.int64)
+        point = value - low
+        point //= span
+        point = np.minimum(point, most, out=point).view(np.int64)
         part = point >> WEIGHTS
-        miss = part >= b[2]
         # exact: the quotient of such small integers cannot round up to the next
-        rest = ((point - (b[2] << WEIGHTS)) / (b[3] - b[2])).astype(np.int64)
-        ids[:] = np.where(part < b[1], lanes.guess[1], lanes.guess[0])
-        np.copyto(ids, which.take(rest, mode="clip"), where=miss)
-        hit = lanes.guess == ids
-        held = hit[0] + (hit[1] << np.int64(1))
+        point -= b[2] << WEIGHTS
+        ids = which.take((point / (b[3] - b[2])).astype(np.int64), mode="clip").astype(np.uint32)
+        np.putmask(ids, part < b[2], lanes.guess[0])
+        np.putmask(ids, part < b[1], lanes.guess[1])
+        out[k] = ids
+        hit, held = lanes.met(ids)
         start, wide = lanes.interval(ids, held)
-        low += start.view(np.uint64) * span
-        span *= wide.view(np.uint64)
+        start *= span
+        low += start
+        span *= wide
         _settle(low, span, read)
         lanes.update(ids, hit, held)
     return np.ascontiguousarray(out.T)
@@ -280,9 +324,11 @@ class Words:
 
 #: The bytes of a word that count, in each half of its key, by the word's length.
 _HALF = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)
-_KEYS = np.stack([_HALF, np.append(np.zeros(8, np.uint64), _HALF[:9])])
-#: Which bytes are ASCII white space, letters or digits, and punctuation that is cut off.
-_SPACE, _ALNUM, _TAIL = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", TAIL))
+_KEYS = np.stack([_HALF, np.append(np.zeros(8, np.uint64), _HALF[:9])], axis=1)
+#: Which of eight fields are a row's ids, by their number: eight flags in one integer.
+_FIRST = (np.arange(8) < np.arange(8)[:, None]).view(np.uint64).reshape(-1)
+#: Which bytes are ASCII letters or digits, and punctuation that is cut off.
+_ALNUM, _TAIL = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", TAIL))
 
 
 #: Fixed value: the second bytes of the letters U+00C0 to U+00FF.
@@ -403,26 +449,32 @@ class WordTokenizer:
         joined = b"\n" + b"\n".join(raw) + b"\n" + bytes(Words.LONGEST)
         firsts = np.cumsum([1, *(len(r) + 1 for r in raw)])
         data = np.frombuffer(joined, np.uint8)[: firsts[-1]]
-        space = _SPACE.take(data)
+        space = data - np.uint8(9) < 5
+        space |= data == 32
         edges = np.flatnonzero(space[1:] != space[:-1]) + 1
         begin, end = edges[::2], edges[1::2]
-        # one mark of punctuation after a letter or digit is a word of its own
-        before = data.take(end - 2)
-        cut = _TAIL.take(data.take(end - 1)) & (_ALNUM.take(before) | _SECOND.take(before) & (data.take(end - 3) == 0xC3))
+        # up to eight marks of punctuation after a letter or digit are a word of their own
+        marks = _TAIL.take(data.take(end - 1)).astype(np.int64)
+        todo = np.flatnonzero(marks)
+        for _ in range(7):
+            todo = todo[_TAIL.take(data.take(end[todo] - 1 - marks[todo]))]
+            marks[todo] += 1
+        before = end - 1 - marks
+        letter = data.take(before)
+        cut = (marks > 0) & (_ALNUM.take(letter) | _SECOND.take(letter) & (data.take(before - 1) == 0xC3))
+        marks[~cut] = 0
         at = np.repeat(np.arange(len(begin)), 1 + cut)
         tail = np.zeros(len(at), bool)
         tail[1:] = at[1:] == at[:-1]
-        begin = np.where(tail, end.take(at) - 1, begin.take(at))
-        end = end.take(at) - np.append(tail[1:], False)
+        middle = (end - marks).take(at)
+        begin, end = np.where(tail, middle, begin.take(at)), np.where(tail, end.take(at), middle)
         size = end - begin
         held = size <= Words.LONGEST
         if joined.find(b"\0", 0, firsts[-1]) >= 0:
             zeros = np.cumsum(data == 0)
             held &= zeros.take(end - 1) == zeros.take(begin - 1)
-        eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
-        size, keys = np.minimum(size, Words.LONGEST), np.empty((len(begin), 2), np.uint64)
-        for k in (0, 1):
-            keys[:, k] = eight[begin + 8 * k if k else begin] & _KEYS[k].take(size)
+        keys = np.ndarray(len(joined) - 15, "V16", joined, strides=(1,))[begin].view("<u8").reshape(-1, 2)
+        keys &= _KEYS.take(np.minimum(size, Words.LONGEST), axis=0)
         rows = self.words.find(keys)
         if len(new := np.flatnonzero((rows[:, 0] == 0) & held)):
             order = new[np.lexsort((keys[new, 0], keys[new, 1]))]
@@ -432,10 +484,11 @@ class WordTokenizer:
             rows[order] = made[np.cumsum(differs) - 1]
             self.words.add(made)
         fields = rows.view("<u2")[:, 8:]
-        counts = fields[:, 7].astype(np.int64) - 1
-        held &= counts <= Words.MOST_IDS
-        counts[~held] = 0
-        ids = fields[:, :7][np.arange(7) < counts[:, None]]
+        short = fields[:, 7].astype(np.uint8) - np.uint8(1)
+        held &= short <= Words.MOST_IDS
+        short[~held] = 0
+        ids = np.compress(_FIRST.take(short).view(bool), np.ascontiguousarray(fields).reshape(-1))
+        counts = short.astype(np.int64)
         if len(other := np.flatnonzero(~held)):
             said = self._each([joined[a:b] for a, b in zip(begin[other].tolist(), end[other].tolist(), strict=True)])
             counts[other] = [len(x) // 2 for x in said]
@@ -451,6 +504,13 @@ class WordTokenizer:
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's own tokenizer. A task's function must ask for it here, by name: a table that it names itself comes with it, pickled, and is empty in each task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """Encode and write ``docs`` in ascending order of id; returns the written ``(part, number, n_ids, ids, lengths, payload)``.
 
@@ -464,9 +524,7 @@ def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
-        if path not in _tokenizers:
-            _tokenizers[path] = WordTokenizer(path)
+        part, number, tokenizer = TaskContext.get().partitionId(), 0, tokenizer_of(path)
         ids, lengths, parts, n = [], [], [], 0
 
         def closed(type_: pa.DataType) -> pa.RecordBatch:
@@ -479,7 +537,7 @@ def write(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col
             type_ = batch.schema.field(0).type
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
-                for i, data in zip(some.column(0).to_pylist(), _tokenizers[path](some.column(1).to_pylist()), strict=True):
+                for i, data in zip(some.column(0).to_pylist(), tokenizer(some.column(1).to_pylist()), strict=True):
                     ids.append(i)
                     parts += [data, stop]
                     lengths.append(len(data) // 2 + 1)
