@@ -18,6 +18,7 @@ them, so Spark's own readers and committers reach them wherever that folder is.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -37,6 +38,8 @@ LANES, LEAST, SEGMENT = 2048, 512, 1 << 21
 MOST_BROADCAST = 500_000
 #: Places for a worker's words, a power of two, of 32 bytes; a table that is three fifths full is emptied. Longer words that it keeps besides, at most.
 PLACES, CACHE = 1 << 22, 100_000
+#: Bytes of text that are looked up at once; a longer text is taken in pieces.
+AT_ONCE = 4 << 20
 #: Fixed value: ASCII punctuation that is cut off the end of a word (no apostrophe, with which contractions begin).
 TAIL = b'.,;:!?#$%&*|"()'
 #: Slots of each lane's order-1 and of its order-2 table; bits of the odds and of the frequencies; a power of two is how far odds move.
@@ -325,6 +328,7 @@ class Words:
 #: The bytes of a word that count, in each half of its key, by the word's length.
 _HALF = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(17)], np.uint64)
 _KEYS = np.stack([_HALF, np.append(np.zeros(8, np.uint64), _HALF[:9])], axis=1)
+_BLANK = re.compile(rb"[ \t-\r]")
 #: Which of eight fields are a row's ids, by their number: eight flags in one integer.
 _FIRST = (np.arange(8) < np.arange(8)[:, None]).view(np.uint64).reshape(-1)
 #: Which bytes are ASCII letters or digits, and punctuation that is cut off.
@@ -347,7 +351,7 @@ class WordTokenizer:
     text, so that no text can make a control token.
     """
 
-    def __init__(self, path: str, special: bool = False, places: int = PLACES):
+    def __init__(self, path: str, special: bool = False, places: int = PLACES, at_once: int = AT_ONCE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
@@ -355,7 +359,7 @@ class WordTokenizer:
         self.tokenizer, self.plain, self.words, self.cache = Tokenizer.from_file(path), Tokenizer.from_file(path), Words(places), {}
         self.tokenizer.encode_special_tokens = self.plain.encode_special_tokens = not special
         self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
-        self.special = special
+        self.special, self.at_once = special, at_once
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = token.endswith("</w>")
@@ -443,9 +447,35 @@ class WordTokenizer:
             self.cache.update(self._encoded(new))
         return [self.cache[w] for w in words]
 
+    def _pieces(self, raw: bytes) -> Iterator[bytes]:
+        """A text, cut at white space; only a longer word makes a longer piece."""
+        at = 0
+        while len(raw) - at > self.at_once:
+            cut = max(raw.rfind(b" ", at + 1, at + self.at_once), raw.rfind(b"\n", at + 1, at + self.at_once))
+            if cut < 0:
+                blank = _BLANK.search(raw, at + self.at_once)
+                cut = blank.start() if blank else len(raw)
+            yield raw[at:cut]
+            at = cut
+        yield raw[at:]
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 16-bit integers."""
-        raw = [self._lowered(t) for t in texts]
+        out, some, size = [], [], 0
+        for t in texts:
+            raw = self._lowered(t)
+            if size + len(raw) > self.at_once:
+                out += self._looked_up(some)
+                some, size = [], 0
+            if len(raw) > self.at_once:
+                out.append(b"".join(self._looked_up([piece])[0] for piece in self._pieces(raw)))
+            else:
+                some.append(raw)
+                size += len(raw)
+        return out + self._looked_up(some)
+
+    def _looked_up(self, raw: list[bytes]) -> list[bytes]:
+        """The ids of texts that are lower-cased."""
         joined = b"\n" + b"\n".join(raw) + b"\n" + bytes(Words.LONGEST)
         firsts = np.cumsum([1, *(len(r) + 1 for r in raw)])
         data = np.frombuffer(joined, np.uint8)[: firsts[-1]]
