@@ -7,6 +7,7 @@ alphabets, and only a line feed ends a line.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from re import _constants as ops
 from re import _parser
 
@@ -22,19 +23,13 @@ def java(pattern: str, flags: int = re.IGNORECASE) -> str:
     return f"(?{marks})" + pattern.replace(r"\Z", r"\z")
 
 
-def needed(pattern: str, flags: int = re.IGNORECASE) -> tuple[str, ...]:
-    """Strings of which each match of a pattern holds at least one; none if the pattern has no such strings of two characters.
-
-    Where case is ignored they are in capitals, to be looked for in the upper-cased text; i and k are left out, as other letters count as these that are no capitals of theirs.
-    """
+def _runs(pattern: str, flags: int) -> list[list[tuple[str, ...]]]:
+    """For each choice of a pattern sets of strings of two characters or more; of each set, a match of the choice holds at least one."""
     folded = bool(flags & re.IGNORECASE)
 
     def fits(c: str) -> bool:
         return c.isascii() and not (folded and c in "iIkK")
 
-    def best(found: list[tuple[str, ...]]) -> tuple[str, ...]:
-        return max(found, key=lambda some: min(map(len, some)), default=())
-
     def walk(parts) -> list[tuple[str, ...]]:
         out, run = [], ""
         for op, value in parts:
@@ -48,12 +43,56 @@ def needed(pattern: str, flags: int = re.IGNORECASE) -> tuple[str, ...]:
                 out += walk(value[3])
             elif op in (ops.MAX_REPEAT, ops.MIN_REPEAT) and value[0] > 0:
                 out += walk(value[2])
-            elif op is ops.BRANCH and all(each := [best(walk(b)) for b in value[1]]):
+            elif op is ops.BRANCH and all(each := [_longest(walk(b)) for b in value[1]]):
                 out.append(tuple(x for some in each for x in some))
         return out + [(run,)] * (len(run) > 1)
 
-    some = best(walk(_parser.parse(pattern, flags)))
-    return tuple(dict.fromkeys(x.upper() if folded else x for x in some))
+    every = [walk(_parser.parse(choice, flags)) for choice in _choices(pattern)]
+    return [[tuple(dict.fromkeys(x.upper() if folded else x for x in some)) for some in found] for found in every]
+
+
+def _longest(found: list[tuple[str, ...]]) -> tuple[str, ...]:
+    return max(found, key=lambda some: min(map(len, some)), default=())
+
+
+def _choices(pattern: str) -> list[str]:
+    """The alternatives of a whole pattern; the parser would take out what they begin with. Groups that are referred to by number keep it only if there is one choice."""
+    if re.search(r"\\[1-9]|\(\?P?[=<(]", pattern):
+        return [pattern]
+    out, depth, k, start, listed = [], 0, 0, 0, False
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif listed:
+            listed = c != "]" or k == first
+        elif c == "[":
+            listed, first = True, k + 1 + (pattern[k + 1] == "^")
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            out.append(pattern[start:k])
+            start = k + 1
+        k += 1
+    return [*out, pattern[start:]]
+
+
+def needed(pattern: str, flags: int = re.IGNORECASE) -> tuple[str, ...]:
+    """Strings of which each match of a pattern holds at least one; none if the pattern has no such strings of two characters.
+
+    Where case is ignored they are in capitals, to be looked for in the upper-cased text; i and k are left out, as other letters count as these that are no capitals of theirs.
+    """
+    each = [_longest(found) for found in _runs(pattern, flags)]
+    return tuple(dict.fromkeys(x for some in each for x in some)) if all(each) else ()
+
+
+def may_have_any(upper: Column, each: tuple[str, ...]) -> Column:
+    """False where a text, ``upper`` in capitals, can hold no match of any of these patterns in any case: a choice needs all of its strings."""
+    every = {tuple(sorted(found, key=lambda some: -min(map(len, some)))) for p in each for found in _runs(p, re.IGNORECASE)}
+    out = F.lit(False)
+    for found in sorted(every):
+        out = out | reduce(lambda a, b: a & b, (any_of(upper, some) for some in found), F.lit(True))
+    return out
 
 
 def may_have(text: Column, upper: Column, pattern: str, flags: int = re.IGNORECASE) -> Column:
@@ -89,7 +128,8 @@ def found(text: Column, pattern: str, flags: int = re.IGNORECASE, before: int =
 
     The text is read once, and again for each side that is asked for, if it has matches. Groups are those of the match read alone, which is matched in the same way.
     What stands around a match is captured without being consumed: after it by looking ahead, before it by looking behind from the match's start over
-    exactly ``before`` characters, or fewer where the text begins. ``placed`` adds where a match begins, counted from 0 by what stands between matches.
+    exactly ``before`` characters, or fewer where the text begins. ``placed`` adds where a match begins, counted from 0 by what stands between matches; what stands around
+    it is then cut out of the text by place, which is for short texts: looking behind tries up to twice ``before`` beginnings a match.
     """
     groups = re.compile(pattern).groups
     # a look-behind counts in halves of characters, so the last choice, which never holds, makes room for twice as many
@@ -101,11 +141,18 @@ def found(text: Column, pattern: str, flags: int = re.IGNORECASE, before: int =
         alone = java(rf"\A(?:{pattern})\z", flags)
         return F.struct(match.alias("g0"), *(F.regexp_extract(match, alone, k).alias(f"g{k}") for k in range(1, groups + 1)), *(x.alias(name) for name, x in around.items()))
 
+    def put(x: Column) -> Column:
+        around = {"before": F.right(F.left(text, x["at"]), F.lit(before))} if before else {}
+        around |= {"after": F.substring(text, x["at"] + F.length(x["match"]) + 1, F.lit(after))} if after else {}
+        return read(x["match"], {"at": x["at"], **around})
+
     def of(matches: Column) -> Column:
-        if not sides and not placed:
+        if placed:
+            rows = F.transform(F.arrays_zip(matches.alias("match"), _places(text, java(pattern, flags), matches).alias("at")), put)
+            return F.when(F.size(matches) > 0, rows).otherwise(F.slice(rows, 1, 0))
+        if not sides:
             return F.transform(matches, lambda m: read(m, {}))
-        each = {"at": _places(text, java(pattern, flags), matches)} if placed else {}
-        each |= {name: F.regexp_extract_all(text, F.lit(java(p, flags)), F.lit(k)) for name, (p, k) in sides.items()}
+        each = {name: F.regexp_extract_all(text, F.lit(java(p, flags)), F.lit(k)) for name, (p, k) in sides.items()}
         zipped = F.arrays_zip(matches.alias("match"), *(x.alias(name) for name, x in each.items()))
         rows = F.transform(zipped, lambda x: read(x["match"], {name: x[name] for name in each}))
         return F.when(F.size(matches) > 0, rows).otherwise(F.slice(rows, 1, 0))
@@ -132,6 +179,32 @@ def all_of(text: Column, pattern: str, flags: int = re.IGNORECASE, group: int =
     return F.regexp_extract_all(text, F.lit(java(pattern, flags)), F.lit(group))
 
 
+def pieces(text: Column, patterns: tuple[str, ...], margin: int, start: Column | None = None, end: Column | None = None, size: int = 1000) -> Column:
+    """``array<struct<text, upper, start, end>>``: the pieces of a text that may hold a match of one of ``patterns``, in any case, each with ``margin`` characters before and after it, and where it begins and ends in that.
+
+    The patterns must match letters, digits, white space and hyphens only: a text is cut in front of other characters, so each match lies in one piece, and what is
+    found in pieces is what is found in the text. A long text is then searched only where a match may be. With ``start`` and ``end`` pieces are only of that part of the text.
+    """
+    assert margin <= size
+
+    def of(cut: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            before, after = F.coalesce(F.right(F.get(cut, i - 1), F.lit(margin)), F.lit("")), F.coalesce(F.left(F.get(cut, i + 1), F.lit(margin)), F.lit(""))
+
+            def placed(before: Column) -> Column:
+                low, high = F.length(before), F.length(before) + F.length(x)
+                if start is not None:
+                    shift = F.aggregate(F.slice(cut, F.lit(1), i), F.lit(0), lambda n, y: n + F.length(y)) - F.length(before)
+                    low, high = F.greatest(low, start - shift), F.least(high, end - shift)
+                return once(F.concat(before, x, after), lambda t: F.struct(t.alias("text"), F.upper(t).alias("upper"), low.alias("start"), high.alias("end")))
+
+            return F.when(once(F.upper(x), lambda u: may_have_any(u, patterns)), once(before, placed))
+
+        return F.array_compact(F.transform(cut, piece))
+
+    return once(F.regexp_extract_all(text, F.lit(rf"(?U)[\s\S]{{{size}}}[\w\s-]*|[\s\S]+"), F.lit(0)), of)
+
+
 def first_of(text: Column, pattern: str, flags: int = re.IGNORECASE, group: int = 1) -> Column:
     """One group of the first match; null without a match, empty if the group takes no part."""
     return F.when(text.rlike(java(pattern, flags)), F.regexp_extract(text, java(pattern, flags), group))
