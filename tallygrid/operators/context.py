@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, text
 from tallygrid.operators import substrings
+from tallygrid.session import shuffled
 
 CODE_COLUMNS = ("floor", "base", "walls_primary", "walls_accent", "ceiling_finish")
 
@@ -26,7 +27,7 @@ def used_codes(rooms: DataFrame, keys: Sequence[str], columns: Sequence[str] = C
 
 def used_only(legend: DataFrame, rooms: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Legend rows whose code a room of the same project uses."""
-    return legend.join(used_codes(rooms, keys), [*keys, "code"], "left_semi")
+    return legend.join(shuffled(used_codes(rooms, keys)), [*keys, "code"], "left_semi")
 
 
 def last_of_code(legend: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -63,10 +64,10 @@ def room_items(rooms: DataFrame, legend: DataFrame, keys: Sequence[str], order:
     details = last_of_code(legend, keys, order).select(*keys, "code", "material", "manufacturer", "color", "type_size")
     lines = F.concat(F.lit("\n-Mfg: "), "manufacturer", F.when(F.col("color") != "", F.concat(F.lit("\n-Color: "), "color")).otherwise(""), F.when(F.col("type_size") != "", F.concat(F.lit("\n-Type: "), "type_size")).otherwise(""))
     known = F.coalesce(F.col("manufacturer"), F.lit("")) != ""
-    walls = walls_by_height(rooms, keys).join(details, [*keys, "code"], "left")
+    walls = walls_by_height(rooms, keys).join(shuffled(details), [*keys, "code"], "left")
     high = F.concat(F.lit(" ("), "height", F.lit(" High)"))
     walls = walls.select(*keys, F.when(known, F.concat("code", high, F.lit(":"), lines)).otherwise(F.concat(F.lit("Wall Finish: "), "code", high)).alias("description"), F.lit("Painting").alias("trade"), "n")
-    tops = ceilings(rooms, keys).join(details, [*keys, "code"], "left")
+    tops = ceilings(rooms, keys).join(shuffled(details), [*keys, "code"], "left")
     tops = tops.select(*keys, F.when(known, F.concat("code", F.lit(" ("), "material", F.lit("):"), lines)).otherwise(F.concat(F.lit("Ceiling Finish: "), "code")).alias("description"), F.lit("Ceilings").alias("trade"), "n")
     return walls.unionByName(tops).select(*keys, "description", "trade", F.col("n").cast("double").alias("quantity"), F.lit("RM").alias("unit"), F.lit(0.75).alias("confidence"), F.lit("Room Schedule").alias("source_reference"))
 
@@ -89,7 +90,7 @@ def fusion_groups(rooms: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fusion_items(rooms: DataFrame, legend: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Items of the groups whose code the legend has."""
     details = last_of_code(legend, keys, order).select(*keys, "code", "material", "manufacturer", "product", "color", "type_size")
-    got = fusion_groups(rooms, keys).join(details, [*keys, "code"])
+    got = fusion_groups(rooms, keys).join(shuffled(details), [*keys, "code"])
     maker, color = F.trim(F.replace("manufacturer", F.lit("-"), F.lit(" "))), F.trim("color")
     color = F.when(F.contains(color, F.lit("SW")) & ~F.contains(color, F.lit("#SW")), F.replace(color, F.lit("SW"), F.lit("#SW"))).otherwise(color)
     gypsum = classify.any_of(F.upper("material"), ("GYPSUM", "GWB"))

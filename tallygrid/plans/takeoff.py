@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallygrid.functions import classify, false_positives, fixed, salvage
 from tallygrid.operators import context, dedup, generators, parsers, rules, segment
-from tallygrid.session import spread
+from tallygrid.session import shuffled, spread
 
 ITEM = ["description", "trade", "quantity", "unit", "confidence", "source_reference"]
 PAGE_KEYS = ["project_id", "file_id", "page_number"]
@@ -56,7 +56,7 @@ def general_items(files: DataFrame, stage: int) -> DataFrame:
     row = sections.select(*_TEXT_KEYS, "kind", "start", F.posexplode(generators.schedule_rows(F.col("section"))).alias("i", "description"))
     row = row.select(*_TEXT_KEYS, (F.col("start").cast("long") * 100_000 + F.col("i")).alias("seq"), "description", F.concat(F.lit("?"), "kind").alias("trade"), F.lit(1.0).alias("quantity"), F.lit("EA").alias("unit"), F.lit(0.75).alias("confidence"))
     floors = rules.itemize(files, _TEXT_KEYS, generators.flooring)
-    bare = files.join(sections.select(*_TEXT_KEYS).distinct(), _TEXT_KEYS, "left_anti")
+    bare = files.join(shuffled(sections.select(*_TEXT_KEYS).distinct()), _TEXT_KEYS, "left_anti")
     told = rules.itemize(bare, _TEXT_KEYS, lambda text, upper: rules.items_of(text, upper, generators.GENERAL_TEXT))
     return _of_files(row, stage, 0).unionByName(_of_files(floors, stage, 1)).unionByName(_of_files(told, stage, 2))
 
@@ -120,7 +120,7 @@ def with_margins(pages: DataFrame, margin: int = MARGIN) -> DataFrame:
     # equal pages of a file have equal places
     ends = ends.dropDuplicates(["project_id", "file_id", "page_number", "text_hash"])
     met = kept.select("project_id", "file_id", "page_number", "text", F.md5("text").alias("text_hash")).dropDuplicates(["project_id", "file_id", "page_number", "text_hash"])
-    both = met.join(ends, ["project_id", "file_id", "page_number", "text_hash"])
+    both = met.join(shuffled(ends), ["project_id", "file_id", "page_number", "text_hash"])
     before, after = (F.coalesce(x, F.lit("")) for x in (F.concat("before", F.lit("\n")), F.concat(F.lit("\n"), "after")))
     return both.select("project_id", "page", F.concat(before, "text", after).alias("text"), F.length(before).alias("start"), (F.length(before) + F.length("text")).alias("end"))
 

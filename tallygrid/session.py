@@ -50,6 +50,14 @@ def spread(df, *keys, rows: int = 0):
     return df.repartition(tasks(df.sparkSession, rows), *keys)
 
 
+def shuffled(df):
+    """``df`` as a side of a join that must not be broadcast, as it grows with the projects.
+
+    Spark estimates a side by the compressed bytes of the columns that it reads, whatever is made of them: texts of all projects would be sent to the driver.
+    """
+    return df.hint("merge")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share, by ``spark.checkpoint.dir``; only a local session without one gets a folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
