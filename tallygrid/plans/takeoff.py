@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallygrid.functions import classify, false_positives, fixed, salvage
+from tallygrid.functions import classify, false_positives, fixed, patterns, salvage
 from tallygrid.operators import context, dedup, generators, parsers, rules, segment
 from tallygrid.session import shuffled, spread
 
@@ -139,7 +139,7 @@ def inferred_items(pages: DataFrame) -> DataFrame:
     upper = F.upper(F.coalesce("text", F.lit("")))
     needs = {w for r in generators.INFERRED for w in r.needs}
     names = {w: f"n{i}" for i, w in enumerate(sorted(needs))}
-    mats = [F.regexp_count("text", F.lit(f"(?i){p}")) for p, _ in generators.MATS]
+    mats = [F.when(patterns.may_have(F.col("text"), upper, p), F.regexp_count("text", F.lit(f"(?i){p}"))) for p, _ in generators.MATS]
     counted = pages.groupBy("project_id").agg(
         *(F.bool_or(classify.any_of(upper, w)).alias(n) for w, n in names.items()),
         *(F.sum(F.coalesce(m, F.lit(0))).alias(f"m{i}") for i, m in enumerate(mats)),
